@@ -23,6 +23,9 @@ JS_WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
+# the same set as a Java regex character class
+JS_WHITESPACE_CLASS = "[" + "".join(f"\\u{ord(c):04x}" for c in JS_WHITESPACE) + "]"
+
 INT_MAX = 2147483647
 
 

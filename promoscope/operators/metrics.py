@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promoscope.functions.columns import js_number_str, js_round, js_round1
+from promoscope.functions.columns import JS_WHITESPACE_CLASS, js_number_str, js_round, js_round1
 from promoscope.functions.nps import (count_aggs, direction, with_band_pcts, with_nps,
                                       with_z_test)
 from promoscope.operators.filters import drop_unknown
@@ -204,13 +204,14 @@ def recent_sprints(df: DataFrame, k: int = 3) -> DataFrame:
                      "ci_lower", "ci_upper", "confidence"))
 
 
-def recent_filter(df: DataFrame, k: int = 3) -> DataFrame:
+def recent_filter(df: DataFrame, k: int = 3, sprints_from: DataFrame | None = None) -> DataFrame:
     """Rows of the last ``k`` sprints (the themes / verbatims default period).
 
     The sprint list is an aggregate of at most (#sprints) rows; the semi join
     lets Spark prune the ``sprint_part`` directories at run time.
     """
-    last = recent_sprints(df, k).select(F.col("sprint_id").alias("_sid"))
+    src = df if sprints_from is None else sprints_from
+    last = recent_sprints(src, k).select(F.col("sprint_id").alias("_sid"))
     return df.join(last, df["sprint_id"] == last["_sid"], "left_semi")
 
 
@@ -288,5 +289,5 @@ def dim_members(df: DataFrame) -> DataFrame:
 def sprint_counts(df: DataFrame) -> DataFrame:
     """Response count per normalised sprint key (lower case, spaces -> '_')."""
     c = as_counts(df)
-    key = F.regexp_replace(F.lower(F.col("sprint_id")), r"\s+", "_")
+    key = F.regexp_replace(F.lower(F.col("sprint_id")), JS_WHITESPACE_CLASS + "+", "_")
     return c.groupBy(key.alias("sprint_key")).agg(F.sum("n").cast("bigint").alias("responses"))

@@ -126,6 +126,232 @@ for _g in metrics.GRAINS:
     register(f"trend_{_g}", _trend_sql(_g))(_mk(_g))
 
 
+
+# ---------------------------------------------------------------------------
+# shared SQL pieces
+# ---------------------------------------------------------------------------
+
+def _trend_inner(grain: str) -> str:
+    """Per-period counts with labels and period_ord (no statistics yet)."""
+    if grain == "sprint":
+        g, k = O.sprint_keys("period")
+        inner = f"SELECT sprint_id AS period, {O.COUNTS} FROM survey WHERE sprint_id <> '' GROUP BY sprint_id"
+        label, full = O.label_case("period", 1), O.label_case("period", 2)
+        order = f"{g}, {k}, period"
+    elif grain == "month":
+        inner = (f"SELECT month AS period, {O.COUNTS} FROM survey "
+                 f"WHERE {O.order_case('month', metrics.dims.MONTH_ORDER)} IS NOT NULL GROUP BY month")
+        label, full = "regexp_replace(period, ' ''2[0-9]', '')", "period"
+        order = O.order_case("period", metrics.dims.MONTH_ORDER)
+    else:
+        inner = (f"SELECT quarter AS period, {O.COUNTS} FROM survey "
+                 f"WHERE {O.order_case('quarter', metrics.dims.QUARTER_ORDER)} IS NOT NULL GROUP BY quarter")
+        label, full = "split_part(period, ' (', 1)", "period"
+        order = O.order_case("period", metrics.dims.QUARTER_ORDER)
+    return (f"SELECT *, {label} AS label, {full} AS full_label, "
+            f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS period_ord FROM ({inner})")
+
+
+def _all_grains_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{g}' AS grain, * FROM ({O.with_nps_sql(_trend_inner(g))})" for g in metrics.GRAINS)
+
+
+_G, _K = O.sprint_keys("sprint_id")
+RECENT_CTE = f"""
+recent AS (
+  SELECT sprint_id FROM (
+    SELECT sprint_id, row_number() OVER (ORDER BY {_G} DESC, {_K} DESC, sprint_id DESC) AS rr
+    FROM (SELECT DISTINCT sprint_id FROM survey WHERE sprint_id <> '')
+  ) WHERE rr <= 3
+)"""
+
+
+def _erf_sql(x: str) -> str:
+    t = f"(1 / (1 + {O_ERF_P} * abs({x})))"
+    poly = (f"(((({O_ERF[4]} * {t} + {O_ERF[3]}) * {t} + {O_ERF[2]}) * {t} + {O_ERF[1]}) * {t} "
+            f"+ {O_ERF[0]})")
+    return f"((CASE WHEN {x} < 0 THEN -1.0 ELSE 1.0 END) * (1 - {poly} * {t} * exp(-{x} * {x})))"
+
+
+from promoscope.functions import nps as _nps  # noqa: E402
+
+O_ERF = [repr(_nps.ERF_A1), repr(_nps.ERF_A2), repr(_nps.ERF_A3), repr(_nps.ERF_A4), repr(_nps.ERF_A5)]
+O_ERF = [f"CAST({v} AS DOUBLE)" for v in O_ERF]
+O_ERF_P = f"CAST({_nps.ERF_P!r} AS DOUBLE)"
+
+
+# ---------------------------------------------------------------------------
+# A4, W1 + P17, Z3 + Z4, A18, F2 / W2
+# ---------------------------------------------------------------------------
+
+@register("band_distribution", O.with_survey(
+    "SELECT grain, period, period_ord, label, n, "
+    f"{O.pct('promoters', 'n')} AS promoter_pct, {O.pct('passives', 'n')} AS passive_pct, "
+    f"{O.pct('detractors', 'n')} AS detractor_pct FROM ({_all_grains_sql()})"))
+def q_band_distribution(spark, sf_dir):
+    return metrics.band_distribution(rollup(spark, sf_dir))
+
+
+@register("period_delta", O.with_survey(
+    "SELECT *, CASE WHEN delta IS NULL THEN NULL WHEN delta > 2 THEN 'improving' "
+    "WHEN delta < -2 THEN 'declining' ELSE 'stable' END AS direction FROM ("
+    "SELECT grain, period, period_ord, full_label, n, nps, prev_period, prev_nps, "
+    f"CASE WHEN prev_nps IS NOT NULL THEN {O.js_round1('(nps - prev_nps)')} END AS delta FROM ("
+    "SELECT *, lag(period) OVER (PARTITION BY grain ORDER BY period_ord) AS prev_period, "
+    "lag(nps) OVER (PARTITION BY grain ORDER BY period_ord) AS prev_nps "
+    f"FROM ({_all_grains_sql()})))"))
+def q_period_delta(spark, sf_dir):
+    return metrics.period_delta(rollup(spark, sf_dir))
+
+
+def _significance_sql() -> str:
+    lagged = ("SELECT period, period_ord, n, promoters, passives, detractors, nps, "
+              + ", ".join(f"lag({c}) OVER (ORDER BY period_ord) AS prev_{c}"
+                          for c in ["period", "n", "promoters", "passives", "detractors", "nps"])
+              + f" FROM ({O.with_nps_sql(_trend_inner('sprint'))})")
+    z1 = (f"SELECT *, {O.js_round1('(nps - prev_nps)')} AS d0, "
+          f"sqrt({O.var_expr('prev_')} + {O.var_expr('')}) * 100 AS se, "
+          "(prev_n = 0 OR n = 0) AS insufficient "
+          f"FROM ({lagged}) WHERE prev_period IS NOT NULL")
+    z2 = ("SELECT *, CASE WHEN NOT insufficient AND se <> 0 THEN abs(d0) / se END AS z FROM (" + z1 + ")")
+    z3 = (f"SELECT *, 2 * (1 - 0.5 * (1 + {_erf_sql('(z / sqrt(2.0))')})) AS p FROM (" + z2 + ")")
+    sig = "COALESCE(p < 0.05, false)"
+    ptxt = "printf('%.3f', p)"
+    interp = (f"CASE WHEN insufficient THEN 'Insufficient data' WHEN se = 0 THEN 'No variance' "
+              f"WHEN {sig} THEN 'NPS ' || CASE WHEN d0 > 0 THEN 'improved' ELSE 'declined' END || ' by ' "
+              f"|| {O.js_num('abs(d0)')} || ' pts (p=' || {ptxt} || ') — statistically significant' "
+              f"ELSE 'NPS changed by ' || {O.js_num('d0')} || ' pts (p=' || {ptxt} "
+              f"|| ') — not statistically significant' END")
+    return O.with_survey(
+        "SELECT period, period_ord, prev_period, prev_n, n, prev_nps, nps, "
+        "CASE WHEN insufficient THEN 0.0 ELSE d0 END AS delta, "
+        "CAST(floor(z * 100 + 0.5) AS DOUBLE) / 100 AS z_score, "
+        "CAST(floor(p * 10000 + 0.5) AS DOUBLE) / 10000 AS p_value, "
+        f"{sig} AS significant, {interp} AS interpretation FROM ({z3})")
+
+
+@register("period_significance", _significance_sql())
+def q_period_significance(spark, sf_dir):
+    return metrics.period_significance(rollup(spark, sf_dir))
+
+
+def _health_sql() -> str:
+    t = O.with_nps_sql(_trend_inner("sprint"))
+    d = (f"SELECT *, CASE WHEN lag(nps) OVER (ORDER BY period_ord) IS NOT NULL "
+         f"THEN {O.js_round1('(nps - lag(nps) OVER (ORDER BY period_ord))')} END AS delta FROM ({t})")
+    overall = O.with_nps_sql(f"SELECT {O.COUNTS} FROM survey")
+    u = (f"SELECT period, period_ord, n, promoters, detractors, nps, delta FROM d "
+         f"UNION ALL SELECT 'All' AS period, CAST(0 AS INTEGER) AS period_ord, n, promoters, detractors, nps, "
+         f"(SELECT delta FROM d ORDER BY period_ord DESC LIMIT 1) AS delta FROM ({overall})")
+    pcts = (f"SELECT *, {O.js_round('promoters / n * 100')} AS promoter_pct, "
+            f"{O.js_round('detractors / n * 100')} AS detractor_pct FROM (SELECT * FROM ({u}) WHERE n > 0)")
+    s = O.js_num("nps")
+    first = (f"CASE WHEN nps > 20 THEN 'Overall NPS of +' || {s} || ' signals strong customer satisfaction.' "
+             f"WHEN nps > 0 THEN 'Overall NPS of +' || {s} || ' is slightly positive but has room to grow.' "
+             f"WHEN nps > -15 THEN 'Overall NPS of ' || {s} || ' is in negative territory — more detractors than promoters.' "
+             f"ELSE 'Overall NPS of ' || {s} || ' indicates significant dissatisfaction among respondents.' END")
+    second = (f"{O.js_num('promoter_pct')} || '% are promoters (9–10) and ' || {O.js_num('detractor_pct')} "
+              f"|| '% are detractors (0–6).'")
+    third = (f"CASE WHEN delta IS NULL THEN NULL "
+             f"WHEN delta > 0 THEN 'The most recent period saw NPS rise by +' || {O.js_num('delta')} || ' pts vs the previous one.' "
+             f"WHEN delta < 0 THEN 'The most recent period saw NPS drop by ' || {O.js_num('delta')} || ' pts vs the previous one.' "
+             f"ELSE 'NPS was flat compared to the previous period.' END")
+    body = (f"SELECT period, period_ord, n, nps, promoter_pct, detractor_pct, delta, "
+            f"CASE WHEN nps > 20 THEN 'strong' WHEN nps > 0 THEN 'slightly_positive' "
+            f"WHEN nps > -15 THEN 'negative' ELSE 'significant_dissatisfaction' END AS health_level, "
+            f"CASE WHEN delta > 0 THEN 'rise' WHEN delta < 0 THEN 'drop' WHEN delta = 0 THEN 'flat' END AS change, "
+            f"concat_ws(' ', {first}, {second}, {third}) AS summary FROM ({pcts})")
+    return O.with_survey(body, [f"\nd AS ({d})"])
+
+
+@register("period_health", _health_sql())
+def q_period_health(spark, sf_dir):
+    return metrics.period_health(rollup(spark, sf_dir))
+
+
+@register("recent_sprints", O.with_survey(
+    "SELECT period AS sprint_id, recent_rank, period_ord, n, nps, ci_lower, ci_upper, confidence FROM ("
+    "SELECT *, CAST(row_number() OVER (ORDER BY period_ord DESC) AS INTEGER) AS recent_rank FROM ("
+    + O.with_nps_sql(_trend_inner("sprint")) + ")) WHERE recent_rank <= 3"))
+def q_recent_sprints(spark, sf_dir):
+    return metrics.recent_sprints(rollup(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# A5, A6, A16, A17, S12
+# ---------------------------------------------------------------------------
+
+@register("feedback_rate", O.with_survey(
+    f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE {O.fb_gt(5)}) AS BIGINT) AS with_feedback, "
+    f"{O.pct(f'count(*) FILTER (WHERE {O.fb_gt(5)})', 'count(*)')} AS feedback_pct FROM survey"))
+def q_feedback_rate(spark, sf_dir):
+    return metrics.feedback_rate(rollup(spark, sf_dir))
+
+
+def _comment_rates_sql() -> str:
+    fb = O.fb_gt(5)
+    cnt = {
+        "total": "count(*)", "with_feedback": f"count(*) FILTER (WHERE {fb})",
+        "promoter_count": "count(*) FILTER (WHERE score >= 9)",
+        "promoter_fb": f"count(*) FILTER (WHERE score >= 9 AND {fb})",
+        "detractor_count": "count(*) FILTER (WHERE score <= 6)",
+        "detractor_fb": f"count(*) FILTER (WHERE score <= 6 AND {fb})",
+        "passive_count": "count(*) FILTER (WHERE score BETWEEN 7 AND 8)",
+        "passive_fb": f"count(*) FILTER (WHERE score BETWEEN 7 AND 8 AND {fb})",
+    }
+    inner = ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in cnt.items())
+    outer = ("*, " + O.pct("with_feedback", "total") + " AS feedback_pct, "
+             + O.pct("promoter_fb", "promoter_count") + " AS promoter_fb_pct, "
+             + O.pct("detractor_fb", "detractor_count") + " AS detractor_fb_pct, "
+             + O.pct("passive_fb", "passive_count") + " AS passive_fb_pct")
+    return O.with_survey(
+        f"SELECT {outer} FROM (SELECT {inner} FROM survey WHERE sprint_id IN (SELECT sprint_id FROM recent))",
+        [RECENT_CTE])
+
+
+@register("comment_rates", _comment_rates_sql())
+def q_comment_rates(spark, sf_dir):
+    r = rollup(spark, sf_dir)
+    return metrics.comment_rates(metrics.recent_filter(r))
+
+
+@register("dataset_summary", O.with_survey(
+    "SELECT CAST(count(*) AS BIGINT) AS responses, "
+    "CAST(count(DISTINCT CASE WHEN sprint_id <> '' THEN sprint_id END) AS BIGINT) AS sprints, "
+    "CAST(count(DISTINCT CASE WHEN source <> '' THEN source END) AS BIGINT) AS sources FROM survey"))
+def q_dataset_summary(spark, sf_dir):
+    return metrics.dataset_summary(rollup(spark, sf_dir))
+
+
+def _dim_members_sql() -> str:
+    g, k = O.sprint_keys("member")
+    pos = O.order_case("member", metrics.dims.DEFAULT_CHANNELS)
+    return O.with_survey(
+        "SELECT 'sprint' AS dimension, member, CAST(row_number() OVER (ORDER BY "
+        f"{g}, {k}, member) AS INTEGER) AS member_ord FROM (SELECT DISTINCT sprint_id AS member FROM survey "
+        "WHERE sprint_id <> '') UNION ALL "
+        "SELECT 'source', member, CAST(row_number() OVER (ORDER BY member) AS INTEGER) FROM "
+        "(SELECT DISTINCT source AS member FROM survey WHERE source <> '') UNION ALL "
+        "SELECT 'theme', member, CAST(row_number() OVER (ORDER BY member) AS INTEGER) FROM "
+        "(SELECT DISTINCT theme AS member FROM survey WHERE theme <> '') UNION ALL "
+        f"SELECT 'channel', member, CAST(row_number() OVER (ORDER BY CASE WHEN {pos} IS NULL THEN 1 ELSE 0 END, "
+        f"COALESCE({pos}, 0), member) AS INTEGER) FROM "
+        "(SELECT DISTINCT source AS member FROM survey WHERE source <> '')")
+
+
+@register("dim_members", _dim_members_sql())
+def q_dim_members(spark, sf_dir):
+    return metrics.dim_members(rollup(spark, sf_dir))
+
+
+@register("sprint_counts", O.with_survey(
+    f"SELECT regexp_replace(lower(sprint_id), '{O.WS_CLASS}+', '_', 'g') AS sprint_key, "
+    "CAST(count(*) AS BIGINT) AS responses FROM survey GROUP BY 1"))
+def q_sprint_counts(spark, sf_dir):
+    return metrics.sprint_counts(rollup(spark, sf_dir))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
