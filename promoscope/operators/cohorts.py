@@ -16,7 +16,14 @@ from promoscope.operators.ordering import GRAIN_KEY, member_sort_keys, period_ke
 from promoscope.operators.rollup import as_counts
 from promoscope.sources import dims
 
-YES, NO = F.col("first_time_user") == "Yes", F.col("first_time_user") == "No"
+
+
+def _yes() -> Column:
+    return F.col("first_time_user") == "Yes"
+
+
+def _no() -> Column:
+    return F.col("first_time_user") == "No"
 
 
 def known_cohort(df: DataFrame) -> DataFrame:
@@ -25,7 +32,7 @@ def known_cohort(df: DataFrame) -> DataFrame:
 
 
 def _split_aggs() -> list[Column]:
-    return count_aggs("ft_", YES) + count_aggs("rep_", NO)
+    return count_aggs("ft_", _yes()) + count_aggs("rep_", _no())
 
 
 def _with_split_stats(df: DataFrame, min_n: int | None = None) -> DataFrame:
@@ -89,8 +96,8 @@ def cohort_theme(df: DataFrame, grain: str = "sprint", period: str | None = None
     """Share of each cohort mentioning a theme (per-cohort denominators)."""
     c = apply_period(known_cohort(as_counts(df)), grain, period)
     agg = c.groupBy("theme").agg(
-        F.sum(F.when(YES, F.col("n")).otherwise(0)).cast("bigint").alias("ft_count"),
-        F.sum(F.when(NO, F.col("n")).otherwise(0)).cast("bigint").alias("rep_count"))
+        F.sum(F.when(_yes(), F.col("n")).otherwise(0)).cast("bigint").alias("ft_count"),
+        F.sum(F.when(_no(), F.col("n")).otherwise(0)).cast("bigint").alias("rep_count"))
     allw = Window.partitionBy(F.lit(1))
     agg = (agg.withColumn("_ft_total", F.sum("ft_count").over(allw))
               .withColumn("_rep_total", F.sum("rep_count").over(allw))
@@ -120,6 +127,6 @@ def cohort_verbatims(df: DataFrame, grain: str = "sprint", period: str | None =
     c = apply_period(known_cohort(df), grain, period).filter(utf16_len_gt(F.col("feedback"), min_len))
     w = Window.partitionBy("first_time_user").orderBy(F.abs(F.col("score") - 5).desc(), F.col("row_seq"))
     out = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out.select(F.when(YES, F.lit("first_time")).otherwise(F.lit("repeat")).alias("cohort"),
+    return out.select(F.when(_yes(), F.lit("first_time")).otherwise(F.lit("repeat")).alias("cohort"),
                       "rank", "row_seq", "respondent_id", "sprint_id", "score", "score_band", "theme",
                       "feedback")

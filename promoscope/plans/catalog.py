@@ -352,6 +352,346 @@ def q_sprint_counts(spark, sf_dir):
     return metrics.sprint_counts(rollup(spark, sf_dir))
 
 
+
+# ---------------------------------------------------------------------------
+# A9 / A10 matrices
+# ---------------------------------------------------------------------------
+
+from promoscope.operators import cohorts, matrix, themes, verbatims  # noqa: E402
+from promoscope.operators.filters import FilterSpec  # noqa: E402
+
+_ORDERED = {"month": metrics.dims.MONTH_ORDER, "quarter": metrics.dims.QUARTER_ORDER,
+            "tenure_cut": metrics.dims.TENURE_ORDER}
+
+
+def _member_order_sql(dim: str, c: str) -> str:
+    if dim == "sprint_id":
+        return f"{O.cal_index(c)}, {c}"
+    if dim in _ORDERED:
+        return f"{O.order_case(c, _ORDERED[dim])}, {c}"
+    return f"{c}, {c}"
+
+
+def _member_kept_sql(dim: str, c: str) -> str:
+    if dim in _ORDERED:
+        return f"{O.order_case(c, _ORDERED[dim])} IS NOT NULL"
+    return "TRUE"
+
+
+def _filter_sql(spec: FilterSpec | None) -> str:
+    if spec is None:
+        return "TRUE"
+    conds = ["TRUE"]
+    if spec.period is not None:
+        conds.append(f"{ {'sprint': 'sprint_id', 'month': 'month', 'quarter': 'quarter'}[spec.grain]} = {O.q(spec.period)}")
+    if spec.channels:
+        lst = ", ".join(O.q(c) for c in spec.channels)
+        conds.append(f"(source IN ({lst}) OR {len(spec.channels)} >= "
+                     "(SELECT count(DISTINCT source) FROM survey WHERE source <> ''))")
+    if spec.tenures:
+        wanted = [t for t in metrics.dims.TENURE_ORDER if t in spec.tenures]
+        if wanted:
+            allt = ", ".join(O.q(t) for t in metrics.dims.TENURE_ORDER)
+            lst = ", ".join(O.q(t) for t in wanted)
+            n_avail = f"(SELECT count(DISTINCT tenure_cut) FILTER (WHERE tenure_cut IN ({allt})) FROM survey)"
+            n_valid = f"(SELECT count(DISTINCT tenure_cut) FILTER (WHERE tenure_cut IN ({lst})) FROM survey)"
+            conds.append(f"(tenure_cut IN ({lst}) OR {n_valid} >= {n_avail} OR {n_valid} = 0)")
+    return " AND ".join(conds)
+
+
+def _matrix_sql(r: str, c: str, spec: FilterSpec | None = None, cap: int = matrix.CITY_CAP) -> str:
+    agg = (f"SELECT {r} AS row_member, {c} AS col_member, GROUPING({r}, {c}) AS gid, {O.COUNTS} "
+           f"FROM survey WHERE {_filter_sql(spec)} GROUP BY GROUPING SETS (({r}, {c}), ({r}), ({c}), ())")
+
+    def members(gid: int, dim: str, col: str, ordcol: str) -> str:
+        m = (f"SELECT {col}, CAST(row_number() OVER (ORDER BY {_member_order_sql(dim, col)}) AS INTEGER) "
+             f"AS {ordcol} FROM agg WHERE gid = {gid} AND {col} NOT IN ('', 'Unknown') "
+             f"AND {_member_kept_sql(dim, col)}")
+        if dim == "city":
+            m = f"SELECT * FROM ({m}) WHERE {ordcol} <= {cap}"
+        return m
+
+    cols = "n, promoters, passives, detractors"
+    u = (f"SELECT 'cell' AS cell_type, a.row_member, a.col_member, r.row_ord, c.col_ord, {cols} "
+         f"FROM agg a JOIN rws r ON r.row_member = a.row_member JOIN cls c ON c.col_member = a.col_member "
+         f"WHERE gid = 0 UNION ALL "
+         f"SELECT 'row_total', a.row_member, NULL, r.row_ord, NULL, {cols} FROM agg a "
+         f"JOIN rws r ON r.row_member = a.row_member WHERE gid = 1 UNION ALL "
+         f"SELECT 'col_total', NULL, a.col_member, NULL, c.col_ord, {cols} FROM agg a "
+         f"JOIN cls c ON c.col_member = a.col_member WHERE gid = 2 UNION ALL "
+         f"SELECT 'grand_total', NULL, NULL, NULL, NULL, {cols} FROM agg WHERE gid = 3")
+    body = (f"SELECT cell_type, CAST(row_member AS VARCHAR) AS row_member, CAST(col_member AS VARCHAR) AS col_member, "
+            f"CAST(row_ord AS INTEGER) AS row_ord, CAST(col_ord AS INTEGER) AS col_ord, {cols}, "
+            "CASE WHEN n >= 5 THEN nps END AS nps, CASE WHEN n >= 5 THEN ci_lower END AS ci_lower, "
+            "CASE WHEN n >= 5 THEN ci_upper END AS ci_upper, confidence, n < 5 AS suppressed "
+            f"FROM ({O.with_nps_sql(u)})")
+    return O.with_survey(body, [f"\nagg AS ({agg})", f"\nrws AS ({members(1, r, 'row_member', 'row_ord')})",
+                                f"\ncls AS ({members(2, c, 'col_member', 'col_ord')})"])
+
+
+_MATRICES = {
+    # default axes of the segment view
+    "matrix_tenure_sprint": ("tenure_cut", "sprint_id", None),
+    # one sprint selected (F1; prunes to a single sprint partition)
+    "matrix_city_source": ("city", "source", FilterSpec(grain="sprint", period="Sprint 13")),
+    "matrix_plan_quarter": ("plan_type", "quarter", None),
+    # channel and tenure selections (F3, F4); many cells fall below n = 5
+    "matrix_filtered": ("city", "sprint_id", FilterSpec(channels=("Call",),
+                                                        tenures=("Early (1-2 mo)", "Mid (3-6 mo)"))),
+}
+
+for _name, (_r, _c, _spec) in _MATRICES.items():
+    def _mk_matrix(r, c, spec):
+        def fn(spark, sf_dir):
+            return matrix.nps_matrix(rollup(spark, sf_dir), r, c, spec)
+        return fn
+    register(_name, _matrix_sql(_r, _c, _spec))(_mk_matrix(_r, _c, _spec))
+
+
+def _row_summary_sql(dim: str, cap: int = matrix.CITY_CAP) -> str:
+    agg = f"SELECT {dim} AS row_member, {O.COUNTS} FROM survey GROUP BY {dim}"
+    rws = (f"SELECT row_member, CAST(row_number() OVER (ORDER BY {_member_order_sql(dim, 'row_member')}) "
+           f"AS INTEGER) AS row_ord FROM agg WHERE row_member NOT IN ('', 'Unknown') AND "
+           f"{_member_kept_sql(dim, 'row_member')}")
+    if dim == "city":
+        rws = f"SELECT * FROM ({rws}) WHERE row_ord <= {cap}"
+    stats = O.with_nps_sql("SELECT a.*, r.row_ord FROM agg a JOIN rws r ON r.row_member = a.row_member")
+    body = (f"SELECT *, {O.pct('promoters', 'n')} AS promoter_pct, {O.pct('passives', 'n')} AS passive_pct, "
+            f"{O.pct('detractors', 'n')} AS detractor_pct, "
+            "CASE WHEN nps > 5 THEN 'positive' WHEN nps < -5 THEN 'negative' ELSE 'neutral' END AS sentiment, "
+            "CAST(row_number() OVER (ORDER BY CASE WHEN nps = 0 THEN -99.0 ELSE nps END DESC, row_ord) AS INTEGER) "
+            f"AS sort_rank FROM ({stats})")
+    return O.with_survey(body, [f"\nagg AS ({agg})", f"\nrws AS ({rws})"])
+
+
+@register("row_summary_sorted", _row_summary_sql("city"))
+def q_row_summary_sorted(spark, sf_dir):
+    return matrix.row_summary(rollup(spark, sf_dir), "city", sort="nps_desc")
+
+
+# ---------------------------------------------------------------------------
+# A7, A8, J3 + P18 themes
+# ---------------------------------------------------------------------------
+
+def _pct1_sql(cnt: str, tot: str) -> str:
+    return f"CASE WHEN {tot} > 0 THEN CAST(floor({cnt} / {tot} * 1000 + 0.5) AS DOUBLE) / 10 ELSE 0.0 END"
+
+
+@register("theme_stats", O.with_survey(
+    "SELECT theme, label, count, avg_score, pct, rank FROM ("
+    f"SELECT theme, {O.theme_label_sql('theme')} AS label, CAST(count(*) AS BIGINT) AS count, "
+    f"{O.js_round1('(sum(score) / count(*))')} AS avg_score, "
+    f"{_pct1_sql('count(*)', '(SELECT count(*) FROM survey)')} AS pct, "
+    "CAST(row_number() OVER (ORDER BY count(*) DESC, theme) AS INTEGER) AS rank "
+    "FROM survey WHERE theme <> '' GROUP BY theme)"))
+def q_theme_stats(spark, sf_dir):
+    return themes.theme_stats(rollup(spark, sf_dir))
+
+
+def _themes_by_band_sql(top_k: int = 5) -> str:
+    agg = ("SELECT theme, count(*) FILTER (WHERE score >= 9) AS pro, count(*) FILTER (WHERE score <= 6) AS det "
+           "FROM survey WHERE theme <> '' GROUP BY theme")
+    base = (f"SELECT count(*) FILTER (WHERE score >= 9 AND {O.fb_gt(5)}) AS pb, "
+            f"count(*) FILTER (WHERE score <= 6 AND {O.fb_gt(5)}) AS db FROM survey")
+    pos = (f"SELECT 'positive' AS side, theme, CAST(pro AS BIGINT) AS count, "
+           f"{O.js_round('pro / (CASE WHEN pb > 0 THEN pb ELSE 1 END) * 100')} AS pct "
+           f"FROM ({agg}) a, ({base}) b WHERE pro >= det AND pro > 0")
+    neg = (f"SELECT 'negative' AS side, theme, CAST(det AS BIGINT) AS count, "
+           f"{O.js_round('det / (CASE WHEN db > 0 THEN db ELSE 1 END) * 100')} AS pct "
+           f"FROM ({agg}) a, ({base}) b WHERE det > pro OR (det > 0 AND pro = 0)")
+    ranked = (f"SELECT *, {O.theme_label_sql('theme')} AS label, CAST(row_number() OVER (PARTITION BY side "
+              f"ORDER BY pct DESC, count DESC, theme) AS INTEGER) AS side_rank FROM ({pos} UNION ALL {neg})")
+    return O.with_survey(f"SELECT * FROM ({ranked}) WHERE side_rank <= {top_k}")
+
+
+@register("themes_by_band", _themes_by_band_sql())
+def q_themes_by_band(spark, sf_dir):
+    return themes.themes_by_band(rollup(spark, sf_dir), top_k=5)
+
+
+def _theme_changes_sql(top_k: int = 10) -> str:
+    order = O.order_case("period", metrics.dims.QUARTER_ORDER)
+    ctes = [
+        f"\nagg AS (SELECT quarter AS period, theme, count(*) AS count FROM survey "
+        f"WHERE {O.order_case('quarter', metrics.dims.QUARTER_ORDER)} IS NOT NULL GROUP BY quarter, theme)",
+        "\nper AS (SELECT period, sum(count) AS total FROM agg GROUP BY period)",
+        f"\npairs AS (SELECT * FROM (SELECT period, lag(period) OVER (ORDER BY {order}) AS prev_period, "
+        f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS period_ord FROM per) "
+        "WHERE prev_period IS NOT NULL)",
+        f"\nstats AS (SELECT a.period, a.theme, a.count, {_pct1_sql('a.count', 'p.total')} AS pct "
+        "FROM agg a JOIN per p ON p.period = a.period WHERE a.theme <> '')",
+        "\ncurr AS (SELECT pr.period, pr.prev_period, pr.period_ord, s.theme, s.count AS count_curr, "
+        "s.pct AS pct_curr FROM stats s JOIN pairs pr ON pr.period = s.period)",
+        "\nprv AS (SELECT pr.period, pr.prev_period, pr.period_ord, s.theme, s.count AS count_prev, "
+        "s.pct AS pct_prev FROM stats s JOIN pairs pr ON pr.prev_period = s.period)",
+        "\nm AS (SELECT COALESCE(c.period, p.period) AS period, COALESCE(c.prev_period, p.prev_period) AS prev_period, "
+        "COALESCE(c.period_ord, p.period_ord) AS period_ord, COALESCE(c.theme, p.theme) AS theme, "
+        "CAST(COALESCE(p.count_prev, 0) AS BIGINT) AS count_prev, CAST(COALESCE(c.count_curr, 0) AS BIGINT) AS count_curr, "
+        "COALESCE(p.pct_prev, 0.0) AS pct_prev, COALESCE(c.pct_curr, 0.0) AS pct_curr "
+        "FROM curr c FULL OUTER JOIN prv p ON c.period = p.period AND c.theme = p.theme)",
+    ]
+    d = f"SELECT *, {O.js_round1('(pct_curr - pct_prev)')} AS pct_delta FROM m"
+    body = (f"SELECT prev_period, period, period_ord, theme, {O.theme_label_sql('theme')} AS label, count_prev, "
+            "count_curr, pct_prev, pct_curr, pct_delta, "
+            "CASE WHEN count_prev = 0 AND count_curr > 0 THEN 'Emerging' "
+            "WHEN count_prev > 0 AND count_curr = 0 THEN 'Resolved' "
+            "WHEN abs(pct_delta) > 2 THEN CASE WHEN pct_delta > 0 THEN 'Growing' ELSE 'Shrinking' END "
+            "ELSE 'Stable' END AS status, "
+            "CAST(row_number() OVER (PARTITION BY period ORDER BY abs(pct_delta) DESC, theme) AS INTEGER) AS change_rank "
+            f"FROM ({d})")
+    return O.with_survey(f"SELECT * FROM ({body}) WHERE change_rank <= {top_k}", ctes)
+
+
+@register("theme_changes", _theme_changes_sql())
+def q_theme_changes(spark, sf_dir):
+    return themes.theme_changes(rollup(spark, sf_dir), "quarter", top_k=10)
+
+
+# ---------------------------------------------------------------------------
+# A11-A15, T4 cohorts
+# ---------------------------------------------------------------------------
+
+_KNOWN = "first_time_user IN ('Yes', 'No')"
+_FT, _REP = "first_time_user = 'Yes'", "first_time_user = 'No'"
+
+
+def _cohort_kpis_sql() -> str:
+    inner = (f"SELECT {O.counts_if('TRUE', 'all_')}, {O.counts_if(_FT, 'ft_')}, {O.counts_if(_REP, 'rep_')} "
+             f"FROM survey WHERE {_KNOWN}")
+    s = O.with_nps_sql(O.with_nps_sql(O.with_nps_sql(inner, "all_"), "ft_"), "rep_")
+    cols = ", ".join(f"{p}{m}" for p in ("all_", "ft_", "rep_")
+                     for m in ("n", "promoters", "passives", "detractors", "nps", "ci_lower", "ci_upper",
+                               "confidence"))
+    return O.with_survey(f"SELECT {cols}, {O.js_round1('(ft_nps - rep_nps)')} AS nps_delta FROM ({s})")
+
+
+@register("cohort_kpis", _cohort_kpis_sql())
+def q_cohort_kpis(spark, sf_dir):
+    return cohorts.cohort_kpis(rollup(spark, sf_dir))
+
+
+def _cohort_trend_sql() -> str:
+    g, k = O.sprint_keys("period")
+    inner = (f"SELECT sprint_id AS period, {O.counts_if(_FT, 'ft_')}, {O.counts_if(_REP, 'rep_')} "
+             f"FROM survey WHERE {_KNOWN} AND sprint_id <> '' GROUP BY sprint_id")
+    s = O.with_nps_sql(O.with_nps_sql(inner, "ft_"), "rep_")
+    return O.with_survey(
+        f"SELECT period, CAST(row_number() OVER (ORDER BY {g}, {k}, period) AS INTEGER) AS period_ord, "
+        "ft_n, CASE WHEN ft_n >= 5 THEN ft_nps END AS ft_nps, rep_n, "
+        f"CASE WHEN rep_n >= 5 THEN rep_nps END AS rep_nps FROM ({s})")
+
+
+@register("cohort_trend", _cohort_trend_sql())
+def q_cohort_trend(spark, sf_dir):
+    return cohorts.cohort_trend(rollup(spark, sf_dir))
+
+
+def _split_stats_sql(inner: str) -> str:
+    s = O.with_nps_sql(O.with_nps_sql(inner, "ft_"), "rep_")
+    return (f"SELECT *, CASE WHEN ft_n >= 5 AND rep_n >= 5 THEN {O.js_round1('(ft_nps - rep_nps)')} END "
+            f"AS nps_delta FROM ({s})")
+
+
+def _cohort_tenure_sql() -> str:
+    allt = ", ".join(O.q(t) for t in metrics.dims.TENURE_ORDER)
+    inner = (f"SELECT tenure_cut AS member, {O.counts_if(_FT, 'ft_')}, {O.counts_if(_REP, 'rep_')} "
+             f"FROM survey WHERE {_KNOWN} AND tenure_cut IN ({allt}) GROUP BY tenure_cut")
+    order = O.order_case("member", metrics.dims.TENURE_ORDER)
+    return O.with_survey(
+        f"SELECT member, CAST(row_number() OVER (ORDER BY {order}, member) AS INTEGER) AS member_ord, "
+        "ft_n, ft_nps, ft_confidence, rep_n, rep_nps, rep_confidence, nps_delta "
+        f"FROM ({_split_stats_sql(inner)})")
+
+
+@register("cohort_tenure", _cohort_tenure_sql())
+def q_cohort_tenure(spark, sf_dir):
+    return cohorts.cohort_by(rollup(spark, sf_dir), "tenure_cut")
+
+
+def _cohort_city_sql() -> str:
+    inner = (f"SELECT city, {O.counts_if(_FT, 'ft_')}, {O.counts_if(_REP, 'rep_')} "
+             f"FROM survey WHERE {_KNOWN} AND city <> '' GROUP BY city")
+    ranked = (f"SELECT city, CAST(row_number() OVER (ORDER BY ft_n + rep_n DESC, city) AS INTEGER) AS rank, "
+              "ft_n + rep_n AS total, ft_n, ft_nps, rep_n, rep_nps, nps_delta "
+              f"FROM ({_split_stats_sql(inner)}) WHERE ft_n + rep_n >= 10")
+    return O.with_survey(f"SELECT * FROM ({ranked}) WHERE rank <= 8")
+
+
+@register("cohort_city", _cohort_city_sql())
+def q_cohort_city(spark, sf_dir):
+    return cohorts.cohort_city(rollup(spark, sf_dir))
+
+
+def _cohort_theme_sql() -> str:
+    inner = (f"SELECT theme, CAST(count(*) FILTER (WHERE {_FT}) AS BIGINT) AS ft_count, "
+             f"CAST(count(*) FILTER (WHERE {_REP}) AS BIGINT) AS rep_count FROM survey WHERE {_KNOWN} "
+             "GROUP BY theme")
+    tot = (f"SELECT count(*) FILTER (WHERE {_FT}) AS ftt, count(*) FILTER (WHERE {_REP}) AS rpt "
+           f"FROM survey WHERE {_KNOWN}")
+    body = (f"SELECT theme, {O.theme_label_sql('theme')} AS label, "
+            "CAST(row_number() OVER (ORDER BY ft_count + rep_count DESC, theme) AS INTEGER) AS rank, "
+            "ft_count + rep_count AS total, ft_count, rep_count, "
+            f"{O.pct('ft_count', 'ftt')} AS ft_pct, {O.pct('rep_count', 'rpt')} AS rep_pct "
+            f"FROM ({inner}) a, ({tot}) b WHERE theme <> '' AND ft_count + rep_count >= 3")
+    return O.with_survey(f"SELECT * FROM ({body}) WHERE rank <= 8")
+
+
+@register("cohort_theme", _cohort_theme_sql())
+def q_cohort_theme(spark, sf_dir):
+    return cohorts.cohort_theme(rollup(spark, sf_dir))
+
+
+@register("cohort_verbatims", O.with_survey(
+    "SELECT * FROM (SELECT CASE WHEN first_time_user = 'Yes' THEN 'first_time' ELSE 'repeat' END AS cohort, "
+    "CAST(row_number() OVER (PARTITION BY first_time_user ORDER BY abs(score - 5) DESC, row_seq) AS INTEGER) AS rank, "
+    "row_seq, respondent_id, sprint_id, score, score_band, theme, feedback "
+    f"FROM survey WHERE {_KNOWN} AND {O.fb_gt(10)}) WHERE rank <= 8"))
+def q_cohort_verbatims(spark, sf_dir):
+    return cohorts.cohort_verbatims(rows(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# T3, F8, W3, T8 verbatims (default period: the last three sprints)
+# ---------------------------------------------------------------------------
+
+SEARCH_TEXT = "ation"
+
+_TOP_SQL = (
+    "SELECT *, CAST((rank - 1) // 30 + 1 AS INTEGER) AS page FROM ("
+    "SELECT CAST(row_number() OVER (ORDER BY evoc_score DESC, row_seq) AS INTEGER) AS rank, row_seq, "
+    "respondent_id, sprint_id, score, score_band, theme, evoc_score, feedback FROM ("
+    "SELECT *, CAST(least(length(feedback), 300) + abs(score - 5) * 20 AS INTEGER) AS evoc_score FROM survey "
+    f"WHERE sprint_id IN (SELECT sprint_id FROM recent) AND theme <> '' AND {O.fb_gt(5)})) WHERE rank <= 100")
+
+
+def _top(spark, sf_dir) -> DataFrame:
+    return verbatims.verbatims(metrics.recent_filter(rows(spark, sf_dir), sprints_from=rollup(spark, sf_dir)))
+
+
+@register("verbatims_top", O.with_survey(_TOP_SQL, [RECENT_CTE]))
+def q_verbatims_top(spark, sf_dir):
+    return _top(spark, sf_dir)
+
+
+@register("verbatims_search", O.with_survey(
+    f"SELECT * FROM ({_TOP_SQL}) WHERE contains(lower(feedback), {O.q(SEARCH_TEXT)})", [RECENT_CTE]))
+def q_verbatims_search(spark, sf_dir):
+    return verbatims.search(_top(spark, sf_dir), SEARCH_TEXT)
+
+
+@register("verbatims_grouped", O.with_survey(
+    f"SELECT g.theme, {O.theme_label_sql('g.theme')} AS label, gr.group_rank, g.group_size, "
+    "CAST(greatest(g.group_size - 8, 0) AS BIGINT) AS more_in_group, g.item_rank, g.rank, g.row_seq, "
+    "g.respondent_id, g.score, g.feedback FROM g JOIN gr ON gr.theme = g.theme WHERE g.item_rank <= 8",
+    [RECENT_CTE, f"\ntop AS ({_TOP_SQL})",
+     "\ng AS (SELECT *, count(*) OVER (PARTITION BY theme) AS group_size, min(rank) OVER (PARTITION BY theme) "
+     "AS first_rank, CAST(row_number() OVER (PARTITION BY theme ORDER BY rank) AS INTEGER) AS item_rank FROM top)",
+     "\ngr AS (SELECT theme, CAST(row_number() OVER (ORDER BY group_size DESC, first_rank) AS INTEGER) AS group_rank "
+     "FROM (SELECT DISTINCT theme, group_size, first_rank FROM g))"]))
+def q_verbatims_grouped(spark, sf_dir):
+    return verbatims.grouped(_top(spark, sf_dir))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
