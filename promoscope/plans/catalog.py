@@ -21,7 +21,7 @@ from promoscope.operators import metrics
 from promoscope.operators.clean import CLEAN_COLUMNS, clean_survey
 from promoscope.plans import oracle as O
 from promoscope.sources.driver_tables import survey_raw
-from promoscope.sources.store import survey_rollup, survey_table
+from promoscope.sources.store import read_clean, survey_rollup, survey_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -692,6 +692,136 @@ def q_verbatims_grouped(spark, sf_dir):
     return verbatims.grouped(_top(spark, sf_dir))
 
 
+
+# ---------------------------------------------------------------------------
+# S10 / W4 upsert, §4 rollup
+# ---------------------------------------------------------------------------
+
+from promoscope.operators.rollup import ROLLUP_DIMS  # noqa: E402
+from promoscope.operators.upsert import merge  # noqa: E402
+from promoscope.sources.driver_tables import survey_resend  # noqa: E402
+
+
+def _clean_resend(spark, sf_dir) -> DataFrame:
+    return clean_survey(survey_resend(spark, sf_dir), ingest_seq=1, src_file="survey_resend")
+
+
+_UPSERT_SQL = O.with_survey(
+    f"SELECT {', '.join(CLEAN_COLUMNS)} FROM (SELECT *, row_number() OVER (PARTITION BY sprint_id, respondent_id "
+    "ORDER BY ingest_seq DESC, row_seq DESC) AS rn FROM (SELECT * FROM survey UNION ALL SELECT * FROM resend)) "
+    "WHERE rn = 1",
+    [O.SURVEY_RESEND, O.clean_cte("resend", "survey_resend", 1, "survey_resend")])
+
+
+@register("upsert_latest", _UPSERT_SQL)
+def q_upsert_latest(spark, sf_dir):
+    base = clean_survey(survey_raw(spark, sf_dir))
+    return merge(base, _clean_resend(spark, sf_dir), full=True)
+
+
+@register("rollup_nps", O.with_survey(O.with_nps_sql(
+    f"SELECT quarter, source, first_time_user, {O.COUNTS} FROM survey GROUP BY quarter, source, first_time_user")))
+def q_rollup_nps(spark, sf_dir):
+    r = rollup(spark, sf_dir)
+    agg = r.groupBy("quarter", "source", "first_time_user").agg(*_nps.count_aggs())
+    return _nps.with_nps(agg)
+
+
+# ---------------------------------------------------------------------------
+# S1-S9, S11, S13 files; R1-R3 streaming
+# ---------------------------------------------------------------------------
+
+from promoscope.sources import csv_ingest, survey_files  # noqa: E402
+from promoscope.session import scratch_path  # noqa: E402
+from promoscope.streaming import ingest_stream  # noqa: E402
+
+_NO_ENGINE = [c for c in CLEAN_COLUMNS if c not in ("row_seq", "ingest_seq", "src_file")]
+_CAL = [s[0] for s in metrics.dims.SPRINT_CALENDAR]
+_WITH_SCORE_SQL = "sprint_id IN (" + ", ".join(O.q(s) for s in _CAL) + ")"
+
+
+@register("csv_ingest", O.with_survey(f"SELECT {', '.join(_NO_ENGINE)} FROM survey WHERE {_WITH_SCORE_SQL}"))
+def q_csv_ingest(spark, sf_dir):
+    clean, _ = csv_ingest.ingest_csv(spark, survey_files.survey_csv_dir(spark, sf_dir))
+    return clean.select(*_NO_ENGINE)
+
+
+def _ingest_report_sql() -> str:
+    layout = (f"CASE WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[0:7])}) THEN 'A' "
+              f"WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[7:14])}) THEN 'B' "
+              f"WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[14:])}) THEN 'C' ELSE 'D' END")
+    key = f"{layout} || '_' || CASE WHEN sprint_id = '' THEN '_blank' ELSE replace(lower(sprint_id), ' ', '_') END"
+    ok = f"TRY_CAST(NULLIF(regexp_extract(trim(score, {O.WS}), '^([+-]?[0-9]+)', 1), '') AS DOUBLE) IS NOT NULL"
+    d_err = "No score column found in headers: " + ", ".join(h for h, _ in survey_files.LAYOUTS["D"])
+    per = (f"SELECT {key} AS file_key, {layout} AS layout, "
+           f"CAST(count(*) FILTER (WHERE {ok}) AS BIGINT) AS ok_rows, "
+           f"CAST(count(*) FILTER (WHERE NOT ({ok})) AS BIGINT) AS bad_rows FROM survey_raw GROUP BY 1, 2")
+    body = (f"SELECT file_key, CASE WHEN layout = 'D' THEN CAST(0 AS BIGINT) ELSE ok_rows END AS records, "
+            f"CASE WHEN layout = 'D' THEN CAST(0 AS BIGINT) ELSE bad_rows END AS skipped, "
+            f"CASE WHEN layout = 'D' THEN {O.q(d_err)} END AS header_error FROM ({per})")
+    out = ("SELECT file_key, records, skipped, "
+           "CAST((CASE WHEN header_error IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN skipped > 0 THEN 1 ELSE 0 END) "
+           "AS INTEGER) AS warnings, "
+           "concat_ws('; ', header_error, CASE WHEN skipped > 0 THEN 'Skipped ' || CAST(skipped AS VARCHAR) "
+           "|| ' rows with invalid/missing scores' END) AS errors "
+           f"FROM ({body})")
+    return O.with_survey(
+        "SELECT file_key, records, skipped, warnings, CASE WHEN warnings = 0 THEN 'OK' ELSE "
+        f"CAST(warnings AS VARCHAR) || ' warning(s)' END AS status, errors FROM ({out})")
+
+
+@register("ingest_report", _ingest_report_sql())
+def q_ingest_report(spark, sf_dir):
+    _, report = csv_ingest.ingest_csv(spark, survey_files.survey_csv_dir(spark, sf_dir))
+    per_key = report.groupBy(F.regexp_extract("file", "file_key=([^/]+)/", 1).alias("file_key")).agg(
+        F.sum("records").cast("bigint").alias("records"), F.sum("skipped").cast("bigint").alias("skipped"),
+        F.max(F.when(F.col("errors").startswith("No score"), F.split("errors", "; ")[0])).alias("header_error"))
+    warnings = (F.when(F.col("header_error").isNotNull(), 1).otherwise(0)
+                + F.when(F.col("skipped") > 0, 1).otherwise(0))
+    skipped_msg = F.when(F.col("skipped") > 0, F.concat(F.lit("Skipped "), F.col("skipped").cast("string"),
+                                                          F.lit(" rows with invalid/missing scores")))
+    return (per_key.withColumn("warnings", warnings.cast("int"))
+            .withColumn("status", F.when(F.col("warnings") == 0, F.lit("OK"))
+                        .otherwise(F.concat(F.col("warnings").cast("string"), F.lit(" warning(s)"))))
+            .withColumn("errors", F.concat_ws("; ", F.col("header_error"), skipped_msg))
+            .select("file_key", "records", "skipped", "warnings", "status", "errors"))
+
+
+@register("file_catalogue")
+def q_file_catalogue(spark, sf_dir):
+    d = survey_files.survey_csv_dir(spark, sf_dir)
+    clean, _ = csv_ingest.ingest_csv(spark, d)
+    return survey_files.file_catalogue(spark, d, clean)
+
+
+@register("csv_roundtrip", O.with_survey(f"SELECT {', '.join(_NO_ENGINE)} FROM survey"))
+def q_csv_roundtrip(spark, sf_dir):
+    out = scratch_path(spark, "export")
+    survey_files.export_csv(rows(spark, sf_dir), out)
+    clean, _ = csv_ingest.ingest_csv(spark, out)
+    return clean.select(*_NO_ENGINE)
+
+
+_RESEND_CTES = [O.SURVEY_RESEND, O.clean_cte("resend", "survey_resend", 1, "survey_resend")]
+
+
+@register("stream_upsert", O.with_survey(
+    f"SELECT {', '.join(_NO_ENGINE)} FROM (SELECT *, row_number() OVER (PARTITION BY sprint_id, respondent_id "
+    "ORDER BY ingest_seq DESC, row_seq DESC) AS rn FROM (SELECT * FROM survey UNION ALL SELECT * FROM resend)) "
+    f"WHERE rn = 1 AND {_WITH_SCORE_SQL}", _RESEND_CTES))
+def q_stream_upsert(spark, sf_dir):
+    landing = scratch_path(spark, "landing")
+    table = scratch_path(spark, "stream_table")
+    ckpt = scratch_path(spark, "stream_ckpt")
+    layouts = list(survey_files.LAYOUTS)
+    # first arrival: every sprint file; second arrival: the re-sent sprints
+    survey_files.write_survey_csvs(survey_raw(spark, sf_dir), landing)
+    ingest_stream.run_available(spark, landing, table, ckpt, layouts)
+    survey_files.write_survey_csvs(survey_resend(spark, sf_dir), landing, mode="append")
+    ingest_stream.run_available(spark, landing, table, ckpt, layouts)
+    return read_clean(spark, table).select(*_NO_ENGINE)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
