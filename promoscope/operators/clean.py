@@ -69,47 +69,51 @@ def clean_survey(raw: DataFrame, ingest_seq: int | Column = 0,
     score has no integer prefix are dropped (P2).
     """
     have = set(raw.columns)
-
-    def val(field: str) -> Column:
-        return js_trim(F.col(field)) if field in have else F.lit("")
-
-    score_num = js_int_prefix(val("score"))
-    tenure_num = js_int_prefix(val("tenure_days"))
-    tenure_days = (F.when(tenure_num.isNull() | (tenure_num < 0), F.lit(0.0))
-                   .otherwise(F.least(tenure_num, F.lit(float(INT_MAX))))).cast("int")
-    city = val("city")
-    raw_tc = val("tenure_cut")
-    raw_src = val("source")
-    sprint_id = val("sprint_id")
-    reason = val("nps_reason_primary")
+    fields = list(dims.HEADER_ALIASES)
 
     def engine_col(name: str, default, dtype: str) -> Column:
         if name in have:
             return F.col(name).cast(dtype)
         return (default if isinstance(default, Column) else F.lit(default)).cast(dtype)
 
-    staged = raw.select(
+    # Three narrow projections instead of one wide one: each trimmed / parsed
+    # value is computed once and referenced by name, which keeps every
+    # operator's generated code small enough for the JIT (a single fused
+    # projection of all rules compiles into one huge, interpreted method).
+    trimmed = raw.select(
         engine_col("row_seq", F.monotonically_increasing_id(), "bigint").alias("row_seq"),
         engine_col("ingest_seq", ingest_seq, "bigint").alias("ingest_seq"),
         engine_col("src_file", src_file, "string").alias("src_file"),
-        F.regexp_replace(val("respondent_id"), r"\.0$", "").alias("respondent_id"),
-        # greatest/least skip NULLs: keep an unparsable score NULL so the row drops
-        F.when(score_num.isNotNull(), F.least(F.greatest(score_num, F.lit(0.0)), F.lit(10.0)))
-         .cast("int").alias("score"),
-        val("feedback").alias("feedback"),
-        reason.alias("nps_reason_primary"),
-        val("nps_reason_secondary").alias("nps_reason_secondary"),
-        val("plan_type").alias("plan_type"),
-        F.when(F.lower(city).isin(*dims.JUNK_CITIES), F.lit("")).otherwise(city).alias("city"),
-        tenure_days.alias("tenure_days"),
-        raw_tc.alias("_raw_tc"),
-        F.when(raw_src == "", F.lit("Unknown"))
-         .otherwise(F.coalesce(dims.source_alias_map()[F.lower(raw_src)], raw_src)).alias("source"),
-        sprint_id.alias("sprint_id"),
-        val("sprint_start").alias("sprint_start"),
-        first_time_flag(val("first_time_user")).alias("first_time_user"),
-        F.coalesce(dims.reason_theme_map()[reason], F.lit("")).alias("theme"),
-    ).filter(F.col("score").isNotNull())
+        *[(js_trim(F.col(f)) if f in have else F.lit("")).alias("_t_" + f) for f in fields],
+    )
+    parsed = trimmed.select(
+        "*",
+        js_int_prefix(F.col("_t_score")).alias("_score_num"),
+        js_int_prefix(F.col("_t_tenure_days")).alias("_tenure_num"),
+    ).filter(F.col("_score_num").isNotNull())
+
+    tenure_num = F.col("_tenure_num")
+    staged = parsed.select(
+        "row_seq", "ingest_seq", "src_file",
+        F.regexp_replace(F.col("_t_respondent_id"), r"\.0$", "").alias("respondent_id"),
+        F.least(F.greatest(F.col("_score_num"), F.lit(0.0)), F.lit(10.0)).cast("int").alias("score"),
+        F.col("_t_feedback").alias("feedback"),
+        F.col("_t_nps_reason_primary").alias("nps_reason_primary"),
+        F.col("_t_nps_reason_secondary").alias("nps_reason_secondary"),
+        F.col("_t_plan_type").alias("plan_type"),
+        F.when(F.lower(F.col("_t_city")).isin(*dims.JUNK_CITIES), F.lit(""))
+         .otherwise(F.col("_t_city")).alias("city"),
+        (F.when(tenure_num.isNull() | (tenure_num < 0), F.lit(0.0))
+         .otherwise(F.least(tenure_num, F.lit(float(INT_MAX))))).cast("int").alias("tenure_days"),
+        F.col("_t_tenure_cut").alias("_raw_tc"),
+        F.when(F.col("_t_source") == "", F.lit("Unknown"))
+         .otherwise(F.coalesce(dims.source_alias_map()[F.lower(F.col("_t_source"))], F.col("_t_source")))
+         .alias("source"),
+        F.col("_t_sprint_id").alias("sprint_id"),
+        F.col("_t_sprint_start").alias("sprint_start"),
+        first_time_flag(F.col("_t_first_time_user")).alias("first_time_user"),
+        F.coalesce(dims.reason_theme_map()[F.col("_t_nps_reason_primary")], F.lit("")).alias("theme"),
+    )
 
     return staged.select(
         "row_seq", "ingest_seq", "src_file", "respondent_id", "score",

@@ -715,8 +715,7 @@ _UPSERT_SQL = O.with_survey(
 
 @register("upsert_latest", _UPSERT_SQL)
 def q_upsert_latest(spark, sf_dir):
-    base = clean_survey(survey_raw(spark, sf_dir))
-    return merge(base, _clean_resend(spark, sf_dir), full=True)
+    return merge(rows(spark, sf_dir), _clean_resend(spark, sf_dir), full=True)
 
 
 @register("rollup_nps", O.with_survey(O.with_nps_sql(

@@ -65,10 +65,12 @@ def survey_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
           .join(n, c.c_nationkey == n.n_nationkey, "inner")
           .join(d, d.doc_id == o.o_orderkey, "left"))
 
-    key = F.col("o_orderkey")
     odate = F.col("o_orderdate")
-    k = (F.year(odate) * 24 + (F.month(odate) - 1) * 2
-         + F.when(F.dayofmonth(odate) > 15, 1).otherwise(0)) % 23
+    # half-month bucket of the order date, computed once and referenced by name
+    j = j.withColumn("_k", (F.year(odate) * 24 + (F.month(odate) - 1) * 2
+                            + F.when(F.dayofmonth(odate) > 15, 1).otherwise(0)) % 23)
+    key = F.col("o_orderkey")
+    k = F.col("_k")
     reasons = literal_map([(str(i), r) for i, r in enumerate(DERIVED_REASONS)])
     score = F.when(key % 101 == 0, F.lit("n/a")).otherwise(F.concat(
         (F.floor(F.col("o_totalprice") / 45000).cast("bigint") + F.col("c_nationkey") % 3 - 1)

@@ -32,8 +32,15 @@ def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str, str]:
 
 
 def write_clean(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a clean table partitioned by sprint."""
-    df.select(*CLEAN_SCHEMA.fieldNames()).write.mode(mode).partitionBy("sprint_part").parquet(path)
+    """Write a clean table partitioned by sprint.
+
+    The ``rebalance`` hint lets AQE size the write tasks per sprint: a large
+    (or skewed) sprint is split into advisory-size files, small sprints are
+    coalesced, instead of every upstream task writing a small file into every
+    sprint directory.
+    """
+    (df.select(*CLEAN_SCHEMA.fieldNames()).hint("rebalance", "sprint_part")
+       .write.mode(mode).partitionBy("sprint_part").parquet(path))
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
@@ -60,6 +67,7 @@ def survey_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _PATHS.get(key)
         if path is None:
             path = scratch_path(spark, "survey_rollup")
-            build_rollup(clean).write.mode("overwrite").partitionBy("sprint_part").parquet(path)
+            (build_rollup(clean).hint("rebalance", "sprint_part")
+             .write.mode("overwrite").partitionBy("sprint_part").parquet(path))
             _PATHS[key] = path
     return spark.read.parquet(path)

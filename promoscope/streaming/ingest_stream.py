@@ -1,9 +1,10 @@
 """Incremental CSV ingest with Structured Streaming and an upsert sink.
 
 * R1: one ``readStream`` CSV source per header layout directory.  A streaming
-  CSV schema is positional (Q25), so each layout gets its own stream whose
+  CSV schema is positional (Q25), so each layout gets its own source whose
   schema comes from that layout's own header; fields are then mapped to the
-  canonical names exactly as in batch ingest (S2).
+  canonical names exactly as in batch ingest (S2) and the sources are unioned
+  into one streaming query.
 * R2: ``foreachBatch`` cleans the micro-batch and merges it into the
   partitioned survey table (``operators.upsert.upsert_into``, touched sprints
   only).  Last-wins order = (batch id, file path order inside the batch,
@@ -75,16 +76,22 @@ def _upsert_batch(table_path: str):
 
 def run_available(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_dir: str,
                   layouts: list[str]) -> None:
-    """Process every file now present under ``landing_dir/<layout>`` (availableNow),
-    one stream per layout, sequentially (they share one table)."""
+    """Process every file now present under ``landing_dir/<layout>`` (availableNow).
+
+    The per-layout sources are unioned into one streaming query, so each
+    trigger performs one upsert into the shared table.
+    """
     ensure_table(spark, table_path)
-    for layout in layouts:
-        s = layout_stream(spark, f"{landing_dir}/{layout}")
-        if s is None:
-            continue
-        q = (s.writeStream.foreachBatch(_upsert_batch(table_path))
-             .option("checkpointLocation", f"{checkpoint_dir}/{layout}")
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
+    streams = [s for s in (layout_stream(spark, f"{landing_dir}/{layout}") for layout in layouts)
+               if s is not None]
+    if not streams:
+        return
+    u = streams[0]
+    for s in streams[1:]:
+        u = u.unionByName(s, allowMissingColumns=True)
+    q = (u.writeStream.foreachBatch(_upsert_batch(table_path))
+         .option("checkpointLocation", checkpoint_dir)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
