@@ -59,23 +59,27 @@ def apply_filters(df: DataFrame, spec: FilterSpec, base: DataFrame | None = None
     """
     base = df if base is None else base
     df = apply_period(df, spec.grain, spec.period)
-    if spec.channels is not None and len(spec.channels) > 0:
+    use_channels = spec.channels is not None and len(spec.channels) > 0
+    wanted = [t for t in dims.TENURE_ORDER if t in (spec.tenures or ())]
+    guards = {}
+    if use_channels and spec.guard_channels:
+        guards["channels"] = F.count_distinct(F.when(F.col("source") != "", F.col("source")))
+    if wanted:
+        t = F.col("tenure_cut")
+        guards["tenures_avail"] = F.count_distinct(F.when(t.isin(*dims.TENURE_ORDER), t))
+        guards["tenures_valid"] = F.count_distinct(F.when(t.isin(*wanted), t))
+    if guards:
+        # one scalar subquery over ``base`` for all guards
+        g = base.agg(F.struct(*[v.alias(k) for k, v in guards.items()]).alias("g")).scalar()
+    if use_channels:
         sel = F.col("source").isin(*spec.channels)
         if spec.guard_channels:
-            n_avail = base.agg(F.count_distinct(
-                F.when(F.col("source") != "", F.col("source"))).alias("k")).scalar()
-            sel = sel | (F.lit(len(spec.channels)) >= n_avail)
+            sel = sel | (F.lit(len(spec.channels)) >= g["channels"])
         df = df.filter(sel)
-    if spec.tenures is not None and len(spec.tenures) > 0:
-        wanted = [t for t in dims.TENURE_ORDER if t in spec.tenures]
-        if wanted:
-            t = F.col("tenure_cut")
-            counts = base.agg(
-                F.count_distinct(F.when(t.isin(*dims.TENURE_ORDER), t)).alias("avail"),
-                F.count_distinct(F.when(t.isin(*wanted), t)).alias("valid"))
-            n_avail = counts.select("avail").scalar()
-            n_valid = counts.select("valid").scalar()
-            df = df.filter(t.isin(*wanted) | (n_valid >= n_avail) | (n_valid == 0))
+    if wanted:
+        t = F.col("tenure_cut")
+        n_avail, n_valid = g["tenures_avail"], g["tenures_valid"]
+        df = df.filter(t.isin(*wanted) | (n_valid >= n_avail) | (n_valid == 0))
     if spec.band is not None:
         df = df.filter(F.col("score_band") == spec.band)
     if spec.theme is not None:

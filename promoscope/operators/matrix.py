@@ -9,7 +9,7 @@ cell.  Totals are aggregated before blank / 'Unknown' members are dropped
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promoscope.functions.nps import count_aggs, sentiment, suppress, with_band_pcts, with_nps
@@ -23,59 +23,67 @@ AXES = ["tenure_cut", "city", "source", "plan_type", "first_time_user", "sprint_
 CITY_CAP = 12
 
 
-def _members(agg: DataFrame, gid: int, dim: str, col_name: str, cap_city: int | None,
-             city_rank: str) -> DataFrame:
-    """Kept members of one axis with their display order."""
-    m = (agg.filter(F.col("_gid") == gid)
-            .select(F.col(dim).alias(col_name), F.col("n").alias("_tn")))
-    m = m.filter(~F.col(col_name).isin("", "Unknown") & member_kept(dim, F.col(col_name)))
-    keys = member_sort_keys(dim, F.col(col_name))
-    ordw = Window.orderBy(*keys, F.col(col_name))
-    m = m.withColumn(col_name.replace("member", "ord"), F.row_number().over(ordw))
-    if dim == "city" and cap_city is not None:
-        if city_rank == "count":
-            capw = Window.orderBy(F.col("_tn").desc(), F.col(col_name))
-            m = m.withColumn("_cap", F.row_number().over(capw)).filter(F.col("_cap") <= cap_city).drop("_cap")
-        else:  # the reference cuts the alphabetical list (Q7)
-            m = m.filter(F.col(col_name.replace("member", "ord")) <= cap_city)
-    return m.drop("_tn")
+def _kept(dim: str, member: Column) -> Column:
+    """Non-blank, not 'Unknown', and inside the fixed order for ordered dimensions."""
+    return member.isNotNull() & ~member.isin("", "Unknown") & member_kept(dim, member)
+
+
+def _ordinal(dim: str, member: Column, side: Column) -> Column:
+    """Display position of an axis member among the rows of ``side``.
+
+    Every member of a cell also has a total row, so a dense rank over the
+    cells and totals of one axis equals the rank over that axis's members.
+    """
+    w = Window.partitionBy(side).orderBy(*member_sort_keys(dim, member), member)
+    return F.when(side, F.dense_rank().over(w))
+
+
+def _cap_count_ordinal(member: Column, total_n: Column, side: Column) -> Column:
+    """Rank of a member by its total response count (``city_rank='count'``)."""
+    w = Window.partitionBy(side).orderBy(total_n.desc(), member)
+    return F.when(side, F.dense_rank().over(w))
 
 
 def nps_matrix(df: DataFrame, row_dim: str, col_dim: str, spec: FilterSpec | None = None,
                city_cap: int | None = CITY_CAP, city_rank: str = "alpha",
                min_n: int = dims.MIN_N) -> DataFrame:
-    """Long-form matrix: one row per cell / row total / column total / grand total."""
+    """Long-form matrix: one row per cell / row total / column total / grand total.
+
+    The grouping-sets aggregate is referenced exactly once: member filters,
+    orders and caps are window functions over the aggregated frame (at most
+    #cells + #rows + #cols + 1 rows), so the input is scanned once.
+    """
     if row_dim == col_dim:
         raise ValueError("row and column dimensions must differ")
     c = as_counts(df)
     f = apply_filters(c, spec) if spec is not None else c
     agg = (f.groupingSets([[row_dim, col_dim], [row_dim], [col_dim], []], row_dim, col_dim)
             .agg(*count_aggs(), F.grouping_id().alias("_gid")))
-    rows = _members(agg, 1, row_dim, "row_member", city_cap, city_rank)
-    cols = _members(agg, 2, col_dim, "col_member", city_cap, city_rank)
-    base = agg.select(F.col(row_dim).alias("row_member"), F.col(col_dim).alias("col_member"),
-                      "_gid", "n", "promoters", "passives", "detractors")
-    cells = (base.filter(F.col("_gid") == 0)
-             .join(rows, "row_member").join(cols, "col_member")
-             .withColumn("cell_type", F.lit("cell")))
-    row_tot = (base.filter(F.col("_gid") == 1).drop("col_member").join(rows, "row_member")
-               .withColumn("col_member", F.lit(None).cast("string"))
-               .withColumn("col_ord", F.lit(None).cast("int"))
-               .withColumn("cell_type", F.lit("row_total")))
-    col_tot = (base.filter(F.col("_gid") == 2).drop("row_member").join(cols, "col_member")
-               .withColumn("row_member", F.lit(None).cast("string"))
-               .withColumn("row_ord", F.lit(None).cast("int"))
-               .withColumn("cell_type", F.lit("col_total")))
-    grand = (base.filter(F.col("_gid") == 3)
-             .withColumn("row_member", F.lit(None).cast("string"))
-             .withColumn("col_member", F.lit(None).cast("string"))
-             .withColumn("row_ord", F.lit(None).cast("int"))
-             .withColumn("col_ord", F.lit(None).cast("int"))
-             .withColumn("cell_type", F.lit("grand_total")))
-    cols_out = ["cell_type", "row_member", "col_member", "row_ord", "col_ord", "n", "promoters",
-                "passives", "detractors"]
-    u = (cells.select(*cols_out).unionByName(row_tot.select(*cols_out))
-         .unionByName(col_tot.select(*cols_out)).unionByName(grand.select(*cols_out)))
+    r, k = F.col(row_dim), F.col(col_dim)
+    gid = F.col("_gid")
+    keep = (F.when(gid == 0, _kept(row_dim, r) & _kept(col_dim, k))
+            .when(gid == 1, _kept(row_dim, r))
+            .when(gid == 2, _kept(col_dim, k))
+            .otherwise(F.lit(True)))
+    a = (agg.filter(keep)
+            .withColumn("_rside", gid.isin(0, 1)).withColumn("_cside", gid.isin(0, 2)))
+    a = (a.withColumn("row_ord", _ordinal(row_dim, r, F.col("_rside")).cast("int"))
+          .withColumn("col_ord", _ordinal(col_dim, k, F.col("_cside")).cast("int")))
+    if city_cap is not None:
+        for dim, ordc, side, member in (("city", "row_ord", "_rside", r), ("city", "col_ord", "_cside", k)):
+            if (dim == row_dim and ordc == "row_ord") or (dim == col_dim and ordc == "col_ord"):
+                if city_rank == "count":
+                    tot_gid = 1 if ordc == "row_ord" else 2
+                    tot = F.max(F.when(gid == tot_gid, F.col("n"))).over(Window.partitionBy(member))
+                    rank = _cap_count_ordinal(member, tot, F.col(side))
+                else:  # the reference cuts the alphabetical list (Q7)
+                    rank = F.col(ordc)
+                a = a.withColumn("_cap", rank).filter(F.col("_cap").isNull() | (F.col("_cap") <= city_cap))
+    cell_type = (F.when(gid == 0, F.lit("cell")).when(gid == 1, F.lit("row_total"))
+                 .when(gid == 2, F.lit("col_total")).otherwise(F.lit("grand_total")))
+    u = a.select(cell_type.alias("cell_type"), r.cast("string").alias("row_member"),
+                 k.cast("string").alias("col_member"), "row_ord", "col_ord",
+                 "n", "promoters", "passives", "detractors")
     out = with_nps(u)
     return (out.withColumn("suppressed", F.col("n") < min_n)
                .withColumn("nps", suppress(F.col("nps"), F.col("n"), min_n))
@@ -93,10 +101,19 @@ def row_summary(df: DataFrame, row_dim: str, spec: FilterSpec | None = None,
     """
     c = as_counts(df)
     f = apply_filters(c, spec) if spec is not None else c
-    agg = f.groupBy(F.col(row_dim)).agg(*count_aggs()).withColumn("_gid", F.lit(1))
-    rows = _members(agg, 1, row_dim, "row_member", city_cap, city_rank)
-    stats = agg.select(F.col(row_dim).alias("row_member"), "n", "promoters", "passives", "detractors")
-    out = with_band_pcts(with_nps(stats.join(rows, "row_member")))
+    agg = f.groupBy(F.col(row_dim)).agg(*count_aggs())
+    r = F.col(row_dim)
+    a = agg.filter(_kept(row_dim, r))
+    a = a.withColumn("row_ord", F.row_number().over(
+        Window.orderBy(*member_sort_keys(row_dim, r), r)))
+    if row_dim == "city" and city_cap is not None:
+        if city_rank == "count":
+            a = a.withColumn("_cap", F.row_number().over(Window.orderBy(F.col("n").desc(), r)))
+            a = a.filter(F.col("_cap") <= city_cap).drop("_cap")
+        else:
+            a = a.filter(F.col("row_ord") <= city_cap)
+    stats = a.select(r.alias("row_member"), "n", "promoters", "passives", "detractors", "row_ord")
+    out = with_band_pcts(with_nps(stats))
     out = out.withColumn("sentiment", sentiment(F.col("nps")))
     key = F.when(F.col("nps") == 0, F.lit(-99.0)).otherwise(F.col("nps"))
     if sort == "nps_desc":

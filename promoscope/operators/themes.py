@@ -54,14 +54,19 @@ def themes_by_band(df: DataFrame, top_k: int | None = 5) -> DataFrame:
               .filter(F.col("theme") != ""))
     pro_base = F.when(F.col("_pro_base") > 0, F.col("_pro_base")).otherwise(F.lit(1))
     det_base = F.when(F.col("_det_base") > 0, F.col("_det_base")).otherwise(F.lit(1))
-    pos = (agg.filter((F.col("pro") >= F.col("det")) & (F.col("pro") > 0))
-              .select(F.lit("positive").alias("side"), "theme", F.col("pro").alias("count"),
-                      js_round(F.col("pro") / pro_base * F.lit(100)).alias("pct")))
-    neg = (agg.filter((F.col("det") > F.col("pro")) | ((F.col("det") > 0) & (F.col("pro") == 0)))
-              .select(F.lit("negative").alias("side"), "theme", F.col("det").alias("count"),
-                      js_round(F.col("det") / det_base * F.lit(100)).alias("pct")))
+    pro, det = F.col("pro"), F.col("det")
+    # the two lists are disjoint: pro >= det > ... excludes det > pro, and pro > 0 excludes pro = 0
+    positive = (pro >= det) & (pro > 0)
+    negative = (det > pro) | ((det > 0) & (pro == 0))
+    side = F.when(positive, F.lit("positive")).when(negative, F.lit("negative"))
+    out = agg.select(
+        side.alias("side"), "theme",
+        F.when(positive, pro).otherwise(det).alias("count"),
+        F.when(positive, js_round(pro / pro_base * F.lit(100)))
+         .otherwise(js_round(det / det_base * F.lit(100))).alias("pct"),
+    ).filter(F.col("side").isNotNull())
     w = Window.partitionBy("side").orderBy(F.col("pct").desc(), F.col("count").desc(), F.col("theme"))
-    out = (pos.unionByName(neg).withColumn("label", dims.theme_label(F.col("theme")))
+    out = (out.withColumn("label", dims.theme_label(F.col("theme")))
               .withColumn("side_rank", F.row_number().over(w)))
     return out if top_k is None else out.filter(F.col("side_rank") <= top_k)
 
@@ -77,37 +82,49 @@ def _status(count_prev: Column, count_curr: Column, delta: Column) -> Column:
 def theme_changes(df: DataFrame, grain: str = "quarter", top_k: int | None = 10) -> DataFrame:
     """J3 + P18 for every pair of consecutive periods at once.
 
-    Per period: theme counts and % of the period's responses; each theme is
-    merged with the previous period by a full outer join (a missing side is 0).
+    Per period: theme counts and % of the period's responses.  Each
+    (period, theme) row is emitted twice - as the current side of the pair
+    ending at its period and as the previous side of the pair ending at the
+    next period - and one aggregation per (pair, theme) merges both sides: a
+    full outer join (missing side = 0) without a self join, over a frame of
+    at most 2 x #periods x #themes rows.
     """
     key = GRAIN_KEY[grain]
     c = as_counts(df).filter(period_kept(grain, F.col(key)))
     agg = c.groupBy(F.col(key).alias("period"), "theme").agg(F.sum("n").cast("bigint").alias("count"))
-    per = agg.groupBy("period").agg(F.sum("count").cast("bigint").alias("_total"))
-    w = Window.orderBy(*period_sort_keys(grain, F.col("period")))
-    pairs = (per.withColumn("prev_period", F.lag("period").over(w))
-                .withColumn("period_ord", F.row_number().over(w))
-                .filter(F.col("prev_period").isNotNull())
-                .select("period", "prev_period", "period_ord"))
-    stats = (agg.join(per, "period").filter(F.col("theme") != "")
-                .withColumn("pct", _pct1(F.col("count"), F.col("_total")))
-                .select("period", "theme", "count", "pct"))
-    curr = stats.join(pairs, "period").select(
-        "period", "prev_period", "period_ord", "theme",
-        F.col("count").alias("count_curr"), F.col("pct").alias("pct_curr"))
-    prev = (stats.withColumnRenamed("period", "prev_period").join(pairs, "prev_period")
-                 .select("period", "prev_period", "period_ord", "theme",
-                         F.col("count").alias("count_prev"), F.col("pct").alias("pct_prev")))
-    m = curr.join(prev, ["period", "prev_period", "period_ord", "theme"], "full_outer")
-    m = (m.withColumn("count_prev", F.coalesce("count_prev", F.lit(0).cast("bigint")))
-          .withColumn("count_curr", F.coalesce("count_curr", F.lit(0).cast("bigint")))
-          .withColumn("pct_prev", F.coalesce("pct_prev", F.lit(0.0)))
-          .withColumn("pct_curr", F.coalesce("pct_curr", F.lit(0.0))))
+    ordw = Window.orderBy(*period_sort_keys(grain, F.col("period")))
+    x = (agg.withColumn("_total", F.sum("count").over(Window.partitionBy("period")))
+            .withColumn("pord", F.dense_rank().over(ordw))
+            .withColumn("_last", F.max("pord").over(Window.partitionBy(F.lit(1)))))
+    # period names by position, carried on every row (bounded by #periods)
+    x = x.withColumn("_names", F.collect_set(F.struct("pord", "period")).over(Window.partitionBy(F.lit(1))))
+    x = x.filter(F.col("theme") != "").withColumn("pct", _pct1(F.col("count"), F.col("_total")))
+
+    def name_at(pos: Column) -> Column:
+        return F.element_at(F.filter(F.col("_names"), lambda e: e["pord"] == pos), 1)["period"]
+
+    as_curr = x.filter(F.col("pord") > 1).select(
+        F.col("pord").alias("period_ord"), "theme", F.col("count").alias("count_curr"),
+        F.col("pct").alias("pct_curr"), F.lit(None).cast("bigint").alias("count_prev"),
+        F.lit(None).cast("double").alias("pct_prev"),
+        F.col("period"), name_at(F.col("pord") - 1).alias("prev_period"))
+    as_prev = x.filter(F.col("pord") < F.col("_last")).select(
+        (F.col("pord") + 1).alias("period_ord"), "theme", F.lit(None).cast("bigint").alias("count_curr"),
+        F.lit(None).cast("double").alias("pct_curr"), F.col("count").alias("count_prev"),
+        F.col("pct").alias("pct_prev"),
+        name_at(F.col("pord") + 1).alias("period"), F.col("period").alias("prev_period"))
+    m = (as_curr.unionByName(as_prev)
+         .groupBy("period_ord", "period", "prev_period", "theme")
+         .agg(F.coalesce(F.max("count_prev"), F.lit(0).cast("bigint")).alias("count_prev"),
+              F.coalesce(F.max("count_curr"), F.lit(0).cast("bigint")).alias("count_curr"),
+              F.coalesce(F.max("pct_prev"), F.lit(0.0)).alias("pct_prev"),
+              F.coalesce(F.max("pct_curr"), F.lit(0.0)).alias("pct_curr")))
     m = m.withColumn("pct_delta", js_round1(F.col("pct_curr") - F.col("pct_prev")))
     rw = Window.partitionBy("period").orderBy(F.abs(F.col("pct_delta")).desc(), F.col("theme"))
     out = (m.withColumn("status", _status(F.col("count_prev"), F.col("count_curr"), F.col("pct_delta")))
             .withColumn("label", dims.theme_label(F.col("theme")))
-            .withColumn("change_rank", F.row_number().over(rw)))
+            .withColumn("change_rank", F.row_number().over(rw))
+            .withColumn("period_ord", F.col("period_ord").cast("int")))
     out = out.select("prev_period", "period", "period_ord", "theme", "label", "count_prev",
                      "count_curr", "pct_prev", "pct_curr", "pct_delta", "status", "change_rank")
     return out if top_k is None else out.filter(F.col("change_rank") <= top_k)
