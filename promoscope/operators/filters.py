@@ -54,8 +54,7 @@ def apply_filters(df: DataFrame, spec: FilterSpec, base: DataFrame | None = None
     """Apply F1, F3, F4, F5, F6 in the reference's order (period, channel, tenure).
 
     The channel / tenure guards compare the selection with the members present
-    in ``base`` (default: ``df`` before filtering); the counts are scalar
-    subqueries, evaluated once by Spark and inlined as literals.
+    in ``base`` (default: ``df`` before filtering).
     """
     base = df if base is None else base
     df = apply_period(df, spec.grain, spec.period)
@@ -69,17 +68,18 @@ def apply_filters(df: DataFrame, spec: FilterSpec, base: DataFrame | None = None
         guards["tenures_avail"] = F.count_distinct(F.when(t.isin(*dims.TENURE_ORDER), t))
         guards["tenures_valid"] = F.count_distinct(F.when(t.isin(*wanted), t))
     if guards:
-        # one scalar subquery over ``base`` for all guards
-        g = base.agg(F.struct(*[v.alias(k) for k, v in guards.items()]).alias("g")).scalar()
+        # The guards are three integers about the whole table: one tiny
+        # aggregate, evaluated once before the query (a scalar subquery would
+        # be re-planned - and re-scanned - at every reference).
+        g = base.agg(*[v.alias(k) for k, v in guards.items()]).first().asDict()
     if use_channels:
         sel = F.col("source").isin(*spec.channels)
-        if spec.guard_channels:
-            sel = sel | (F.lit(len(spec.channels)) >= g["channels"])
-        df = df.filter(sel)
+        if not (spec.guard_channels and len(spec.channels) >= g["channels"]):
+            df = df.filter(sel)
     if wanted:
-        t = F.col("tenure_cut")
         n_avail, n_valid = g["tenures_avail"], g["tenures_valid"]
-        df = df.filter(t.isin(*wanted) | (n_valid >= n_avail) | (n_valid == 0))
+        if n_valid > 0 and n_valid < n_avail:
+            df = df.filter(F.col("tenure_cut").isin(*wanted))
     if spec.band is not None:
         df = df.filter(F.col("score_band") == spec.band)
     if spec.theme is not None:

@@ -75,25 +75,32 @@ def trend(df: DataFrame, grain: str = "sprint") -> DataFrame:
 
 
 def trend_all_grains(df: DataFrame) -> DataFrame:
-    """A3 for sprint, month and quarter in one pass (GROUPING SETS)."""
+    """A3 for sprint, month and quarter in one pass (GROUPING SETS, one reference)."""
     c = as_counts(df)
     agg = c.groupingSets([["sprint_id"], ["month"], ["quarter"]], "sprint_id", "month", "quarter") \
            .agg(*count_aggs(), F.grouping_id().alias("_gid"))
-    parts = []
-    for grain, gid in (("sprint", 3), ("month", 5), ("quarter", 6)):
-        key = GRAIN_KEY[grain]
-        g = (agg.filter((F.col("_gid") == gid) & period_kept(grain, F.col(key)))
-                .select(F.lit(grain).alias("grain"), F.col(key).alias("period"),
-                        "n", "promoters", "passives", "detractors"))
-        label, full = period_labels(grain, F.col("period"))
-        keys = period_sort_keys(grain, F.col("period"))
-        g = g.withColumn("label", label).withColumn("full_label", full)
-        parts.append(g.withColumn("_k1", keys[0].cast("double"))
-                      .withColumn("_k2", (keys[1] if len(keys) > 1 else F.lit(0)).cast("double"))
-                      .withColumn("_k3", F.col("period")))
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    w = Window.partitionBy("grain").orderBy("_k1", "_k2", "_k3")
-    return with_nps(u.withColumn("period_ord", F.row_number().over(w)).drop("_k1", "_k2", "_k3"))
+    gid = F.col("_gid")
+    grain = F.when(gid == 3, F.lit("sprint")).when(gid == 5, F.lit("month")).otherwise(F.lit("quarter"))
+    period = (F.when(gid == 3, F.col("sprint_id")).when(gid == 5, F.col("month"))
+              .otherwise(F.col("quarter")))
+    g = agg.select(grain.alias("grain"), period.alias("period"), "n", "promoters", "passives", "detractors")
+    p = F.col("period")
+    kept = F.when(F.col("grain") == "sprint", period_kept("sprint", p)) \
+            .when(F.col("grain") == "month", period_kept("month", p)).otherwise(period_kept("quarter", p))
+    g = g.filter(kept)
+    labels = {gr: period_labels(gr, p) for gr in GRAINS}
+    keys = {gr: period_sort_keys(gr, p) for gr in GRAINS}
+
+    def by_grain(pick) -> Column:
+        return (F.when(F.col("grain") == "sprint", pick("sprint"))
+                .when(F.col("grain") == "month", pick("month")).otherwise(pick("quarter")))
+
+    g = (g.withColumn("label", by_grain(lambda gr: labels[gr][0]))
+          .withColumn("full_label", by_grain(lambda gr: labels[gr][1]))
+          .withColumn("_k1", by_grain(lambda gr: keys[gr][0].cast("double")))
+          .withColumn("_k2", by_grain(lambda gr: (keys[gr][1] if len(keys[gr]) > 1 else F.lit(0)).cast("double"))))
+    w = Window.partitionBy("grain").orderBy("_k1", "_k2", "period")
+    return with_nps(g.withColumn("period_ord", F.row_number().over(w)).drop("_k1", "_k2"))
 
 
 def band_distribution(df: DataFrame) -> DataFrame:
@@ -158,20 +165,28 @@ def _health_text(nps: Column, pro_pct: Column, det_pct: Column, delta: Column) -
 
 def period_health(df: DataFrame) -> DataFrame:
     """Health summary per sprint (as if that sprint closed the trend) and
-    for the whole table ('All', using the latest sprint-over-sprint change)."""
-    t = trend(df, "sprint")
-    w = Window.orderBy("period_ord")
-    t = t.withColumn("delta", F.when(F.lag("nps").over(w).isNotNull(),
-                                     js_round1(F.col("nps") - F.lag("nps").over(w))))
-    per = t.select("period", "period_ord", "n", "promoters", "detractors", "nps", "delta")
-    latest = t.agg(F.max_by("delta", "period_ord").alias("delta"))
-    overall = nps_overall(df).select("n", "promoters", "detractors", "nps")
-    # one-row frames: a keyed join on a constant is exact and tiny
-    allrow = (overall.withColumn("_k", F.lit(1))
-              .join(latest.withColumn("_k", F.lit(1)), "_k")
-              .select(F.lit("All").alias("period"), F.lit(0).alias("period_ord"), "n",
-                      "promoters", "detractors", "nps", "delta"))
-    u = per.unionByName(allrow).filter(F.col("n") > 0)
+    for the whole table ('All', using the latest sprint-over-sprint change).
+
+    One pass: GROUPING SETS ((sprint_id), ()) gives the sprints and the total
+    together; deltas and the latest delta are windows over that small frame.
+    """
+    c = as_counts(df)
+    agg = c.groupingSets([["sprint_id"], []], "sprint_id").agg(
+        *count_aggs(), F.grouping_id().alias("_gid"))
+    is_all = F.col("_gid") == 1
+    a = agg.filter(is_all | period_kept("sprint", F.col("sprint_id")))
+    g, num = sprint_sort_keys(F.col("sprint_id"))
+    side = Window.partitionBy("_gid").orderBy(g, num, F.col("sprint_id"))
+    a = a.withColumn("period_ord", F.when(is_all, F.lit(0)).otherwise(F.row_number().over(side)))
+    a = with_nps(a)
+    prev = F.lag("nps").over(side)
+    a = a.withColumn("delta", F.when(~is_all & prev.isNotNull(), js_round1(F.col("nps") - prev)))
+    latest = F.max_by(F.when(~is_all, F.col("delta")), F.when(~is_all, F.col("period_ord"))).over(
+        Window.partitionBy(F.lit(1)))
+    a = a.withColumn("delta", F.when(is_all, latest).otherwise(F.col("delta")))
+    u = a.select(F.when(is_all, F.lit("All")).otherwise(F.col("sprint_id")).alias("period"),
+                 F.col("period_ord").cast("int").alias("period_ord"), "n", "promoters", "detractors",
+                 "nps", "delta").filter(F.col("n") > 0)
     pro_pct = js_round(F.col("promoters") / F.col("n") * F.lit(100))
     det_pct = js_round(F.col("detractors") / F.col("n") * F.lit(100))
     return (u.withColumn("promoter_pct", pro_pct).withColumn("detractor_pct", det_pct)
@@ -262,28 +277,41 @@ def dim_members(df: DataFrame) -> DataFrame:
     """Sorted distinct members of the selectable dimensions.
 
     sprint (T1 order), source (sorted), theme (non-blank, sorted), channel
-    (the default channels first, then the others in sorted order).
+    (the default channels first, then the others in sorted order).  One
+    GROUPING SETS pass; the channel list is the source list emitted twice.
     """
     c = as_counts(df)
     agg = c.groupingSets([["sprint_id"], ["source"], ["theme"]], "sprint_id", "source", "theme") \
            .agg(F.grouping_id().alias("_gid"))
-    sprint = agg.filter((F.col("_gid") == 3) & (F.col("sprint_id") != "")).select(
-        F.lit("sprint").alias("dimension"), F.col("sprint_id").alias("member"))
+    gid = F.col("_gid")
+    dim = F.when(gid == 3, F.array(F.lit("sprint"))) \
+           .when(gid == 5, F.array(F.lit("source"), F.lit("channel"))) \
+           .otherwise(F.array(F.lit("theme")))
+    member = F.when(gid == 3, F.col("sprint_id")).when(gid == 5, F.col("source")).otherwise(F.col("theme"))
+    u = agg.select(F.explode(dim).alias("dimension"), member.alias("member")).filter(F.col("member") != "")
     g, num = sprint_sort_keys(F.col("member"))
-    sprint = sprint.withColumn("_k1", g.cast("double")).withColumn("_k2", num.cast("double"))
-    source = agg.filter((F.col("_gid") == 5) & (F.col("source") != "")).select(
-        F.lit("source").alias("dimension"), F.col("source").alias("member"))
-    source = source.withColumn("_k1", F.lit(0.0)).withColumn("_k2", F.lit(0.0))
-    theme = agg.filter((F.col("_gid") == 6) & (F.col("theme") != "")).select(
-        F.lit("theme").alias("dimension"), F.col("theme").alias("member"))
-    theme = theme.withColumn("_k1", F.lit(0.0)).withColumn("_k2", F.lit(0.0))
     chan_pos = dims.order_index(dims.DEFAULT_CHANNELS, F.col("member"))
-    channel = (source.withColumn("dimension", F.lit("channel"))
-               .withColumn("_k1", F.when(chan_pos.isNotNull(), F.lit(0.0)).otherwise(F.lit(1.0)))
-               .withColumn("_k2", F.coalesce(chan_pos.cast("double"), F.lit(0.0))))
-    u = sprint.unionByName(source).unionByName(theme).unionByName(channel)
-    w = Window.partitionBy("dimension").orderBy("_k1", "_k2", "member")
-    return u.withColumn("member_ord", F.row_number().over(w)).drop("_k1", "_k2")
+    is_sprint, is_chan = F.col("dimension") == "sprint", F.col("dimension") == "channel"
+    k1 = (F.when(is_sprint, g.cast("double"))
+           .when(is_chan, F.when(chan_pos.isNotNull(), F.lit(0.0)).otherwise(F.lit(1.0)))
+           .otherwise(F.lit(0.0)))
+    k2 = (F.when(is_sprint, num.cast("double"))
+           .when(is_chan, F.coalesce(chan_pos.cast("double"), F.lit(0.0)))
+           .otherwise(F.lit(0.0)))
+    w = Window.partitionBy("dimension").orderBy(k1, k2, F.col("member"))
+    return u.withColumn("member_ord", F.row_number().over(w))
+
+
+def comment_rates_recent(df: DataFrame, k: int = 3) -> DataFrame:
+    """A6 over the last ``k`` sprints in one pass: per-sprint sums, then the
+    sprint ranks and the final sum run on the (#sprints-row) aggregate."""
+    c = as_counts(df).filter(F.col("sprint_id") != "")
+    sums = ["n", "fb_n", "promoters", "fb_promoters", "detractors", "fb_detractors",
+            "passives", "fb_passives"]
+    per = c.groupBy("sprint_id").agg(*[F.sum(x).cast("bigint").alias(x) for x in sums])
+    g, num = sprint_sort_keys(F.col("sprint_id"))
+    per = per.withColumn("_r", F.row_number().over(Window.orderBy(g.desc(), num.desc(), F.col("sprint_id").desc())))
+    return comment_rates(per.filter(F.col("_r") <= k).drop("_r"))
 
 
 def sprint_counts(df: DataFrame) -> DataFrame:

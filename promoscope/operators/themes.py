@@ -103,17 +103,17 @@ def theme_changes(df: DataFrame, grain: str = "quarter", top_k: int | None = 10)
     def name_at(pos: Column) -> Column:
         return F.element_at(F.filter(F.col("_names"), lambda e: e["pord"] == pos), 1)["period"]
 
-    as_curr = x.filter(F.col("pord") > 1).select(
-        F.col("pord").alias("period_ord"), "theme", F.col("count").alias("count_curr"),
-        F.col("pct").alias("pct_curr"), F.lit(None).cast("bigint").alias("count_prev"),
-        F.lit(None).cast("double").alias("pct_prev"),
-        F.col("period"), name_at(F.col("pord") - 1).alias("prev_period"))
-    as_prev = x.filter(F.col("pord") < F.col("_last")).select(
-        (F.col("pord") + 1).alias("period_ord"), "theme", F.lit(None).cast("bigint").alias("count_curr"),
-        F.lit(None).cast("double").alias("pct_curr"), F.col("count").alias("count_prev"),
-        F.col("pct").alias("pct_prev"),
-        name_at(F.col("pord") + 1).alias("period"), F.col("period").alias("prev_period"))
-    m = (as_curr.unionByName(as_prev)
+    # each row plays both roles; one explode keeps a single reference to x
+    x = x.withColumn("_role", F.explode(F.array(F.lit("curr"), F.lit("prev"))))
+    curr = F.col("_role") == "curr"
+    x = x.filter((curr & (F.col("pord") > 1)) | (~curr & (F.col("pord") < F.col("_last"))))
+    both = x.select(
+        F.when(curr, F.col("pord")).otherwise(F.col("pord") + 1).alias("period_ord"), "theme",
+        F.when(curr, F.col("count")).alias("count_curr"), F.when(curr, F.col("pct")).alias("pct_curr"),
+        F.when(~curr, F.col("count")).alias("count_prev"), F.when(~curr, F.col("pct")).alias("pct_prev"),
+        F.when(curr, F.col("period")).otherwise(name_at(F.col("pord") + 1)).alias("period"),
+        F.when(curr, name_at(F.col("pord") - 1)).otherwise(F.col("period")).alias("prev_period"))
+    m = (both
          .groupBy("period_ord", "period", "prev_period", "theme")
          .agg(F.coalesce(F.max("count_prev"), F.lit(0).cast("bigint")).alias("count_prev"),
               F.coalesce(F.max("count_curr"), F.lit(0).cast("bigint")).alias("count_curr"),

@@ -55,16 +55,16 @@ def search(top: DataFrame, text: str, before_limit: DataFrame | None = None) ->
 
 def grouped(top: DataFrame, show: int = GROUP_SHOW) -> DataFrame:
     """The ranked list grouped by theme: group size desc, ``show`` per group,
-    and the number of further comments in the group."""
+    and the number of further comments in the group (windows over the <= limit
+    ranked rows; the ranked list is computed once)."""
     gw = Window.partitionBy("theme")
     iw = Window.partitionBy("theme").orderBy("rank")
     g = (top.withColumn("group_size", F.count(F.lit(1)).over(gw))
             .withColumn("_first", F.min("rank").over(gw))
             .withColumn("item_rank", F.row_number().over(iw)))
     ow = Window.orderBy(F.col("group_size").desc(), F.col("_first"))
-    groups = g.select("theme", "group_size", "_first").distinct().withColumn(
-        "group_rank", F.row_number().over(ow)).drop("group_size", "_first")
-    out = g.filter(F.col("item_rank") <= show).join(groups, "theme")
+    g = g.withColumn("group_rank", F.dense_rank().over(ow))
+    out = g.filter(F.col("item_rank") <= show)
     return out.select(
         "theme", dims.theme_label(F.col("theme")).alias("label"), "group_rank", "group_size",
         F.greatest(F.col("group_size") - F.lit(show), F.lit(0)).cast("bigint").alias("more_in_group"),

@@ -312,8 +312,7 @@ def _comment_rates_sql() -> str:
 
 @register("comment_rates", _comment_rates_sql())
 def q_comment_rates(spark, sf_dir):
-    r = rollup(spark, sf_dir)
-    return metrics.comment_rates(metrics.recent_filter(r))
+    return metrics.comment_rates_recent(rollup(spark, sf_dir))
 
 
 @register("dataset_summary", O.with_survey(

@@ -73,3 +73,19 @@ def test_theme_changes_scan_once(spark):
 def test_no_python_udfs(spark, name):
     p = plan(queries()[name](spark, SMOKE_DIR))
     assert "EvalPython" not in p and "PythonUDF" not in p
+
+
+SINGLE_SCAN = ["nps_overall", "nps_by_source", "nps_by_dimension", "trend_sprint", "band_distribution",
+               "period_delta", "period_significance", "period_health", "recent_sprints", "feedback_rate",
+               "comment_rates", "dataset_summary", "dim_members", "sprint_counts", "matrix_tenure_sprint",
+               "matrix_city_source", "matrix_plan_quarter", "matrix_filtered", "row_summary_sorted",
+               "theme_stats", "themes_by_band", "theme_changes", "cohort_kpis", "cohort_trend",
+               "cohort_tenure", "cohort_city", "cohort_theme", "cohort_verbatims", "rollup_nps"]
+
+
+@pytest.mark.parametrize("name", SINGLE_SCAN)
+def test_count_queries_scan_their_input_once(spark, name):
+    df = queries()[name](spark, SMOKE_DIR)
+    df.write.format("noop").mode("overwrite").save()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
