@@ -110,3 +110,17 @@ def test_export_roundtrip(spark, tmpdir_fresh):
     assert a == b
     assert any(d.startswith("sprint_part=") for d in os.listdir(out))
     assert back.filter(F.col("sprint_id") == "Sprint 3").count() == 2
+
+
+def test_manifest_load_keeps_going_past_missing_files(spark, tmpdir_fresh):
+    from promoscope.sources.csv_ingest import ingest_manifest
+
+    write_files(tmpdir_fresh, {"s1.csv": "score,respondent_id,sprint_id\n9,a,Sprint 3\n9,a,Sprint 3\n",
+                               "s2.csv": "score,respondent_id,sprint_id\n2,b,Sprint 4\n",
+                               "manifest.json": '["s2.csv", "gone.csv", "s1.csv"]'})
+    clean, report = ingest_manifest(spark, os.path.join(tmpdir_fresh, "manifest.json"))
+    assert clean.count() == 3                                    # no dedup on load
+    rep = {r.file_name: r for r in report.collect()}
+    assert rep["gone.csv"].records == 0 and rep["gone.csv"].errors.startswith("File not found")
+    seq = {r.respondent_id: r.ingest_seq for r in clean.collect()}
+    assert seq["b"] < seq["a"]                                   # manifest order
