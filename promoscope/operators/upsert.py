@@ -8,9 +8,8 @@ reduced inside each task before the shuffle and never lands whole in one task.
 
 ``upsert_into`` rewrites only the sprint partitions the new rows touch: the
 touched partitions are selected with a semi join on ``sprint_part`` (dynamic
-partition pruning on the partitioned table), the merged result is staged below
-the checkpoint dir (cutting the read/write cycle on the target path), and the
-staged rows replace the touched partitions by dynamic partition overwrite.
+partition pruning on the partitioned table) and replaced by dynamic partition
+overwrite.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promoscope.operators.clean import CLEAN_COLUMNS
-from promoscope.session import scratch_path
 
 KEYS = ("sprint_id", "respondent_id")
 ORDER = ("ingest_seq", "row_seq")
@@ -51,17 +49,21 @@ def merge(base: DataFrame, new: DataFrame, full: bool = False) -> DataFrame:
 
 
 def upsert_into(spark: SparkSession, table_path: str, new: DataFrame, full: bool = False) -> None:
-    """Apply ``new`` clean rows to the partitioned table at ``table_path``."""
+    """Apply ``new`` clean rows to the partitioned table at ``table_path``.
+
+    Dynamic partition overwrite replaces only the sprint partitions present in
+    the merged result.  The write tasks read the old files before the
+    driver-side commit swaps the touched partitions in, so a retried task (lost
+    executor) still reads the original data; a failure before the commit
+    leaves the table unchanged.
+    """
     from promoscope.sources.store import read_clean, write_clean
 
     base = read_clean(spark, table_path)
     merged = merge(base, new, full)
-    stage = scratch_path(spark, "upsert_stage")
-    write_clean(merged, stage)
-    staged = read_clean(spark, stage)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        write_clean(staged, table_path, mode="overwrite")
+        write_clean(merged, table_path, mode="overwrite")
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)

@@ -808,14 +808,18 @@ _RESEND_CTES = [O.SURVEY_RESEND, O.clean_cte("resend", "survey_resend", 1, "surv
     "ORDER BY ingest_seq DESC, row_seq DESC) AS rn FROM (SELECT * FROM survey UNION ALL SELECT * FROM resend)) "
     f"WHERE rn = 1 AND {_WITH_SCORE_SQL}", _RESEND_CTES))
 def q_stream_upsert(spark, sf_dir):
-    landing = scratch_path(spark, "landing")
+    # first arrival: the survey's CSV files; second arrival: the re-sent sprints,
+    # written into a folder the stream's glob matches only once it exists
+    base = survey_files.survey_csv_dir(spark, sf_dir).rstrip("/")
+    resend = scratch_path(spark, "resend_arrival")
+    parent = base.rsplit("/", 1)[0]
+    assert resend.rsplit("/", 1)[0] == parent
+    landing = f"{parent}/{{{base.rsplit('/', 1)[1]},{resend.rsplit('/', 1)[1]}}}"
     table = scratch_path(spark, "stream_table")
     ckpt = scratch_path(spark, "stream_ckpt")
     layouts = list(survey_files.LAYOUTS)
-    # first arrival: every sprint file; second arrival: the re-sent sprints
-    survey_files.write_survey_csvs(survey_raw(spark, sf_dir), landing)
     ingest_stream.run_available(spark, landing, table, ckpt, layouts)
-    survey_files.write_survey_csvs(survey_resend(spark, sf_dir), landing, mode="append")
+    survey_files.write_survey_csvs(survey_resend(spark, sf_dir), resend)
     ingest_stream.run_available(spark, landing, table, ckpt, layouts)
     return read_clean(spark, table).select(*_NO_ENGINE)
 

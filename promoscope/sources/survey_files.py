@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import threading
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,16 @@ def write_survey_csvs(raw: DataFrame, out: str, partitions: int | None = None,
     df = raw.withColumn("_layout", layout_of(F.col("sprint_id"))).withColumn(
         "file_key", file_key(F.col("sprint_id")))
     n = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
+    # one derivation feeds the four layout writes (spills to disk if needed;
+    # a lost block is recomputed from lineage)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _write_layouts(df, out, n, mode)
+    finally:
+        df.unpersist()
+
+
+def _write_layouts(df: DataFrame, out: str, n: int, mode: str) -> None:
     for layout, cols in LAYOUTS.items():
         sel = [(F.col(f) if f is not None else F.lit("")).alias(h) for h, f in cols]
         part = (df.filter(F.col("_layout") == layout)

@@ -20,6 +20,7 @@ driver-side / broadcast-sized structure (the file ordering table).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +44,16 @@ def ensure_table(spark: SparkSession, path: str) -> None:
 
 
 def layout_stream(spark: SparkSession, layout_dir: str, max_files: int = 1000) -> DataFrame | None:
-    """A streaming DataFrame of canonical string fields for one layout directory."""
-    files = list_csv_files(spark, layout_dir)
+    """A streaming DataFrame of canonical string fields for one layout directory.
+
+    ``layout_dir`` may be a Hadoop glob (e.g. ``/landing/{day1,day2}/A``); a
+    folder matching it later is picked up by the next trigger.
+    """
+    files = []
+    jp = spark._jvm.org.apache.hadoop.fs.Path(layout_dir)
+    fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
+    for st in (fs.globStatus(jp) or []):
+        files += list_csv_files(spark, st.getPath().toString())
     if not files:
         return None
     headers, err = read_header(spark, files[0][0])
@@ -63,14 +72,18 @@ def layout_stream(spark: SparkSession, layout_dir: str, max_files: int = 1000) -
 def _upsert_batch(table_path: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        files = batch.select("src_file").distinct()
-        ranked = files.withColumn(
-            "ingest_seq", F.lit(batch_id).cast("bigint") * F.lit(FILES_PER_BATCH_BOUND)
-            + F.row_number().over(Window.orderBy("src_file")).cast("bigint"))
-        raw = (batch.withColumn("row_seq", F.monotonically_increasing_id())
-                    .join(F.broadcast(ranked), "src_file"))
-        clean = clean_survey(raw)
-        upsert_into(spark, table_path, clean)
+        # the batch is read twice (file list, rows): keep it instead of re-reading the files
+        batch = batch.withColumn("row_seq", F.monotonically_increasing_id()).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        try:
+            files = batch.select("src_file").distinct()
+            ranked = files.withColumn(
+                "ingest_seq", F.lit(batch_id).cast("bigint") * F.lit(FILES_PER_BATCH_BOUND)
+                + F.row_number().over(Window.orderBy("src_file")).cast("bigint"))
+            raw = batch.join(F.broadcast(ranked), "src_file")
+            upsert_into(spark, table_path, clean_survey(raw))
+        finally:
+            batch.unpersist()
     return run
 
 
@@ -78,6 +91,8 @@ def run_available(spark: SparkSession, landing_dir: str, table_path: str, checkp
                   layouts: list[str]) -> None:
     """Process every file now present under ``landing_dir/<layout>`` (availableNow).
 
+    ``landing_dir`` may be a glob over several arrival folders.
+
     The per-layout sources are unioned into one streaming query, so each
     trigger performs one upsert into the shared table.
     """
