@@ -73,21 +73,26 @@ def nps_variance(prefix: str = "") -> Column:
     return F.when(n > 0, var / n).otherwise(F.lit(0.0))
 
 
-def with_nps(df: DataFrame, prefix: str = "", out_prefix: str | None = None) -> DataFrame:
-    """Add nps, ci_lower, ci_upper, confidence computed from prefixed counts."""
-    op = prefix if out_prefix is None else out_prefix
+def nps_stats(prefix: str = "") -> dict[str, Column]:
+    """nps, ci_lower, ci_upper, confidence as independent expressions of the counts
+    (shared sub-expressions are computed once by subexpression elimination)."""
     n = _c(prefix, "n")
     se = F.sqrt(nps_variance(prefix)) * F.lit(100)
-    df = df.withColumn(op + "nps", nps_value(prefix))
-    lower = F.when(n > 0, js_round1(F.col(op + "nps") - F.lit(Z95) * se)).otherwise(F.lit(0.0))
-    upper = F.when(n > 0, js_round1(F.col(op + "nps") + F.lit(Z95) * se)).otherwise(F.lit(0.0))
-    df = df.withColumn(op + "ci_lower", lower).withColumn(op + "ci_upper", upper)
-    width = F.col(op + "ci_upper") - F.col(op + "ci_lower")
+    nps = nps_value(prefix)
+    lower = F.when(n > 0, js_round1(nps - F.lit(Z95) * se)).otherwise(F.lit(0.0))
+    upper = F.when(n > 0, js_round1(nps + F.lit(Z95) * se)).otherwise(F.lit(0.0))
+    width = upper - lower
     conf = (F.when(n == 0, F.lit("none"))
             .when((n >= 100) & (width < 15), F.lit("high"))
             .when((n >= 30) & (width < 25), F.lit("medium"))
             .otherwise(F.lit("low")))
-    return df.withColumn(op + "confidence", conf)
+    return {"nps": nps, "ci_lower": lower, "ci_upper": upper, "confidence": conf}
+
+
+def with_nps(df: DataFrame, prefix: str = "", out_prefix: str | None = None) -> DataFrame:
+    """Add nps, ci_lower, ci_upper, confidence computed from prefixed counts."""
+    op = prefix if out_prefix is None else out_prefix
+    return df.withColumns({op + k: v for k, v in nps_stats(prefix).items()})
 
 
 def band_pct(num: Column, n: Column) -> Column:
@@ -97,9 +102,9 @@ def band_pct(num: Column, n: Column) -> Column:
 
 def with_band_pcts(df: DataFrame, prefix: str = "") -> DataFrame:
     n = _c(prefix, "n")
-    return (df.withColumn(prefix + "promoter_pct", band_pct(_c(prefix, "promoters"), n))
-              .withColumn(prefix + "passive_pct", band_pct(_c(prefix, "passives"), n))
-              .withColumn(prefix + "detractor_pct", band_pct(_c(prefix, "detractors"), n)))
+    return df.withColumns({prefix + "promoter_pct": band_pct(_c(prefix, "promoters"), n),
+                           prefix + "passive_pct": band_pct(_c(prefix, "passives"), n),
+                           prefix + "detractor_pct": band_pct(_c(prefix, "detractors"), n)})
 
 
 def sentiment(nps: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promoscope.functions.columns import utf16_len_gt
 
@@ -26,6 +27,11 @@ MEASURES: list[str] = [
     "fb_n", "fb_promoters", "fb_passives", "fb_detractors",
 ]
 
+ROLLUP_SCHEMA = T.StructType(
+    [T.StructField(d, T.StringType(), True) for d in ROLLUP_DIMS]
+    + [T.StructField(m, T.LongType(), True) for m in MEASURES]
+    + [T.StructField("sprint_part", T.StringType(), True)])
+
 FEEDBACK_MIN_LEN = 5  # "has feedback" = trimmed length > 5 (F7)
 
 

@@ -19,7 +19,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from promoscope.operators.clean import CLEAN_SCHEMA, clean_survey
-from promoscope.operators.rollup import build_rollup
+from promoscope.operators.rollup import ROLLUP_SCHEMA, build_rollup
 from promoscope.session import scratch_path
 from promoscope.sources.driver_tables import survey_raw
 
@@ -47,16 +47,24 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLEAN_SCHEMA).parquet(path)
 
 
+_FRAMES: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def survey_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean survey table derived from the driver tables under ``sf_dir``."""
+    """The clean survey table derived from the driver tables under ``sf_dir``.
+
+    The stored table never changes once written, so one DataFrame (with its
+    file listing and schema) serves every query of the application.
+    """
     key = _key(spark, sf_dir, "clean")
     with _LOCK:
-        path = _PATHS.get(key)
-        if path is None:
+        df = _FRAMES.get(key)
+        if df is None:
             path = scratch_path(spark, "survey_clean")
             write_clean(clean_survey(survey_raw(spark, sf_dir)), path)
             _PATHS[key] = path
-    return read_clean(spark, path)
+            df = _FRAMES[key] = read_clean(spark, path)
+    return df
 
 
 def survey_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +72,11 @@ def survey_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = _key(spark, sf_dir, "rollup")
     clean = survey_table(spark, sf_dir)
     with _LOCK:
-        path = _PATHS.get(key)
-        if path is None:
+        df = _FRAMES.get(key)
+        if df is None:
             path = scratch_path(spark, "survey_rollup")
             (build_rollup(clean).hint("rebalance", "sprint_part")
              .write.mode("overwrite").partitionBy("sprint_part").parquet(path))
             _PATHS[key] = path
-    return spark.read.parquet(path)
+            df = _FRAMES[key] = spark.read.schema(ROLLUP_SCHEMA).parquet(path)
+    return df
