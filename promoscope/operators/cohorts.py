@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promoscope.functions.columns import js_round, js_round1, utf16_len_gt
-from promoscope.functions.nps import count_aggs, suppress, with_nps
+from promoscope.functions.nps import count_aggs, suppress, with_nps, with_z_test
 from promoscope.operators.filters import apply_period
-from promoscope.operators.ordering import GRAIN_KEY, member_sort_keys, period_kept, period_sort_keys
+from promoscope.operators.ordering import (GRAIN_KEY, member_sort_keys, period_kept, period_sort_keys,
+                                           sprint_sort_keys)
 from promoscope.operators.rollup import as_counts
 from promoscope.sources import dims
 
@@ -130,3 +131,23 @@ def cohort_verbatims(df: DataFrame, grain: str = "sprint", period: str | None =
     return out.select(F.when(_yes(), F.lit("first_time")).otherwise(F.lit("repeat")).alias("cohort"),
                       "rank", "row_seq", "respondent_id", "sprint_id", "score", "score_band", "theme",
                       "feedback")
+
+
+def cohort_significance(df: DataFrame) -> DataFrame:
+    """Z3 on a segment pair: first-time minus repeat NPS, per sprint and overall.
+
+    One GROUPING SETS ((sprint_id), ()) pass with the cohort split as
+    conditional sums; the test runs on the (#sprints + 1)-row result.
+    """
+    c = known_cohort(as_counts(df))
+    agg = c.groupingSets([["sprint_id"], []], "sprint_id").agg(*_split_aggs(), F.grouping_id().alias("_gid"))
+    is_all = F.col("_gid") == 1
+    a = agg.filter(is_all | (F.col("sprint_id") != ""))
+    g, num = sprint_sort_keys(F.col("sprint_id"))
+    w = Window.partitionBy("_gid").orderBy(g, num, F.col("sprint_id"))
+    a = a.withColumns({
+        "period": F.when(is_all, F.lit("All")).otherwise(F.col("sprint_id")),
+        "period_ord": F.when(is_all, F.lit(0)).otherwise(F.row_number().over(w)).cast("int")})
+    a = with_z_test(with_nps(with_nps(a, "ft_"), "rep_"), before="rep_", after="ft_")
+    return a.select("period", "period_ord", "rep_n", "ft_n", "rep_nps", "ft_nps", "delta", "z_score",
+                    "p_value", "significant", "interpretation")

@@ -205,15 +205,11 @@ def q_period_delta(spark, sf_dir):
     return metrics.period_delta(rollup(spark, sf_dir))
 
 
-def _significance_sql() -> str:
-    lagged = ("SELECT period, period_ord, n, promoters, passives, detractors, nps, "
-              + ", ".join(f"lag({c}) OVER (ORDER BY period_ord) AS prev_{c}"
-                          for c in ["period", "n", "promoters", "passives", "detractors", "nps"])
-              + f" FROM ({O.with_nps_sql(_trend_inner('sprint'))})")
-    z1 = (f"SELECT *, {O.js_round1('(nps - prev_nps)')} AS d0, "
-          f"sqrt({O.var_expr('prev_')} + {O.var_expr('')}) * 100 AS se, "
-          "(prev_n = 0 OR n = 0) AS insufficient "
-          f"FROM ({lagged}) WHERE prev_period IS NOT NULL")
+def _ztest_sql(relation: str, before: str, after: str, keep: str) -> str:
+    """SQL of the z-test of NPS(after) - NPS(before) over a relation with prefixed counts and nps."""
+    z1 = (f"SELECT *, {O.js_round1(f'({after}nps - {before}nps)')} AS d0, "
+          f"sqrt({O.var_expr(before)} + {O.var_expr(after)}) * 100 AS se, "
+          f"({before}n = 0 OR {after}n = 0) AS insufficient FROM ({relation})")
     z2 = ("SELECT *, CASE WHEN NOT insufficient AND se <> 0 THEN abs(d0) / se END AS z FROM (" + z1 + ")")
     z3 = (f"SELECT *, 2 * (1 - 0.5 * (1 + {_erf_sql('(z / sqrt(2.0))')})) AS p FROM (" + z2 + ")")
     sig = "COALESCE(p < 0.05, false)"
@@ -223,12 +219,19 @@ def _significance_sql() -> str:
               f"|| {O.js_num('abs(d0)')} || ' pts (p=' || {ptxt} || ') — statistically significant' "
               f"ELSE 'NPS changed by ' || {O.js_num('d0')} || ' pts (p=' || {ptxt} "
               f"|| ') — not statistically significant' END")
-    return O.with_survey(
-        "SELECT period, period_ord, prev_period, prev_n, n, prev_nps, nps, "
-        "CASE WHEN insufficient THEN 0.0 ELSE d0 END AS delta, "
-        "CAST(floor(z * 100 + 0.5) AS DOUBLE) / 100 AS z_score, "
-        "CAST(floor(p * 10000 + 0.5) AS DOUBLE) / 10000 AS p_value, "
-        f"{sig} AS significant, {interp} AS interpretation FROM ({z3})")
+    return (f"SELECT {keep}, CASE WHEN insufficient THEN 0.0 ELSE d0 END AS delta, "
+            "CAST(floor(z * 100 + 0.5) AS DOUBLE) / 100 AS z_score, "
+            "CAST(floor(p * 10000 + 0.5) AS DOUBLE) / 10000 AS p_value, "
+            f"{sig} AS significant, {interp} AS interpretation FROM ({z3})")
+
+
+def _significance_sql() -> str:
+    lagged = ("SELECT period, period_ord, n, promoters, passives, detractors, nps, "
+              + ", ".join(f"lag({c}) OVER (ORDER BY period_ord) AS prev_{c}"
+                          for c in ["period", "n", "promoters", "passives", "detractors", "nps"])
+              + f" FROM ({O.with_nps_sql(_trend_inner('sprint'))})")
+    rel = f"SELECT * FROM ({lagged}) WHERE prev_period IS NOT NULL"
+    return O.with_survey(_ztest_sql(rel, "prev_", "", "period, period_ord, prev_period, prev_n, n, prev_nps, nps"))
 
 
 @register("period_significance", _significance_sql())
@@ -649,6 +652,22 @@ def q_cohort_verbatims(spark, sf_dir):
     return cohorts.cohort_verbatims(rows(spark, sf_dir))
 
 
+def _cohort_significance_sql() -> str:
+    g, k = O.sprint_keys("sprint_id")
+    per = (f"SELECT sprint_id AS period, CAST(row_number() OVER (ORDER BY {g}, {k}, sprint_id) AS INTEGER) "
+           f"AS period_ord, {O.counts_if(_FT, 'ft_')}, {O.counts_if(_REP, 'rep_')} FROM survey "
+           f"WHERE {_KNOWN} AND sprint_id <> '' GROUP BY sprint_id")
+    tot = (f"SELECT 'All' AS period, CAST(0 AS INTEGER) AS period_ord, {O.counts_if(_FT, 'ft_')}, "
+           f"{O.counts_if(_REP, 'rep_')} FROM survey WHERE {_KNOWN}")
+    rel = O.with_nps_sql(O.with_nps_sql(f"{per} UNION ALL {tot}", "ft_"), "rep_")
+    return O.with_survey(_ztest_sql(rel, "rep_", "ft_", "period, period_ord, rep_n, ft_n, rep_nps, ft_nps"))
+
+
+@register("cohort_significance", _cohort_significance_sql())
+def q_cohort_significance(spark, sf_dir):
+    return cohorts.cohort_significance(rollup(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # T3, F8, W3, T8 verbatims (default period: the last three sprints)
 # ---------------------------------------------------------------------------
@@ -824,6 +843,21 @@ def q_stream_upsert(spark, sf_dir):
     return read_clean(spark, table).select(*_NO_ENGINE)
 
 
+_FILTERED_TOP_SQL = (
+    "SELECT *, CAST((rank - 1) // 30 + 1 AS INTEGER) AS page FROM ("
+    "SELECT CAST(row_number() OVER (ORDER BY evoc_score DESC, row_seq) AS INTEGER) AS rank, row_seq, "
+    "respondent_id, sprint_id, score, score_band, theme, evoc_score, feedback FROM ("
+    "SELECT *, CAST(least(length(feedback), 300) + abs(score - 5) * 20 AS INTEGER) AS evoc_score FROM survey "
+    f"WHERE theme <> '' AND score_band = 'detractor' AND theme = 'reliability' AND {O.fb_gt(5)})) "
+    "WHERE rank <= 100")
+
+
+@register("verbatims_filtered", O.with_survey(_FILTERED_TOP_SQL))
+def q_verbatims_filtered(spark, sf_dir):
+    """T3 with the band (F5) and theme (F6) selections over all periods."""
+    return verbatims.verbatims(rows(spark, sf_dir), FilterSpec(band="detractor", theme="reliability"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

@@ -80,7 +80,8 @@ SINGLE_SCAN = ["nps_overall", "nps_by_source", "nps_by_dimension", "trend_sprint
                "comment_rates", "dataset_summary", "dim_members", "sprint_counts", "matrix_tenure_sprint",
                "matrix_city_source", "matrix_plan_quarter", "matrix_filtered", "row_summary_sorted",
                "theme_stats", "themes_by_band", "theme_changes", "cohort_kpis", "cohort_trend",
-               "cohort_tenure", "cohort_city", "cohort_theme", "cohort_verbatims", "rollup_nps"]
+               "cohort_tenure", "cohort_city", "cohort_theme", "cohort_verbatims", "rollup_nps",
+               "cohort_significance", "verbatims_filtered"]
 
 
 @pytest.mark.parametrize("name", SINGLE_SCAN)
