@@ -124,3 +124,11 @@ def test_manifest_load_keeps_going_past_missing_files(spark, tmpdir_fresh):
     assert rep["gone.csv"].records == 0 and rep["gone.csv"].errors.startswith("File not found")
     seq = {r.respondent_id: r.ingest_seq for r in clean.collect()}
     assert seq["b"] < seq["a"]                                   # manifest order
+
+
+def test_export_one_sprint(spark, tmpdir_fresh):
+    write_files(tmpdir_fresh, FILES)
+    clean, _ = ingest_csv(spark, tmpdir_fresh)
+    out = os.path.join(tmpdir_fresh, "one")
+    export_csv(clean, out, sprint="Sprint 4")
+    assert sorted(d for d in os.listdir(out) if d.startswith("sprint_part=")) == ["sprint_part=Sprint 4"]
