@@ -27,11 +27,14 @@ def evoc_score():
 
 
 def verbatims(df: DataFrame, spec: FilterSpec | None = None, limit: int = 100,
-              classified_only: bool = True) -> DataFrame:
+              classified_only: bool = True, search_text: str | None = None,
+              search_before_limit: bool = False) -> DataFrame:
     """The ``limit`` most evocative comments (> 5 characters).
 
     ``classified_only`` keeps rows with a non-blank theme; the theme
     'unclassified' is non-blank and stays (Q8).  Ties break on ``row_seq``.
+    ``search_text`` (F8) filters after the limit, as the dashboard does (Q20),
+    or before it with ``search_before_limit=True``.
     """
     base = df
     if classified_only:
@@ -39,14 +42,19 @@ def verbatims(df: DataFrame, spec: FilterSpec | None = None, limit: int = 100,
     if spec is not None:
         base = apply_filters(base, spec, df)
     base = base.filter(utf16_len_gt(F.col("feedback"), 5)).withColumn("evoc_score", evoc_score())
+    if search_text and search_before_limit:
+        base = search(base, search_text)
     top = base.orderBy(F.col("evoc_score").desc(), F.col("row_seq")).limit(limit)
     w = Window.orderBy(F.col("evoc_score").desc(), F.col("row_seq"))
     out = top.withColumn("rank", F.row_number().over(w)).select(*VERBATIM_COLS)
-    return out.withColumn("page", ((F.col("rank") - 1) / PAGE_SIZE).cast("int") + 1)
+    out = out.withColumn("page", ((F.col("rank") - 1) / PAGE_SIZE).cast("int") + 1)
+    if search_text and not search_before_limit:
+        out = search(out, search_text)
+    return out
 
 
-def search(top: DataFrame, text: str, before_limit: DataFrame | None = None) -> DataFrame:
-    """F8: case-insensitive substring search over the ranked list (after the limit, Q20)."""
+def search(top: DataFrame, text: str) -> DataFrame:
+    """F8: case-insensitive substring search on the comment text."""
     needle = text.strip().lower()
     if not needle:
         return top

@@ -26,7 +26,7 @@ import io
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,8 +222,10 @@ def ingest_report(spark: SparkSession, raw: DataFrame | None, files: list[CsvFil
     return (m.withColumn("errors", errors).withColumn("warnings", warnings)
              .withColumn("status", F.when(F.col("warnings") == 0, F.lit("OK"))
                          .otherwise(F.concat(F.col("warnings").cast("string"), F.lit(" warning(s)"))))
+             # newest first, as the ingest log shows it (one row per file: a small window)
+             .withColumn("log_rank", F.row_number().over(Window.orderBy(F.col("ingest_seq").desc())))
              .select("file", "file_name", "size", "ingest_seq", "records", "skipped", "warnings",
-                     "status", "errors"))
+                     "status", "errors", "log_rank"))
 
 
 def read_manifest(spark: SparkSession, manifest_path: str) -> list[str]:

@@ -90,3 +90,10 @@ def test_count_queries_scan_their_input_once(spark, name):
     df.write.format("noop").mode("overwrite").save()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1
+
+
+def test_search_before_or_after_limit(spark):
+    rows = survey_table(spark, SMOKE_DIR)
+    after = verbatims.verbatims(rows, limit=10, search_text="ation").count()
+    before = verbatims.verbatims(rows, limit=10, search_text="ation", search_before_limit=True).count()
+    assert after <= 10 and before == 10 and after <= before
