@@ -143,9 +143,14 @@ def resolve_columns(headers: tuple[str, ...]) -> dict[str, int]:
 
 
 def scan_files(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0,
-               threads: int = 16) -> tuple[DataFrame | None, list[CsvFile]]:
+               threads: int = 16, multiline: bool = True) -> tuple[DataFrame | None, list[CsvFile]]:
     """Raw canonical-string rows of all readable files with a score column.
 
+    ``multiline=True`` accepts quoted newlines but reads each file in one task;
+    for large inputs known to have none, ``multiline=False`` lets Spark split
+    files into ``spark.sql.files.maxPartitionBytes`` chunks.  (Row order inside
+    a file - the last-wins order - is then kept per split.)
+
     Returns the union of one scan per header signature (columns: canonical
     fields present in any signature, ``src_file``, ``ingest_seq``, ``row_seq``)
     and the per-file header results.
@@ -171,7 +176,8 @@ def scan_files(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0
     for headers, members in groups.items():
         mapping = resolve_columns(headers)
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType(), True) for i in range(len(headers))])
-        df = spark.read.schema(schema).options(**CSV_OPTIONS).csv([m.path for m in members])
+        df = (spark.read.schema(schema).options(**CSV_OPTIONS)
+              .option("multiLine", "true" if multiline else "false").csv([m.path for m in members]))
         df = df.select(*[F.col(f"_c{i}").alias(field) for field, i in mapping.items()],
                        F.col("_metadata.file_path").alias("src_file"))
         parts.append(df)
@@ -183,9 +189,10 @@ def scan_files(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0
     return raw, files
 
 
-def ingest_csv(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0) -> tuple[DataFrame | None, DataFrame]:
+def ingest_csv(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0,
+               multiline: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """(clean rows, ingest report) for the CSV files under ``paths``."""
-    raw, files = scan_files(spark, paths, ingest_base)
+    raw, files = scan_files(spark, paths, ingest_base, multiline=multiline)
     clean = clean_survey(raw) if raw is not None else None
     return clean, ingest_report(spark, raw, files)
 

@@ -132,3 +132,11 @@ def test_export_one_sprint(spark, tmpdir_fresh):
     out = os.path.join(tmpdir_fresh, "one")
     export_csv(clean, out, sprint="Sprint 4")
     assert sorted(d for d in os.listdir(out) if d.startswith("sprint_part=")) == ["sprint_part=Sprint 4"]
+
+
+def test_single_line_mode_splits_but_keeps_rows(spark, tmpdir_fresh):
+    write_files(tmpdir_fresh, {"big.csv": "score,respondent_id,sprint_id\n" + "".join(
+        f"{i % 11},{i},Sprint 3\n" for i in range(5000))})
+    a, _ = ingest_csv(spark, tmpdir_fresh)
+    b, _ = ingest_csv(spark, tmpdir_fresh, multiline=False)
+    assert a.count() == b.count() == 5000
