@@ -41,12 +41,16 @@ def score_band(score: Column) -> Column:
             .otherwise(F.lit("detractor")))
 
 
-def count_aggs(prefix: str = "", cond: Column | None = None) -> list[Column]:
-    """Sum the unit count columns (optionally only where ``cond`` holds)."""
+def count_aggs(prefix: str = "", cond: str | None = None) -> list[Column]:
+    """Sum the unit count columns (optionally only where the SQL predicate ``cond`` holds).
+
+    Built as SQL expressions: one JVM call per aggregate instead of one per
+    Column operator.
+    """
     out = []
     for c in COUNT_COLS:
-        v = F.col(c) if cond is None else F.when(cond, F.col(c)).otherwise(F.lit(0))
-        out.append(F.coalesce(F.sum(v), F.lit(0)).cast("bigint").alias(prefix + c))
+        v = f"`{c}`" if cond is None else f"CASE WHEN {cond} THEN `{c}` ELSE 0 END"
+        out.append(F.expr(f"CAST(COALESCE(SUM({v}), 0) AS BIGINT)").alias(prefix + c))
     return out
 
 
@@ -73,20 +77,27 @@ def nps_variance(prefix: str = "") -> Column:
     return F.when(n > 0, var / n).otherwise(F.lit(0.0))
 
 
+def _sql_stats(prefix: str) -> dict[str, str]:
+    """Spark SQL text of Z1 / Z2 over prefixed counts (same operation order as the
+    Column helpers above: ``floor(x + 0.5)`` rounding, guarded ratios)."""
+    n, pro, det = f"`{prefix}n`", f"`{prefix}promoters`", f"`{prefix}detractors`"
+    pp = f"(CASE WHEN {n} > 0 THEN {pro} / {n} ELSE 0.0D END)"
+    pd = f"(CASE WHEN {n} > 0 THEN {det} / {n} ELSE 0.0D END)"
+    nps = f"(CASE WHEN {n} > 0 THEN CAST(FLOOR(({pp} - {pd}) * 1000 + 0.5D) AS DOUBLE) / 10 ELSE 0.0D END)"
+    var = f"(CASE WHEN {n} > 0 THEN ({pp} * (1 - {pp}) + {pd} * (1 - {pd}) + 2 * {pp} * {pd}) / {n} ELSE 0.0D END)"
+    se = f"(SQRT({var}) * 100)"
+    lower = f"(CASE WHEN {n} > 0 THEN CAST(FLOOR(({nps} - {Z95!r}D * {se}) * 10 + 0.5D) AS DOUBLE) / 10 ELSE 0.0D END)"
+    upper = f"(CASE WHEN {n} > 0 THEN CAST(FLOOR(({nps} + {Z95!r}D * {se}) * 10 + 0.5D) AS DOUBLE) / 10 ELSE 0.0D END)"
+    width = f"({upper} - {lower})"
+    conf = (f"CASE WHEN {n} = 0 THEN 'none' WHEN {n} >= 100 AND {width} < 15 THEN 'high' "
+            f"WHEN {n} >= 30 AND {width} < 25 THEN 'medium' ELSE 'low' END")
+    return {"nps": nps, "ci_lower": lower, "ci_upper": upper, "confidence": conf}
+
+
 def nps_stats(prefix: str = "") -> dict[str, Column]:
     """nps, ci_lower, ci_upper, confidence as independent expressions of the counts
     (shared sub-expressions are computed once by subexpression elimination)."""
-    n = _c(prefix, "n")
-    se = F.sqrt(nps_variance(prefix)) * F.lit(100)
-    nps = nps_value(prefix)
-    lower = F.when(n > 0, js_round1(nps - F.lit(Z95) * se)).otherwise(F.lit(0.0))
-    upper = F.when(n > 0, js_round1(nps + F.lit(Z95) * se)).otherwise(F.lit(0.0))
-    width = upper - lower
-    conf = (F.when(n == 0, F.lit("none"))
-            .when((n >= 100) & (width < 15), F.lit("high"))
-            .when((n >= 30) & (width < 25), F.lit("medium"))
-            .otherwise(F.lit("low")))
-    return {"nps": nps, "ci_lower": lower, "ci_upper": upper, "confidence": conf}
+    return {k: F.expr(v) for k, v in _sql_stats(prefix).items()}
 
 
 def with_nps(df: DataFrame, prefix: str = "", out_prefix: str | None = None) -> DataFrame:

@@ -32,8 +32,11 @@ def known_cohort(df: DataFrame) -> DataFrame:
     return df.filter(F.col("first_time_user").isin("Yes", "No"))
 
 
+YES_SQL, NO_SQL = "first_time_user = 'Yes'", "first_time_user = 'No'"
+
+
 def _split_aggs() -> list[Column]:
-    return count_aggs("ft_", _yes()) + count_aggs("rep_", _no())
+    return count_aggs("ft_", YES_SQL) + count_aggs("rep_", NO_SQL)
 
 
 def _with_split_stats(df: DataFrame, min_n: int | None = None) -> DataFrame:

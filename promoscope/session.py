@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         # HotSpot does not JIT methods above 8000 bytecodes; larger fused stages
         # fall back to per-operator code instead of running interpreted.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # no Python call-site capture on every Column call (error context only)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )

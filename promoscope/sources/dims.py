@@ -154,12 +154,25 @@ MIN_N = 5
 CANONICAL_FIELDS: list[str] = list(HEADER_ALIASES)
 
 
+_MAPS: dict[tuple, Column] = {}
+
+
 def literal_map(pairs: list[tuple[str, str]]) -> Column:
-    """A literal MAP<STRING,STRING> column: lookups stay JVM-side, no join."""
-    kv: list[Column] = []
-    for k, v in pairs:
-        kv += [F.lit(k), F.lit(v)]
-    return F.create_map(*kv)
+    """A literal MAP<STRING,STRING> column: lookups stay JVM-side, no join.
+
+    Built once per Spark context (a Column is reusable across DataFrames).
+    """
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    key = (id(sc), tuple(pairs))
+    m = _MAPS.get(key)
+    if m is None:
+        kv: list[Column] = []
+        for k, v in pairs:
+            kv += [F.lit(k), F.lit(v)]
+        m = _MAPS[key] = F.create_map(*kv)
+    return m
 
 
 def sprint_month_map() -> Column:
