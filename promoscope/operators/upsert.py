@@ -7,9 +7,9 @@ sprint collapsing to one key, or one key holding a third of the rows) is
 reduced inside each task before the shuffle and never lands whole in one task.
 
 ``upsert_into`` rewrites only the sprint partitions the new rows touch: the
-touched partitions are selected with a semi join on ``sprint_part`` (dynamic
-partition pruning on the partitioned table) and replaced by dynamic partition
-overwrite.
+touched sprint partitions are resolved first and read through a static
+partition filter (only their directories are listed and scanned), merged, and
+replaced by dynamic partition overwrite.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from promoscope.operators.clean import CLEAN_COLUMNS
 
 KEYS = ("sprint_id", "respondent_id")
+MAX_TOUCHED = 10_000  # sprint partitions resolved up front for static pruning
 ORDER = ("ingest_seq", "row_seq")
 
 
@@ -43,8 +44,13 @@ def merge(base: DataFrame, new: DataFrame, full: bool = False) -> DataFrame:
     new = new.select(*cols)
     if full:
         return latest_per_key(base.select(*cols).unionByName(new))
-    touched = new.select("sprint_part").distinct()
-    base_t = base.select(*cols).join(touched, "sprint_part", "left_semi")
+    # The touched sprints are partition keys (at most one per sprint): resolve
+    # them first and prune the table's partition directories statically.
+    parts = [r[0] for r in new.select("sprint_part").distinct().limit(MAX_TOUCHED + 1).collect()]
+    if len(parts) <= MAX_TOUCHED:
+        base_t = base.select(*cols).filter(F.col("sprint_part").isin(*parts))
+    else:  # an unusually wide arrival: semi join (AQE turns it into a broadcast join)
+        base_t = base.select(*cols).join(new.select("sprint_part").distinct(), "sprint_part", "left_semi")
     return latest_per_key(base_t.unionByName(new))
 
 

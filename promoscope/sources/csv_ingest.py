@@ -45,7 +45,8 @@ CSV_OPTIONS = {
     "encoding": "UTF-8",
 }
 
-_HEADER_BYTES = 1 << 20  # a header record longer than 1 MiB is treated as unreadable
+_HEADER_BYTES = 1 << 20
+BROADCAST_FILES_MAX = 200_000  # (path, index) rows; ~40 MB at 200 bytes per path  # a header record longer than 1 MiB is treated as unreadable
 
 
 @dataclass(frozen=True)
@@ -185,7 +186,10 @@ def scan_files(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0
     for p in parts[1:]:
         raw = raw.unionByName(p, allowMissingColumns=True)
     raw = raw.withColumn("row_seq", F.monotonically_increasing_id())
-    raw = raw.join(file_idx, "src_file", "left")
+    # one row per file, counted on the driver: broadcast it (no shuffle of the
+    # CSV rows) up to a fixed bound; beyond it, fall back to a shuffle join
+    small = len(files) <= BROADCAST_FILES_MAX
+    raw = raw.join(F.broadcast(file_idx) if small else file_idx, "src_file", "left")
     return raw, files
 
 
@@ -272,6 +276,7 @@ def ingest_manifest(spark: SparkSession, manifest_path: str, ingest_base: int =
              for f in files]
     if raw is not None:
         seq = spark.createDataFrame([(f.path, f.index) for f in files], "src_file string, _mseq bigint")
+        seq = F.broadcast(seq) if len(files) <= BROADCAST_FILES_MAX else seq
         raw = raw.join(seq, "src_file", "left").withColumn(
             "ingest_seq", F.coalesce(F.col("_mseq"), F.col("ingest_seq"))).drop("_mseq")
     files += [CsvFile(p, 0, ingest_base + order[p], None, "File not found: " + p) for p in missing]
