@@ -17,11 +17,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.operators import metrics
+from promoscope.functions import nps as _nps
+from promoscope.operators import cohorts, matrix, metrics, themes, verbatims
 from promoscope.operators.clean import CLEAN_COLUMNS, clean_survey
+from promoscope.operators.filters import FilterSpec
+from promoscope.operators.upsert import merge
 from promoscope.plans import oracle as O
-from promoscope.sources.driver_tables import survey_raw
+from promoscope.session import scratch_path
+from promoscope.sources import csv_ingest, survey_files
+from promoscope.sources.driver_tables import survey_raw, survey_resend
 from promoscope.sources.store import read_clean, survey_rollup, survey_table
+from promoscope.streaming import ingest_stream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -45,6 +51,27 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey_table(spark, sf_dir)
 
 
+def _trend_inner(grain: str) -> str:
+    """Per-period counts with labels and period_ord (no statistics yet)."""
+    if grain == "sprint":
+        g, k = O.sprint_keys("period")
+        inner = f"SELECT sprint_id AS period, {O.COUNTS} FROM survey WHERE sprint_id <> '' GROUP BY sprint_id"
+        label, full = O.label_case("period", 1), O.label_case("period", 2)
+        order = f"{g}, {k}, period"
+    elif grain == "month":
+        inner = (f"SELECT month AS period, {O.COUNTS} FROM survey "
+                 f"WHERE {O.order_case('month', metrics.dims.MONTH_ORDER)} IS NOT NULL GROUP BY month")
+        label, full = "regexp_replace(period, ' ''2[0-9]', '')", "period"
+        order = O.order_case("period", metrics.dims.MONTH_ORDER)
+    else:
+        inner = (f"SELECT quarter AS period, {O.COUNTS} FROM survey "
+                 f"WHERE {O.order_case('quarter', metrics.dims.QUARTER_ORDER)} IS NOT NULL GROUP BY quarter")
+        label, full = "split_part(period, ' (', 1)", "period"
+        order = O.order_case("period", metrics.dims.QUARTER_ORDER)
+    return (f"SELECT *, {label} AS label, {full} AS full_label, "
+            f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS period_ord FROM ({inner})")
+
+
 # ---------------------------------------------------------------------------
 # P1-P12 cleaning
 # ---------------------------------------------------------------------------
@@ -98,24 +125,7 @@ def q_nps_by_dimension(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _trend_sql(grain: str) -> str:
-    if grain == "sprint":
-        g, k = O.sprint_keys("period")
-        inner = f"SELECT sprint_id AS period, {O.COUNTS} FROM survey WHERE sprint_id <> '' GROUP BY sprint_id"
-        label, full = O.label_case("period", 1), O.label_case("period", 2)
-        order = f"{g}, {k}, period"
-    elif grain == "month":
-        inner = (f"SELECT month AS period, {O.COUNTS} FROM survey "
-                 f"WHERE {O.order_case('month', metrics.dims.MONTH_ORDER)} IS NOT NULL GROUP BY month")
-        label, full = "regexp_replace(period, ' ''2[0-9]', '')", "period"
-        order = O.order_case("period", metrics.dims.MONTH_ORDER)
-    else:
-        inner = (f"SELECT quarter AS period, {O.COUNTS} FROM survey "
-                 f"WHERE {O.order_case('quarter', metrics.dims.QUARTER_ORDER)} IS NOT NULL GROUP BY quarter")
-        label, full = "split_part(period, ' (', 1)", "period"
-        order = O.order_case("period", metrics.dims.QUARTER_ORDER)
-    body = (f"SELECT *, {label} AS label, {full} AS full_label, "
-            f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS period_ord FROM ({inner})")
-    return O.with_survey(O.with_nps_sql(body))
+    return O.with_survey(O.with_nps_sql(_trend_inner(grain)))
 
 
 for _g in metrics.GRAINS:
@@ -126,32 +136,10 @@ for _g in metrics.GRAINS:
     register(f"trend_{_g}", _trend_sql(_g))(_mk(_g))
 
 
-
 # ---------------------------------------------------------------------------
 # shared SQL pieces
 # ---------------------------------------------------------------------------
 
-def _trend_inner(grain: str) -> str:
-    """Per-period counts with labels and period_ord (no statistics yet)."""
-    if grain == "sprint":
-        g, k = O.sprint_keys("period")
-        inner = f"SELECT sprint_id AS period, {O.COUNTS} FROM survey WHERE sprint_id <> '' GROUP BY sprint_id"
-        label, full = O.label_case("period", 1), O.label_case("period", 2)
-        order = f"{g}, {k}, period"
-    elif grain == "month":
-        inner = (f"SELECT month AS period, {O.COUNTS} FROM survey "
-                 f"WHERE {O.order_case('month', metrics.dims.MONTH_ORDER)} IS NOT NULL GROUP BY month")
-        label, full = "regexp_replace(period, ' ''2[0-9]', '')", "period"
-        order = O.order_case("period", metrics.dims.MONTH_ORDER)
-    else:
-        inner = (f"SELECT quarter AS period, {O.COUNTS} FROM survey "
-                 f"WHERE {O.order_case('quarter', metrics.dims.QUARTER_ORDER)} IS NOT NULL GROUP BY quarter")
-        label, full = "split_part(period, ' (', 1)", "period"
-        order = O.order_case("period", metrics.dims.QUARTER_ORDER)
-    return (f"SELECT *, {label} AS label, {full} AS full_label, "
-            f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS period_ord FROM ({inner})")
-
-
 def _all_grains_sql() -> str:
     return " UNION ALL ".join(
         f"SELECT '{g}' AS grain, * FROM ({O.with_nps_sql(_trend_inner(g))})" for g in metrics.GRAINS)
@@ -167,6 +155,11 @@ recent AS (
 )"""
 
 
+O_ERF = [repr(_nps.ERF_A1), repr(_nps.ERF_A2), repr(_nps.ERF_A3), repr(_nps.ERF_A4), repr(_nps.ERF_A5)]
+O_ERF = [f"CAST({v} AS DOUBLE)" for v in O_ERF]
+O_ERF_P = f"CAST({_nps.ERF_P!r} AS DOUBLE)"
+
+
 def _erf_sql(x: str) -> str:
     t = f"(1 / (1 + {O_ERF_P} * abs({x})))"
     poly = (f"(((({O_ERF[4]} * {t} + {O_ERF[3]}) * {t} + {O_ERF[2]}) * {t} + {O_ERF[1]}) * {t} "
@@ -174,13 +167,6 @@ def _erf_sql(x: str) -> str:
     return f"((CASE WHEN {x} < 0 THEN -1.0 ELSE 1.0 END) * (1 - {poly} * {t} * exp(-{x} * {x})))"
 
 
-from promoscope.functions import nps as _nps  # noqa: E402
-
-O_ERF = [repr(_nps.ERF_A1), repr(_nps.ERF_A2), repr(_nps.ERF_A3), repr(_nps.ERF_A4), repr(_nps.ERF_A5)]
-O_ERF = [f"CAST({v} AS DOUBLE)" for v in O_ERF]
-O_ERF_P = f"CAST({_nps.ERF_P!r} AS DOUBLE)"
-
-
 # ---------------------------------------------------------------------------
 # A4, W1 + P17, Z3 + Z4, A18, F2 / W2
 # ---------------------------------------------------------------------------
@@ -354,13 +340,10 @@ def q_sprint_counts(spark, sf_dir):
     return metrics.sprint_counts(rollup(spark, sf_dir))
 
 
-
 # ---------------------------------------------------------------------------
 # A9 / A10 matrices
 # ---------------------------------------------------------------------------
 
-from promoscope.operators import cohorts, matrix, themes, verbatims  # noqa: E402
-from promoscope.operators.filters import FilterSpec  # noqa: E402
 
 _ORDERED = {"month": metrics.dims.MONTH_ORDER, "quarter": metrics.dims.QUARTER_ORDER,
             "tenure_cut": metrics.dims.TENURE_ORDER}
@@ -710,15 +693,10 @@ def q_verbatims_grouped(spark, sf_dir):
     return verbatims.grouped(_top(spark, sf_dir))
 
 
-
 # ---------------------------------------------------------------------------
 # S10 / W4 upsert, §4 rollup
 # ---------------------------------------------------------------------------
 
-from promoscope.operators.rollup import ROLLUP_DIMS  # noqa: E402
-from promoscope.operators.upsert import merge  # noqa: E402
-from promoscope.sources.driver_tables import survey_resend  # noqa: E402
-
 
 def _clean_resend(spark, sf_dir) -> DataFrame:
     return clean_survey(survey_resend(spark, sf_dir), ingest_seq=1, src_file="survey_resend")
@@ -748,9 +726,6 @@ def q_rollup_nps(spark, sf_dir):
 # S1-S9, S11, S13 files; R1-R3 streaming
 # ---------------------------------------------------------------------------
 
-from promoscope.sources import csv_ingest, survey_files  # noqa: E402
-from promoscope.session import scratch_path  # noqa: E402
-from promoscope.streaming import ingest_stream  # noqa: E402
 
 _NO_ENGINE = [c for c in CLEAN_COLUMNS if c not in ("row_seq", "ingest_seq", "src_file")]
 _CAL = [s[0] for s in metrics.dims.SPRINT_CALENDAR]

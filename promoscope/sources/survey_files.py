@@ -19,7 +19,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promoscope.operators.clean import CLEAN_COLUMNS
 from promoscope.session import scratch_path
 from promoscope.sources.csv_ingest import CSV_OPTIONS, list_csv_files
 from promoscope.sources.dims import SPRINT_CALENDAR, calendar_index
@@ -145,5 +144,4 @@ def file_catalogue(spark: SparkSession, paths: list[str] | str, clean: DataFrame
                       total.cast("bigint").alias("total_size"))
 
 
-__all__ = ["LAYOUTS", "write_survey_csvs", "survey_csv_dir", "export_csv", "file_catalogue",
-           "CLEAN_COLUMNS"]
+__all__ = ["LAYOUTS", "write_survey_csvs", "survey_csv_dir", "export_csv", "file_catalogue"]

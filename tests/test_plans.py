@@ -5,7 +5,6 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SMOKE_DIR
 from promoscope.operators import cohorts, matrix, themes, verbatims
