@@ -273,33 +273,52 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     )
 
 
+_MEMBER_DIMS = ["sprint_id", "source", "theme", "month", "quarter", "tenure_cut"]
+
+
 def dim_members(df: DataFrame) -> DataFrame:
-    """Sorted distinct members of the selectable dimensions.
+    """Sorted distinct members of the selectable dimensions.
 
     sprint (T1 order), source (sorted), theme (non-blank, sorted), channel
-    (the default channels first, then the others in sorted order).  One
-    GROUPING SETS pass; the channel list is the source list emitted twice.
+    (the default channels first, then the others sorted), month / quarter /
+    tenure (fixed order, only members present).  One GROUPING SETS pass; the
+    channel list is the source list emitted twice.
     """
     c = as_counts(df)
-    agg = c.groupingSets([["sprint_id"], ["source"], ["theme"]], "sprint_id", "source", "theme") \
-           .agg(F.grouping_id().alias("_gid"))
+    keys = _MEMBER_DIMS
+    agg = c.groupingSets([[k] for k in keys], *keys).agg(F.grouping_id().alias("_gid"))
     gid = F.col("_gid")
-    dim = F.when(gid == 3, F.array(F.lit("sprint"))) \
-           .when(gid == 5, F.array(F.lit("source"), F.lit("channel"))) \
-           .otherwise(F.array(F.lit("theme")))
-    member = F.when(gid == 3, F.col("sprint_id")).when(gid == 5, F.col("source")).otherwise(F.col("theme"))
+    nk = len(keys)
+    names = {"sprint_id": ["sprint"], "source": ["source", "channel"], "theme": ["theme"],
+             "month": ["month"], "quarter": ["quarter"], "tenure_cut": ["tenure"]}
+    dim = F.lit(None)
+    member = F.lit(None).cast("string")
+    for i, k in enumerate(keys):
+        g = (1 << nk) - 1 - (1 << (nk - 1 - i))
+        dim = F.when(gid == g, F.array(*[F.lit(x) for x in names[k]])).otherwise(dim)
+        member = F.when(gid == g, F.col(k)).otherwise(member)
     u = agg.select(F.explode(dim).alias("dimension"), member.alias("member")).filter(F.col("member") != "")
-    g, num = sprint_sort_keys(F.col("member"))
-    chan_pos = dims.order_index(dims.DEFAULT_CHANNELS, F.col("member"))
+    m = F.col("member")
+    fixed = {"month": dims.MONTH_ORDER, "quarter": dims.QUARTER_ORDER, "tenure": dims.TENURE_ORDER}
+    fixed_pos = None
+    for d, order in fixed.items():
+        pos = dims.order_index(order, m)
+        fixed_pos = F.when(F.col("dimension") == d, pos) if fixed_pos is None else \
+            fixed_pos.when(F.col("dimension") == d, pos)
+    u = u.withColumn("_fixed", fixed_pos)
+    u = u.filter(~F.col("dimension").isin(*fixed) | F.col("_fixed").isNotNull())
+    g, num = sprint_sort_keys(m)
+    chan_pos = dims.order_index(dims.DEFAULT_CHANNELS, m)
     is_sprint, is_chan = F.col("dimension") == "sprint", F.col("dimension") == "channel"
     k1 = (F.when(is_sprint, g.cast("double"))
            .when(is_chan, F.when(chan_pos.isNotNull(), F.lit(0.0)).otherwise(F.lit(1.0)))
+           .when(F.col("_fixed").isNotNull(), F.col("_fixed").cast("double"))
            .otherwise(F.lit(0.0)))
     k2 = (F.when(is_sprint, num.cast("double"))
            .when(is_chan, F.coalesce(chan_pos.cast("double"), F.lit(0.0)))
            .otherwise(F.lit(0.0)))
-    w = Window.partitionBy("dimension").orderBy(k1, k2, F.col("member"))
-    return u.withColumn("member_ord", F.row_number().over(w))
+    w = Window.partitionBy("dimension").orderBy(k1, k2, m)
+    return u.withColumn("member_ord", F.row_number().over(w)).drop("_fixed")
 
 
 def comment_rates_recent(df: DataFrame, k: int = 3) -> DataFrame:

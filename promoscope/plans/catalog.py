@@ -325,7 +325,14 @@ def _dim_members_sql() -> str:
         "(SELECT DISTINCT theme AS member FROM survey WHERE theme <> '') UNION ALL "
         f"SELECT 'channel', member, CAST(row_number() OVER (ORDER BY CASE WHEN {pos} IS NULL THEN 1 ELSE 0 END, "
         f"COALESCE({pos}, 0), member) AS INTEGER) FROM "
-        "(SELECT DISTINCT source AS member FROM survey WHERE source <> '')")
+        "(SELECT DISTINCT source AS member FROM survey WHERE source <> '') UNION ALL "
+        + " UNION ALL ".join(
+            f"SELECT '{name}', member, CAST(row_number() OVER (ORDER BY {O.order_case('member', order)}) "
+            f"AS INTEGER) FROM (SELECT DISTINCT {col} AS member FROM survey "
+            f"WHERE {O.order_case(col, order)} IS NOT NULL)"
+            for name, col, order in (("month", "month", metrics.dims.MONTH_ORDER),
+                                     ("quarter", "quarter", metrics.dims.QUARTER_ORDER),
+                                     ("tenure", "tenure_cut", metrics.dims.TENURE_ORDER))))
 
 
 @register("dim_members", _dim_members_sql())
