@@ -67,9 +67,4 @@ def upsert_into(spark: SparkSession, table_path: str, new: DataFrame, full: bool
 
     base = read_clean(spark, table_path)
     merged = merge(base, new, full)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        write_clean(merged, table_path, mode="overwrite")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    write_clean(merged, table_path, mode="overwrite", dynamic=True)

@@ -29,7 +29,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         # HotSpot does not JIT methods above 8000 bytecodes; larger fused stages
         # fall back to per-operator code instead of running interpreted.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")

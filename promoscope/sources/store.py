@@ -31,7 +31,7 @@ def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str, str]:
     return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
 
 
-def write_clean(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_clean(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = False) -> None:
     """Write a clean table partitioned by sprint.
 
     The ``rebalance`` hint lets AQE size the write tasks per sprint: a large
@@ -39,8 +39,10 @@ def write_clean(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     coalesced, instead of every upstream task writing a small file into every
     sprint directory.
     """
-    (df.select(*CLEAN_SCHEMA.fieldNames()).hint("rebalance", "sprint_part")
-       .write.mode(mode).partitionBy("sprint_part").parquet(path))
+    w = df.select(*CLEAN_SCHEMA.fieldNames()).hint("rebalance", "sprint_part").write.mode(mode)
+    if dynamic:  # replace only the partitions present in ``df``
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.partitionBy("sprint_part").parquet(path)
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
