@@ -2,9 +2,9 @@
 
 Plan:
 1. List ``*.csv`` files (S8) with the Hadoop FileSystem API.
-2. Read each file's header record only (first line, BOM stripped, trimmed);
-   this is per-file metadata, bounded by the number of files, read in a
-   small thread pool on the driver - no data rows pass through the driver.
+2. Read each file's header record only (first record, BOM stripped, trimmed):
+   in a Spark job over the file list when there are many files, in a small
+   driver thread pool otherwise - no data rows pass through the driver.
 3. Group files by header signature (Q9: one CSV scan over files with different
    column orders would map columns by position using one header); resolve
    each canonical field to the first matching alias (S2); a signature without
@@ -131,6 +131,68 @@ def read_header(spark: SparkSession, path: str) -> tuple[tuple[str, ...] | None,
         return None, f"{type(e).__name__}: {e}"
 
 
+DISTRIBUTED_HEADERS_MIN_FILES = 256  # below this, driver threads beat launching a job
+
+
+def _arrow_uri(path: str) -> str:
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def _headers_partition(batches):
+    """mapInPandas body: first record of each file, read with pyarrow's filesystems."""
+    import json
+
+    import pandas as pd
+    import pyarrow.fs as pafs
+
+    for pdf in batches:
+        out_p, out_h, out_e = [], [], []
+        for path in pdf["path"]:
+            try:
+                fs, rel = pafs.FileSystem.from_uri(_arrow_uri(path))
+                buf = b""
+                with fs.open_input_stream(rel) as f:
+                    while len(buf) < _HEADER_BYTES:
+                        chunk = f.read(4096)
+                        if not chunk:
+                            break
+                        buf += chunk
+                        if _first_record(buf)[1]:
+                            break
+                rec, _ = _first_record(buf)
+                text = "" if rec is None else rec.decode("utf-8", errors="replace").rstrip("\r")
+                out_h.append(json.dumps(_split_header(text) if text else []))
+                out_e.append(None)
+            except Exception as e:  # noqa: BLE001 - unsupported filesystem etc.: driver fallback
+                out_h.append(None)
+                out_e.append(f"{type(e).__name__}: {e}")
+            out_p.append(path)
+        yield pd.DataFrame({"path": out_p, "headers": out_h, "error": out_e})
+
+
+def read_headers(spark: SparkSession, paths: list[str], threads: int = 16,
+                 distributed_min: int = DISTRIBUTED_HEADERS_MIN_FILES
+                 ) -> list[tuple[tuple[str, ...] | None, str | None]]:
+    """Header records of many files: a Spark job (one task per batch of files)
+    when there are many, driver threads otherwise or for files the executors
+    could not open."""
+    import json
+
+    result: dict[str, tuple[tuple[str, ...] | None, str | None]] = {}
+    if len(paths) >= distributed_min:
+        n = max(1, min(len(paths) // 64 + 1, spark.sparkContext.defaultParallelism * 4))
+        files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(n)
+        got = files.mapInPandas(_headers_partition, "path string, headers string, error string").collect()
+        for r in got:
+            if r.headers is not None:
+                result[r.path] = (tuple(json.loads(r.headers)), None)
+    todo = [p for p in paths if p not in result]
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        for p, h in zip(todo, pool.map(lambda q: read_header(spark, q), todo)):
+            result[p] = h
+    return [result[p] for p in paths]
+
+
 def resolve_columns(headers: tuple[str, ...]) -> dict[str, int]:
     """Canonical field -> header position (first alias in alias order wins)."""
     lower = [h.lower().strip() for h in headers]
@@ -157,8 +219,7 @@ def scan_files(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0
     and the per-file header results.
     """
     listed = list_csv_files(spark, paths)
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        heads = list(pool.map(lambda f: read_header(spark, f[0]), listed))
+    heads = read_headers(spark, [p for p, _ in listed], threads)
     files = [CsvFile(p, s, ingest_base + i, h, e) for i, ((p, s), (h, e)) in enumerate(zip(listed, heads))]
 
     groups: dict[tuple[str, ...], list[CsvFile]] = {}

@@ -140,3 +140,11 @@ def test_single_line_mode_splits_but_keeps_rows(spark, tmpdir_fresh):
     a, _ = ingest_csv(spark, tmpdir_fresh)
     b, _ = ingest_csv(spark, tmpdir_fresh, multiline=False)
     assert a.count() == b.count() == 5000
+
+
+def test_distributed_header_reads_match_driver_reads(spark, tmpdir_fresh):
+    from promoscope.sources.csv_ingest import list_csv_files, read_headers
+
+    write_files(tmpdir_fresh, FILES)
+    paths = [p for p, _ in list_csv_files(spark, tmpdir_fresh)]
+    assert read_headers(spark, paths, distributed_min=1) == read_headers(spark, paths, distributed_min=10 ** 9)
