@@ -18,8 +18,6 @@ from promoscope.operators.ordering import member_kept, member_sort_keys
 from promoscope.operators.rollup import as_counts
 from promoscope.sources import dims
 
-AXES = ["tenure_cut", "city", "source", "plan_type", "first_time_user", "sprint_id", "month",
-        "quarter"]
 CITY_CAP = 12
 
 

@@ -200,15 +200,6 @@ def period_health(df: DataFrame) -> DataFrame:
                      "delta", "health_level", "change", "summary"))
 
 
-def sprint_list(df: DataFrame) -> DataFrame:
-    """Distinct non-blank sprints with their T1 order (``sprints`` of the views)."""
-    s = as_counts(df).filter(F.col("sprint_id") != "").groupBy("sprint_id").agg(
-        F.sum("n").cast("bigint").alias("n"))
-    g, num = sprint_sort_keys(F.col("sprint_id"))
-    w = Window.orderBy(g, num, F.col("sprint_id"))
-    return s.withColumn("sprint_ord", F.row_number().over(w))
-
-
 def recent_sprints(df: DataFrame, k: int = 3) -> DataFrame:
     """The last ``k`` sprints in sprint order, with their NPS."""
     t = trend(df, "sprint")

@@ -62,10 +62,7 @@ def as_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def sum_measures(measures: list[str] | None = None) -> list:
-    return [F.sum(m).cast("bigint").alias(m) for m in (measures or MEASURES)]
-
-
 def build_rollup(clean: DataFrame) -> DataFrame:
     """nps_rollup: measures summed per dimension combination (and sprint partition)."""
-    return as_counts(clean).groupBy("sprint_part", *ROLLUP_DIMS).agg(*sum_measures())
+    return as_counts(clean).groupBy("sprint_part", *ROLLUP_DIMS).agg(
+        *[F.sum(m).cast("bigint").alias(m) for m in MEASURES])

@@ -262,10 +262,6 @@ def ingest_csv(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0
     return clean, ingest_report(spark, raw, files)
 
 
-REPORT_SCHEMA = ("file string, file_name string, size bigint, ingest_seq bigint, records bigint, "
-                 "skipped bigint, header_error string")
-
-
 def ingest_report(spark: SparkSession, raw: DataFrame | None, files: list[CsvFile]) -> DataFrame:
     """Per file: records kept, rows skipped, warnings, status; newest first."""
     meta = []

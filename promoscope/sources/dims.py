@@ -1,17 +1,14 @@
 """Dimension tables of the survey model.
 
-Every table is a small, fixed list that ships with the engine; callers may pass
-their own DataFrames / lists instead.  The row cleaner turns the lookups into
-literal map expressions (no join, stays inside whole-stage codegen); the
-ordering tables are exposed as DataFrames for joins against *aggregated*
-frames, where they are broadcast because their size is fixed by this file.
+Every table is a small, fixed list that ships with the engine.  Lookups and
+orderings become literal map expressions (no join, no broadcast, evaluated
+inside the projection that needs them).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES - these must equal the survey programme's own definitions.
@@ -150,10 +147,6 @@ MIN_N = 5
 
 # ---------------------------------------------------------------------------
 
-# canonical field order of a cleaned survey row (before engine columns)
-CANONICAL_FIELDS: list[str] = list(HEADER_ALIASES)
-
-
 _MAPS: dict[tuple, Column] = {}
 
 
@@ -218,9 +211,3 @@ def order_index(values: list[str], c: Column) -> Column:
     """0-based position of ``c`` in a fixed order list; NULL when absent."""
     return literal_map([(v, str(i)) for i, v in enumerate(values)])[c].cast("int")
 
-
-def order_df(spark: SparkSession, values: list[str], name: str) -> DataFrame:
-    """A (name, ord) DataFrame for a fixed order list."""
-    schema = T.StructType([T.StructField(name, T.StringType(), False),
-                           T.StructField("ord", T.IntegerType(), False)])
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], schema)

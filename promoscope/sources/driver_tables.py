@@ -21,11 +21,6 @@ from pyspark.sql import functions as F
 
 from promoscope.sources.dims import literal_map
 
-RAW_COLUMNS = [
-    "row_seq", "respondent_id", "score", "feedback", "nps_reason_primary", "plan_type", "city",
-    "tenure_days", "tenure_cut", "source", "sprint_id", "sprint_start", "first_time_user",
-]
-
 # FIXED VALUES of the derivation (reason picked by order key modulo 26; 25 = no entry).
 DERIVED_REASONS: list[str] = [
     "Slow Speed", "Good Speed", "Frequent Disconnections", "Internet Down",
