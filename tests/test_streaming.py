@@ -38,3 +38,33 @@ def test_late_resend_rewrites_only_its_sprint(spark, tmpdir_fresh):
     run_available(spark, landing, table, ckpt, ["A", "B"])     # nothing new: no change
     third = sorted((r.sprint_id, r.respondent_id, r.score) for r in read_clean(spark, table).collect())
     assert third == second
+
+
+def test_replayed_batch_after_crash_is_idempotent(spark, tmpdir_fresh, monkeypatch):
+    import pytest
+
+    from promoscope.streaming import ingest_stream
+
+    landing = os.path.join(tmpdir_fresh, "landing")
+    table = os.path.join(tmpdir_fresh, "table")
+    ckpt = os.path.join(tmpdir_fresh, "ckpt")
+    write(os.path.join(landing, "A", "s3.csv"),
+          "score,respondent_id,sprint_id\n1,a,Sprint 3\n5,a,Sprint 3\n2,b,Sprint 4\n")
+    real = ingest_stream.upsert_into
+    calls = []
+
+    def crash_after_write(*args, **kwargs):
+        real(*args, **kwargs)
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("simulated failure before the batch commit")
+
+    monkeypatch.setattr(ingest_stream, "upsert_into", crash_after_write)
+    from pyspark.errors import StreamingQueryException
+
+    with pytest.raises((StreamingQueryException, RuntimeError)):
+        run_available(spark, landing, table, ckpt, ["A"])
+    run_available(spark, landing, table, ckpt, ["A"])          # restart: the batch is replayed
+    assert len(calls) == 2
+    got = sorted((r.sprint_id, r.respondent_id, r.score) for r in read_clean(spark, table).collect())
+    assert got == [("Sprint 3", "a", 5), ("Sprint 4", "b", 2)]
