@@ -123,6 +123,16 @@ def period_delta(df: DataFrame) -> DataFrame:
                        "prev_nps", "delta", "direction"))
 
 
+def period_direction(df: DataFrame) -> DataFrame:
+    """W1 + P17 for the latest period of every grain (the "latest change" card):
+    latest vs previous period, rounded delta and its direction class."""
+    d = period_delta(df)
+    last = F.max("period_ord").over(Window.partitionBy("grain"))
+    return (d.withColumn("_last", last).filter(F.col("period_ord") == F.col("_last"))
+             .filter(F.col("prev_period").isNotNull())
+             .select("grain", "period", "prev_period", "nps", "prev_nps", "delta", "direction"))
+
+
 def period_significance(df: DataFrame, grain: str = "sprint") -> DataFrame:
     """Z3 + Z4 over every pair of consecutive periods."""
     t = trend(df, grain)

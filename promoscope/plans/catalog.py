@@ -191,6 +191,19 @@ def q_period_delta(spark, sf_dir):
     return metrics.period_delta(rollup(spark, sf_dir))
 
 
+@register("period_direction", O.with_survey(
+    "SELECT grain, period, prev_period, nps, prev_nps, delta, "
+    "CASE WHEN delta > 2 THEN 'improving' WHEN delta < -2 THEN 'declining' ELSE 'stable' END AS direction "
+    f"FROM (SELECT *, {O.js_round1('(nps - prev_nps)')} AS delta "
+    "FROM (SELECT *, max(period_ord) OVER (PARTITION BY grain) AS last_ord, "
+    "lag(period) OVER (PARTITION BY grain ORDER BY period_ord) AS prev_period, "
+    "lag(nps) OVER (PARTITION BY grain ORDER BY period_ord) AS prev_nps "
+    f"FROM ({_all_grains_sql()}))) "
+    "WHERE period_ord = last_ord AND prev_period IS NOT NULL"))
+def q_period_direction(spark, sf_dir):
+    return metrics.period_direction(rollup(spark, sf_dir))
+
+
 def _ztest_sql(relation: str, before: str, after: str, keep: str) -> str:
     """SQL of the z-test of NPS(after) - NPS(before) over a relation with prefixed counts and nps."""
     z1 = (f"SELECT *, {O.js_round1(f'({after}nps - {before}nps)')} AS d0, "
