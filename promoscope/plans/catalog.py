@@ -25,7 +25,7 @@ from promoscope.operators.upsert import merge
 from promoscope.plans import oracle as O
 from promoscope.session import scratch_path
 from promoscope.sources import csv_ingest, survey_files
-from promoscope.sources.driver_tables import survey_raw, survey_resend
+from promoscope.sources.driver_tables import RESENT_SPRINTS, survey_raw, survey_resend
 from promoscope.sources.store import read_clean, survey_rollup, survey_table
 from promoscope.streaming import ingest_stream
 
@@ -833,7 +833,8 @@ def q_stream_upsert(spark, sf_dir):
     ckpt = scratch_path(spark, "stream_ckpt")
     layouts = list(survey_files.LAYOUTS)
     ingest_stream.run_available(spark, landing, table, ckpt, layouts)
-    survey_files.write_survey_csvs(survey_resend(spark, sf_dir), resend)
+    survey_files.write_survey_csvs(survey_resend(spark, sf_dir), resend,
+                                   layouts=survey_files.layouts_for(RESENT_SPRINTS))
     ingest_stream.run_available(spark, landing, table, ckpt, layouts)
     return read_clean(spark, table).select(*_NO_ENGINE)
 

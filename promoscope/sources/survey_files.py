@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import threading
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +43,22 @@ LAYOUTS: dict[str, list[tuple[str, str | None]]] = {
 }
 
 
+# layout of each calendar sprint: Sprint 1-7 -> A, 8-14 -> B, RSP sprints -> C; others -> D
+_CAL = [s[0] for s in SPRINT_CALENDAR]
+LAYOUT_SPRINTS = {"A": _CAL[0:7], "B": _CAL[7:14], "C": _CAL[14:]}
+
+
 def layout_of(sprint_id: Column) -> Column:
-    """Sprint 1-7 -> A, 8-14 -> B, RSP sprints -> C, anything else (no score column) -> D."""
-    cal = [s[0] for s in SPRINT_CALENDAR]
-    return (F.when(sprint_id.isin(*cal[0:7]), F.lit("A"))
-            .when(sprint_id.isin(*cal[7:14]), F.lit("B"))
-            .when(sprint_id.isin(*cal[14:]), F.lit("C"))
-            .otherwise(F.lit("D")))
+    """The header layout a sprint's file is written in (D: no score column)."""
+    out = F.lit("D")
+    for name in ("C", "B", "A"):
+        out = F.when(sprint_id.isin(*LAYOUT_SPRINTS[name]), F.lit(name)).otherwise(out)
+    return out
+
+
+def layouts_for(sprints: list[str]) -> list[str]:
+    """The layouts files of the given sprints are written in."""
+    return sorted({next((k for k, v in LAYOUT_SPRINTS.items() if s in v), "D") for s in sprints})
 
 
 def file_key(sprint_id: Column) -> Column:
@@ -60,7 +68,7 @@ def file_key(sprint_id: Column) -> Column:
 
 
 def write_survey_csvs(raw: DataFrame, out: str, partitions: int | None = None,
-                      mode: str = "overwrite") -> None:
+                      mode: str = "overwrite", layouts: list[str] | None = None) -> None:
     """Write raw survey rows as CSV files, one directory per (layout, sprint).
 
     ``mode="append"`` adds a later arrival of files next to the existing ones.
@@ -68,17 +76,15 @@ def write_survey_csvs(raw: DataFrame, out: str, partitions: int | None = None,
     df = raw.withColumn("_layout", layout_of(F.col("sprint_id"))).withColumn(
         "file_key", file_key(F.col("sprint_id")))
     n = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    # one derivation feeds the four layout writes (spills to disk if needed;
-    # a lost block is recomputed from lineage)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        _write_layouts(df, out, n, mode)
-    finally:
-        df.unpersist()
+    # Each layout write filters on the sprint's layout; the filter reaches the
+    # ``orders`` scan (the sprint comes from the order date), so every write
+    # joins only its own orders and nothing is materialised in between.
+    _write_layouts(df, out, n, mode, layouts or list(LAYOUTS))
 
 
-def _write_layouts(df: DataFrame, out: str, n: int, mode: str) -> None:
-    for layout, cols in LAYOUTS.items():
+def _write_layouts(df: DataFrame, out: str, n: int, mode: str, layouts: list[str]) -> None:
+    for layout in layouts:
+        cols = LAYOUTS[layout]
         sel = [(F.col(f) if f is not None else F.lit("")).alias(h) for h, f in cols]
         part = (df.filter(F.col("_layout") == layout)
                   .repartitionByRange(n, "file_key", "row_seq")
