@@ -155,15 +155,15 @@ def with_z_test(df: DataFrame, before: str, after: str) -> DataFrame:
     """
     n1, n2 = _c(before, "n"), _c(after, "n")
     insufficient = (n1 == 0) | (n2 == 0)
-    delta = js_round1(_c(after, "nps") - _c(before, "nps"))
-    se_diff = F.sqrt(nps_variance(before) + nps_variance(after)) * F.lit(100)
-    df = df.withColumn("_delta", delta).withColumn("_se", se_diff)
+    df = df.withColumns({
+        "_delta": js_round1(_c(after, "nps") - _c(before, "nps")),
+        "_se": F.sqrt(nps_variance(before) + nps_variance(after)) * F.lit(100),
+    })
     no_var = F.col("_se") == 0
+    ok = ~insufficient & ~no_var
     z = F.abs(F.col("_delta")) / F.col("_se")
     p = F.lit(2) * (F.lit(1) - F.lit(0.5) * (F.lit(1) + erf(z / F.lit(SQRT2))))
-    ok = ~insufficient & ~no_var
-    df = (df.withColumn("_z", F.when(ok, z))
-            .withColumn("_p", F.when(ok, p)))
+    df = df.withColumns({"_z": F.when(ok, z), "_p": F.when(ok, p)})
     sig = F.coalesce(F.col("_p") < 0.05, F.lit(False))
     p_txt = F.format_string("%.3f", F.col("_p"))
     interp = (F.when(insufficient, F.lit("Insufficient data"))
@@ -174,9 +174,10 @@ def with_z_test(df: DataFrame, before: str, after: str) -> DataFrame:
                                   F.lit(" pts (p="), p_txt, F.lit(") — statistically significant")))
               .otherwise(F.concat(F.lit("NPS changed by "), js_number_str(F.col("_delta")),
                                   F.lit(" pts (p="), p_txt, F.lit(") — not statistically significant"))))
-    return (df.withColumn("delta", F.when(insufficient, F.lit(0.0)).otherwise(F.col("_delta")))
-              .withColumn("z_score", js_round_to(F.col("_z"), 2))
-              .withColumn("p_value", js_round_to(F.col("_p"), 4))
-              .withColumn("significant", sig)
-              .withColumn("interpretation", interp)
-              .drop("_delta", "_se", "_z", "_p"))
+    return df.withColumns({
+        "delta": F.when(insufficient, F.lit(0.0)).otherwise(F.col("_delta")),
+        "z_score": js_round_to(F.col("_z"), 2),
+        "p_value": js_round_to(F.col("_p"), 4),
+        "significant": sig,
+        "interpretation": interp,
+    }).drop("_delta", "_se", "_z", "_p")
