@@ -586,6 +586,23 @@ def _cohort_trend_sql() -> str:
         f"CASE WHEN rep_n >= 5 THEN rep_nps END AS rep_nps FROM ({s})")
 
 
+def _cohort_trend_quarter_sql() -> str:
+    order = O.order_case("period", metrics.dims.QUARTER_ORDER)
+    inner = (f"SELECT quarter AS period, {O.counts_if(_FT, 'ft_')}, {O.counts_if(_REP, 'rep_')} "
+             f"FROM survey WHERE {_KNOWN} AND {O.order_case('quarter', metrics.dims.QUARTER_ORDER)} "
+             "IS NOT NULL GROUP BY quarter")
+    s = O.with_nps_sql(O.with_nps_sql(inner, "ft_"), "rep_")
+    return O.with_survey(
+        f"SELECT period, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS period_ord, "
+        "ft_n, CASE WHEN ft_n >= 5 THEN ft_nps END AS ft_nps, rep_n, "
+        f"CASE WHEN rep_n >= 5 THEN rep_nps END AS rep_nps FROM ({s})")
+
+
+@register("cohort_trend_quarter", _cohort_trend_quarter_sql())
+def q_cohort_trend_quarter(spark, sf_dir):
+    return cohorts.cohort_trend(rollup(spark, sf_dir), "quarter")
+
+
 @register("cohort_trend", _cohort_trend_sql())
 def q_cohort_trend(spark, sf_dir):
     return cohorts.cohort_trend(rollup(spark, sf_dir))

@@ -80,7 +80,7 @@ SINGLE_SCAN = ["nps_overall", "nps_by_source", "nps_by_dimension", "trend_sprint
                "matrix_city_source", "matrix_plan_quarter", "matrix_filtered", "row_summary_sorted",
                "theme_stats", "themes_by_band", "theme_changes", "cohort_kpis", "cohort_trend",
                "cohort_tenure", "cohort_city", "cohort_theme", "cohort_verbatims", "rollup_nps",
-               "cohort_significance", "verbatims_filtered", "period_direction"]
+               "cohort_significance", "verbatims_filtered", "period_direction", "cohort_trend_quarter"]
 
 
 @pytest.mark.parametrize("name", SINGLE_SCAN)
