@@ -11,7 +11,8 @@ from conftest import SMOKE_DIR
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 from check_oracle import TABLES, digest  # noqa: E402
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from promoscope.plans.catalog import oracle_sql, queries  # noqa: E402
 
 
 @pytest.fixture(scope="module")
