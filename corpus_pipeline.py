@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from promoscope.llm import line_quality, line_runs, piece_codec
+from promoscope.llm import line_quality, line_runs, piece_codec, pivotal_mix, probminhash
 from promoscope.llm.common import table
 from promoscope.session import scratch_path
 
@@ -22,7 +21,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return line_quality.clean_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that ten documents or more have."""
+    return line_runs.deduped_documents(docs, min_docs=10)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the smallest id."""
+    return probminhash.one_of_each_class(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them."""
+    return pivotal_mix.mixed_documents(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document's pieces."""
+    return piece_codec.encode_pieces(docs, PIECES, outputs=("ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules), ("line dedup", line_dedup), ("near duplicates", near_dedup),
+    ("mixing", mixing), ("sentencepiece", pieces),
+]
 
 #: The mixing stage draws at random (by hash), which DuckDB cannot repeat.
 ORACLE_SQL = None

@@ -76,9 +76,9 @@ class LineRuns:
             level += 1
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
-                        text_col: str = "text", batches: int = 4, fanout: int = 3) -> DataFrame:
-    """id, ``n_lines``, ``n_dropped`` and ``kept`` (the remaining text) of every row of ``docs``."""
+def frequent_lines(docs: DataFrame, min_docs: int, id_col: str, text_col: str, batches: int,
+                   fanout: int) -> DataFrame:
+    """(__id, __drop): the hashes of the frequent lines that each document has; no row without one."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "line-runs")
     text = text_or_empty(F.col(text_col))
@@ -98,26 +98,36 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_
         # the documents of a line are distinct ids: a pair is counted once
         batch = stored.filter(F.col("batch") == b).select(*HASH, "__id").distinct()
         runs.add(batch.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs")))
-    # which frequent lines each document has; documents without one get no row
-    frequent = runs.frequent()
-    drops = (
-        stored.select("__id", *HASH).join(frequent, HASH, "left_semi")
+    return (
+        stored.select("__id", *HASH).join(runs.frequent(), HASH, "left_semi")
         .groupBy("__id").agg(F.collect_set("h1").alias("__drop"))
     )
-    src = docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
-    joined = src.join(drops, src["__id"].eqNullSafe(drops["__id"]), "left").select(
-        src["__id"].alias(id_col), "__text", "__drop")
+
+
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
+                        text_col: str = "text", batches: int = 4, fanout: int = 3) -> DataFrame:
+    """``row`` (the row of ``docs``), ``n_lines``, ``n_dropped`` and ``kept`` (the remaining text)."""
+    drops = frequent_lines(docs, min_docs, id_col, text_col, batches, fanout)
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = src.join(drops, F.col(f"row.`{id_col}`").eqNullSafe(F.col("__id")), "left").select(
+        "row", "__drop", text_or_empty(F.col(f"row.`{text_col}`")).alias("__text"))
     split = F.split("__text", "\n", -1)
     rows = F.transform(split, lambda x: F.struct(x.alias("l"), F.xxhash64(line_key(x)).alias("h")))
     kept = F.filter(rows, lambda x: ~F.array_contains(F.col("__drop"), x["h"]))
+    cut = F.col("__drop").isNotNull()
     return (
-        joined.withColumn("__lines", F.when(F.col("__drop").isNotNull(), kept))
+        joined.withColumn("__lines", F.when(cut, kept))
         .select(
-            id_col,
-            F.size(split).cast("long").alias("n_lines"),
-            F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(
-                F.size(split) - F.size("__lines")).cast("long").alias("n_dropped"),
-            F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(
-                F.array_join(F.transform("__lines", lambda x: x["l"]), "\n")).alias("kept"),
+            "row", F.size(split).cast("long").alias("n_lines"),
+            F.when(cut, F.size(split) - F.size("__lines")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
+            F.when(cut, F.array_join(F.transform("__lines", lambda x: x["l"]), "\n"))
+            .otherwise(F.col("__text")).alias("kept"),
         )
     )
+
+
+def deduped_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with ``text`` without its frequent lines, and ``n_chars`` its length."""
+    out = drop_frequent_lines(docs, **options)
+    made = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*(made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.llm import line_quality, line_runs, piece_codec, secret_scan, token_counts
+from promoscope.llm import (
+    imatch, line_quality, line_runs, piece_codec, pivotal_mix, ppm, probminhash, secret_scan,
+    token_counts, warc)
 from promoscope.llm.common import table
+from promoscope.session import scratch_path
 
 BYTE_BPE = token_counts.Vocabulary(
     public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
@@ -15,6 +18,18 @@ BYTE_BPE = token_counts.Vocabulary(
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    read = warc.read_warc(spark, manifest)
+    return read.select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_page").cast("long").alias("refers_to"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
@@ -28,9 +43,22 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      outputs=("ids_sha256", "decoded_sha256", "n_split"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_runs.drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_runs.drop_frequent_lines(docs, min_docs=10)
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_mix.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +66,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_token_counts, op4_secret_scan, op5_sentencepiece, op7_line_dedup, op10_line_quality)}
+    op1_warc, op2_lm_scoring, op3_token_counts, op4_secret_scan, op5_sentencepiece, op6_imatch,
+    op7_line_dedup, op8_pivotal_mix, op9_probminhash, op10_line_quality)}
 
 ORACLE: dict[str, str] = {}
