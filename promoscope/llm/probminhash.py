@@ -280,10 +280,11 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` whose id is that of their class, one row per id."""
     found = near_duplicates(docs, id_col, text_col, **options)
     keep = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(
-        F.col(id_col).alias("__id"), "x1", "x2").distinct()
+        F.col(id_col).alias("id"), F.col("x1").alias("y1"), F.col("x2").alias("y2")).distinct()
     text = text_or_empty(F.col(text_col))
-    keyed = docs.withColumn("__x1", F.xxhash64(text)).withColumn("__x2", F.xxhash64(F.lit(1), text))
-    kept = keyed.join(keep, (F.col("__x1") == F.col("x1")) & (F.col("__x2") == F.col("x2"))
-                      & F.col(id_col).eqNullSafe(F.col("__id")))
-    one = Window.partitionBy("__x1", "__x2").orderBy("__x1", "__x2")
-    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                       F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(1), text).alias("x2"))
+    kept = rows.join(keep, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))
+                     & F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")))
+    one = Window.partitionBy("x1", "x2").orderBy("x1", "x2")
+    return kept.withColumn("n", F.row_number().over(one)).filter("n = 1").select("row.*")
