@@ -161,11 +161,12 @@ def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
     now = now.select(
         "key", F.when(seen, log10(F.col("n") / (F.col("t") + F.col("d"))))
         .when(F.col("t").isNotNull(), log10(F.col("d") / (F.col("t") + F.col("d"))))
-        .otherwise(F.lit(0.0)).alias("value"), seen.alias("done"), F.col("t").isNotNull().alias("above"))
+        .otherwise(F.lit(0.0)).alias("value"), seen.alias("done"), F.col("t").isNotNull().alias("above"),
+        F.coalesce("d", F.lit(0)).alias("d"))
     ready, rest = now.filter("done").select("key", "value"), now.filter("not done")
     for k in range(order - 1, -1, -1):
         mask = (1 << BITS * (k + 1)) - 1
-        here = rest.withColumn("low", F.col("key").bitwiseAND(F.lit(mask))).withColumn(
+        here = rest.select("key", "value", "above").withColumn("low", F.col("key").bitwiseAND(F.lit(mask))).withColumn(
             "v", F.shiftright(F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 2)) - 1)), BITS)).withColumn(
             "ctx", F.shiftright("low", BITS))
         here = (here.join(trie[k].select(F.col("key").alias("low"), "n"), "low", "left")
@@ -180,9 +181,9 @@ def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
             hit.alias("done"), known.alias("above"), F.coalesce("d", F.lit(0)).alias("d"))
         step = store(step, f"step-{k}")
         ready = ready.unionByName(step.filter("done").select("key", "value"))
-        rest = step.filter("not done").select("key", "value", "above", *["d"] * (k == 0))
-    d = F.col("d") if order else F.lit(0)
-    return ready.unionByName(rest.select("key", (F.col("value") - log10(SYMBOLS - d)).alias("value")))
+        rest = step.filter("not done")
+    # the rest have escaped from the empty context, whose d symbols are excluded
+    return ready.unionByName(rest.select("key", (F.col("value") - log10(SYMBOLS - F.col("d"))).alias("value")))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 4,
