@@ -16,17 +16,18 @@ from promoscope.functions.nps import score_band
 from promoscope.sources import dims
 
 CLEAN_COLUMNS: list[str] = [
-    "row_seq", "ingest_seq", "src_file", "respondent_id", "score", "score_band", "feedback",
+    "row_seq", "ingest_batch", "file_order", "src_file", "respondent_id", "score", "score_band", "feedback",
     "nps_reason_primary", "nps_reason_secondary", "plan_type", "city", "tenure_days",
     "tenure_cut", "source", "sprint_id", "sprint_start", "first_time_user", "theme", "month",
     "quarter", "sprint_part",
 ]
 
 _INT_COLS = {"score": T.IntegerType(), "tenure_days": T.IntegerType(),
-             "row_seq": T.LongType(), "ingest_seq": T.LongType()}
+             "row_seq": T.LongType(), "ingest_batch": T.LongType(), "file_order": T.LongType()}
+_ORDER_COLS = ("row_seq", "ingest_batch", "file_order")
 
 CLEAN_SCHEMA = T.StructType([
-    T.StructField(c, _INT_COLS.get(c, T.StringType()), c not in ("row_seq", "ingest_seq"))
+    T.StructField(c, _INT_COLS.get(c, T.StringType()), c not in _ORDER_COLS)
     for c in CLEAN_COLUMNS
 ])
 
@@ -60,12 +61,12 @@ def sprint_part(sprint_id: Column) -> Column:
     return F.when(sprint_id == "", F.lit(BLANK_PART)).otherwise(sprint_id)
 
 
-def clean_survey(raw: DataFrame, ingest_seq: int | Column = 0,
+def clean_survey(raw: DataFrame, ingest_batch: int | Column = 0,
                  src_file: str | Column = "survey_raw") -> DataFrame:
     """Clean raw survey rows.
 
     ``raw`` has string columns named by canonical field (missing fields read as
-    ''), optionally ``row_seq`` / ``ingest_seq`` / ``src_file``.  Rows whose
+    ''), optionally ``row_seq`` / ``ingest_batch`` / ``file_order`` / ``src_file``.  Rows whose
     score has no integer prefix are dropped (P2).
     """
     have = set(raw.columns)
@@ -82,7 +83,8 @@ def clean_survey(raw: DataFrame, ingest_seq: int | Column = 0,
     # projection of all rules compiles into one huge, interpreted method).
     trimmed = raw.select(
         engine_col("row_seq", F.monotonically_increasing_id(), "bigint").alias("row_seq"),
-        engine_col("ingest_seq", ingest_seq, "bigint").alias("ingest_seq"),
+        engine_col("ingest_batch", ingest_batch, "bigint").alias("ingest_batch"),
+        engine_col("file_order", 0, "bigint").alias("file_order"),
         engine_col("src_file", src_file, "string").alias("src_file"),
         *[(js_trim(F.col(f)) if f in have else F.lit("")).alias("_t_" + f) for f in fields],
     )
@@ -94,7 +96,7 @@ def clean_survey(raw: DataFrame, ingest_seq: int | Column = 0,
 
     tenure_num = F.col("_tenure_num")
     staged = parsed.select(
-        "row_seq", "ingest_seq", "src_file",
+        "row_seq", "ingest_batch", "file_order", "src_file",
         F.regexp_replace(F.col("_t_respondent_id"), r"\.0$", "").alias("respondent_id"),
         F.least(F.greatest(F.col("_score_num"), F.lit(0.0)), F.lit(10.0)).cast("int").alias("score"),
         F.col("_t_feedback").alias("feedback"),
@@ -116,7 +118,7 @@ def clean_survey(raw: DataFrame, ingest_seq: int | Column = 0,
     )
 
     return staged.select(
-        "row_seq", "ingest_seq", "src_file", "respondent_id", "score",
+        "row_seq", "ingest_batch", "file_order", "src_file", "respondent_id", "score",
         score_band(F.col("score")).alias("score_band"),
         "feedback", "nps_reason_primary", "nps_reason_secondary", "plan_type", "city",
         "tenure_days",

@@ -57,28 +57,20 @@ def apply_filters(df: DataFrame, spec: FilterSpec, base: DataFrame | None = None
     """
     base = df if base is None else base
     df = apply_period(df, spec.grain, spec.period)
-    use_channels = spec.channels is not None and len(spec.channels) > 0
+    # The guards count members of the whole table: scalar subqueries, run with the query itself.
+    if spec.channels:
+        chosen = F.col("source").isin(*spec.channels)
+        if spec.guard_channels:
+            there = base.select(F.count_distinct(F.when(F.col("source") != "", F.col("source"))))
+            chosen = chosen | (there.scalar() <= len(set(spec.channels)))
+        df = df.filter(chosen)
     wanted = [t for t in dims.TENURE_ORDER if t in (spec.tenures or ())]
-    guards = {}
-    if use_channels and spec.guard_channels:
-        guards["channels"] = F.count_distinct(F.when(F.col("source") != "", F.col("source")))
     if wanted:
         t = F.col("tenure_cut")
-        guards["tenures_avail"] = F.count_distinct(F.when(t.isin(*dims.TENURE_ORDER), t))
-        guards["tenures_valid"] = F.count_distinct(F.when(t.isin(*wanted), t))
-    if guards:
-        # The guards are three integers about the whole table: one tiny
-        # aggregate, evaluated once before the query (a scalar subquery would
-        # be re-planned - and re-scanned - at every reference).
-        g = base.agg(*[v.alias(k) for k, v in guards.items()]).first().asDict()
-    if use_channels:
-        sel = F.col("source").isin(*spec.channels)
-        if not (spec.guard_channels and len(spec.channels) >= g["channels"]):
-            df = df.filter(sel)
-    if wanted:
-        n_avail, n_valid = g["tenures_avail"], g["tenures_valid"]
-        if n_valid > 0 and n_valid < n_avail:
-            df = df.filter(F.col("tenure_cut").isin(*wanted))
+        of = lambda members: F.count_distinct(F.when(t.isin(*members), t))
+        # the selection counts where it is some but not all of the tenures that are there
+        all_or_none = base.select((of(wanted) == 0) | (of(wanted) >= of(dims.TENURE_ORDER)))
+        df = df.filter(t.isin(*wanted) | all_or_none.scalar())
     if spec.band is not None:
         df = df.filter(F.col("score_band") == spec.band)
     if spec.theme is not None:

@@ -26,20 +26,29 @@ def _kept(dim: str, member: Column) -> Column:
     return member.isNotNull() & ~member.isin("", "Unknown") & member_kept(dim, member)
 
 
-def _ordinal(dim: str, member: Column, side: Column) -> Column:
-    """Display position of an axis member among the rows of ``side``.
+def _ordinals(a: DataFrame, dim: str, member: str, total_gid: int, cell_gid: int, name: str,
+              city_rank: str | None) -> DataFrame:
+    """Display position of the members of one axis (T2), from its total rows only.
 
-    Every member of a cell also has a total row, so a dense rank over the
-    cells and totals of one axis equals the rank over that axis's members.
+    The total rows (one per member) are ranked together; all other rows are spread over partitions of
+    their own by their members' hash, where the rank means nothing.  Then each member's rows get the
+    position of its total row.
     """
-    w = Window.partitionBy(side).orderBy(*member_sort_keys(dim, member), member)
-    return F.when(side, F.dense_rank().over(w))
-
-
-def _cap_count_ordinal(member: Column, total_n: Column, side: Column) -> Column:
-    """Rank of a member by its total response count (``city_rank='count'``)."""
-    w = Window.partitionBy(side).orderBy(total_n.desc(), member)
-    return F.when(side, F.dense_rank().over(w))
+    total = F.col("_gid") == total_gid
+    m = F.col(member)
+    apart = F.when(total, F.lit(-1)).otherwise(F.pmod(F.hash("_gid", m, F.col("_other")), F.lit(1 << 20)))
+    place = F.row_number().over(Window.partitionBy(apart).orderBy(*member_sort_keys(dim, m), m))
+    of_member = Window.partitionBy(m)
+    a = a.withColumn("_at", F.when(total, place))
+    if city_rank == "count":
+        by_n = F.row_number().over(Window.partitionBy(apart).orderBy(F.col("n").desc(), m))
+        a = a.withColumn("_cap", F.when(total, by_n))
+    else:  # the reference cuts the alphabetical list (Q7)
+        a = a.withColumn("_cap", F.col("_at"))
+    on_axis = F.col("_gid").isin(total_gid, cell_gid)
+    for made, of in ((name, "_at"), ("_cap", "_cap")):
+        a = a.withColumn(made, F.when(on_axis, F.max(of).over(of_member)).cast("int"))
+    return a.drop("_at")
 
 
 def nps_matrix(df: DataFrame, row_dim: str, col_dim: str, spec: FilterSpec | None = None,
@@ -47,9 +56,9 @@ def nps_matrix(df: DataFrame, row_dim: str, col_dim: str, spec: FilterSpec | Non
                min_n: int = dims.MIN_N) -> DataFrame:
     """Long-form matrix: one row per cell / row total / column total / grand total.
 
-    The grouping-sets aggregate is referenced exactly once: member filters,
-    orders and caps are window functions over the aggregated frame (at most
-    #cells + #rows + #cols + 1 rows), so the input is scanned once.
+    The grouping-sets aggregate is referenced exactly once, so the input is scanned once: member
+    orders are ranks of the total rows, spread to the cells by windows over one member each; the city
+    cap cuts the rows before the other axis is ordered.
     """
     if row_dim == col_dim:
         raise ValueError("row and column dimensions must differ")
@@ -63,20 +72,13 @@ def nps_matrix(df: DataFrame, row_dim: str, col_dim: str, spec: FilterSpec | Non
             .when(gid == 1, _kept(row_dim, r))
             .when(gid == 2, _kept(col_dim, k))
             .otherwise(F.lit(True)))
-    a = (agg.filter(keep)
-            .withColumn("_rside", gid.isin(0, 1)).withColumn("_cside", gid.isin(0, 2)))
-    a = (a.withColumn("row_ord", _ordinal(row_dim, r, F.col("_rside")).cast("int"))
-          .withColumn("col_ord", _ordinal(col_dim, k, F.col("_cside")).cast("int")))
-    if city_cap is not None:
-        for dim, ordc, side, member in (("city", "row_ord", "_rside", r), ("city", "col_ord", "_cside", k)):
-            if (dim == row_dim and ordc == "row_ord") or (dim == col_dim and ordc == "col_ord"):
-                if city_rank == "count":
-                    tot_gid = 1 if ordc == "row_ord" else 2
-                    tot = F.max(F.when(gid == tot_gid, F.col("n"))).over(Window.partitionBy(member))
-                    rank = _cap_count_ordinal(member, tot, F.col(side))
-                else:  # the reference cuts the alphabetical list (Q7)
-                    rank = F.col(ordc)
-                a = a.withColumn("_cap", rank).filter(F.col("_cap").isNull() | (F.col("_cap") <= city_cap))
+    a = agg.filter(keep)
+    for dim, other, total_gid, name in ((row_dim, col_dim, 1, "row_ord"), (col_dim, row_dim, 2, "col_ord")):
+        capped = dim == "city" and city_cap is not None
+        a = _ordinals(a.withColumn("_other", F.col(other)), dim, dim, total_gid, 0, name,
+                      city_rank if capped else None)
+        if capped:
+            a = a.filter(F.col("_cap").isNull() | (F.col("_cap") <= city_cap))
     cell_type = (F.when(gid == 0, F.lit("cell")).when(gid == 1, F.lit("row_total"))
                  .when(gid == 2, F.lit("col_total")).otherwise(F.lit("grand_total")))
     u = a.select(cell_type.alias("cell_type"), r.cast("string").alias("row_member"),

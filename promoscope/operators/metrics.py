@@ -223,12 +223,14 @@ def recent_sprints(df: DataFrame, k: int = 3) -> DataFrame:
 def recent_filter(df: DataFrame, k: int = 3, sprints_from: DataFrame | None = None) -> DataFrame:
     """Rows of the last ``k`` sprints (the themes / verbatims default period).
 
-    The sprint list is an aggregate of at most (#sprints) rows; the semi join
-    lets Spark prune the ``sprint_part`` directories at run time.
+    The join is on the partition column and its other side has ``k`` rows at most (hence the broadcast),
+    so the scan prunes the other sprints' directories at run time.
     """
     src = df if sprints_from is None else sprints_from
-    last = recent_sprints(src, k).select(F.col("sprint_id").alias("_sid"))
-    return df.join(last, df["sprint_id"] == last["_sid"], "left_semi")
+    sprint = F.col("sprint_id")
+    last = (recent_sprints(src, k).orderBy("recent_rank").limit(k)
+            .select(F.when(sprint == "", F.lit("_blank")).otherwise(sprint).alias("_part")))
+    return df.join(F.broadcast(last), df["sprint_part"] == last["_part"], "left_semi")
 
 
 def feedback_rate(df: DataFrame) -> DataFrame:

@@ -79,52 +79,75 @@ def _status(count_prev: Column, count_curr: Column, delta: Column) -> Column:
             .otherwise(F.lit("Stable")))
 
 
+def _changes(m: DataFrame, top_k: int | None) -> DataFrame:
+    """P18 columns, labels and ranks of (prev_period, period, theme) rows with counts and shares."""
+    m = m.withColumn("pct_delta", js_round1(F.col("pct_curr") - F.col("pct_prev")))
+    rw = Window.partitionBy("period").orderBy(F.abs(F.col("pct_delta")).desc(), F.col("theme"))
+    out = (m.withColumn("status", _status(F.col("count_prev"), F.col("count_curr"), F.col("pct_delta")))
+            .withColumn("label", dims.theme_label(F.col("theme")))
+            .withColumn("change_rank", F.row_number().over(rw)))
+    return out if top_k is None else out.filter(F.col("change_rank") <= top_k)
+
+
+_CHANGE_COLS = ["theme", "label", "count_prev", "count_curr", "pct_prev", "pct_curr", "pct_delta",
+                "status", "change_rank"]
+
+
 def theme_changes(df: DataFrame, grain: str = "quarter", top_k: int | None = 10) -> DataFrame:
     """J3 + P18 for every pair of consecutive periods at once.
 
-    Per period: theme counts and % of the period's responses.  Each
-    (period, theme) row is emitted twice - as the current side of the pair
-    ending at its period and as the previous side of the pair ending at the
-    next period - and one aggregation per (pair, theme) merges both sides: a
-    full outer join (missing side = 0) without a self join, over a frame of
-    at most 2 x #periods x #themes rows.
+    Per period: theme counts and % of the period's responses.  Each (period, theme) row is emitted
+    twice - as the current side of the pair ending at its period and as the previous side of the pair
+    ending at the next one - and one aggregation per (pair, theme) merges both sides: a full outer join
+    (missing side = 0) without a self join.  The names of the neighbouring periods come from a range
+    frame over the periods' order.
     """
     key = GRAIN_KEY[grain]
     c = as_counts(df).filter(period_kept(grain, F.col(key)))
     agg = c.groupBy(F.col(key).alias("period"), "theme").agg(F.sum("n").cast("bigint").alias("count"))
     ordw = Window.orderBy(*period_sort_keys(grain, F.col("period")))
+    at = Window.orderBy("pord")
     x = (agg.withColumn("_total", F.sum("count").over(Window.partitionBy("period")))
             .withColumn("pord", F.dense_rank().over(ordw))
-            .withColumn("_last", F.max("pord").over(Window.partitionBy(F.lit(1)))))
-    # period names by position, carried on every row (bounded by #periods)
-    x = x.withColumn("_names", F.collect_set(F.struct("pord", "period")).over(Window.partitionBy(F.lit(1))))
+            .withColumn("_before", F.max("period").over(at.rangeBetween(-1, -1)))
+            .withColumn("_after", F.max("period").over(at.rangeBetween(1, 1))))
     x = x.filter(F.col("theme") != "").withColumn("pct", _pct1(F.col("count"), F.col("_total")))
-
-    def name_at(pos: Column) -> Column:
-        return F.element_at(F.filter(F.col("_names"), lambda e: e["pord"] == pos), 1)["period"]
-
     # each row plays both roles; one explode keeps a single reference to x
     x = x.withColumn("_role", F.explode(F.array(F.lit("curr"), F.lit("prev"))))
     curr = F.col("_role") == "curr"
-    x = x.filter((curr & (F.col("pord") > 1)) | (~curr & (F.col("pord") < F.col("_last"))))
     both = x.select(
         F.when(curr, F.col("pord")).otherwise(F.col("pord") + 1).alias("period_ord"), "theme",
         F.when(curr, F.col("count")).alias("count_curr"), F.when(curr, F.col("pct")).alias("pct_curr"),
         F.when(~curr, F.col("count")).alias("count_prev"), F.when(~curr, F.col("pct")).alias("pct_prev"),
-        F.when(curr, F.col("period")).otherwise(name_at(F.col("pord") + 1)).alias("period"),
-        F.when(curr, name_at(F.col("pord") - 1)).otherwise(F.col("period")).alias("prev_period"))
-    m = (both
+        F.when(curr, F.col("period")).otherwise(F.col("_after")).alias("period"),
+        F.when(curr, F.col("_before")).otherwise(F.col("period")).alias("prev_period"))
+    m = (both.filter(F.col("period").isNotNull() & F.col("prev_period").isNotNull())
          .groupBy("period_ord", "period", "prev_period", "theme")
          .agg(F.coalesce(F.max("count_prev"), F.lit(0).cast("bigint")).alias("count_prev"),
               F.coalesce(F.max("count_curr"), F.lit(0).cast("bigint")).alias("count_curr"),
               F.coalesce(F.max("pct_prev"), F.lit(0.0)).alias("pct_prev"),
               F.coalesce(F.max("pct_curr"), F.lit(0.0)).alias("pct_curr")))
-    m = m.withColumn("pct_delta", js_round1(F.col("pct_curr") - F.col("pct_prev")))
-    rw = Window.partitionBy("period").orderBy(F.abs(F.col("pct_delta")).desc(), F.col("theme"))
-    out = (m.withColumn("status", _status(F.col("count_prev"), F.col("count_curr"), F.col("pct_delta")))
-            .withColumn("label", dims.theme_label(F.col("theme")))
-            .withColumn("change_rank", F.row_number().over(rw))
-            .withColumn("period_ord", F.col("period_ord").cast("int")))
-    out = out.select("prev_period", "period", "period_ord", "theme", "label", "count_prev",
-                     "count_curr", "pct_prev", "pct_curr", "pct_delta", "status", "change_rank")
-    return out if top_k is None else out.filter(F.col("change_rank") <= top_k)
+    return _changes(m, top_k).select("prev_period", "period", F.col("period_ord").cast("int").alias("period_ord"),
+                                     *_CHANGE_COLS)
+
+
+def theme_changes_pair(df: DataFrame, prev_period: str, period: str, grain: str = "quarter",
+                       top_k: int | None = 10) -> DataFrame:
+    """J3 + P18 between any two chosen periods of a grain (a full outer merge on the theme).
+
+    Both periods are filtered at the scan and aggregated in one pass; totals count all responses of a
+    period, themed or not.
+    """
+    key = GRAIN_KEY[grain]
+    c = as_counts(df).filter(F.col(key).isin(prev_period, period))
+    if key == "sprint_id":
+        c = c.filter(F.col("sprint_part").isin(*(p or "_blank" for p in (prev_period, period))))
+    agg = c.groupBy("theme").agg(*[
+        F.coalesce(F.sum(F.when(F.col(key) == p, F.col("n"))), F.lit(0)).cast("bigint").alias(f"count_{side}")
+        for side, p in (("prev", prev_period), ("curr", period))])
+    every = Window.partitionBy(F.lit(1))  # one row per theme
+    for side in ("prev", "curr"):
+        agg = agg.withColumn(f"pct_{side}", _pct1(F.col(f"count_{side}"), F.sum(f"count_{side}").over(every)))
+    m = agg.filter((F.col("theme") != "") & (F.col("count_prev") + F.col("count_curr") > 0)).select(
+        F.lit(prev_period).alias("prev_period"), F.lit(period).alias("period"), "*")
+    return _changes(m, top_k).select("prev_period", "period", *_CHANGE_COLS)

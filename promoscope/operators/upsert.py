@@ -1,15 +1,17 @@
 """Upsert of re-sent survey files on (sprint_id, respondent_id), last wins.
 
-``latest_per_key`` keeps, per key, the row with the greatest
-(ingest_seq, row_seq).  It is a ``max_by`` aggregate, so Spark combines
-partially on the map side: a hot key (e.g. every blank respondent id of a
-sprint collapsing to one key, or one key holding a third of the rows) is
-reduced inside each task before the shuffle and never lands whole in one task.
-
-``upsert_into`` rewrites only the sprint partitions the new rows touch: the
-touched sprint partitions are resolved first and read through a static
-partition filter (only their directories are listed and scanned), merged, and
-replaced by dynamic partition overwrite.
+``latest_per_key`` keeps, per key, the last row by (ingest_batch, file_order, src_file, row_seq); the
+four together are different for all rows of a table.  Only the keys and these order columns are
+aggregated (partially on the map side, so a hot key - a third of all rows with a blank respondent id -
+is one row per task), and only keys with more than one row come out.  The wide rows are then joined
+with that short list, which Spark broadcasts where it is small; they are never sorted or aggregated.
+
+``merge`` drops the base rows whose keys are in the new rows (left anti), whatever their order columns
+say, so a new row always beats an old one.
+
+``upsert_into`` stages the new rows once in the shared folder, rewrites only the sprint partitions
+they touch (static partition filter, dynamic partition overwrite), and rebuilds the same sprints of
+the rollup.
 """
 
 from __future__ import annotations
@@ -17,54 +19,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.operators.clean import CLEAN_COLUMNS
+from promoscope.operators.clean import CLEAN_COLUMNS, CLEAN_SCHEMA
 
 KEYS = ("sprint_id", "respondent_id")
-MAX_TOUCHED = 10_000  # sprint partitions resolved up front for static pruning
-ORDER = ("ingest_seq", "row_seq")
+ORDER = ("ingest_batch", "file_order", "src_file", "row_seq")
 
 
 def latest_per_key(df: DataFrame, keys: tuple[str, ...] = KEYS,
                    order: tuple[str, ...] = ORDER) -> DataFrame:
-    """The last row per key by ``order`` (skew-safe partial aggregation)."""
-    cols = [c for c in df.columns if c not in keys]
-    agg = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order])).alias("_r"))
-    return agg.select(*keys, *[F.col("_r." + c).alias(c) for c in cols]).select(*df.columns)
+    """The last row per key by ``order`` (key columns without nulls)."""
+    place = F.struct(*order)
+    last = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(place).alias("_last"))
+              .filter("_n > 1").select(*keys, "_last"))
+    return (df.join(last, list(keys), "left")
+              .filter(F.col("_last").isNull() | (place == F.col("_last"))).select(*df.columns))
 
 
-def merge(base: DataFrame, new: DataFrame, full: bool = False) -> DataFrame:
-    """Rows of ``base`` and ``new`` merged last-wins.
+def merge(base: DataFrame, new: DataFrame, full: bool = False, touched: list[str] | None = None) -> DataFrame:
+    """Rows of ``base`` and ``new`` merged last-wins; a new row beats any base row of its key.
 
-    ``full=True`` dedups the whole table (what the survey programme does on its
-    first upload, Q11); otherwise only the sprints present in ``new`` are
-    merged and the result holds just those sprints.
+    ``full=True`` dedups the whole table (what the survey programme does on its first upload, Q11);
+    otherwise only the sprints of ``new`` are merged and the result holds just those sprints.
+    ``touched``: their ``sprint_part`` values, if the caller knows them.
     """
     cols = list(CLEAN_COLUMNS)
-    new = new.select(*cols)
-    if full:
-        return latest_per_key(base.select(*cols).unionByName(new))
-    # The touched sprints are partition keys (at most one per sprint): resolve
-    # them first and prune the table's partition directories statically.
-    parts = [r[0] for r in new.select("sprint_part").distinct().limit(MAX_TOUCHED + 1).collect()]
-    if len(parts) <= MAX_TOUCHED:
-        base_t = base.select(*cols).filter(F.col("sprint_part").isin(*parts))
-    else:  # an unusually wide arrival: semi join (AQE turns it into a broadcast join)
-        base_t = base.select(*cols).join(new.select("sprint_part").distinct(), "sprint_part", "left_semi")
-    return latest_per_key(base_t.unionByName(new))
-
-
-def upsert_into(spark: SparkSession, table_path: str, new: DataFrame, full: bool = False) -> None:
-    """Apply ``new`` clean rows to the partitioned table at ``table_path``.
-
-    Dynamic partition overwrite replaces only the sprint partitions present in
-    the merged result.  The write tasks read the old files before the
-    driver-side commit swaps the touched partitions in, so a retried task (lost
-    executor) still reads the original data; a failure before the commit
-    leaves the table unchanged.
+    base, new = base.select(*cols), new.select(*cols)
+    if not full:
+        # one value per partition directory that a write of the result replaces
+        parts = touched_parts(new) if touched is None else touched
+        base = base.filter(F.col("sprint_part").isin(*parts))
+    kept = latest_per_key(base).join(new.select(*KEYS).distinct(), list(KEYS), "left_anti")
+    return kept.select(*cols).unionByName(latest_per_key(new))
+
+
+def touched_parts(new: DataFrame) -> list[str]:
+    return sorted(r[0] for r in new.select("sprint_part").distinct().collect())
+
+
+def upsert_into(spark: SparkSession, table_path: str, new: DataFrame, full: bool = False,
+                rollup_path: str | None = None) -> list[str]:
+    """Apply ``new`` clean rows to the partitioned table at ``table_path``; returns the touched sprints.
+
+    Dynamic partition overwrite replaces only the sprint partitions present in the merged result.  The
+    write tasks read the old files before the driver-side commit swaps the touched partitions in, so a
+    retried task (lost executor) still reads the original data; a failure before the commit leaves the
+    table unchanged, and applying the same rows again gives the same table.  The rows get the batch
+    number after the largest one in the sprints they touch.
     """
-    from promoscope.sources.store import read_clean, write_clean
+    from promoscope.operators.rollup import build_rollup
+    from promoscope.session import scratch_path
+    from promoscope.sources.store import read_clean, write_clean, write_rollup
 
+    staged = scratch_path(spark, "upsert")
+    new.select(*CLEAN_COLUMNS).write.parquet(staged)
+    new = spark.read.schema(CLEAN_SCHEMA).parquet(staged)
     base = read_clean(spark, table_path)
-    merged = merge(base, new, full)
-    write_clean(merged, table_path, mode="overwrite", dynamic=True)
+    parts = touched_parts(new)
+    of_parts = F.col("sprint_part").isin(*parts)
+    last = base.filter(of_parts).agg(F.max("ingest_batch")).first()[0]
+    new = new.withColumn("ingest_batch", F.lit(0 if last is None else last + 1).cast("bigint"))
+    write_clean(merge(base, new, full, parts), table_path, mode="overwrite", dynamic=True)
+    if rollup_path is not None:
+        rows = read_clean(spark, table_path)
+        write_rollup(build_rollup(rows if full else rows.filter(of_parts)), rollup_path, dynamic=True)
+    return parts

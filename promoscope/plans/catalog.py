@@ -12,21 +12,24 @@ oracle SQL; rank columns make order-dependent results comparable as sets.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promoscope.functions import nps as _nps
 from promoscope.operators import cohorts, matrix, metrics, themes, verbatims
 from promoscope.operators.clean import CLEAN_COLUMNS, clean_survey
 from promoscope.operators.filters import FilterSpec
-from promoscope.operators.upsert import merge
+from promoscope.operators.rollup import build_rollup
+from promoscope.operators.upsert import merge, upsert_into
 from promoscope.plans import oracle as O
 from promoscope.session import scratch_path
 from promoscope.sources import csv_ingest, survey_files
 from promoscope.sources.driver_tables import RESENT_SPRINTS, survey_raw, survey_resend
-from promoscope.sources.store import read_clean, survey_rollup, survey_table
+from promoscope.sources.store import (
+    read_clean, read_rollup, survey_rollup, survey_table, write_clean, write_rollup)
 from promoscope.streaming import ingest_stream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -453,7 +456,7 @@ for _name, (_r, _c, _spec) in _MATRICES.items():
     register(_name, _matrix_sql(_r, _c, _spec))(_mk_matrix(_r, _c, _spec))
 
 
-def _row_summary_sql(dim: str, cap: int = matrix.CITY_CAP) -> str:
+def _row_summary_sql(dim: str, cap: int = matrix.CITY_CAP, way: str = "DESC") -> str:
     agg = f"SELECT {dim} AS row_member, {O.COUNTS} FROM survey GROUP BY {dim}"
     rws = (f"SELECT row_member, CAST(row_number() OVER (ORDER BY {_member_order_sql(dim, 'row_member')}) "
            f"AS INTEGER) AS row_ord FROM agg WHERE row_member NOT IN ('', 'Unknown') AND "
@@ -464,7 +467,7 @@ def _row_summary_sql(dim: str, cap: int = matrix.CITY_CAP) -> str:
     body = (f"SELECT *, {O.pct('promoters', 'n')} AS promoter_pct, {O.pct('passives', 'n')} AS passive_pct, "
             f"{O.pct('detractors', 'n')} AS detractor_pct, "
             "CASE WHEN nps > 5 THEN 'positive' WHEN nps < -5 THEN 'negative' ELSE 'neutral' END AS sentiment, "
-            "CAST(row_number() OVER (ORDER BY CASE WHEN nps = 0 THEN -99.0 ELSE nps END DESC, row_ord) AS INTEGER) "
+            f"CAST(row_number() OVER (ORDER BY CASE WHEN nps = 0 THEN -99.0 ELSE nps END {way}, row_ord) AS INTEGER) "
             f"AS sort_rank FROM ({stats})")
     return O.with_survey(body, [f"\nagg AS ({agg})", f"\nrws AS ({rws})"])
 
@@ -474,6 +477,11 @@ def q_row_summary_sorted(spark, sf_dir):
     return matrix.row_summary(rollup(spark, sf_dir), "city", sort="nps_desc")
 
 
+@register("row_summary_ascending", _row_summary_sql("city", way="ASC"))
+def q_row_summary_ascending(spark, sf_dir):
+    return matrix.row_summary(rollup(spark, sf_dir), "city", sort="nps_asc")
+
+
 # ---------------------------------------------------------------------------
 # A7, A8, J3 + P18 themes
 # ---------------------------------------------------------------------------
@@ -493,11 +501,12 @@ def q_theme_stats(spark, sf_dir):
     return themes.theme_stats(rollup(spark, sf_dir))
 
 
-def _themes_by_band_sql(top_k: int = 5) -> str:
+def _themes_by_band_sql(top_k: int = 5, recent: bool = False) -> str:
+    only = "sprint_id IN (SELECT sprint_id FROM recent)" if recent else "TRUE"
     agg = ("SELECT theme, count(*) FILTER (WHERE score >= 9) AS pro, count(*) FILTER (WHERE score <= 6) AS det "
-           "FROM survey WHERE theme <> '' GROUP BY theme")
+           f"FROM survey WHERE theme <> '' AND {only} GROUP BY theme")
     base = (f"SELECT count(*) FILTER (WHERE score >= 9 AND {O.fb_gt(5)}) AS pb, "
-            f"count(*) FILTER (WHERE score <= 6 AND {O.fb_gt(5)}) AS db FROM survey")
+            f"count(*) FILTER (WHERE score <= 6 AND {O.fb_gt(5)}) AS db FROM survey WHERE {only}")
     pos = (f"SELECT 'positive' AS side, theme, CAST(pro AS BIGINT) AS count, "
            f"{O.js_round('pro / (CASE WHEN pb > 0 THEN pb ELSE 1 END) * 100')} AS pct "
            f"FROM ({agg}) a, ({base}) b WHERE pro >= det AND pro > 0")
@@ -506,7 +515,7 @@ def _themes_by_band_sql(top_k: int = 5) -> str:
            f"FROM ({agg}) a, ({base}) b WHERE det > pro OR (det > 0 AND pro = 0)")
     ranked = (f"SELECT *, {O.theme_label_sql('theme')} AS label, CAST(row_number() OVER (PARTITION BY side "
               f"ORDER BY pct DESC, count DESC, theme) AS INTEGER) AS side_rank FROM ({pos} UNION ALL {neg})")
-    return O.with_survey(f"SELECT * FROM ({ranked}) WHERE side_rank <= {top_k}")
+    return O.with_survey(f"SELECT * FROM ({ranked}) WHERE side_rank <= {top_k}", [RECENT_CTE] if recent else [])
 
 
 @register("themes_by_band", _themes_by_band_sql())
@@ -514,6 +523,13 @@ def q_themes_by_band(spark, sf_dir):
     return themes.themes_by_band(rollup(spark, sf_dir), top_k=5)
 
 
+@register("themes_by_band_recent", _themes_by_band_sql(10, recent=True))
+def q_themes_by_band_recent(spark, sf_dir):
+    """A8 over the recent sprints, ten themes a list, as the themes view shows it."""
+    r = rollup(spark, sf_dir)
+    return themes.themes_by_band(metrics.recent_filter(r), top_k=10)
+
+
 def _theme_changes_sql(top_k: int = 10) -> str:
     order = O.order_case("period", metrics.dims.QUARTER_ORDER)
     ctes = [
@@ -552,6 +568,36 @@ def q_theme_changes(spark, sf_dir):
     return themes.theme_changes(rollup(spark, sf_dir), "quarter", top_k=10)
 
 
+def _theme_pair_sql(a: str, b: str, top_k: int = 10) -> str:
+    side = lambda p: f"count(*) FILTER (WHERE quarter = {O.q(p)})"
+    ctes = [
+        f"\nagg AS (SELECT theme, {side(a)} AS cp, {side(b)} AS cc FROM survey WHERE quarter IN ({O.q(a)}, {O.q(b)}) "
+        "GROUP BY theme)",
+        "\ntot AS (SELECT sum(cp) AS tp, sum(cc) AS tc FROM agg)",
+        f"\nm AS (SELECT {O.q(a)} AS prev_period, {O.q(b)} AS period, theme, CAST(cp AS BIGINT) AS count_prev, "
+        f"CAST(cc AS BIGINT) AS count_curr, {_pct1_sql('cp', 'tp')} AS pct_prev, {_pct1_sql('cc', 'tc')} AS pct_curr "
+        "FROM agg, tot WHERE theme <> '')",
+    ]
+    d = f"SELECT *, {O.js_round1('(pct_curr - pct_prev)')} AS pct_delta FROM m"
+    body = (f"SELECT *, {O.theme_label_sql('theme')} AS label, "
+            "CASE WHEN count_prev = 0 AND count_curr > 0 THEN 'Emerging' "
+            "WHEN count_prev > 0 AND count_curr = 0 THEN 'Resolved' "
+            "WHEN abs(pct_delta) > 2 THEN CASE WHEN pct_delta > 0 THEN 'Growing' ELSE 'Shrinking' END "
+            "ELSE 'Stable' END AS status, "
+            "CAST(row_number() OVER (ORDER BY abs(pct_delta) DESC, theme) AS INTEGER) AS change_rank "
+            f"FROM ({d})")
+    return O.with_survey(f"SELECT * FROM ({body}) WHERE change_rank <= {top_k}", ctes)
+
+
+_PAIR = (metrics.dims.QUARTER_ORDER[0], metrics.dims.QUARTER_ORDER[-1])
+
+
+@register("theme_changes_pair", _theme_pair_sql(*_PAIR))
+def q_theme_changes_pair(spark, sf_dir):
+    """J3 between two chosen periods that do not follow each other."""
+    return themes.theme_changes_pair(rollup(spark, sf_dir), *_PAIR)
+
+
 # ---------------------------------------------------------------------------
 # A11-A15, T4 cohorts
 # ---------------------------------------------------------------------------
@@ -736,12 +782,12 @@ def q_verbatims_grouped(spark, sf_dir):
 
 
 def _clean_resend(spark, sf_dir) -> DataFrame:
-    return clean_survey(survey_resend(spark, sf_dir), ingest_seq=1, src_file="survey_resend")
+    return clean_survey(survey_resend(spark, sf_dir), ingest_batch=1, src_file="survey_resend")
 
 
 _UPSERT_SQL = O.with_survey(
     f"SELECT {', '.join(CLEAN_COLUMNS)} FROM (SELECT *, row_number() OVER (PARTITION BY sprint_id, respondent_id "
-    "ORDER BY ingest_seq DESC, row_seq DESC) AS rn FROM (SELECT * FROM survey UNION ALL SELECT * FROM resend)) "
+    "ORDER BY ingest_batch DESC, row_seq DESC) AS rn FROM (SELECT * FROM survey UNION ALL SELECT * FROM resend)) "
     "WHERE rn = 1",
     [O.SURVEY_RESEND, O.clean_cte("resend", "survey_resend", 1, "survey_resend")])
 
@@ -764,25 +810,46 @@ def q_rollup_nps(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-_NO_ENGINE = [c for c in CLEAN_COLUMNS if c not in ("row_seq", "ingest_seq", "src_file")]
+_NO_ENGINE = [c for c in CLEAN_COLUMNS if c not in ("row_seq", "ingest_batch", "file_order", "src_file")]
 _CAL = [s[0] for s in metrics.dims.SPRINT_CALENDAR]
 _WITH_SCORE_SQL = "sprint_id IN (" + ", ".join(O.q(s) for s in _CAL) + ")"
+_LAYOUT_SQL = (f"CASE WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[0:7])}) THEN 'A' "
+               f"WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[7:14])}) THEN 'B' "
+               f"WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[14:])}) THEN 'C' ELSE 'D' END")
+
+
+def _file_key_sql(respondent: str) -> str:
+    """The file that a survey row is written to: layout, sprint and range of respondents."""
+    return (f"{_LAYOUT_SQL} || '_' || CASE WHEN sprint_id = '' THEN '_blank' "
+            "ELSE replace(lower(sprint_id), ' ', '_') END || '_' || "
+            f"CAST(CAST(regexp_extract({respondent}, '^([0-9]+)', 1) AS BIGINT) // "
+            f"{survey_files.RESPONDENTS_PER_FILE} AS VARCHAR)")
+
 
+def _with_lineage(clean: DataFrame, folder: str) -> DataFrame:
+    """The survey columns, the folder value of each row's file, and whether the row knows its place:
+    batch, file time, file and place in the file."""
+    ordered = (F.col("ingest_batch").isNotNull() & (F.col("file_order") > 0) & (F.col("src_file") != "")
+               & F.col("row_seq").isNotNull())
+    return clean.select(*_NO_ENGINE, _folder_value(folder).alias("file_key"), ordered.alias("ordered"))
 
-@register("csv_ingest", O.with_survey(f"SELECT {', '.join(_NO_ENGINE)} FROM survey WHERE {_WITH_SCORE_SQL}"))
+
+def _folder_value(folder: str) -> Column:
+    return F.url_decode(F.regexp_extract("src_file", f"{folder}=([^/]+)/", 1))
+
+
+@register("csv_ingest", O.with_survey(
+    f"SELECT {', '.join(_NO_ENGINE)}, {_file_key_sql('respondent_id')} AS file_key, TRUE AS ordered "
+    f"FROM survey WHERE {_WITH_SCORE_SQL}"))
 def q_csv_ingest(spark, sf_dir):
     clean, _ = csv_ingest.ingest_csv(spark, survey_files.survey_csv_dir(spark, sf_dir))
-    return clean.select(*_NO_ENGINE)
+    return _with_lineage(clean, "file_key")
 
 
 def _ingest_report_sql() -> str:
-    layout = (f"CASE WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[0:7])}) THEN 'A' "
-              f"WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[7:14])}) THEN 'B' "
-              f"WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[14:])}) THEN 'C' ELSE 'D' END")
-    key = f"{layout} || '_' || CASE WHEN sprint_id = '' THEN '_blank' ELSE replace(lower(sprint_id), ' ', '_') END"
     ok = f"TRY_CAST(NULLIF(regexp_extract(trim(score, {O.WS}), '^([+-]?[0-9]+)', 1), '') AS DOUBLE) IS NOT NULL"
     d_err = "No score column found in headers: " + ", ".join(h for h, _ in survey_files.LAYOUTS["D"])
-    per = (f"SELECT {key} AS file_key, {layout} AS layout, "
+    per = (f"SELECT {_file_key_sql('respondent_id')} AS file_key, {_LAYOUT_SQL} AS layout, "
            f"CAST(count(*) FILTER (WHERE {ok}) AS BIGINT) AS ok_rows, "
            f"CAST(count(*) FILTER (WHERE NOT ({ok})) AS BIGINT) AS bad_rows FROM survey_raw GROUP BY 1, 2")
     body = (f"SELECT file_key, CASE WHEN layout = 'D' THEN CAST(0 AS BIGINT) ELSE ok_rows END AS records, "
@@ -796,39 +863,74 @@ def _ingest_report_sql() -> str:
            f"FROM ({body})")
     return O.with_survey(
         "SELECT file_key, records, skipped, warnings, CASE WHEN warnings = 0 THEN 'OK' ELSE "
-        f"CAST(warnings AS VARCHAR) || ' warning(s)' END AS status, errors FROM ({out})")
+        "CAST(warnings AS VARCHAR) || ' warning(s)' END AS status, errors, "
+        f"CAST(count(*) OVER () AS BIGINT) AS log_length, TRUE AS newest_first FROM ({out})")
 
 
 @register("ingest_report", _ingest_report_sql())
 def q_ingest_report(spark, sf_dir):
+    """The report's own columns; the log's order is checked as ranks 1..n that follow the file times."""
     _, report = csv_ingest.ingest_csv(spark, survey_files.survey_csv_dir(spark, sf_dir))
-    per_key = report.groupBy(F.regexp_extract("file", "file_key=([^/]+)/", 1).alias("file_key")).agg(
-        F.sum("records").cast("bigint").alias("records"), F.sum("skipped").cast("bigint").alias("skipped"),
-        F.max(F.when(F.col("errors").startswith("No score"), F.split("errors", "; ")[0])).alias("header_error"))
-    warnings = (F.when(F.col("header_error").isNotNull(), 1).otherwise(0)
-                + F.when(F.col("skipped") > 0, 1).otherwise(0))
-    skipped_msg = F.when(F.col("skipped") > 0, F.concat(F.lit("Skipped "), F.col("skipped").cast("string"),
-                                                          F.lit(" rows with invalid/missing scores")))
-    return (per_key.withColumn("warnings", warnings.cast("int"))
-            .withColumn("status", F.when(F.col("warnings") == 0, F.lit("OK"))
-                        .otherwise(F.concat(F.col("warnings").cast("string"), F.lit(" warning(s)"))))
-            .withColumn("errors", F.concat_ws("; ", F.col("header_error"), skipped_msg))
-            .select("file_key", "records", "skipped", "warnings", "status", "errors"))
-
-
-@register("file_catalogue")
+    log = Window.orderBy("log_rank")  # one row per file
+    in_order = (F.row_number().over(log) == F.col("log_rank")) & (
+        F.coalesce(F.lag("file_order").over(log), F.col("file_order")) >= F.col("file_order"))
+    return report.select(
+        F.regexp_extract("file", "file_key=([^/]+)/", 1).alias("file_key"), "records", "skipped", "warnings",
+        "status", "errors", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("log_length"),
+        in_order.alias("newest_first"))
+
+
+@register("file_catalogue", O.with_survey(
+    "SELECT k.file_key, CAST(COALESCE(c.responses, 0) AS BIGINT) AS responses, "
+    f"CAST({O.cal_index('c.sprint_id')} AS INTEGER) AS sprint_ord, "
+    "TRUE AS has_size, TRUE AS total_is_sum "
+    f"FROM (SELECT DISTINCT {_file_key_sql('respondent_id')} AS file_key FROM survey_raw) k LEFT JOIN "
+    f"(SELECT {_file_key_sql('respondent_id')} AS file_key, min(sprint_id) AS sprint_id, count(*) AS responses "
+    f"FROM survey WHERE {_WITH_SCORE_SQL} GROUP BY 1) c ON c.file_key = k.file_key"))
 def q_file_catalogue(spark, sf_dir):
-    d = survey_files.survey_csv_dir(spark, sf_dir)
-    clean, _ = csv_ingest.ingest_csv(spark, d)
-    return survey_files.file_catalogue(spark, d, clean)
-
-
-@register("csv_roundtrip", O.with_survey(f"SELECT {', '.join(_NO_ENGINE)} FROM survey"))
+    files = csv_ingest.csv_files(spark, survey_files.survey_csv_dir(spark, sf_dir))
+    clean, _ = csv_ingest.ingest_files(spark, files)
+    cat = survey_files.file_catalogue(spark, files, clean)
+    total = F.sum("size").over(Window.partitionBy(F.lit(1)))  # one row per file
+    return cat.select(
+        F.regexp_extract("file", "file_key=([^/]+)/", 1).alias("file_key"), "responses",
+        F.col("sprint_ord").cast("int").alias("sprint_ord"), (F.col("size") > 0).alias("has_size"),
+        (total == F.col("total_size")).alias("total_is_sum"))
+
+
+@register("manifest_ingest", O.with_survey(
+    f"SELECT {', '.join(_NO_ENGINE)}, file_key, CAST(dense_rank() OVER (ORDER BY file_key DESC) AS BIGINT) AS place "
+    f"FROM (SELECT *, {_file_key_sql('respondent_id')} AS file_key FROM survey WHERE {_WITH_SCORE_SQL} "
+    f"AND {_LAYOUT_SQL} <> 'A')"))
+def q_manifest_ingest(spark, sf_dir):
+    """A manifest of some of the survey's files, last file key first, with one that does not exist."""
+    files = csv_ingest.csv_files(spark, survey_files.survey_csv_dir(spark, sf_dir))
+    keys = {f.path.split("file_key=")[1].split("/")[0]: f.path for f in files}
+    chosen = [keys[k] for k in sorted(keys, reverse=True) if k[0] in "BC"]
+    manifest = scratch_path(spark, "manifest")
+    listed = json.dumps([manifest + "/gone.csv", *chosen])
+    spark.createDataFrame([(listed,)], "value string").coalesce(1).write.text(manifest)
+    clean, _ = csv_ingest.ingest_manifest(spark, manifest)
+    return clean.select(*_NO_ENGINE, _folder_value("file_key").alias("file_key"), F.col("file_order").alias("place"))
+
+
+@register("csv_roundtrip", O.with_survey(
+    f"SELECT {', '.join(_NO_ENGINE)}, sprint_part AS file_key, TRUE AS ordered FROM survey"))
 def q_csv_roundtrip(spark, sf_dir):
     out = scratch_path(spark, "export")
     survey_files.export_csv(rows(spark, sf_dir), out)
     clean, _ = csv_ingest.ingest_csv(spark, out)
-    return clean.select(*_NO_ENGINE)
+    return _with_lineage(clean, "sprint_part")
+
+
+@register("export_one_sprint", O.with_survey(
+    f"SELECT {', '.join(_NO_ENGINE)}, sprint_part AS file_key, TRUE AS ordered FROM survey "
+    "WHERE sprint_id = 'Sprint 13'"))
+def q_export_one_sprint(spark, sf_dir):
+    out = scratch_path(spark, "export")
+    survey_files.export_csv(rows(spark, sf_dir), out, sprint="Sprint 13")
+    clean, _ = csv_ingest.ingest_csv(spark, out)
+    return _with_lineage(clean, "sprint_part")
 
 
 _RESEND_CTES = [O.SURVEY_RESEND, O.clean_cte("resend", "survey_resend", 1, "survey_resend")]
@@ -836,26 +938,38 @@ _RESEND_CTES = [O.SURVEY_RESEND, O.clean_cte("resend", "survey_resend", 1, "surv
 
 @register("stream_upsert", O.with_survey(
     f"SELECT {', '.join(_NO_ENGINE)} FROM (SELECT *, row_number() OVER (PARTITION BY sprint_id, respondent_id "
-    "ORDER BY ingest_seq DESC, row_seq DESC) AS rn FROM (SELECT * FROM survey UNION ALL SELECT * FROM resend)) "
+    "ORDER BY ingest_batch DESC, row_seq DESC) AS rn FROM (SELECT * FROM survey UNION ALL SELECT * FROM resend)) "
     f"WHERE rn = 1 AND {_WITH_SCORE_SQL}", _RESEND_CTES))
 def q_stream_upsert(spark, sf_dir):
-    # first arrival: the survey's CSV files; second arrival: the re-sent sprints,
-    # written into a folder the stream's glob matches only once it exists
-    base = survey_files.survey_csv_dir(spark, sf_dir).rstrip("/")
-    resend = scratch_path(spark, "resend_arrival")
-    parent = base.rsplit("/", 1)[0]
-    assert resend.rsplit("/", 1)[0] == parent
-    landing = f"{parent}/{{{base.rsplit('/', 1)[1]},{resend.rsplit('/', 1)[1]}}}"
-    table = scratch_path(spark, "stream_table")
-    ckpt = scratch_path(spark, "stream_ckpt")
+    """Three arrivals: the survey's files with most layouts, then the layout left out, then a re-send."""
+    landing = scratch_path(spark, "landing")
+    table, ckpt = scratch_path(spark, "stream_table"), scratch_path(spark, "stream_ckpt")
     layouts = list(survey_files.LAYOUTS)
-    ingest_stream.run_available(spark, landing, table, ckpt, layouts)
-    survey_files.write_survey_csvs(survey_resend(spark, sf_dir), resend,
-                                   layouts=survey_files.layouts_for(RESENT_SPRINTS))
-    ingest_stream.run_available(spark, landing, table, ckpt, layouts)
+    for number, (raw, chosen) in enumerate((
+            (survey_raw(spark, sf_dir), layouts[1:]), (survey_raw(spark, sf_dir), layouts[:1]),
+            (survey_resend(spark, sf_dir), survey_files.layouts_for(RESENT_SPRINTS)))):
+        survey_files.write_survey_csvs(raw, f"{landing}/arrival {number}", layouts=chosen)
+        ingest_stream.run_available(spark, landing, table, ckpt)
     return read_clean(spark, table).select(*_NO_ENGINE)
 
 
+@register("upsert_rollup", O.with_survey(O.with_nps_sql(
+    f"SELECT quarter, source, first_time_user, {O.COUNTS} FROM (SELECT * FROM survey "
+    f"WHERE sprint_id NOT IN ({', '.join(O.q(s) for s in RESENT_SPRINTS)}) UNION ALL "
+    "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY sprint_id, respondent_id "
+    "ORDER BY ingest_batch DESC, row_seq DESC) AS rn FROM (SELECT * FROM survey WHERE sprint_id IN "
+    f"({', '.join(O.q(s) for s in RESENT_SPRINTS)}) UNION ALL SELECT * FROM resend)) WHERE rn = 1) "
+    "GROUP BY quarter, source, first_time_user"), _RESEND_CTES))
+def q_upsert_rollup(spark, sf_dir):
+    """Section 4: an upsert rebuilds the touched sprints of the rollup; NPS is read from the rollup."""
+    table, kept = scratch_path(spark, "upsert_table"), scratch_path(spark, "upsert_rollup")
+    write_clean(rows(spark, sf_dir), table)
+    write_rollup(build_rollup(read_clean(spark, table)), kept)
+    upsert_into(spark, table, _clean_resend(spark, sf_dir), rollup_path=kept)
+    agg = read_rollup(spark, kept).groupBy("quarter", "source", "first_time_user").agg(*_nps.count_aggs())
+    return _nps.with_nps(agg)
+
+
 _FILTERED_TOP_SQL = (
     "SELECT *, CAST((rank - 1) // 30 + 1 AS INTEGER) AS page FROM ("
     "SELECT CAST(row_number() OVER (ORDER BY evoc_score DESC, row_seq) AS INTEGER) AS rank, row_seq, "

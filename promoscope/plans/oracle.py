@@ -69,7 +69,7 @@ survey_resend AS (
 )"""
 
 
-def clean_cte(name: str, src: str, ingest_seq: int, src_file: str) -> str:
+def clean_cte(name: str, src: str, ingest_batch: int, src_file: str) -> str:
     """SQL cleaning of a raw survey relation."""
     def tr(c: str) -> str:
         return f"trim(COALESCE({c}, ''), {WS})"
@@ -99,7 +99,8 @@ def clean_cte(name: str, src: str, ingest_seq: int, src_file: str) -> str:
   FROM {name}_p p WHERE score_num IS NOT NULL
 ),
 {name} AS (
-  SELECT CAST(row_seq AS BIGINT) AS row_seq, CAST({ingest_seq} AS BIGINT) AS ingest_seq,
+  SELECT CAST(row_seq AS BIGINT) AS row_seq, CAST({ingest_batch} AS BIGINT) AS ingest_batch,
+    CAST(0 AS BIGINT) AS file_order,
     {q(src_file)} AS src_file,
     regexp_replace(rid, '\\.0$', '') AS respondent_id,
     score_i AS score,

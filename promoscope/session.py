@@ -2,14 +2,16 @@
 
 Materialised tables (the cleaned survey table, the additive rollup, CSV
 exports) are written below ``spark.checkpoint.dir`` - the shared folder the
-cluster names.  Only when the session has none (local tests) is a fresh local
-directory created and registered as the checkpoint dir.
+cluster names.  Only in local mode may it be missing: then a fresh local
+directory is created and registered as the checkpoint dir.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,7 +35,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # no Python call-site capture on every Column call (error context only)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("PROMOSCOPE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
 
@@ -45,6 +47,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             d = tempfile.mkdtemp(prefix="promoscope-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
@@ -56,3 +60,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/promoscope/{name}-{uuid.uuid4().hex[:12]}"
 
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors import this package, where their PYTHONPATH does not have it."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _SHIPPED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="promoscope-py-"), "promoscope.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()

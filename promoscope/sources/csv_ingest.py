@@ -1,29 +1,31 @@
 """Survey CSV ingest with flexible headers, and the per-file ingest report.
 
 Plan:
-1. List ``*.csv`` files (S8) with the Hadoop FileSystem API.
-2. Read each file's header record only (first record, BOM stripped, trimmed):
-   in a Spark job over the file list when there are many files, in a small
-   driver thread pool otherwise - no data rows pass through the driver.
-3. Group files by header signature (Q9: one CSV scan over files with different
-   column orders would map columns by position using one header); resolve
-   each canonical field to the first matching alias (S2); a signature without
-   a score column yields error rows only (S3).
-4. One distributed scan per signature (all-string positional schema,
-   ``multiLine`` quoting, RFC-4180 escapes), projected to canonical names and
-   combined with ``unionByName`` (S5).
-5. Cleaning is ``operators.clean.clean_survey``; the report counts kept and
-   skipped rows per file (S4, S9) in the same pass structure.
-
-Ordering for last-wins upserts: ``ingest_seq = base + file index`` (files in
-path order) and ``row_seq`` increases with the position inside a file.
+1. List the CSV files (S8) through Spark's file index (``files.list_files``).
+2. Read every file's header record - its first non-blank record, however long - in one Spark job over
+   the file list; a file that cannot be opened becomes an error row of the report.
+3. Group files by header signature (Q9: one CSV scan over files with different column orders would map
+   columns by position using one header); resolve each canonical field to the first matching alias
+   (S2); a signature without a score column yields error rows only (S3).
+4. One distributed scan per signature (all-string positional schema, ``multiLine`` quoting, RFC-4180
+   escapes), projected to canonical names and combined with ``unionByName`` (S5).
+5. Cleaning is ``operators.clean.clean_survey``; the report counts kept and skipped rows per file
+   (S4, S9) in the same pass structure.
+
+Order for last-wins upserts: ``ingest_batch``, then ``file_order`` (the file's modification time, or
+its place in a manifest), then ``src_file`` and ``row_seq`` (place in the file).  All of them come from
+the scan itself (``_metadata``), so no row is ever joined with a file list to get them; ``src_file`` is
+``_metadata.file_path`` in scans and listings alike.
+
+The driver holds one row per file (path, size, time, header), as Spark's own file index does.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-from concurrent.futures import ThreadPoolExecutor
+import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,11 +34,15 @@ from pyspark.sql import types as T
 
 from promoscope.functions.columns import JS_WHITESPACE, js_int_prefix, js_trim
 from promoscope.operators.clean import clean_survey
+from promoscope.session import ship_package
 from promoscope.sources import dims
+from promoscope.sources.files import exists, file_system, list_files, literal_path
 
 CSV_OPTIONS = {
     "header": "true",
     "multiLine": "true",
+    # a given separator keeps CRLF inside quotes as it is; a CR before it is trimmed with the field
+    "lineSep": "\n",
     "escape": '"',
     "quote": '"',
     "ignoreLeadingWhiteSpace": "false",
@@ -45,152 +51,70 @@ CSV_OPTIONS = {
     "encoding": "UTF-8",
 }
 
-_HEADER_BYTES = 1 << 20
-BROADCAST_FILES_MAX = 200_000  # (path, index) rows; ~40 MB at 200 bytes per path  # a header record longer than 1 MiB is treated as unreadable
+FILES_PER_TASK = 64  # header reads of one task
 
 
 @dataclass(frozen=True)
 class CsvFile:
     path: str
+    uri: str
     size: int
-    index: int
+    order: int
     headers: tuple[str, ...] | None
     error: str | None
 
 
-def _jfs(spark: SparkSession, path: str):
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jp, jp.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def list_csv_files(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, int]]:
-    """Every ``*.csv`` file under the given files / directories, path-sorted.
-
-    Listing is Spark's own file index (parallel for large directory trees):
-    the ``binaryFile`` source with only ``path`` and ``length`` selected never
-    opens a file.  The result is per-file metadata, bounded by the file count.
-    """
-    if isinstance(paths, str):
-        paths = [paths]
-    existing = []
-    for p in paths:
-        jp, fs = _jfs(spark, p)
-        if fs.exists(jp):
-            existing.append(p)
-    if not existing:
-        return []
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]")
-               .option("recursiveFileLookup", "true").load(existing).select("path", "length"))
-    return sorted({(r.path, int(r.length)) for r in listing.collect()})
-
-
-def _split_header(text: str) -> list[str]:
-    row = next(csv.reader(io.StringIO(text)), [])
-    return [h.strip(JS_WHITESPACE) for h in row]
-
-
-def _first_record(buf: bytes) -> tuple[bytes | None, bool]:
-    """(first non-blank record, complete?) of a byte prefix; quoted newlines stay."""
-    in_quotes = False
-    start = 0
-    for i, ch in enumerate(buf):
-        if ch == 0x22:
-            in_quotes = not in_quotes
-        elif ch == 0x0A and not in_quotes:
-            rec = buf[start:i]
-            if rec.strip(b"\r\n\t \xef\xbb\xbf"):
-                return rec, True
-            start = i + 1
-    rec = buf[start:]
-    return (rec if rec.strip() else None), False
-
-
-def read_header(spark: SparkSession, path: str) -> tuple[tuple[str, ...] | None, str | None]:
-    """The first non-empty record of a CSV file (quoted newlines allowed)."""
-    try:
-        jp, fs = _jfs(spark, path)
-        stream = fs.open(jp)
-        try:
-            buf = b""
-            while len(buf) < _HEADER_BYTES:
-                chunk = bytes(stream.readNBytes(4096))
-                if not chunk:
-                    break
-                buf += chunk
-                rec, complete = _first_record(buf)
-                if complete:
-                    break
-            rec, _ = _first_record(buf)
-        finally:
-            stream.close()
-        if rec is None:
-            return (), None
-        text = rec.decode("utf-8", errors="replace").rstrip("\r")
-        return tuple(_split_header(text)), None
-    except Exception as e:  # noqa: BLE001 - any read failure becomes a report row
-        return None, f"{type(e).__name__}: {e}"
-
-
-DISTRIBUTED_HEADERS_MIN_FILES = 256  # below this, driver threads beat launching a job
-
-
-def _arrow_uri(path: str) -> str:
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-
-
-def _headers_partition(batches):
-    """mapInPandas body: first record of each file, read with pyarrow's filesystems."""
-    import json
-
+def split_header(record: bytes) -> tuple[str, ...]:
+    """The trimmed names of a header record; a byte order mark before it (or its quotes) goes first."""
+    text = record.decode("utf-8", errors="replace").lstrip("\ufeff").rstrip("\r\n")
+    csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
+    return tuple(h.strip(JS_WHITESPACE) for h in next(csv.reader(io.StringIO(text, newline="")), []))
+
+
+def first_record(stream, chunk: int = 1 << 16) -> bytes:
+    """The first record with something in it (newlines within quotes belong to it), read to its end."""
+    parts: list[bytes] = []
+    quoted = False
+    while data := stream.read(chunk):
+        at = 0
+        for m in re.finditer(rb'["\n]', data):
+            if m.group() == b'"':
+                quoted = not quoted
+            elif not quoted:
+                parts.append(data[at:m.start()])
+                at = m.end()
+                record = b"".join(parts)
+                if record.strip(b"\r\n\t \xef\xbb\xbf"):
+                    return record
+                parts = []
+        parts.append(data[at:])
+    return b"".join(parts)
+
+
+def _headers_of(batches):
+    """mapInPandas body: path -> header as JSON, or the reason why it could not be read."""
     import pandas as pd
-    import pyarrow.fs as pafs
 
     for pdf in batches:
-        out_p, out_h, out_e = [], [], []
+        rows = []
         for path in pdf["path"]:
             try:
-                fs, rel = pafs.FileSystem.from_uri(_arrow_uri(path))
-                buf = b""
-                with fs.open_input_stream(rel) as f:
-                    while len(buf) < _HEADER_BYTES:
-                        chunk = f.read(4096)
-                        if not chunk:
-                            break
-                        buf += chunk
-                        if _first_record(buf)[1]:
-                            break
-                rec, _ = _first_record(buf)
-                text = "" if rec is None else rec.decode("utf-8", errors="replace").rstrip("\r")
-                out_h.append(json.dumps(_split_header(text) if text else []))
-                out_e.append(None)
-            except Exception as e:  # noqa: BLE001 - unsupported filesystem etc.: driver fallback
-                out_h.append(None)
-                out_e.append(f"{type(e).__name__}: {e}")
-            out_p.append(path)
-        yield pd.DataFrame({"path": out_p, "headers": out_h, "error": out_e})
-
-
-def read_headers(spark: SparkSession, paths: list[str], threads: int = 16,
-                 distributed_min: int = DISTRIBUTED_HEADERS_MIN_FILES
-                 ) -> list[tuple[tuple[str, ...] | None, str | None]]:
-    """Header records of many files: a Spark job (one task per batch of files)
-    when there are many, driver threads otherwise or for files the executors
-    could not open."""
-    import json
-
-    result: dict[str, tuple[tuple[str, ...] | None, str | None]] = {}
-    if len(paths) >= distributed_min:
-        n = max(1, min(len(paths) // 64 + 1, spark.sparkContext.defaultParallelism * 4))
-        files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(n)
-        got = files.mapInPandas(_headers_partition, "path string, headers string, error string").collect()
-        for r in got:
-            if r.headers is not None:
-                result[r.path] = (tuple(json.loads(r.headers)), None)
-    todo = [p for p in paths if p not in result]
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        for p, h in zip(todo, pool.map(lambda q: read_header(spark, q), todo)):
-            result[p] = h
-    return [result[p] for p in paths]
+                where, name = file_system(path)
+                with where.open_input_stream(name) as stream:
+                    rows.append((path, json.dumps(split_header(first_record(stream))), None))
+            except Exception as e:  # noqa: BLE001 - whatever keeps a file from being read is reported with it
+                rows.append((path, None, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(rows, columns=["path", "headers", "error"])
+
+
+def read_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[tuple[str, ...] | None, str | None]]:
+    """path -> (header names, None) or (None, error), read on the executors."""
+    if not paths:
+        return {}
+    ship_package(spark)
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(-(-len(paths) // FILES_PER_TASK))
+    got = files.mapInPandas(_headers_of, "path string, headers string, error string").collect()
+    return {r.path: (None if r.headers is None else tuple(json.loads(r.headers)), r.error) for r in got}
 
 
 def resolve_columns(headers: tuple[str, ...]) -> dict[str, int]:
@@ -205,61 +129,63 @@ def resolve_columns(headers: tuple[str, ...]) -> dict[str, int]:
     return out
 
 
-def scan_files(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0,
-               threads: int = 16, multiline: bool = True) -> tuple[DataFrame | None, list[CsvFile]]:
-    """Raw canonical-string rows of all readable files with a score column.
+def csv_files(spark: SparkSession, paths: list[str] | str) -> list[CsvFile]:
+    """The CSV files at or below the paths (missing ones are left out), with their headers."""
+    wanted = [p for p in ([paths] if isinstance(paths, str) else paths) if exists(spark, p)]
+    if not wanted:
+        return []
+    return with_headers(spark, list_files(spark, [literal_path(p) for p in wanted]))
 
-    ``multiline=True`` accepts quoted newlines but reads each file in one task;
-    for large inputs known to have none, ``multiline=False`` lets Spark split
-    files into ``spark.sql.files.maxPartitionBytes`` chunks.  (Row order inside
-    a file - the last-wins order - is then kept per split.)
 
-    Returns the union of one scan per header signature (columns: canonical
-    fields present in any signature, ``src_file``, ``ingest_seq``, ``row_seq``)
-    and the per-file header results.
-    """
-    listed = list_csv_files(spark, paths)
-    heads = read_headers(spark, [p for p, _ in listed], threads)
-    files = [CsvFile(p, s, ingest_base + i, h, e) for i, ((p, s), (h, e)) in enumerate(zip(listed, heads))]
+def with_headers(spark: SparkSession, listing: DataFrame) -> list[CsvFile]:
+    """Files of a listing (path, uri, size, modified), by time and path."""
+    rows = sorted({tuple(r) for r in listing.select("modified", "path", "uri", "size").collect()})
+    heads = read_headers(spark, [path for _, path, _, _ in rows])
+    return [CsvFile(path, uri, size, modified, *heads[path]) for modified, path, uri, size in rows]
 
+
+def scan_files(spark: SparkSession, files: list[CsvFile], ingest_batch: int = 0,
+               multiline: bool = True) -> DataFrame | None:
+    """Raw canonical-string rows of all readable files with a score column; None if there is none.
+
+    ``multiline=True`` accepts quoted newlines but reads each file in one task; for large inputs known
+    to have none, ``multiline=False`` lets Spark split files into ``spark.sql.files.maxPartitionBytes``
+    chunks.  (Row order inside a file - the last-wins order - is then kept per split.)
+
+    The union of one scan per header signature: the canonical fields present in any of them, and
+    ``ingest_batch``, ``file_order``, ``src_file``, ``row_seq``.
+    """
     groups: dict[tuple[str, ...], list[CsvFile]] = {}
     for f in files:
-        if f.headers is None:
-            continue
-        if "score" not in resolve_columns(f.headers):
-            continue
-        groups.setdefault(f.headers, []).append(f)
-
-    if not groups:
-        return None, files
-    file_idx = spark.createDataFrame([(f.path, f.index) for f in files if f.headers is not None],
-                                     "src_file string, ingest_seq bigint")
-    parts = []
+        if f.headers is not None and "score" in resolve_columns(f.headers):
+            groups.setdefault(f.headers, []).append(f)
+    raw = None
     for headers, members in groups.items():
-        mapping = resolve_columns(headers)
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType(), True) for i in range(len(headers))])
         df = (spark.read.schema(schema).options(**CSV_OPTIONS)
-              .option("multiLine", "true" if multiline else "false").csv([m.path for m in members]))
-        df = df.select(*[F.col(f"_c{i}").alias(field) for field, i in mapping.items()],
+              .option("multiLine", "true" if multiline else "false")
+              .option("maxColumns", str(max(20480, len(headers) + 1)))
+              .csv([literal_path(m.path) for m in members]))
+        df = df.select(*[F.col(f"_c{i}").alias(field) for field, i in resolve_columns(headers).items()],
+                       F.unix_micros("_metadata.file_modification_time").alias("file_order"),
                        F.col("_metadata.file_path").alias("src_file"))
-        parts.append(df)
-    raw = parts[0]
-    for p in parts[1:]:
-        raw = raw.unionByName(p, allowMissingColumns=True)
-    raw = raw.withColumn("row_seq", F.monotonically_increasing_id())
-    # one row per file, counted on the driver: broadcast it (no shuffle of the
-    # CSV rows) up to a fixed bound; beyond it, fall back to a shuffle join
-    small = len(files) <= BROADCAST_FILES_MAX
-    raw = raw.join(F.broadcast(file_idx) if small else file_idx, "src_file", "left")
-    return raw, files
-
-
-def ingest_csv(spark: SparkSession, paths: list[str] | str, ingest_base: int = 0,
+        raw = df if raw is None else raw.unionByName(df, allowMissingColumns=True)
+    if raw is None:
+        return None
+    return raw.withColumn("ingest_batch", F.lit(ingest_batch).cast("bigint")).withColumn(
+        "row_seq", F.monotonically_increasing_id())
+
+
+def ingest_csv(spark: SparkSession, paths: list[str] | str, ingest_batch: int = 0,
                multiline: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """(clean rows, ingest report) for the CSV files under ``paths``."""
-    raw, files = scan_files(spark, paths, ingest_base, multiline=multiline)
-    clean = clean_survey(raw) if raw is not None else None
-    return clean, ingest_report(spark, raw, files)
+    return ingest_files(spark, csv_files(spark, paths), ingest_batch, multiline)
+
+
+def ingest_files(spark: SparkSession, files: list[CsvFile], ingest_batch: int = 0,
+                 multiline: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    raw = scan_files(spark, files, ingest_batch, multiline)
+    return clean_survey(raw) if raw is not None else None, ingest_report(spark, raw, files)
 
 
 def ingest_report(spark: SparkSession, raw: DataFrame | None, files: list[CsvFile]) -> DataFrame:
@@ -269,8 +195,8 @@ def ingest_report(spark: SparkSession, raw: DataFrame | None, files: list[CsvFil
         err = f.error
         if err is None and "score" not in resolve_columns(f.headers or ()):
             err = "No score column found in headers: " + ", ".join(f.headers or ())
-        meta.append((f.path, f.path.rsplit("/", 1)[-1], f.size, f.index, err))
-    m = spark.createDataFrame(meta, "file string, file_name string, size bigint, ingest_seq bigint, "
+        meta.append((f.uri, f.path.rsplit("/", 1)[-1], f.size, f.order, err))
+    m = spark.createDataFrame(meta, "file string, file_name string, size bigint, file_order bigint, "
                                     "header_error string")
     if raw is not None:
         ok = js_int_prefix(js_trim(F.col("score"))).isNotNull()
@@ -290,56 +216,41 @@ def ingest_report(spark: SparkSession, raw: DataFrame | None, files: list[CsvFil
     return (m.withColumn("errors", errors).withColumn("warnings", warnings)
              .withColumn("status", F.when(F.col("warnings") == 0, F.lit("OK"))
                          .otherwise(F.concat(F.col("warnings").cast("string"), F.lit(" warning(s)"))))
-             # newest first, as the ingest log shows it (one row per file: a small window)
-             .withColumn("log_rank", F.row_number().over(Window.orderBy(F.col("ingest_seq").desc())))
-             .select("file", "file_name", "size", "ingest_seq", "records", "skipped", "warnings",
+             # newest first, as the ingest log shows it (one row per file, as many as the driver listed)
+             .withColumn("log_rank", F.row_number().over(
+                 Window.orderBy(F.col("file_order").desc(), F.col("file").desc())))
+             .select("file", "file_name", "size", "file_order", "records", "skipped", "warnings",
                      "status", "errors", "log_rank"))
 
 
 def read_manifest(spark: SparkSession, manifest_path: str) -> list[str]:
     """The JSON array of file names in a manifest, resolved against its folder."""
-    import json
-
-    jp, fs = _jfs(spark, manifest_path)
-    stream = fs.open(jp)
-    try:
-        chunks = []
-        while True:
-            b = bytes(stream.readNBytes(1 << 16))
-            if not b:
-                break
-            chunks.append(b)
-    finally:
-        stream.close()
-    names = json.loads(b"".join(chunks).decode("utf-8"))
+    text = spark.read.option("wholetext", "true").text(literal_path(manifest_path)).first()[0]
     base = manifest_path.rsplit("/", 1)[0]
-    return [n if "://" in n or n.startswith("/") else f"{base}/{n}" for n in names]
+    return [n if "://" in n or n.startswith(("/", "file:")) else f"{base}/{n}" for n in json.loads(text)]
 
 
-def ingest_manifest(spark: SparkSession, manifest_path: str, ingest_base: int = 0
+def ingest_manifest(spark: SparkSession, manifest_path: str, ingest_batch: int = 0
                     ) -> tuple[DataFrame | None, DataFrame]:
-    """Load every file a manifest lists, in manifest order; a missing or
-    unreadable file becomes a report row with 0 records and does not stop the
-    rest.  No dedup (the first load keeps duplicates, Q11)."""
-    listed = read_manifest(spark, manifest_path)
-    present, missing = [], []
-    for p in listed:
-        jp, fs = _jfs(spark, p)
-        (present if fs.exists(jp) else missing).append(p)
-    raw, files = scan_files(spark, present, ingest_base) if present else (None, [])
-    # manifest order, not path order, decides the ingest sequence
-    order = {p: i for i, p in enumerate(listed)}
-    files = [CsvFile(f.path, f.size, ingest_base + order.get(_plain(f.path), f.index), f.headers, f.error)
-             for f in files]
+    """Load every file a manifest lists, in manifest order; a missing or unreadable file becomes a
+    report row with 0 records and does not stop the rest.  No dedup (the first load keeps duplicates,
+    Q11).  The folders that the manifest names are listed once, whatever the number of files.
+    """
+    listed = list(dict.fromkeys(read_manifest(spark, manifest_path)))
+    places = {_plain(p): i for i, p in enumerate(listed)}
+    found = [f for f in csv_files(spark, sorted({p.rsplit("/", 1)[0] for p in listed})) if _plain(f.path) in places]
+    files = [CsvFile(f.path, f.uri, f.size, places[_plain(f.path)], f.headers, f.error) for f in found]
+    files.sort(key=lambda f: f.order)
+    raw = scan_files(spark, files, ingest_batch)
     if raw is not None:
-        seq = spark.createDataFrame([(f.path, f.index) for f in files], "src_file string, _mseq bigint")
-        seq = F.broadcast(seq) if len(files) <= BROADCAST_FILES_MAX else seq
-        raw = raw.join(seq, "src_file", "left").withColumn(
-            "ingest_seq", F.coalesce(F.col("_mseq"), F.col("ingest_seq"))).drop("_mseq")
-    files += [CsvFile(p, 0, ingest_base + order[p], None, "File not found: " + p) for p in missing]
-    clean = clean_survey(raw) if raw is not None else None
-    return clean, ingest_report(spark, raw, files)
+        # the place in the manifest takes the file time's part; one row per file, so Spark sizes the join
+        order = spark.createDataFrame([(f.uri, f.order) for f in files], "src_file string, place bigint")
+        raw = raw.drop("file_order").join(order.withColumnRenamed("place", "file_order"), "src_file")
+    have = {_plain(f.path) for f in files}
+    files += [CsvFile(p, p, 0, i, None, "File not found: " + p) for p, i in
+              ((p, places[_plain(p)]) for p in listed) if _plain(p) not in have]
+    return clean_survey(raw) if raw is not None else None, ingest_report(spark, raw, files)
 
 
 def _plain(path: str) -> str:
-    return path[5:] if path.startswith("file:") and not path.startswith("file://") else path
+    return re.sub(r"^file:/*", "/", path)

@@ -13,13 +13,12 @@ re-materialises.
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
 from promoscope.operators.clean import CLEAN_SCHEMA, clean_survey
-from promoscope.operators.rollup import ROLLUP_SCHEMA, build_rollup
+from promoscope.operators.rollup import ROLLUP_SCHEMA, as_counts, build_rollup
 from promoscope.session import scratch_path
 from promoscope.sources.driver_tables import survey_raw
 
@@ -28,7 +27,7 @@ _PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str, str]:
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
 
 
 def write_clean(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = False) -> None:
@@ -45,6 +44,18 @@ def write_clean(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool
     w.partitionBy("sprint_part").parquet(path)
 
 
+def write_rollup(rollup: DataFrame, path: str, dynamic: bool = False) -> None:
+    """Write a rollup partitioned by sprint; ``dynamic`` replaces only the sprints it has."""
+    w = rollup.hint("rebalance", "sprint_part").write.mode("overwrite")
+    if dynamic:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.partitionBy("sprint_part").parquet(path)
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ROLLUP_SCHEMA).parquet(path)
+
+
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLEAN_SCHEMA).parquet(path)
 
@@ -69,16 +80,27 @@ def survey_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
+#: A rollup is used when it has at most this share of the rows it sums up.
+ROLLUP_PAYS = 0.5
+
+
 def survey_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The additive NPS rollup of ``survey_table``."""
+    """The counts that the count queries read: the additive rollup of ``survey_table`` where it is
+    much smaller than the rows, else the rows' unit counts (the same columns, kept as narrow rows, so
+    that comments are read once).  Either is written once and partitioned by sprint.
+    """
     key = _key(spark, sf_dir, "rollup")
     clean = survey_table(spark, sf_dir)
     with _LOCK:
         df = _FRAMES.get(key)
         if df is None:
             path = scratch_path(spark, "survey_rollup")
-            (build_rollup(clean).hint("rebalance", "sprint_part")
-             .write.mode("overwrite").partitionBy("sprint_part").parquet(path))
+            write_rollup(build_rollup(clean), path)
+            df = read_rollup(spark, path)
+            if df.count() > ROLLUP_PAYS * clean.count():
+                path = scratch_path(spark, "survey_counts")
+                write_rollup(as_counts(clean), path)
+                df = read_rollup(spark, path)
             _PATHS[key] = path
-            df = _FRAMES[key] = spark.read.schema(ROLLUP_SCHEMA).parquet(path)
+            _FRAMES[key] = df
     return df

@@ -1,31 +1,32 @@
-"""Survey CSV files derived from the driver tables, plus CSV export (S13) and the
-file catalogue (S11).
-
-``write_survey_csvs`` writes the raw survey rows as CSV files the way survey
-exports arrive: one directory per sprint file, in four header layouts (canonical
-names with a BOM and padded headers, two alias layouts with other column
-orders and an extra column, and one layout without a score column).  Rows are
-range-partitioned on (file, row order) and sorted inside each file, so file
-path order followed by position reproduces the response order - the order the
-last-wins upsert relies on - without putting a whole sprint into one task.
+"""Survey CSV files derived from the driver tables, plus CSV export (S13) and the file catalogue.
+
+``write_survey_csvs`` writes the raw survey rows as CSV files the way survey exports arrive: one file
+per sprint and range of respondents, in four header layouts (canonical names behind a byte order mark
+with quoted headers, two alias layouts with other column orders, and one layout without a score
+column).  Ranges of respondents are of a fixed width, so the number of files grows with the rows and
+their size does not, and all rows of a respondent and sprint are in one file, in their order.
 """
 
 from __future__ import annotations
 
-import os
+import codecs
+import csv
+import io
 import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promoscope.session import scratch_path
-from promoscope.sources.csv_ingest import CSV_OPTIONS, list_csv_files
+from promoscope.session import scratch_path, ship_package
+from promoscope.sources.csv_ingest import CSV_OPTIONS, CsvFile
 from promoscope.sources.dims import SPRINT_CALENDAR, calendar_index
 from promoscope.sources.driver_tables import survey_raw, survey_resend
+from promoscope.sources.files import file_system
 
 # header layouts: (header as written, canonical field); None = extra column
 LAYOUTS: dict[str, list[tuple[str, str | None]]] = {
-    "A": [("\ufeffrespondent_id", "respondent_id"), (" score ", "score"), ("feedback", "feedback"),
+    "A": [("respondent_id", "respondent_id"), (" score ", "score"), ("feedback", "feedback"),
           ("nps_reason_primary", "nps_reason_primary"), ("plan_type", "plan_type"), ("city", "city"),
           ("tenure_days", "tenure_days"), ("tenure_cut", "tenure_cut"), ("source", "source"),
           ("sprint_id", "sprint_id"), ("sprint_start", "sprint_start"),
@@ -61,37 +62,62 @@ def layouts_for(sprints: list[str]) -> list[str]:
     return sorted({next((k for k, v in LAYOUT_SPRINTS.items() if s in v), "D") for s in sprints})
 
 
-def file_key(sprint_id: Column) -> Column:
+RESPONDENTS_PER_FILE = 50_000
+
+
+def file_key(sprint_id: Column, respondent_id: Column) -> Column:
     key = F.when(sprint_id == "", F.lit("_blank")).otherwise(
         F.regexp_replace(F.lower(sprint_id), " ", "_"))
-    return F.concat(layout_of(sprint_id), F.lit("_"), key)
+    number = F.coalesce(F.regexp_extract(respondent_id, r"^([0-9]+)", 1).try_cast("bigint"), F.lit(0))
+    part = F.floor(number / RESPONDENTS_PER_FILE).cast("string")
+    return F.concat(layout_of(sprint_id), F.lit("_"), key, F.lit("_"), part)
 
 
-def write_survey_csvs(raw: DataFrame, out: str, partitions: int | None = None,
-                      mode: str = "overwrite", layouts: list[str] | None = None) -> None:
-    """Write raw survey rows as CSV files, one directory per (layout, sprint).
+def write_survey_csvs(raw: DataFrame, out: str, mode: str = "overwrite",
+                      layouts: list[str] | None = None) -> None:
+    """Write raw survey rows as CSV files, one directory with one file per ``file_key``.
 
-    ``mode="append"`` adds a later arrival of files next to the existing ones.
+    ``mode="append"`` adds a later arrival of files next to the existing ones.  The rows are derived
+    once, into the shared folder by layout; every layout's write reads its own part of that.
     """
-    df = raw.withColumn("_layout", layout_of(F.col("sprint_id"))).withColumn(
-        "file_key", file_key(F.col("sprint_id")))
-    n = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    # Each layout write filters on the sprint's layout; the filter reaches the
-    # ``orders`` scan (the sprint comes from the order date), so every write
-    # joins only its own orders and nothing is materialised in between.
-    _write_layouts(df, out, n, mode, layouts or list(LAYOUTS))
-
-
-def _write_layouts(df: DataFrame, out: str, n: int, mode: str, layouts: list[str]) -> None:
-    for layout in layouts:
-        cols = LAYOUTS[layout]
-        sel = [(F.col(f) if f is not None else F.lit("")).alias(h) for h, f in cols]
-        part = (df.filter(F.col("_layout") == layout)
-                  .repartitionByRange(n, "file_key", "row_seq")
-                  .sortWithinPartitions("file_key", "row_seq")
-                  .select(*sel, "file_key"))
-        (part.write.mode(mode).partitionBy("file_key").options(**CSV_OPTIONS)
-             .option("quoteAll", "false").csv(f"{out}/{layout}"))
+    spark = raw.sparkSession
+    staged = scratch_path(spark, "survey_rows")
+    (raw.withColumn("file_key", file_key(F.col("sprint_id"), F.col("respondent_id")))
+        .withColumn("layout", layout_of(F.col("sprint_id"))).write.partitionBy("layout").parquet(staged))
+    rows = spark.read.option("basePath", staged).parquet(staged)
+    for layout in layouts or list(LAYOUTS):
+        fields = LAYOUTS[layout]
+        part = (rows.filter(F.col("layout") == layout).repartition("file_key")
+                    .sortWithinPartitions("file_key", "row_seq").select(*[(F.col(f) if f is not None else F.lit("")).alias(h) for h, f in fields], "file_key"))
+        if layout == "A":
+            _write_quoted(part, f"{out}/{layout}")
+        else:
+            part.write.mode(mode).partitionBy("file_key").options(**CSV_OPTIONS).csv(f"{out}/{layout}")
+
+
+def _write_quoted(rows: DataFrame, out: str) -> None:
+    """Files with a byte order mark, a quoted header, quoted fields and CRLF line ends, as some exporters
+    write them (Spark's writer cannot).  A group is one file; a task that runs again writes it again."""
+    ship_package(rows.sparkSession)
+    arrival = uuid.uuid4().hex[:12]
+    names = [c for c in rows.columns if c != "file_key"]
+
+    def write(pdf):
+        import pandas as pd
+
+        key = pdf["file_key"].iloc[0]
+        where, folder = file_system(f"{out}/file_key={key}")
+        where.create_dir(folder, recursive=True)
+        text = io.StringIO()
+        lines = csv.writer(text, quoting=csv.QUOTE_ALL, lineterminator="\r\n")
+        lines.writerow(names)
+        lines.writerows(pdf[names].fillna("").itertuples(index=False))
+        with where.open_output_stream(f"{folder}/_{arrival}") as f:
+            f.write(codecs.BOM_UTF8 + text.getvalue().encode())
+        where.move(f"{folder}/_{arrival}", f"{folder}/survey-{arrival}.csv")
+        return pd.DataFrame({"file_key": [key], "n": [len(pdf)]})
+
+    rows.groupBy("file_key").applyInPandas(write, "file_key string, n bigint").agg(F.sum("n")).collect()
 
 
 _LOCK = threading.Lock()
@@ -101,7 +127,7 @@ _DIRS: dict[tuple[str, str, str], str] = {}
 def survey_csv_dir(spark: SparkSession, sf_dir: str, kind: str = "base") -> str:
     """CSV files of the survey (``base``) or of the re-sent sprints (``resend``),
     written once per application below the checkpoint dir."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
     with _LOCK:
         d = _DIRS.get(key)
         if d is None:
@@ -129,25 +155,23 @@ def export_csv(clean: DataFrame, out: str, sprint: str | None = None) -> None:
        .write.mode("overwrite").partitionBy("sprint_part").options(**CSV_OPTIONS).csv(out))
 
 
-def file_catalogue(spark: SparkSession, paths: list[str] | str, clean: DataFrame) -> DataFrame:
+def file_catalogue(spark: SparkSession, files: list[CsvFile], clean: DataFrame) -> DataFrame:
     """File name, byte size, response count, total size; sprint order.
 
-    Counts join on the file each response came from (``src_file``), not on a
-    name pattern (Q19).
+    Counts join on the file each response came from (``src_file``, the same encoded path in listing and
+    scan), not on a name pattern (Q19).
     """
-    files = list_csv_files(spark, paths)
-    fdf = spark.createDataFrame([(p, p.rsplit("/", 1)[-1], s) for p, s in files],
+    fdf = spark.createDataFrame([(f.uri, f.path.rsplit("/", 1)[-1], f.size) for f in files],
                                 "file string, file_name string, size bigint")
     counts = clean.groupBy(F.col("src_file").alias("file")).agg(
         F.count(F.lit(1)).cast("bigint").alias("responses"),
         F.min(calendar_index(F.col("sprint_id"))).alias("sprint_ord"))
     cat = fdf.join(counts, "file", "left").withColumn(
         "responses", F.coalesce("responses", F.lit(0).cast("bigint")))
-    # the catalogue has one row per file: a window over it is small
-    total = F.sum("size").over(Window.partitionBy(F.lit(1)))
+    total = sum(f.size for f in files)
     return cat.select("file", "file_name", "size", "responses",
                       F.coalesce("sprint_ord", F.lit(999)).alias("sprint_ord"),
-                      total.cast("bigint").alias("total_size"))
+                      F.lit(total).cast("bigint").alias("total_size"))
 
 
 __all__ = ["LAYOUTS", "write_survey_csvs", "survey_csv_dir", "export_csv", "file_catalogue"]

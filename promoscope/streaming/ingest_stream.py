@@ -1,110 +1,60 @@
 """Incremental CSV ingest with Structured Streaming and an upsert sink.
 
-* R1: one ``readStream`` CSV source per header layout directory.  A streaming
-  CSV schema is positional (Q25), so each layout gets its own source whose
-  schema comes from that layout's own header; fields are then mapped to the
-  canonical names exactly as in batch ingest (S2) and the sources are unioned
-  into one streaming query.
-* R2: ``foreachBatch`` cleans the micro-batch and merges it into the
-  partitioned survey table (``operators.upsert.upsert_into``, touched sprints
-  only).  Last-wins order = (batch id, file path order inside the batch,
-  position inside the file).  Re-running a batch after a failure merges the
-  same rows again, so the sink is idempotent.
-* R3: a late re-send of an old sprint rewrites only that sprint's partition
-  (the key contains ``sprint_id``); no watermark is needed because no state is
-  kept outside the table.
-
-``maxFilesPerTrigger`` bounds the per-batch file list, which is the only
-driver-side / broadcast-sized structure (the file ordering table).
+* R1: the stream's rows are files, not lines: one file source over the landing folder (all layouts,
+  now and later) yields path, size and modification time of every new CSV file; contents are not read
+  by the source.  So there is one source whatever layouts exist, and every file's own header decides
+  how its columns are mapped (Q25: a positional streaming CSV schema would apply one header to all).
+* R2: ``foreachBatch`` ingests the micro-batch's files like a batch load (``csv_ingest.ingest_files``)
+  and merges them into the partitioned survey table (touched sprints only).  Last-wins order: batch,
+  file time, path, place in the file; a new batch always beats what the table has, also with a fresh
+  checkpoint.  Re-running a batch after a failure merges the same rows again, so the sink is idempotent.
+* R3: a late re-send of an old sprint rewrites only that sprint's partition (the key contains
+  ``sprint_id``); no watermark is needed because no state is kept outside the table.
+
+``max_files`` bounds a micro-batch's file list, which is all that the driver holds.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 
-from promoscope.operators.clean import CLEAN_SCHEMA, clean_survey
+from promoscope.operators.clean import CLEAN_SCHEMA
 from promoscope.operators.upsert import upsert_into
-from promoscope.sources.csv_ingest import CSV_OPTIONS, list_csv_files, read_header, resolve_columns
-
-FILES_PER_BATCH_BOUND = 1_000_000  # ingest_seq = batch_id * bound + file rank
-
+from promoscope.sources.csv_ingest import ingest_files, with_headers
+from promoscope.sources.files import CSV_GLOB, exists, file_columns
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp)
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def ensure_table(spark: SparkSession, path: str) -> None:
     """Create an empty partitioned survey table if none exists yet."""
-    if not table_exists(spark, path):
+    if not exists(spark, path):
         spark.createDataFrame([], CLEAN_SCHEMA).write.mode("overwrite").partitionBy("sprint_part").parquet(path)
 
 
-def layout_stream(spark: SparkSession, layout_dir: str, max_files: int = 1000) -> DataFrame | None:
-    """A streaming DataFrame of canonical string fields for one layout directory.
+def new_files(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
+    """The CSV files that arrive at or below ``landing`` (which may be a glob), as a stream."""
+    found = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+             .option("pathGlobFilter", CSV_GLOB).option("recursiveFileLookup", "true")
+             .option("maxFilesPerTrigger", str(max_files)).load(landing))
+    return file_columns(found)
 
-    ``layout_dir`` may be a Hadoop glob (e.g. ``/landing/{day1,day2}/A``); a
-    folder matching it later is picked up by the next trigger.
-    """
-    files = []
-    jp = spark._jvm.org.apache.hadoop.fs.Path(layout_dir)
-    fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
-    for st in (fs.globStatus(jp) or []):
-        files += list_csv_files(spark, st.getPath().toString())
-    if not files:
-        return None
-    headers, err = read_header(spark, files[0][0])
-    if headers is None or "score" not in resolve_columns(headers):
-        return None
-    mapping = resolve_columns(headers)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType(), True) for i in range(len(headers))])
-    s = (spark.readStream.schema(schema).options(**CSV_OPTIONS)
-         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-         .option("maxFilesPerTrigger", str(max_files))
-         .csv(layout_dir))
-    return s.select(*[F.col(f"_c{i}").alias(f) for f, i in mapping.items()],
-                    F.col("_metadata.file_path").alias("src_file"))
 
-
-def _upsert_batch(table_path: str):
+def _upsert_batch(table_path: str, rollup_path: str | None):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # the batch is read twice (file list, rows): keep it instead of re-reading the files
-        batch = batch.withColumn("row_seq", F.monotonically_increasing_id()).persist(
-            StorageLevel.MEMORY_AND_DISK)
-        try:
-            files = batch.select("src_file").distinct()
-            ranked = files.withColumn(
-                "ingest_seq", F.lit(batch_id).cast("bigint") * F.lit(FILES_PER_BATCH_BOUND)
-                + F.row_number().over(Window.orderBy("src_file")).cast("bigint"))
-            raw = batch.join(F.broadcast(ranked), "src_file")
-            upsert_into(spark, table_path, clean_survey(raw))
-        finally:
-            batch.unpersist()
+        clean, _ = ingest_files(spark, with_headers(spark, batch))
+        if clean is not None:
+            upsert_into(spark, table_path, clean, rollup_path=rollup_path)
     return run
 
 
-def run_available(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_dir: str,
-                  layouts: list[str]) -> None:
-    """Process every file now present under ``landing_dir/<layout>`` (availableNow).
-
-    ``landing_dir`` may be a glob over several arrival folders.
-
-    The per-layout sources are unioned into one streaming query, so each
-    trigger performs one upsert into the shared table.
-    """
+def run_available(spark: SparkSession, landing: str, table_path: str, checkpoint_dir: str,
+                  max_files: int = 1000, rollup_path: str | None = None) -> None:
+    """Process every file now present at or below ``landing`` (availableNow)."""
     ensure_table(spark, table_path)
-    streams = [s for s in (layout_stream(spark, f"{landing_dir}/{layout}") for layout in layouts)
-               if s is not None]
-    if not streams:
-        return
-    u = streams[0]
-    for s in streams[1:]:
-        u = u.unionByName(s, allowMissingColumns=True)
-    q = (u.writeStream.foreachBatch(_upsert_batch(table_path))
+    q = (new_files(spark, landing, max_files).writeStream
+         .foreachBatch(_upsert_batch(table_path, rollup_path))
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -5,7 +5,8 @@ import os
 from pyspark.sql import functions as F
 
 from promoscope.operators.upsert import latest_per_key, merge, upsert_into
-from promoscope.sources.csv_ingest import ingest_csv, read_header, resolve_columns
+from promoscope.sources.csv_ingest import (
+    csv_files, first_record, ingest_csv, ingest_files, read_headers, resolve_columns)
 from promoscope.sources.store import read_clean, write_clean
 from promoscope.sources.survey_files import export_csv, file_catalogue
 
@@ -39,9 +40,10 @@ def test_header_resolution():
 
 def test_ingest_and_report(spark, tmpdir_fresh):
     write_files(tmpdir_fresh, FILES)
-    assert read_header(spark, os.path.join(tmpdir_fresh, "a_bom.csv"))[0] == (
+    files = csv_files(spark, tmpdir_fresh)
+    assert next(f.headers for f in files if f.path.endswith("a_bom.csv")) == (
         "score", "feedback", "respondent_id", "sprint_id", "source")
-    clean, report = ingest_csv(spark, tmpdir_fresh)
+    clean, report = ingest_files(spark, files)
     rows = {r.respondent_id: r for r in clean.collect()}
     assert set(rows) == {"101", "102", "201", "202", "403", ""}
     assert rows["101"].feedback == "great\nservice" and rows["101"].source == "WhatsApp"
@@ -55,7 +57,7 @@ def test_ingest_and_report(spark, tmpdir_fresh):
     assert rep["c_noscore.csv"].errors == "No score column found in headers: id, cycle, comment"
     assert rep["d_badscores.csv"].skipped == 2 and rep["d_badscores.csv"].status == "1 warning(s)"
     assert rep["d_badscores.csv"].errors == "Skipped 2 rows with invalid/missing scores"
-    cat = {r.file_name: r for r in file_catalogue(spark, tmpdir_fresh, clean).collect()}
+    cat = {r.file_name: r for r in file_catalogue(spark, files, clean).collect()}
     assert cat["a_bom.csv"].size == os.path.getsize(os.path.join(tmpdir_fresh, "a_bom.csv"))
     assert cat["a_bom.csv"].responses == 2 and cat["c_noscore.csv"].responses == 0
     assert len({r.total_size for r in cat.values()}) == 1
@@ -79,7 +81,7 @@ def test_upsert_last_wins_and_touched_sprints(spark, tmpdir_fresh):
     new_dir = os.path.join(tmpdir_fresh, "new")
     os.makedirs(new_dir)
     write_files(new_dir, {"f_resend.csv": "score,respondent_id,sprint_id\n9,a,Sprint 3\n8,c,Sprint 3\n"})
-    new, _ = ingest_csv(spark, new_dir, ingest_base=100)
+    new, _ = ingest_csv(spark, new_dir)
     upsert_into(spark, table, new)
     got = sorted((r.sprint_id, r.respondent_id, r.score) for r in read_clean(spark, table).collect())
     assert got == [("Sprint 3", "a", 9), ("Sprint 3", "b", 3), ("Sprint 3", "c", 8),
@@ -92,8 +94,10 @@ def test_upsert_last_wins_and_touched_sprints(spark, tmpdir_fresh):
 
 
 def test_latest_per_key_blank_ids_collapse(spark):
-    df = spark.createDataFrame([("S", "", 0, i, i % 11) for i in range(50)],
-                               "sprint_id string, respondent_id string, ingest_seq long, row_seq long, score int")
+    df = spark.createDataFrame(
+        [("S", "", 0, 0, "f", i, i % 11) for i in range(50)],
+        "sprint_id string, respondent_id string, ingest_batch long, file_order long, src_file string, "
+        "row_seq long, score int")
     r = latest_per_key(df).collect()
     assert len(r) == 1 and r[0].row_seq == 49
 
@@ -122,7 +126,7 @@ def test_manifest_load_keeps_going_past_missing_files(spark, tmpdir_fresh):
     assert clean.count() == 3                                    # no dedup on load
     rep = {r.file_name: r for r in report.collect()}
     assert rep["gone.csv"].records == 0 and rep["gone.csv"].errors.startswith("File not found")
-    seq = {r.respondent_id: r.ingest_seq for r in clean.collect()}
+    seq = {r.respondent_id: r.file_order for r in clean.collect()}
     assert seq["b"] < seq["a"]                                   # manifest order
 
 
@@ -142,9 +146,87 @@ def test_single_line_mode_splits_but_keeps_rows(spark, tmpdir_fresh):
     assert a.count() == b.count() == 5000
 
 
-def test_distributed_header_reads_match_driver_reads(spark, tmpdir_fresh):
-    from promoscope.sources.csv_ingest import list_csv_files, read_headers
+def test_paths_with_spaces_and_odd_characters_keep_their_lineage(spark, tmpdir_fresh):
+    folder = os.path.join(tmpdir_fresh, "my surveys [1]", "50% é")
+    os.makedirs(folder)
+    write_files(folder, {"my survey 1.csv": "score,sprint_id\n9,Sprint 3\n8,Sprint 3\n", "a+b{c}*.CSV": "score\n3\n"})
+    files = csv_files(spark, tmpdir_fresh)
+    clean, report = ingest_files(spark, files)
+    assert {r.file_name: (r.records, r.status) for r in report.collect()} == {
+        "my survey 1.csv": (2, "OK"), "a+b{c}*.CSV": (1, "OK")}
+    assert {r.file_name: r.responses for r in file_catalogue(spark, files, clean).collect()} == {
+        "my survey 1.csv": 2, "a+b{c}*.CSV": 1}
+    assert clean.filter("ingest_batch is null or file_order is null or src_file is null").count() == 0
 
-    write_files(tmpdir_fresh, FILES)
-    paths = [p for p, _ in list_csv_files(spark, tmpdir_fresh)]
-    assert read_headers(spark, paths, distributed_min=1) == read_headers(spark, paths, distributed_min=10 ** 9)
+
+def test_reread_export_keeps_lineage(spark, tmpdir_fresh):
+    write_files(tmpdir_fresh, {"s.csv": "score,respondent_id,sprint_id\n1,a,Sprint 13\n2,b,Sprint 13\n3,c,\n"})
+    clean, _ = ingest_csv(spark, tmpdir_fresh)
+    out = os.path.join(tmpdir_fresh, "out")
+    export_csv(clean, out)
+    back, report = ingest_csv(spark, out)
+    assert sum(r.records for r in report.collect()) == back.count() == 3
+    assert back.filter("file_order is null or file_order = 0").count() == 0
+
+
+def test_new_rows_beat_old_ones_with_default_arguments(spark, tmpdir_fresh):
+    base_dir, new_dir = os.path.join(tmpdir_fresh, "base"), os.path.join(tmpdir_fresh, "new")
+    os.makedirs(base_dir)
+    os.makedirs(new_dir)
+    write_files(base_dir, {f"f{i:03d}.csv": f"score,respondent_id,sprint_id\n2,r{i},Sprint 3\n" for i in range(12)})
+    write_files(new_dir, {"a.csv": "score,respondent_id,sprint_id\n10,r11,Sprint 3\n"})
+    os.utime(os.path.join(new_dir, "a.csv"), (1, 1))            # an old file, sent late
+    table = os.path.join(tmpdir_fresh, "table")
+    write_clean(ingest_csv(spark, base_dir)[0], table)
+    upsert_into(spark, table, ingest_csv(spark, new_dir)[0])
+    got = {r.respondent_id: (r.score, r.ingest_batch) for r in read_clean(spark, table).collect()}
+    assert got["r11"] == (10, 1) and got["r0"] == (2, 0) and len(got) == 12
+
+
+def test_within_a_batch_the_newer_file_wins(spark, tmpdir_fresh):
+    write_files(tmpdir_fresh, {"resend_9.csv": "score,respondent_id,sprint_id\n1,a,Sprint 3\n",
+                               "resend_10.csv": "score,respondent_id,sprint_id\n7,a,Sprint 3\n"})
+    os.utime(os.path.join(tmpdir_fresh, "resend_9.csv"), (1000, 1000))
+    os.utime(os.path.join(tmpdir_fresh, "resend_10.csv"), (2000, 2000))
+    clean, report = ingest_csv(spark, tmpdir_fresh)
+    assert [r.score for r in latest_per_key(clean).collect()] == [7]
+    assert [r.file_name for r in report.orderBy("log_rank").collect()] == ["resend_10.csv", "resend_9.csv"]
+
+
+def test_byte_order_mark_before_a_quoted_header(spark, tmpdir_fresh):
+    write_files(tmpdir_fresh, {
+        "a.csv": "\ufeff\"respondent_id\",\"score\",\"sprint_id\"\r\n\"a\",\"1\",\"S\"\r\n\"b\",\"2\",\"S\"\r\n",
+        "b.csv": "\ufeff\"score\",\"id\"\n5,c\n"})
+    clean, report = ingest_csv(spark, tmpdir_fresh)
+    assert sorted((r.respondent_id, r.score) for r in clean.collect()) == [("a", 1), ("b", 2), ("c", 5)]
+    assert {r.status for r in report.collect()} == {"OK"}
+
+
+def test_line_ends_inside_quotes_stay(spark, tmpdir_fresh):
+    with open(os.path.join(tmpdir_fresh, "crlf.csv"), "wb") as f:
+        f.write(b'score,feedback,city\r\n9,"two\r\nlines",X\r\n8,"three\nlines\r\nhere",Y \r\n')
+    clean, _ = ingest_csv(spark, tmpdir_fresh)
+    assert sorted((r.feedback, r.city) for r in clean.collect()) == [
+        ("three\nlines\r\nhere", "Y"), ("two\r\nlines", "X")]
+
+
+def test_headers_of_any_length_are_read_to_their_end(spark, tmpdir_fresh):
+    long = "x" * (1 << 20)
+    quoted = ",".join(f'"column\n{i}"' for i in range(3000))
+    write_files(tmpdir_fresh, {"long.csv": f"{long},{quoted},score\n" + "," * 3001 + "7\n"})
+    clean, _ = ingest_csv(spark, tmpdir_fresh)
+    assert [r.score for r in clean.collect()] == [7]
+
+
+def test_first_record():
+    import io
+
+    for text, want in ((b"", b""), (b"a,b", b"a,b"), (b"\n \r\n\xef\xbb\xbf\na,b\nc", b"a,b"),
+                       (b'"a\nb",c\r\nd', b'"a\nb",c\r'), (b'"a""\n",b\n', b'"a""\n",b')):
+        for chunk in (1, 2, 3, 1000):
+            assert first_record(io.BytesIO(text), chunk) == want
+
+
+def test_an_unreadable_file_is_an_error_row(spark, tmpdir_fresh):
+    got = read_headers(spark, [os.path.join(tmpdir_fresh, "gone.csv"), "nosuch://host/x.csv"])
+    assert all(h is None and e for h, e in got.values()) and len(got) == 2

@@ -11,7 +11,8 @@ from promoscope.operators import cohorts, matrix, themes, verbatims
 from promoscope.operators.filters import FilterSpec
 from promoscope.operators.upsert import latest_per_key
 from promoscope.sources.store import survey_table
-from __spark_entry__ import queries
+from promoscope.operators import metrics
+from promoscope.plans.catalog import queries
 
 
 def plan(df) -> str:
@@ -46,9 +47,36 @@ def test_cohort_verbatims_partial_window_limit(spark):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
-def test_upsert_aggregates_partially(spark):
+def test_upsert_aggregates_keys_and_order_only(spark):
     rows = survey_table(spark, SMOKE_DIR)
-    assert "partial_max_by" in plan(latest_per_key(rows))
+    p = plan(latest_per_key(rows))
+    assert "partial_max" in p
+    slim = [line for line in p.splitlines() if line.startswith("ReadSchema") and "feedback" not in line]
+    assert len(slim) == 1  # the aggregate's scan has no comment
+
+
+def test_recent_sprints_prune_partitions_at_run_time(spark):
+    rows = survey_table(spark, SMOKE_DIR)
+    p = plan(verbatims.verbatims(metrics.recent_filter(rows)))
+    assert re.search(r"PartitionFilters: \[.*dynamicpruning", p)
+
+
+def test_matrix_ranks_total_rows_only(spark):
+    rows = survey_table(spark, SMOKE_DIR)
+    df = matrix.nps_matrix(rows, "city", "sprint_id")
+    p = df._jdf.queryExecution().optimizedPlan().toString()
+    keys = re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", p)
+    assert keys and not any(re.match(r"_[rc]side", k) for k in keys)
+
+
+def test_filter_guards_run_with_the_query(spark, monkeypatch):
+    rows = survey_table(spark, SMOKE_DIR)
+    for action in ("collect", "first", "head", "count", "toPandas"):
+        monkeypatch.setattr(type(rows), action, lambda *a, **k: pytest.fail("a driver action"))
+    spec = FilterSpec(channels=("Call",), tenures=("Mid (3-6 mo)",))
+    df = matrix.nps_matrix(rows, "city", "sprint_id", spec)
+    monkeypatch.undo()
+    assert df.filter("cell_type = 'grand_total'").first().n < rows.count()
 
 
 def test_matrix_is_one_grouping_sets_pass(spark):
@@ -77,8 +105,8 @@ def test_no_python_udfs(spark, name):
 SINGLE_SCAN = ["nps_overall", "nps_by_source", "nps_by_dimension", "trend_sprint", "band_distribution",
                "period_delta", "period_significance", "period_health", "recent_sprints", "feedback_rate",
                "comment_rates", "dataset_summary", "dim_members", "sprint_counts", "matrix_tenure_sprint",
-               "matrix_city_source", "matrix_plan_quarter", "matrix_filtered", "row_summary_sorted",
-               "theme_stats", "themes_by_band", "theme_changes", "cohort_kpis", "cohort_trend",
+               "matrix_city_source", "matrix_plan_quarter", "row_summary_sorted",
+               "row_summary_ascending", "theme_stats", "themes_by_band", "theme_changes", "theme_changes_pair", "cohort_kpis", "cohort_trend",
                "cohort_tenure", "cohort_city", "cohort_theme", "cohort_verbatims", "rollup_nps",
                "cohort_significance", "verbatims_filtered", "period_direction", "cohort_trend_quarter"]
 

@@ -12,7 +12,8 @@ def skewed(spark, n=30000):
         F.when(hot, F.lit("Sprint 3")).otherwise(F.concat(F.lit("Sprint "), (F.col("id") % 14 + 1).cast("string")))
          .alias("sprint_id"),
         F.when(hot, F.lit("")).otherwise(F.col("id").cast("string")).alias("respondent_id"),
-        F.lit(0).cast("bigint").alias("ingest_seq"), F.col("id").alias("row_seq"),
+        F.lit(0).cast("bigint").alias("ingest_batch"), F.lit(0).cast("bigint").alias("file_order"),
+        F.lit("f").alias("src_file"), F.col("id").alias("row_seq"),
         (F.col("id") % 11).cast("int").alias("score"),
         F.when(hot, F.lit("HotCity")).otherwise(F.concat(F.lit("C"), (F.col("id") % 20).cast("string"))).alias("city"),
         F.lit("Mid (3-6 mo)").alias("tenure_cut"), F.lit("Call").alias("source"), F.lit("").alias("theme"),

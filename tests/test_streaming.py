@@ -22,20 +22,19 @@ def test_late_resend_rewrites_only_its_sprint(spark, tmpdir_fresh):
     table = os.path.join(tmpdir_fresh, "table")
     ckpt = os.path.join(tmpdir_fresh, "ckpt")
     write(os.path.join(landing, "A", "s3.csv"), "score,respondent_id,sprint_id\n1,a,Sprint 3\n2,b,Sprint 3\n")
-    # another header layout arrives in its own folder (positional streaming schema, Q25)
     write(os.path.join(landing, "B", "s4.csv"), "cycle,id,rating\nSprint 4,c,10\n")
-    run_available(spark, landing, table, ckpt, ["A", "B"])
+    run_available(spark, landing, table, ckpt)
     first = sorted((r.sprint_id, r.respondent_id, r.score) for r in read_clean(spark, table).collect())
     assert first == [("Sprint 3", "a", 1), ("Sprint 3", "b", 2), ("Sprint 4", "c", 10)]
     s4_before = part_files(table, "Sprint 4")
 
     write(os.path.join(landing, "A", "s3_resend.csv"), "score,respondent_id,sprint_id\n9,a,Sprint 3\n")
-    run_available(spark, landing, table, ckpt, ["A", "B"])
+    run_available(spark, landing, table, ckpt)
     second = sorted((r.sprint_id, r.respondent_id, r.score) for r in read_clean(spark, table).collect())
     assert second == [("Sprint 3", "a", 9), ("Sprint 3", "b", 2), ("Sprint 4", "c", 10)]
     assert part_files(table, "Sprint 4") == s4_before          # untouched partition kept as is
 
-    run_available(spark, landing, table, ckpt, ["A", "B"])     # nothing new: no change
+    run_available(spark, landing, table, ckpt)     # nothing new: no change
     third = sorted((r.sprint_id, r.respondent_id, r.score) for r in read_clean(spark, table).collect())
     assert third == second
 
@@ -63,8 +62,56 @@ def test_replayed_batch_after_crash_is_idempotent(spark, tmpdir_fresh, monkeypat
     from pyspark.errors import StreamingQueryException
 
     with pytest.raises((StreamingQueryException, RuntimeError)):
-        run_available(spark, landing, table, ckpt, ["A"])
-    run_available(spark, landing, table, ckpt, ["A"])          # restart: the batch is replayed
+        run_available(spark, landing, table, ckpt)
+    run_available(spark, landing, table, ckpt)          # restart: the batch is replayed
     assert len(calls) == 2
     got = sorted((r.sprint_id, r.respondent_id, r.score) for r in read_clean(spark, table).collect())
     assert got == [("Sprint 3", "a", 5), ("Sprint 4", "b", 2)]
+
+
+def scores(spark, table):
+    return {(r.sprint_id, r.respondent_id): r.score for r in read_clean(spark, table).collect()}
+
+
+def paths(root):
+    return [os.path.join(root, x) for x in ("landing", "table", "ckpt")]
+
+
+def test_every_file_has_its_own_header(spark, tmpdir_fresh):
+    landing, table, ckpt = paths(tmpdir_fresh)
+    write(os.path.join(landing, "A", "x.csv"), "respondent_id,score,sprint_id\n7,4,S\n")
+    write(os.path.join(landing, "A", "y.CSV"), "score,sprint_id,respondent_id\n3,S,8\n")
+    write(os.path.join(landing, "A", "z.csv"), "respondent_id,comment\n9,no score\n")
+    run_available(spark, landing, table, ckpt)
+    assert scores(spark, table) == {("S", "7"): 4, ("S", "8"): 3}
+
+
+def test_a_layout_may_arrive_later(spark, tmpdir_fresh):
+    landing, table, ckpt = paths(tmpdir_fresh)
+    os.makedirs(os.path.join(landing, "B"))
+    write(os.path.join(landing, "A", "x.csv"), "respondent_id,score,sprint_id\n1,4,S\n")
+    run_available(spark, landing, table, ckpt)
+    write(os.path.join(landing, "B", "y.csv"), "cycle,Rating,ID\nT,9,2\n")
+    run_available(spark, landing, table, ckpt)
+    assert scores(spark, table) == {("S", "1"): 4, ("T", "2"): 9}
+
+
+def test_a_fresh_checkpoint_does_not_lose_to_the_table(spark, tmpdir_fresh):
+    landing, table, ckpt = paths(tmpdir_fresh)
+    write(os.path.join(landing, "a.csv"), "respondent_id,score,sprint_id\n1,4,S\n")
+    run_available(spark, landing, table, ckpt)
+    write(os.path.join(landing, "b.csv"), "respondent_id,score,sprint_id\n1,5,S\n")
+    run_available(spark, landing, table, ckpt)
+    other = os.path.join(tmpdir_fresh, "other")
+    write(os.path.join(other, "c.csv"), "respondent_id,score,sprint_id\n1,9,S\n")
+    run_available(spark, other, table, ckpt + "-fresh")
+    assert scores(spark, table) == {("S", "1"): 9}
+
+
+def test_file_time_decides_within_a_batch(spark, tmpdir_fresh):
+    landing, table, ckpt = paths(tmpdir_fresh)
+    for name, score, time in (("resend_9.csv", 1, 1000), ("resend_10.csv", 7, 2000)):
+        write(os.path.join(landing, name), f"respondent_id,score,sprint_id\n1,{score},S\n")
+        os.utime(os.path.join(landing, name), (time, time))
+    run_available(spark, landing, table, ckpt)
+    assert scores(spark, table) == {("S", "1"): 7}
