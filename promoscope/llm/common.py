@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promoscope.session import ship_package as ship
+
 # Fixed values of the contracts: white space and word, as regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,26 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the executors import this package, where their PYTHONPATH does not have it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_promoscope_shipped", False):
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="promoscope-py-"), "promoscope.zip")
-    package = os.path.join(root, "promoscope")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    sc._promoscope_shipped = True
-
-
 def arrow_map(df: DataFrame, fn: Callable[[list], list[tuple]], schema: T.StructType) -> DataFrame:
     """``fn`` gets the rows of a part of an Arrow batch as tuples and returns rows of ``schema``.
 
