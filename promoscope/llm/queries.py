@@ -10,6 +10,7 @@ from promoscope.llm import (
     imatch, line_quality, line_runs, piece_codec, pivotal_mix, ppm, probminhash, secret_scan,
     token_counts, warc)
 from promoscope.llm.common import table
+from promoscope.llm.oracle import ORACLE  # noqa: F401 - registered with the queries
 from promoscope.session import scratch_path
 
 BYTE_BPE = token_counts.Vocabulary(
@@ -68,5 +69,3 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_lm_scoring, op3_token_counts, op4_secret_scan, op5_sentencepiece, op6_imatch,
     op7_line_dedup, op8_pivotal_mix, op9_probminhash, op10_line_quality)}
-
-ORACLE: dict[str, str] = {}
