@@ -7,11 +7,17 @@ point comes first.  A text stops when all its slots are filled and the next poin
 behind the last slot's, so long texts take little more than one point per shingle.  Two texts agree in
 a slot with probability equal to the probability Jaccard similarity of their weighted shingles.
 
-Texts that agree in all slots of a band share a bucket.  Buckets are not expanded into pairs: in each
-round a few leaders of every bucket (1, then 2, 4, ...) are compared with the members after them that
-are in another class so far, exactly, by the Jaccard similarity of the sets of shingles; links join
-classes.  A bucket closes when all its members are in one class or all have been leaders, so no pair
-of a bucket that could still join two classes is left out.  Equal texts are one node from the start.
+Texts that agree in all slots of a band share a bucket.  Equal texts are one node from the start.
+Before anything is compared, texts that cannot have a partner leave their buckets, by exact bounds: two
+sets of n and m shingles with similarity t have t / (1 + t) * (n + m) shingles in common or more, all of
+which are shared ones (found in two candidates or more).  A family of texts that are all a bit alike,
+with many edits of their own, shrinks to its core by that.
+
+Buckets are not expanded into pairs: in each round a few leaders of every bucket (1, then 2, 4, ...;
+those with the largest part of shared shingles first) are compared with the members after them that are
+in another class so far, exactly, by the Jaccard similarity of the sets of shingles; links join classes.
+A bucket closes when all its members are in one class or all have been leaders, so no pair of a bucket
+that could still join two classes is left out.
 
 Defined cases: a null text is empty; texts without a word are alike only if equal; the class id is the
 smallest id of the class (null if all are null); repeated rows are in one class; an empty table gives
@@ -222,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = keyed.join(wanted, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))
                        & F.col("id").eqNullSafe(F.col("first"))).select("node", "text")
     sets = store(with_shingles(texts, width).dropDuplicates(["node"]), "sets")
-    labels = link_rounds(spark, members, sets, threshold, store)
+    labels = link_rounds(spark, possible(members, sets, threshold, store), sets, threshold, store)
     classed = nodes.join(labels, "node", "left").select(
         "x1", "x2", "first", F.coalesce("class", "node").alias("class"))
     ids = classed.groupBy("class").agg(F.min("first").alias("class_id"))
@@ -231,12 +237,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), "class_id", "x1", "x2")
 
 
+def possible(members: DataFrame, sets: DataFrame, threshold: float, store: Stored) -> DataFrame:
+    """(bucket, node, n, shared) of the members that can have a partner in their bucket.
+
+    ``n``: the node's shingles; ``shared``: those that another candidate has, too.
+    """
+    one = (sets.select("node", F.explode("set").alias("h"))
+           .groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node"))
+           .filter("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+    n = F.col("n")
+    sized = store(sets.select("node", F.size("set").cast("long").alias("n")).join(one, "node", "left")
+                  .select("node", "n", (n - F.coalesce("own", F.lit(0))).alias("shared"))
+                  .filter(F.col("shared") / n >= threshold), "sized")
+    both = members.join(sized, "node")
+    # the smallest partner that the size alone allows
+    least = both.groupBy("bucket").agg(F.min("n").alias("least"))
+    smallest = F.greatest(F.col("least"), threshold * n)
+    # rounding must not drop a pair that is just similar enough
+    need = threshold / (1 + threshold) * (n + smallest) - 1e-6
+    return both.join(least, "bucket").filter(F.col("shared") >= need).select("bucket", "node", "n", "shared")
+
+
 def link_rounds(spark, members: DataFrame, sets: DataFrame, threshold: float, store: Stored) -> DataFrame:
-    """(node, class) of the nodes in ``members`` (bucket, node), joined by all links of their buckets."""
-    labels = store(members.select("node").distinct().withColumn("class", F.col("node")), "labels-0")
+    """(node, class) of the nodes in ``members``, joined by all links of their buckets."""
     # members in a fixed order; the place decides who leads in which round
     placed = store(members.withColumn("place", F.row_number().over(
-        Window.partitionBy("bucket").orderBy("node"))), "placed")
+        Window.partitionBy("bucket").orderBy(F.desc(F.col("shared") / F.col("n")), "node"))), "placed")
+    labels = store(placed.select("node").distinct().withColumn("class", F.col("node")), "labels-0")
     apart, start, leaders, number = None, 0, 1, 0
     while True:
         number += 1
@@ -246,10 +273,13 @@ def link_rounds(spark, members: DataFrame, sets: DataFrame, threshold: float, st
                  .filter((F.col("a") < F.col("b")) & (F.col("n") > start + 1)).select("bucket"))
         rest = now.join(open_, "bucket", "left_semi").filter(F.col("place") > start)
         lead = rest.filter(F.col("place") <= start + leaders).select(
-            "bucket", F.col("node").alias("u"), F.col("class").alias("class_u"), F.col("place").alias("place_u"))
+            "bucket", F.col("node").alias("u"), F.col("class").alias("class_u"), F.col("place").alias("place_u"),
+            F.col("n").alias("n_u"), F.col("shared").alias("shared_u"))
+        enough = threshold / (1 + threshold) * (F.col("n") + F.col("n_u")) - 1e-6
         pairs = (rest.join(lead, "bucket")
-                 .filter((F.col("place") > F.col("place_u")) & (F.col("class") != F.col("class_u")))
-                 .select("u", F.col("node").alias("v")).distinct())
+                 .filter((F.col("place") > F.col("place_u")) & (F.col("class") != F.col("class_u"))
+                         & (F.least("shared", "shared_u", "n", "n_u") >= enough))
+                 .select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
         if apart is not None:
             pairs = pairs.join(apart, ["u", "v"], "left_anti")
         a = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
