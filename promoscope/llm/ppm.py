@@ -83,6 +83,11 @@ def pair_keys(raw: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray,
 def profile(texts: pa.ChunkedArray, train: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct keys and their training counts, of words and of pairs."""
     found: list[list] = [[], []]
+
+    def merged(each: list) -> tuple[np.ndarray, np.ndarray]:
+        codes, keys = pd.factorize(np.concatenate([k for k, _ in each]))
+        return keys, np.bincount(codes, np.concatenate([c for _, c in each]), len(keys)).astype(np.int64)
+
     for a, b in slices(texts):
         raw, at = buffers(texts.slice(a, b - a).combine_chunks())
         own = train[a:b]
@@ -92,12 +97,9 @@ def profile(texts: pa.ChunkedArray, train: np.ndarray, order: int) -> list[tuple
                                   (PAIR_KIND, *pair_keys(raw, at, order))):
             codes, some = pd.factorize(keys)
             found[kind].append((some, np.bincount(codes, own[owner], len(some)).astype(np.int64)))
-    out = []
-    for each in found:
-        codes, keys = pd.factorize(np.concatenate([k for k, _ in each]), sort=True)
-        count = np.bincount(codes, np.concatenate([c for _, c in each]), len(keys))
-        out.append((keys, count.astype(np.int64)))
-    return out
+            if len(found[kind]) == 8:
+                found[kind] = [merged(found[kind])]
+    return [merged(each) for each in found]
 
 
 def score(texts: pa.ChunkedArray, keys: list[np.ndarray], values: list[np.ndarray],
@@ -187,7 +189,7 @@ def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 4,
-              folds: int = 5, held_out: int = 1, block_bytes: int = 64 << 20) -> DataFrame:
+              folds: int = 5, held_out: int = 1, block_bytes: int = 24 << 20) -> DataFrame:
     """id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` per row."""
     spark = docs.sparkSession
     ship(spark)
