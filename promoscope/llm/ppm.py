@@ -2,10 +2,12 @@
 
 The model is a trie of byte contexts of up to ``order`` bytes, learnt from all training documents and
 kept as tables, one per level: (context, symbol) with counts.  A symbol is a byte or the end of the
-text; contexts before the start are filled with the same end mark.  In a context seen in training
-with total count T and D distinct symbols, a symbol with count c has probability c / (T + D), and the
-escape to the next shorter context D / (T + D) (method C).  After an escape the symbols of the longer
-context are excluded from the counts.  Below the empty context all symbols left are equally likely.
+text; contexts before the start are filled with the same end mark.  The longest contexts count
+occurrences; a shorter one counts the contexts one byte longer in which the symbol occurs (update
+exclusion).  In a context seen in training with total count T and D distinct symbols, a symbol with
+count c has probability (2c - 1) / 2T, and the escape to the next shorter context D / 2T (method D).
+After an escape the symbols of the longer context are excluded from the counts.  Below the empty
+context all symbols left are equally likely.
 A document's score is the log10 probability of its bytes and its end; this is the pretrained use: the
 counts do not change while a document is scored.  (A training document's own counts are in the model.)
 
@@ -14,8 +16,9 @@ The base score is the smoothed unigram model of the contract, from the same pass
 How it runs: documents are dealt into blocks of some tens of MB of text.  A block lists its distinct
 words and (context, symbol) pairs with their training counts; Spark sums these over all blocks, works
 out the log probability of every pair from the trie's levels with joins, and joins the values back to
-the blocks' lists.  A block then scores its documents with its own list only.  So memory is bounded by
-a block, whatever the size of the corpus, and nothing is broadcast or collected but two totals.
+the blocks' lists.  A block's task then reads its values first and scores its documents as they come.
+So memory is bounded by the distinct keys of a block, whatever the size of the corpus, and nothing is
+broadcast or collected but two totals.
 
 Defined cases: a null text is empty (its only token is the end); a null id is the empty string for the
 hash that picks held-out documents, so it is in training; repeated rows each count and are each
@@ -27,11 +30,12 @@ columns are read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,7 +53,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 
-def slices(texts: pa.ChunkedArray | pa.Array) -> list[tuple[int, int]]:
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
     """Ranges of rows of about ``SLICE`` bytes."""
     sizes = np.asarray(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), np.int64)
     which = np.cumsum(sizes) // SLICE
@@ -80,58 +84,71 @@ def pair_keys(raw: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray,
     return key[places], owner
 
 
-def profile(texts: pa.ChunkedArray, train: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct keys and their training counts, of words and of pairs."""
-    found: list[list] = [[], []]
-
-    def merged(each: list) -> tuple[np.ndarray, np.ndarray]:
+class Profile:
+    """Distinct keys and their training counts, of the words and pairs of the texts added so far."""
+
+    def __init__(self, order: int):
+        self.order = order
+        self.found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+    def add(self, texts: pa.Array, train: np.ndarray) -> None:
+        for a, b in slices(texts):
+            raw, at = buffers(texts.slice(a, b - a))
+            own = train[a:b].astype(np.float64)
+            words, doc = word_keys(raw, at)
+            ends = np.full(b - a, END_WORD)
+            for kind, keys, owner in ((WORD_KIND, np.append(words, ends), np.append(doc, np.arange(b - a))),
+                                      (PAIR_KIND, *pair_keys(raw, at, self.order))):
+                codes, some = pd.factorize(keys)
+                self.found[kind].append((some, np.bincount(codes, own[owner], len(some)).astype(np.int64)))
+                if len(self.found[kind]) == 8:
+                    self.found[kind] = [self.keys(kind)]
+
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        each = self.found[kind]
         codes, keys = pd.factorize(np.concatenate([k for k, _ in each]))
         return keys, np.bincount(codes, np.concatenate([c for _, c in each]), len(keys)).astype(np.int64)
 
-    for a, b in slices(texts):
-        raw, at = buffers(texts.slice(a, b - a).combine_chunks())
-        own = train[a:b]
-        words, doc = word_keys(raw, at)
-        ends = np.full(b - a, END_WORD)
-        for kind, keys, owner in ((WORD_KIND, np.append(words, ends), np.append(doc, np.arange(b - a))),
-                                  (PAIR_KIND, *pair_keys(raw, at, order))):
-            codes, some = pd.factorize(keys)
-            found[kind].append((some, np.bincount(codes, own[owner], len(some)).astype(np.int64)))
-            if len(found[kind]) == 8:
-                found[kind] = [merged(found[kind])]
-    return [merged(each) for each in found]
-
-
-def score(texts: pa.ChunkedArray, keys: list[np.ndarray], values: list[np.ndarray],
-          order: int) -> tuple[np.ndarray, ...]:
-    """Per text: tokens, known tokens, sum of log10(c + 0.5) of its tokens, log10 probability."""
-    found: list[list[np.ndarray]] = [[], [], [], []]
-
-    def look_up(kind: int, wanted: np.ndarray) -> np.ndarray:
+
+class Values:
+    """The values of a block's keys, looked up for its texts."""
+
+    def __init__(self, kinds: np.ndarray, keys: np.ndarray, values: np.ndarray, order: int):
+        self.order, self.keys, self.values = order, [], []
+        for kind in (WORD_KIND, PAIR_KIND):
+            own = kinds == kind
+            by = np.argsort(keys[own], kind="stable")
+            self.keys.append(keys[own][by])
+            self.values.append(values[own][by])
+
+    def look_up(self, kind: int, wanted: np.ndarray) -> np.ndarray:
         codes, some = pd.factorize(wanted)
-        at = np.searchsorted(keys[kind], some)
-        if not np.array_equal(keys[kind][at], some):
+        at = np.searchsorted(self.keys[kind], some)
+        if len(some) and not np.array_equal(self.keys[kind].take(at, mode="clip"), some):
             raise ValueError("a block lists other keys than its texts have")
-        return values[kind][at][codes]
-
-    for a, b in slices(texts):
-        raw, at = buffers(texts.slice(a, b - a).combine_chunks())
-        n = b - a
-        words, doc = word_keys(raw, at)
-        doc = np.append(doc, np.arange(n))
-        c = look_up(WORD_KIND, np.append(words, np.full(n, END_WORD)))
-        pairs, owner = pair_keys(raw, at, order)
-        found[0].append(np.bincount(doc, minlength=n))
-        found[1].append(np.bincount(doc[c > 0], minlength=n))
-        found[2].append(np.bincount(doc, np.log10(c + 0.5), n))
-        found[3].append(np.bincount(owner, look_up(PAIR_KIND, pairs), n))
-    return tuple(np.concatenate(f) if f else np.zeros(0) for f in found)
+        return self.values[kind][at][codes]
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Per text: tokens, known tokens, sum of log10(c + 0.5) of its tokens, log10 probability."""
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for a, b in slices(texts):
+            raw, at = buffers(texts.slice(a, b - a))
+            n = b - a
+            words, doc = word_keys(raw, at)
+            doc = np.append(doc, np.arange(n))
+            c = self.look_up(WORD_KIND, np.append(words, np.full(n, END_WORD)))
+            pairs, owner = pair_keys(raw, at, self.order)
+            found[0].append(np.bincount(doc, minlength=n))
+            found[1].append(np.bincount(doc[c > 0], minlength=n))
+            found[2].append(np.bincount(doc, np.log10(c + 0.5), n))
+            found[3].append(np.bincount(owner, self.look_up(PAIR_KIND, pairs), n))
+        return tuple(np.concatenate(f) for f in found)
 
 
 def level(pairs: DataFrame, k: int) -> DataFrame:
-    """(key, ctx, n): counts of the trie's level k, from those of a deeper one."""
+    """(key, ctx, n): counts of the trie's level k, from the rows of the level above it."""
     mask = F.lit((1 << BITS * (k + 1)) - 1)
-    return pairs.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")).withColumn(
+    return pairs.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "ctx", F.shiftright("key", BITS))
 
 
@@ -156,13 +173,13 @@ def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
         ctx = F.col("v").bitwiseAND(F.lit((1 << BITS * k) - 1))
         rest = gone.withColumn("ctx", ctx).join(stats[k], "ctx")
         left[k] = store(rest.select("v", (F.col("d") - F.col("dv")).alias("esc"),
-                                    (F.col("t") - F.col("gone") + F.col("d") - F.col("dv")).alias("den")), f"left-{k}")
+                                    (2 * (F.col("t") - F.col("gone"))).alias("den")), f"left-{k}")
     # a pair's value: found in its own context, or by escapes down the levels
     now = totals.withColumn("ctx", F.shiftright("key", BITS)).join(stats[order], "ctx", "left")
     seen = F.col("n") > 0
     now = now.select(
-        "key", F.when(seen, log10(F.col("n") / (F.col("t") + F.col("d"))))
-        .when(F.col("t").isNotNull(), log10(F.col("d") / (F.col("t") + F.col("d"))))
+        "key", F.when(seen, log10((2 * F.col("n") - 1) / (2 * F.col("t"))))
+        .when(F.col("t").isNotNull(), log10(F.col("d") / (2 * F.col("t"))))
         .otherwise(F.lit(0.0)).alias("value"), seen.alias("done"), F.col("t").isNotNull().alias("above"),
         F.coalesce("d", F.lit(0)).alias("d"))
     ready, rest = now.filter("done").select("key", "value"), now.filter("not done")
@@ -175,10 +192,10 @@ def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
                 .join(left[k], "v", "left").join(stats[k], "ctx", "left"))
         known = F.col("t").isNotNull()
         esc = F.when(F.col("above"), F.col("esc")).otherwise(F.col("d"))
-        den = F.when(F.col("above"), F.col("den")).otherwise(F.col("t") + F.col("d"))
+        den = F.when(F.col("above"), F.col("den")).otherwise(2 * F.col("t"))
         hit = F.col("n").isNotNull()
         step = here.select(
-            "key", (F.col("value") + F.when(hit, log10(F.col("n") / den))
+            "key", (F.col("value") + F.when(hit, log10((2 * F.col("n") - 1) / den))
                     .when(known & (esc > 0), log10(esc / den)).otherwise(F.lit(0.0))).alias("value"),
             hit.alias("done"), known.alias("above"), F.coalesce("d", F.lit(0)).alias("d"))
         step = store(step, f"step-{k}")
@@ -189,7 +206,7 @@ def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 4,
-              folds: int = 5, held_out: int = 1, block_bytes: int = 24 << 20) -> DataFrame:
+              folds: int = 5, held_out: int = 1, block_bytes: int = 64 << 20) -> DataFrame:
     """id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` per row."""
     spark = docs.sparkSession
     ship(spark)
@@ -202,48 +219,85 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         F.col(id_col).alias("id"), text.alias("text"),
         (F.crc32(name) % folds == held_out).alias("held_out"),
         F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).cast("int").alias("block"))
-    counted = T.StructType([
+    listed = store(list_keys(dealt.repartitionById(blocks, "block"), order), "listed")
+    # a word's count over all blocks; one of its rows is marked, to count the words
+    same = Window.partitionBy("key")
+    words = store(listed.filter(F.col("kind") == WORD_KIND).select(
+        "block", "kind", "key", F.sum("n").over(same).cast("double").alias("value"), "n",
+        (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "words")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("value") > 0))).first()
+    of_pairs = listed.filter(F.col("kind") == PAIR_KIND)
+    pairs = store(of_pairs.groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    values = store(pair_values(pairs, order, store), "values")
+    answers = of_pairs.select("block", "kind", "key").join(values, "key").select("block", "kind", "key", "value")
+    scored = score_blocks(dealt, words.select("block", "kind", "key", "value").unionByName(answers), blocks, order)
+    weight = math.log10(n + 0.5 * (v + 1))
+    return scored.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("known_sum") - F.col("n_tokens") * F.lit(weight)).alias("base_score"), "score")
+
+
+def list_keys(dealt: DataFrame, order: int) -> DataFrame:
+    """(block, kind, key, n): the distinct keys of each block (a partition) and their training counts."""
+    schema = T.StructType([
         T.StructField("block", T.IntegerType()), T.StructField("kind", T.ByteType()),
         T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
 
-    def list_block(group: pa.Table) -> pa.Table:
-        train = ~group.column("held_out").to_numpy().astype(bool)
-        made = profile(group.column("text"), train, order)
-        keys = np.concatenate([k for k, _ in made])
-        return pa.table({
-            "block": pa.array(np.full(len(keys), group.column("block")[0].as_py(), np.int32)),
-            "kind": pa.array(np.repeat(np.arange(2, dtype=np.int8), [len(k) for k, _ in made])),
-            "key": pa.array(keys.astype(np.int64)), "n": pa.array(np.concatenate([c for _, c in made]))})
-
-    listed = store(dealt.groupBy("block").applyInArrow(list_block, counted), "listed")
-    words = store(listed.filter(F.col("kind") == WORD_KIND).groupBy("key").agg(F.sum("n").alias("n")), "words")
-    pairs = store(listed.filter(F.col("kind") == PAIR_KIND).groupBy("key").agg(F.sum("n").alias("n")), "pairs")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    values = words.select(F.lit(WORD_KIND).cast("byte").alias("kind"), "key", F.col("n").cast("double").alias("value"))
-    values = values.unionByName(store(pair_values(pairs, order, store), "values").select(
-        F.lit(PAIR_KIND).cast("byte").alias("kind"), "key", "value"))
-    answers = listed.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
-    scored = T.StructType([
-        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, Profile] = {}
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            for block in np.unique(blocks).tolist():
+                own = batch.filter(pa.array(blocks == block))
+                train = ~own.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                made.setdefault(block, Profile(order)).add(own.column("text"), train)
+        for block, profile in made.items():
+            for kind in (WORD_KIND, PAIR_KIND):
+                keys, count = profile.keys(kind)
+                by = np.argsort(keys)  # sorted keys take less room
+                for at in range(0, len(by), 1 << 16):
+                    some = by[at:at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), block, np.int32)), pa.array(np.full(len(some), kind, np.int8)),
+                         pa.array(keys[some]), pa.array(count[some])], names=schema.names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+DOCUMENT = 2  # comes after the values of both kinds
+
+
+def score_blocks(dealt: DataFrame, answers: DataFrame, blocks: int, order: int) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, known_sum, score) of every document."""
+    rows = answers.unionByName(dealt.withColumn("kind", F.lit(DOCUMENT).cast("byte")), allowMissingColumns=True)
+    rows = rows.repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
+    id_type = dealt.schema["id"].dataType
+    schema = T.StructType([
+        T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("known_sum", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
-    def score_block(group: pa.Table, answer: pa.Table) -> pa.Table:
-        kind = answer.column("kind").to_numpy()
-        keys, vals = [], []
-        for k in (WORD_KIND, PAIR_KIND):
-            own = answer.column("key").to_numpy()[kind == k]
-            by = np.argsort(own, kind="stable")
-            keys.append(own[by])
-            vals.append(answer.column("value").to_numpy()[kind == k][by])
-        tokens, known, total, logp = score(group.column("text"), keys, vals, order)
-        return pa.table({
-            id_col: group.column("id").combine_chunks(), "held_out": group.column("held_out").combine_chunks(),
-            "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-            "known_sum": pa.array(total.astype(np.float64)), "score": pa.array(logp.astype(np.float64))})
-
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, scored)
-    weight = math.log10(n + 0.5 * (v + 1))
-    return out.select(
-        id_col, "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("known_sum") - F.col("n_tokens") * F.lit(weight)).alias("base_score"), "score")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, got, values = None, [], None
+        for batch in batches:
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            for now in np.unique(blocks).tolist():
+                if now != block:
+                    block, got, values = now, [], None
+                listing = (blocks == now) & (kinds != DOCUMENT)
+                if listing.any():
+                    own = batch.select(["kind", "key", "value"]).filter(pa.array(listing))
+                    got.append([c.to_numpy() for c in own.columns])
+                here = (blocks == now) & (kinds == DOCUMENT)
+                if not here.any():
+                    continue
+                if values is None:
+                    values, got = Values(*(np.concatenate(c) for c in zip(*got)), order), []
+                docs = batch.select(["id", "held_out", "text"]).filter(pa.array(here))
+                tokens, known, total, logp = values.score(docs.column("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [docs.column("id"), docs.column("held_out"), pa.array(tokens.astype(np.int64)),
+                     pa.array(known.astype(np.int64)), pa.array(total.astype(np.float64)),
+                     pa.array(logp.astype(np.float64))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -25,8 +25,11 @@ class Trie:
         self.order, self.counts = order, defaultdict(Counter)
         for text in texts:
             for ctx, s in self.pairs(text):
-                for k in range(order + 1):
-                    self.counts[ctx[order - k:]][s] += 1
+                for k in range(order, -1, -1):  # a shorter context counts only what is new in the longer one
+                    seen = self.counts[k, ctx[order - k:]]
+                    seen[s] += 1
+                    if seen[s] > 1:
+                        break
 
     def pairs(self, text):
         symbols = [END] * self.order + list(text.encode()) + [END]
@@ -35,13 +38,13 @@ class Trie:
     def probability(self, ctx, s):
         p, gone = 1.0, set()
         for k in range(self.order, -1, -1):
-            seen = self.counts.get(ctx[self.order - k:])
+            seen = self.counts.get((k, ctx[self.order - k:]))
             if not seen:
                 continue
             left = {x: n for x, n in seen.items() if x not in gone}
-            total = sum(left.values()) + len(left)
+            total = 2 * sum(left.values())
             if s in left:
-                return p * left[s] / total
+                return p * (2 * left[s] - 1) / total
             if left:
                 p *= len(left) / total
             gone |= set(seen)
