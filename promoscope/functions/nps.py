@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promoscope.functions.columns import js_number_str, js_round, js_round1, js_round_to
+from promoscope.sources import dims
 
 COUNT_COLS = ["n", "promoters", "passives", "detractors"]
 
@@ -166,14 +167,12 @@ def with_z_test(df: DataFrame, before: str, after: str) -> DataFrame:
     df = df.withColumns({"_z": F.when(ok, z), "_p": F.when(ok, p)})
     sig = F.coalesce(F.col("_p") < 0.05, F.lit(False))
     p_txt = F.format_string("%.3f", F.col("_p"))
-    interp = (F.when(insufficient, F.lit("Insufficient data"))
-              .when(no_var, F.lit("No variance"))
-              .when(sig, F.concat(F.lit("NPS "),
-                                  F.when(F.col("_delta") > 0, F.lit("improved")).otherwise(F.lit("declined")),
-                                  F.lit(" by "), js_number_str(F.abs(F.col("_delta"))),
-                                  F.lit(" pts (p="), p_txt, F.lit(") — statistically significant")))
-              .otherwise(F.concat(F.lit("NPS changed by "), js_number_str(F.col("_delta")),
-                                  F.lit(" pts (p="), p_txt, F.lit(") — not statistically significant"))))
+    size = js_number_str(F.abs(F.col("_delta")))
+    interp = (F.when(insufficient, F.lit(dims.TEST_NO_DATA))
+              .when(no_var, F.lit(dims.TEST_NO_VARIANCE))
+              .when(sig & (F.col("_delta") > 0), dims.sentence(dims.TEST_IMPROVED, size, p_txt))
+              .when(sig, dims.sentence(dims.TEST_DECLINED, size, p_txt))
+              .otherwise(dims.sentence(dims.TEST_CHANGED, js_number_str(F.col("_delta")), p_txt)))
     return df.withColumns({
         "delta": F.when(insufficient, F.lit(0.0)).otherwise(F.col("_delta")),
         "z_score": js_round_to(F.col("_z"), 2),

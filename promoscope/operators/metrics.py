@@ -153,23 +153,16 @@ def _health_level(nps: Column) -> Column:
 
 
 def _health_text(nps: Column, pro_pct: Column, det_pct: Column, delta: Column) -> Column:
-    s = js_number_str(nps)
-    first = (F.when(nps > 20, F.concat(F.lit("Overall NPS of +"), s,
-                                       F.lit(" signals strong customer satisfaction.")))
-             .when(nps > 0, F.concat(F.lit("Overall NPS of +"), s,
-                                     F.lit(" is slightly positive but has room to grow.")))
-             .when(nps > -15, F.concat(F.lit("Overall NPS of "), s, F.lit(
-                 " is in negative territory — more detractors than promoters.")))
-             .otherwise(F.concat(F.lit("Overall NPS of "), s, F.lit(
-                 " indicates significant dissatisfaction among respondents."))))
-    second = F.concat(js_number_str(pro_pct), F.lit("% are promoters (9–10) and "),
-                      js_number_str(det_pct), F.lit("% are detractors (0–6)."))
+    s, change = js_number_str(nps), js_number_str(delta)
+    first = (F.when(nps > 20, dims.sentence(dims.HEALTH_STRONG, s))
+             .when(nps > 0, dims.sentence(dims.HEALTH_SLIGHT, s))
+             .when(nps > -15, dims.sentence(dims.HEALTH_NEGATIVE, s))
+             .otherwise(dims.sentence(dims.HEALTH_BAD, s)))
+    second = dims.sentence(dims.HEALTH_BANDS, js_number_str(pro_pct), js_number_str(det_pct))
     third = (F.when(delta.isNull(), F.lit(None).cast("string"))
-             .when(delta > 0, F.concat(F.lit("The most recent period saw NPS rise by +"),
-                                       js_number_str(delta), F.lit(" pts vs the previous one.")))
-             .when(delta < 0, F.concat(F.lit("The most recent period saw NPS drop by "),
-                                       js_number_str(delta), F.lit(" pts vs the previous one.")))
-             .otherwise(F.lit("NPS was flat compared to the previous period.")))
+             .when(delta > 0, dims.sentence(dims.HEALTH_RISE, change))
+             .when(delta < 0, dims.sentence(dims.HEALTH_DROP, change))
+             .otherwise(dims.sentence(dims.HEALTH_FLAT)))
     return F.concat_ws(" ", first, second, third)
 
 

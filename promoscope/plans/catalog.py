@@ -216,11 +216,12 @@ def _ztest_sql(relation: str, before: str, after: str, keep: str) -> str:
     z3 = (f"SELECT *, 2 * (1 - 0.5 * (1 + {_erf_sql('(z / sqrt(2.0))')})) AS p FROM (" + z2 + ")")
     sig = "COALESCE(p < 0.05, false)"
     ptxt = "printf('%.3f', p)"
-    interp = (f"CASE WHEN insufficient THEN 'Insufficient data' WHEN se = 0 THEN 'No variance' "
-              f"WHEN {sig} THEN 'NPS ' || CASE WHEN d0 > 0 THEN 'improved' ELSE 'declined' END || ' by ' "
-              f"|| {O.js_num('abs(d0)')} || ' pts (p=' || {ptxt} || ') — statistically significant' "
-              f"ELSE 'NPS changed by ' || {O.js_num('d0')} || ' pts (p=' || {ptxt} "
-              f"|| ') — not statistically significant' END")
+    d = metrics.dims
+    size = O.js_num("abs(d0)")
+    interp = (f"CASE WHEN insufficient THEN {O.q(d.TEST_NO_DATA)} WHEN se = 0 THEN {O.q(d.TEST_NO_VARIANCE)} "
+              f"WHEN {sig} AND d0 > 0 THEN {O.sentence(d.TEST_IMPROVED, size, ptxt)} "
+              f"WHEN {sig} THEN {O.sentence(d.TEST_DECLINED, size, ptxt)} "
+              f"ELSE {O.sentence(d.TEST_CHANGED, O.js_num('d0'), ptxt)} END")
     return (f"SELECT {keep}, CASE WHEN insufficient THEN 0.0 ELSE d0 END AS delta, "
             "CAST(floor(z * 100 + 0.5) AS DOUBLE) / 100 AS z_score, "
             "CAST(floor(p * 10000 + 0.5) AS DOUBLE) / 10000 AS p_value, "
@@ -252,16 +253,14 @@ def _health_sql() -> str:
     pcts = (f"SELECT *, {O.js_round('promoters / n * 100')} AS promoter_pct, "
             f"{O.js_round('detractors / n * 100')} AS detractor_pct FROM (SELECT * FROM ({u}) WHERE n > 0)")
     s = O.js_num("nps")
-    first = (f"CASE WHEN nps > 20 THEN 'Overall NPS of +' || {s} || ' signals strong customer satisfaction.' "
-             f"WHEN nps > 0 THEN 'Overall NPS of +' || {s} || ' is slightly positive but has room to grow.' "
-             f"WHEN nps > -15 THEN 'Overall NPS of ' || {s} || ' is in negative territory — more detractors than promoters.' "
-             f"ELSE 'Overall NPS of ' || {s} || ' indicates significant dissatisfaction among respondents.' END")
-    second = (f"{O.js_num('promoter_pct')} || '% are promoters (9–10) and ' || {O.js_num('detractor_pct')} "
-              f"|| '% are detractors (0–6).'")
-    third = (f"CASE WHEN delta IS NULL THEN NULL "
-             f"WHEN delta > 0 THEN 'The most recent period saw NPS rise by +' || {O.js_num('delta')} || ' pts vs the previous one.' "
-             f"WHEN delta < 0 THEN 'The most recent period saw NPS drop by ' || {O.js_num('delta')} || ' pts vs the previous one.' "
-             f"ELSE 'NPS was flat compared to the previous period.' END")
+    say, change = metrics.dims, O.js_num("delta")
+    first = (f"CASE WHEN nps > 20 THEN {O.sentence(say.HEALTH_STRONG, s)} "
+             f"WHEN nps > 0 THEN {O.sentence(say.HEALTH_SLIGHT, s)} "
+             f"WHEN nps > -15 THEN {O.sentence(say.HEALTH_NEGATIVE, s)} "
+             f"ELSE {O.sentence(say.HEALTH_BAD, s)} END")
+    second = O.sentence(say.HEALTH_BANDS, O.js_num("promoter_pct"), O.js_num("detractor_pct"))
+    third = (f"CASE WHEN delta IS NULL THEN NULL WHEN delta > 0 THEN {O.sentence(say.HEALTH_RISE, change)} "
+             f"WHEN delta < 0 THEN {O.sentence(say.HEALTH_DROP, change)} ELSE {O.sentence(say.HEALTH_FLAT)} END")
     body = (f"SELECT period, period_ord, n, nps, promoter_pct, detractor_pct, delta, "
             f"CASE WHEN nps > 20 THEN 'strong' WHEN nps > 0 THEN 'slightly_positive' "
             f"WHEN nps > -15 THEN 'negative' ELSE 'significant_dissatisfaction' END AS health_level, "

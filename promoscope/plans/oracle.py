@@ -127,6 +127,12 @@ def clean_cte(name: str, src: str, ingest_batch: int, src_file: str) -> str:
 )"""
 
 
+def sentence(text: str, *values_: str) -> str:
+    """SQL of a fixed sentence with its numbers put in."""
+    first, *rest = text.split("{}")
+    return " || ".join([q(first), *(x for v, after in zip(values_, rest) for x in (v, q(after)))])
+
+
 def with_survey(body: str, extra_ctes: list[str] | None = None) -> str:
     ctes = [SURVEY_RAW, clean_cte("survey", "survey_raw", 0, "survey_raw")]
     ctes += extra_ctes or []

@@ -211,3 +211,27 @@ def order_index(values: list[str], c: Column) -> Column:
     """0-based position of ``c`` in a fixed order list; NULL when absent."""
     return literal_map([(v, str(i)) for i, v in enumerate(values)])[c].cast("int")
 
+
+# FIXED VALUES: the sentences of the health summary and of the significance test; {} is a number.
+HEALTH_STRONG = "Overall NPS of +{} signals strong customer satisfaction."
+HEALTH_SLIGHT = "Overall NPS of +{} is slightly positive but has room to grow."
+HEALTH_NEGATIVE = "Overall NPS of {} is in negative territory — more detractors than promoters."
+HEALTH_BAD = "Overall NPS of {} indicates significant dissatisfaction among respondents."
+HEALTH_BANDS = "{}% are promoters (9–10) and {}% are detractors (0–6)."
+HEALTH_RISE = "The most recent period saw NPS rise by +{} pts vs the previous one."
+HEALTH_DROP = "The most recent period saw NPS drop by {} pts vs the previous one."
+HEALTH_FLAT = "NPS was flat compared to the previous period."
+TEST_NO_DATA = "Insufficient data"
+TEST_NO_VARIANCE = "No variance"
+TEST_IMPROVED = "NPS improved by {} pts (p={}) — statistically significant"
+TEST_DECLINED = "NPS declined by {} pts (p={}) — statistically significant"
+TEST_CHANGED = "NPS changed by {} pts (p={}) — not statistically significant"
+
+
+def sentence(text: str, *values: Column) -> Column:
+    """A fixed sentence with its numbers put in."""
+    first, *rest = text.split("{}")
+    parts = [F.lit(first)]
+    for value, after in zip(values, rest):
+        parts += [value, F.lit(after)]
+    return F.concat(*parts)

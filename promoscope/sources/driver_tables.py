@@ -19,19 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoscope.sources.dims import literal_map
-
-# FIXED VALUES of the derivation (reason picked by order key modulo 26; 25 = no entry).
-DERIVED_REASONS: list[str] = [
-    "Slow Speed", "Good Speed", "Frequent Disconnections", "Internet Down",
-    "RDNI (Recharge Done, No Internet)", "Affordable", "Expensive", "28-Day Plan Issue",
-    "Flexibility", "FLEXIBILITY", "No/Late Complaint Resolution", "Fast Complaint Resolution",
-    "Bad Customer Support - Call Centre", "Good customer Support - call centre",
-    "Bad Customer Support - Technician", "Good Partner/ Techinician Support", "Range Issue",
-    "General Good Service", "General Bad Service", "Bad Application",
-    "OTT Request, No OTT complaint", "Shifting not Feasible", "Quick Installation", "N/A",
-    "Some unmapped reason",
-]
+from promoscope.sources.dims import REASON_THEME, literal_map
+
+# reason picked by order key modulo 26: every known one, one unmapped, and (25) no entry
+DERIVED_REASONS: list[str] = [*(reason for reason, _ in REASON_THEME), "Some unmapped reason"]
 
 # sprints re-sent in the upsert input
 RESENT_SPRINTS: list[str] = ["Sprint RSP6", "Sprint RSP7"]
