@@ -5,8 +5,8 @@ A line of a text (split at \\n) fails by the first of these rules that it breaks
 * ``navigation``: it has as many ``|``, ``»`` or ``>`` separators as ``nav_separators`` or more,
   or it consists of a few words that are all menu words;
 * ``boilerplate``: it contains one of the fixed phrases of site furniture;
-* ``punctuation``: it does not end like a sentence, or most of its words end in symbols or
-  doubled marks.
+* ``punctuation``: none of its words ends like a sentence or clause (prose that was cut off has such
+  words before its end), or most of its words end in symbols or doubled marks.
 
 Lines without a word neither pass nor fail and stay.  Failing lines are removed; a document whose
 removed lines hold more than ``max_lost`` of its word characters is rejected.  A document is also
@@ -68,7 +68,7 @@ def line_fault(line: str, words: list[str], rules: LineRules) -> str | None:
     low = line.lower()
     if any(p in low for p in FURNITURE):
         return "boilerplate"
-    if words[-1][-1] not in SENTENCE_END:
+    if not any(w[-1] in SENTENCE_END for w in words):
         return "punctuation"
     odd = sum(1 for w in words if _ODD_END.search(w))
     return "punctuation" if odd > rules.odd_words * len(words) else None

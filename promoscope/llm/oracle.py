@@ -68,7 +68,7 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
                      WHEN len(lw) <= {_R.menu_words} AND len(list_filter(lw, lambda x: lower(x) NOT IN ({quoted(MENU_WORDS)}))) = 0
                      THEN 'navigation'
                      WHEN {' OR '.join(f"contains(lower(line), '{p}')" for p in FURNITURE)} THEN 'boilerplate'
-                     WHEN NOT contains('{_ENDS}', right(lw[len(lw)], 1)) THEN 'punctuation'
+                     WHEN len(list_filter(lw, lambda x: contains('{_ENDS}', right(x, 1)))) = 0 THEN 'punctuation'
                      WHEN len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>!?]{{2,}}$'))) > {_R.odd_words} * len(lw)
                      THEN 'punctuation' END AS fault
          FROM full_lines),

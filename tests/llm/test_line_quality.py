@@ -18,7 +18,7 @@ def fault(line):
 @pytest.mark.parametrize("line,want", [
     ("A plain sentence ends here.", None), ("Home", "navigation"), ("Home Login Contact", "navigation"),
     ("one | two | three.", "navigation"), ("a » b » c.", "navigation"), ("One | bar only.", None),
-    ("Please enable JavaScript to go on.", "boilerplate"), ("No end mark", "punctuation"),
+    ("Please enable JavaScript to go on.", "boilerplate"), ("No end mark", "punctuation"), ("A sentence. And one that was cut", None),
     ("SHOUT!! ALL!! THE!! WAY!!", "punctuation"), ("sym*** bols### all### over$$$.", "punctuation"),
     ("Really?! he said, and left it there at last.", None), ("“Quoted.”", None), ("(In brackets.)", None),
 ])
