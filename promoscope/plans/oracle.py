@@ -1,8 +1,9 @@
 """DuckDB oracle SQL for the registered queries.
 
 Each oracle re-derives the survey rows from the driver's tables and re-applies
-the cleaning rules in plain SQL (independently of the Spark code), then
-computes the query.  Rounding is written as ``floor(x + 0.5)`` (JavaScript
+the cleaning rules in plain SQL, then computes the query.  Fixed values
+(calendar, orders, labels, sentences) and the fixture's constants come from the
+same tables as the engine's; the logic is written again.  Rounding is written as ``floor(x + 0.5)`` (JavaScript
 half-up) and every ratio is guarded, as in the engine.
 """
 

@@ -63,11 +63,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let the executors import this package, where their PYTHONPATH does not have it."""
+    """Let the executors import this package; in local mode they inherit the driver's PYTHONPATH."""
     package = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(package)
     sc = spark.sparkContext
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _SHIPPED:
+    inherited = sc.master.startswith("local") and root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if inherited or sc.applicationId in _SHIPPED:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="promoscope-py-"), "promoscope.zip")
     with zipfile.ZipFile(path, "w") as z:
