@@ -8,24 +8,40 @@ from pyspark.sql import functions as F
 from promoscope.session import scratch_path
 
 
-def _neighbours_to_min(edges: DataFrame) -> DataFrame:
+#: Rows that one task of these steps handles at least; small graphs need few tasks, not a cluster's worth.
+ROWS_PER_TASK = 100_000
+
+
+def tasks(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
+def _neighbours_to_min(edges: DataFrame, n: int) -> DataFrame:
     """(u, v, m) for both directions of every edge, m the smallest of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
-    return edges.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
+    least = edges.groupBy("u").agg(F.min("v").alias("least")).coalesce(n)
+    return edges.join(least, "u").coalesce(n).select("u", "v", F.least("u", "least").alias("m"))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    got = _neighbours_to_min(both).filter("v > u")
-    return got.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    got = _neighbours_to_min(both, n).filter("v > u")
+    return got.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().coalesce(n)
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    got = _neighbours_to_min(down)
+    got = _neighbours_to_min(down, n)
     out = got.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
         got.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    return out.filter("u <> v").distinct().coalesce(n)
+
+
+def all_stars(edges: DataFrame, n: int) -> bool:
+    """Whether every edge leads to a root: no node has two edges up, or edges both up and down."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).coalesce(n)
+    return per.filter("up > 1 or (up > 0 and down > 0)").limit(1).count() == 0
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -34,15 +50,15 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     Every step is written to the shared folder, which cuts the lineage.
     """
     folder = scratch_path(spark, "components")
-    path = f"{folder}/step-0"
-    links.select("u", "v").filter("u <> v").distinct().write.parquet(path)
-    edges, before, step = spark.read.parquet(path), None, 0
+    step = 0
+    path = f"{folder}/step-{step}"
+    links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").write.parquet(path)
+    edges = spark.read.parquet(path)
     while True:
+        n = tasks(edges.count())
+        if all_stars(edges, n):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         step += 1
         path = f"{folder}/step-{step}"
-        small_star(large_star(edges)).write.parquet(path)
+        small_star(large_star(edges, n), n).write.parquet(path)
         edges = spark.read.parquet(path)
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state

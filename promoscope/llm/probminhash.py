@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promoscope.llm.common import parts, ship, text_or_empty
-from promoscope.llm.components import components
+from promoscope.llm.components import components, tasks
 from promoscope.session import scratch_path
 
 U64 = np.uint64
@@ -263,15 +263,20 @@ def link_rounds(spark, members: DataFrame, sets: DataFrame, threshold: float, st
     # members in a fixed order; the place decides who leads in which round
     placed = store(members.withColumn("place", F.row_number().over(
         Window.partitionBy("bucket").orderBy(F.desc(F.col("shared") / F.col("n")), "node"))), "placed")
-    labels = store(placed.select("node").distinct().withColumn("class", F.col("node")), "labels-0")
+    few = tasks(placed.count())
+    labels = store(placed.select("node").distinct().coalesce(few).withColumn("class", F.col("node")), "labels-0")
     apart, start, leaders, number = None, 0, 1, 0
     while True:
         number += 1
-        now = placed.join(labels, "node")
+        now = placed.filter(F.col("place") >= start).join(labels, "node").coalesce(few)
+        # buckets of more than one class that have a leader left, and a member after it
         open_ = (now.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b"),
-                                           F.max("place").alias("n"))
-                 .filter((F.col("a") < F.col("b")) & (F.col("n") > start + 1)).select("bucket"))
-        rest = now.join(open_, "bucket", "left_semi").filter(F.col("place") > start)
+                                           F.max("place").alias("last")).coalesce(few)
+                 .filter((F.col("a") < F.col("b")) & (F.col("last") > start + 1)).select("bucket"))
+        rest = store(now.filter(F.col("place") > start).join(open_, "bucket", "left_semi").coalesce(few),
+                     f"rest-{number}")
+        if not rest.limit(1).count():
+            return labels
         lead = rest.filter(F.col("place") <= start + leaders).select(
             "bucket", F.col("node").alias("u"), F.col("class").alias("class_u"), F.col("place").alias("place_u"),
             F.col("n").alias("n_u"), F.col("shared").alias("shared_u"))
@@ -279,28 +284,26 @@ def link_rounds(spark, members: DataFrame, sets: DataFrame, threshold: float, st
         pairs = (rest.join(lead, "bucket")
                  .filter((F.col("place") > F.col("place_u")) & (F.col("class") != F.col("class_u"))
                          & (F.least("shared", "shared_u", "n", "n_u") >= enough))
-                 .select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
+                 .select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
+                 .distinct().coalesce(few))
         if apart is not None:
-            pairs = pairs.join(apart, ["u", "v"], "left_anti")
+            pairs = pairs.join(apart, ["u", "v"], "left_anti").coalesce(few)
         a = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
         b = sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
         both = F.size(F.array_intersect("set_u", "set_v"))
         either = F.size("set_u") + F.size("set_v") - F.col("both")
         judged = store(
             pairs.join(a, "u").join(b, "v").withColumn("both", both)
-            .select("u", "v", (F.col("both") / either >= threshold).alias("link")), f"judged-{number}")
-        n, links = judged.agg(F.count(F.lit(1)), F.count_if("link")).first()
-        if links:
-            l = labels.withColumnRenamed("class", "c")
+            .select("u", "v", (F.col("both") / either >= threshold).alias("link")).coalesce(8 * few), f"judged-{number}")
+        if judged.filter("link").limit(1).count():
+            of = labels.withColumnRenamed("class", "c")
             joined = (judged.filter("link")
-                      .join(l.withColumnRenamed("node", "u").withColumnRenamed("c", "cu"), "u")
-                      .join(l.withColumnRenamed("node", "v").withColumnRenamed("c", "cv"), "v")
-                      .select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+                      .join(of.withColumnRenamed("node", "u").withColumnRenamed("c", "cu"), "u").coalesce(few)
+                      .join(of.withColumnRenamed("node", "v").withColumnRenamed("c", "cv"), "v").coalesce(few)
+                      .select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct().coalesce(few))
             roots = components(spark, joined).withColumnRenamed("node", "class")
-            labels = store(labels.join(roots, "class", "left").select(
+            labels = store(labels.join(roots, "class", "left").coalesce(few).select(
                 "node", F.coalesce("root", "class").alias("class")), f"labels-{number}")
-        if not n and not rest.limit(1).count():
-            return labels
         not_linked = judged.filter("not link").select("u", "v")
         apart = not_linked if apart is None else apart.unionByName(not_linked)
         start, leaders = start + leaders, leaders * 2
