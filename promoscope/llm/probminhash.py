@@ -13,10 +13,13 @@ sets of n and m shingles with similarity t have t / (1 + t) * (n + m) shingles i
 which are shared ones (found in two candidates or more).  A family of texts that are all a bit alike,
 with many edits of their own, shrinks to its core by that.
 
-Buckets are not expanded into pairs: in each round a few leaders of every bucket (1, then 2, 4, ...;
-those with the largest part of shared shingles first) are compared with the members after them that are
-in another class so far, exactly, by the Jaccard similarity of the sets of shingles; links join classes.
-A bucket closes when all its members are in one class or all have been leaders, so no pair of a bucket
+Buckets are not expanded into pairs.  First every bucket's pivot (the member with the largest part of
+shared shingles) is compared with its other members, exactly, by the Jaccard similarity of the sets of
+shingles; links join classes.  Then, in each round, a few leaders of every bucket that still has several
+classes (1, then 2, 4, ...; members of the smallest classes first) are compared with the members after
+them that are in another class.  What a pair can have in common is bounded by what each has in common
+with the pivot and by its other shared shingles; pairs whose bound is too small are not compared.  A
+bucket closes when all its members are in one class or all have been leaders, so no pair of a bucket
 that could still join two classes is left out.
 
 Defined cases: a null text is empty; texts without a word are alike only if equal; the class id is the
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,57 +261,92 @@ def possible(members: DataFrame, sets: DataFrame, threshold: float, store: Store
     return both.join(least, "bucket").filter(F.col("shared") >= need).select("bucket", "node", "n", "shared")
 
 
+class Links:
+    """The classes of nodes, joined by the links that are found among pairs of them."""
+
+    def __init__(self, spark, nodes: DataFrame, sets: DataFrame, threshold: float, store: Stored, few: int):
+        self.spark, self.sets, self.threshold, self.store, self.few = spark, sets, threshold, store, few
+        self.number = 0
+        self.classes = store(nodes.withColumn("class", F.col("node")), "classes-0")
+
+    def enough(self, n: str, m: str) -> Column:
+        """Common shingles that sets of n and m need; rounding must not drop a pair that just has them."""
+        return self.threshold / (1 + self.threshold) * (F.col(n) + F.col(m)) - 1e-6
+
+    def judge(self, pairs: DataFrame) -> DataFrame:
+        """(u, v, both, link) of the pairs (u, v): common shingles, and whether they are similar enough."""
+        a = self.sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
+        b = self.sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
+        either = F.size("set_u") + F.size("set_v") - F.col("both")
+        self.number += 1
+        return self.store(
+            pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("set_u", "set_v")))
+            .select("u", "v", "both", (F.col("both") / either >= self.threshold).alias("link"))
+            .coalesce(8 * self.few), f"judged-{self.number}")
+
+    def join(self, judged: DataFrame) -> None:
+        if not judged.filter("link").limit(1).count():
+            return
+        few, of = self.few, self.classes.withColumnRenamed("class", "c")
+        links = (judged.filter("link")
+                 .join(of.withColumnRenamed("node", "u").withColumnRenamed("c", "cu"), "u").coalesce(few)
+                 .join(of.withColumnRenamed("node", "v").withColumnRenamed("c", "cv"), "v").coalesce(few)
+                 .select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct().coalesce(few))
+        roots = components(self.spark, links).withColumnRenamed("node", "class")
+        self.classes = self.store(self.classes.join(roots, "class", "left").coalesce(few).select(
+            "node", F.coalesce("root", "class").alias("class")), f"classes-{self.number}")
+
+
 def link_rounds(spark, members: DataFrame, sets: DataFrame, threshold: float, store: Stored) -> DataFrame:
     """(node, class) of the nodes in ``members``, joined by all links of their buckets."""
-    # members in a fixed order; the place decides who leads in which round
-    placed = store(members.withColumn("place", F.row_number().over(
-        Window.partitionBy("bucket").orderBy(F.desc(F.col("shared") / F.col("n")), "node"))), "placed")
+    central = Window.partitionBy("bucket").orderBy(F.desc(F.col("shared") / F.col("n")), "node")
+    placed = store(members.withColumn("place", F.row_number().over(central)), "placed")
     few = tasks(placed.count())
-    labels = store(placed.select("node").distinct().coalesce(few).withColumn("class", F.col("node")), "labels-0")
-    apart, start, leaders, number = None, 0, 1, 0
+    links = Links(spark, placed.select("node").distinct().coalesce(few), sets, threshold, store, few)
+
+    pivots = placed.filter("place = 1").select(
+        "bucket", F.col("node").alias("pivot"), F.col("n").alias("n_pivot"), F.col("shared").alias("shared_pivot"))
+    others = placed.filter("place > 1").drop("place").join(pivots, "bucket").coalesce(few)
+    found = links.judge(others.filter(F.least("shared", "shared_pivot", "n", "n_pivot") >= links.enough("n", "n_pivot"))
+                        .select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct().coalesce(few))
+    links.join(found)
+
+    # what a member has in common with its bucket's pivot, and what else others may have in common with it
+    common = found.select(F.col("u").alias("pivot"), F.col("v").alias("node"), F.col("both").cast("long").alias("with_pivot"))
+    known = others.join(common, ["pivot", "node"], "left").coalesce(few).select(
+        "bucket", "node", "n", "shared", F.coalesce("with_pivot", F.least("shared", "shared_pivot")).alias("with_pivot"),
+        F.when(F.col("with_pivot").isNull(), F.col("shared")).otherwise(F.col("shared") - F.col("with_pivot")).alias("beside"))
+    rare = Window.partitionBy("bucket").orderBy("size", "class", "node")
+    left = store(open_buckets(known.join(links.classes, "node").coalesce(few), few)
+                 .withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket", "class"))).coalesce(few)
+                 .withColumn("place", F.row_number().over(rare)).drop("size", "class").coalesce(few), "left")
+    apart, start, leaders = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), 0, 1
     while True:
-        number += 1
-        now = placed.filter(F.col("place") >= start).join(labels, "node").coalesce(few)
-        # buckets of more than one class that have a leader left, and a member after it
-        open_ = (now.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b"),
-                                           F.max("place").alias("last")).coalesce(few)
-                 .filter((F.col("a") < F.col("b")) & (F.col("last") > start + 1)).select("bucket"))
-        rest = store(now.filter(F.col("place") > start).join(open_, "bucket", "left_semi").coalesce(few),
-                     f"rest-{number}")
+        now = left.filter(F.col("place") > start).join(links.classes, "node").coalesce(few)
+        rest = store(open_buckets(now, few), f"rest-{links.number}")
         if not rest.limit(1).count():
-            return labels
+            return links.classes
         lead = rest.filter(F.col("place") <= start + leaders).select(
-            "bucket", F.col("node").alias("u"), F.col("class").alias("class_u"), F.col("place").alias("place_u"),
-            F.col("n").alias("n_u"), F.col("shared").alias("shared_u"))
-        enough = threshold / (1 + threshold) * (F.col("n") + F.col("n_u")) - 1e-6
+            "bucket", *(F.col(c).alias(f"{c}_u") for c in rest.columns if c != "bucket"))
+        both = F.least("with_pivot", "with_pivot_u") + F.least("beside", "beside_u")
         pairs = (rest.join(lead, "bucket")
                  .filter((F.col("place") > F.col("place_u")) & (F.col("class") != F.col("class_u"))
-                         & (F.least("shared", "shared_u", "n", "n_u") >= enough))
-                 .select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
+                         & (F.least("shared", "shared_u", "n", "n_u", both) >= links.enough("n", "n_u")))
+                 .select(F.least("node_u", "node").alias("u"), F.greatest("node_u", "node").alias("v"))
                  .distinct().coalesce(few))
-        if apart is not None:
-            pairs = pairs.join(apart, ["u", "v"], "left_anti").coalesce(few)
-        a = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
-        b = sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
-        both = F.size(F.array_intersect("set_u", "set_v"))
-        either = F.size("set_u") + F.size("set_v") - F.col("both")
-        judged = store(
-            pairs.join(a, "u").join(b, "v").withColumn("both", both)
-            .select("u", "v", (F.col("both") / either >= threshold).alias("link")).coalesce(8 * few), f"judged-{number}")
-        if judged.filter("link").limit(1).count():
-            of = labels.withColumnRenamed("class", "c")
-            joined = (judged.filter("link")
-                      .join(of.withColumnRenamed("node", "u").withColumnRenamed("c", "cu"), "u").coalesce(few)
-                      .join(of.withColumnRenamed("node", "v").withColumnRenamed("c", "cv"), "v").coalesce(few)
-                      .select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct().coalesce(few))
-            roots = components(spark, joined).withColumnRenamed("node", "class")
-            labels = store(labels.join(roots, "class", "left").coalesce(few).select(
-                "node", F.coalesce("root", "class").alias("class")), f"labels-{number}")
-        not_linked = judged.filter("not link").select("u", "v")
-        apart = not_linked if apart is None else apart.unionByName(not_linked)
+        judged = links.judge(pairs.join(apart, ["u", "v"], "left_anti").coalesce(few))
+        links.join(judged)
+        apart = apart.unionByName(judged.filter("not link").select("u", "v"))
         start, leaders = start + leaders, leaders * 2
 
 
+def open_buckets(now: DataFrame, few: int) -> DataFrame:
+    """The rows (bucket, class, ...) of buckets with more than one class."""
+    several = (now.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).coalesce(few)
+               .filter(F.col("a") < F.col("b")).select("bucket"))
+    return now.join(several, "bucket", "left_semi").coalesce(few)
+
+
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is that of their class, one row per id."""
     found = near_duplicates(docs, id_col, text_col, **options)
