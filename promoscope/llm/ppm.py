@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promoscope.llm.common import ship, text_or_empty
+from promoscope.llm.components import tasks
 from promoscope.llm.probminhash import Stored, buffers, word_hashes
 
 END = 256  # the end of a text, and what stands before its start
@@ -145,11 +146,11 @@ class Values:
         return tuple(np.concatenate(f) for f in found)
 
 
-def level(pairs: DataFrame, k: int) -> DataFrame:
+def level(pairs: DataFrame, k: int, few: int) -> DataFrame:
     """(key, ctx, n): counts of the trie's level k, from the rows of the level above it."""
     mask = F.lit((1 << BITS * (k + 1)) - 1)
-    return pairs.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "ctx", F.shiftright("key", BITS))
+    got = pairs.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.count(F.lit(1)).alias("n")).coalesce(few)
+    return got.withColumn("ctx", F.shiftright("key", BITS))
 
 
 def log10(x: Column) -> Column:
@@ -158,10 +159,11 @@ def log10(x: Column) -> Column:
 
 def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
     """(key, value): the log10 probability of every pair of (key, n), n its training count."""
+    few = tasks(totals.count())
     trie = {order: store(totals.filter("n > 0").withColumn("ctx", F.shiftright("key", BITS)), f"level-{order}")}
     for k in range(order - 1, -1, -1):
-        trie[k] = store(level(trie[k + 1], k), f"level-{k}")
-    stats = {k: t.groupBy("ctx").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"))
+        trie[k] = store(level(trie[k + 1], k, few), f"level-{k}")
+    stats = {k: t.groupBy("ctx").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d")).coalesce(few)
              for k, t in trie.items()}
     # what is left of level k's counts after an escape from a context v of level k + 1
     left = {}
@@ -169,13 +171,14 @@ def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
         mask = F.lit((1 << BITS * (k + 1)) - 1)
         upper = trie[k + 1].select(F.col("ctx").alias("v"), F.col("key").bitwiseAND(mask).alias("key"))
         lower = trie[k].select("key", F.col("n").alias("seen"))
-        gone = upper.join(lower, "key").groupBy("v").agg(F.sum("seen").alias("gone"), F.count(F.lit(1)).alias("dv"))
+        gone = upper.join(lower, "key").coalesce(few).groupBy("v").agg(
+            F.sum("seen").alias("gone"), F.count(F.lit(1)).alias("dv")).coalesce(few)
         ctx = F.col("v").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        rest = gone.withColumn("ctx", ctx).join(stats[k], "ctx")
+        rest = gone.withColumn("ctx", ctx).join(stats[k], "ctx").coalesce(few)
         left[k] = store(rest.select("v", (F.col("d") - F.col("dv")).alias("esc"),
                                     (2 * (F.col("t") - F.col("gone"))).alias("den")), f"left-{k}")
     # a pair's value: found in its own context, or by escapes down the levels
-    now = totals.withColumn("ctx", F.shiftright("key", BITS)).join(stats[order], "ctx", "left")
+    now = totals.withColumn("ctx", F.shiftright("key", BITS)).join(stats[order], "ctx", "left").coalesce(few)
     seen = F.col("n") > 0
     now = now.select(
         "key", F.when(seen, log10((2 * F.col("n") - 1) / (2 * F.col("t"))))
@@ -188,8 +191,8 @@ def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
         here = rest.select("key", "value", "above").withColumn("low", F.col("key").bitwiseAND(F.lit(mask))).withColumn(
             "v", F.shiftright(F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 2)) - 1)), BITS)).withColumn(
             "ctx", F.shiftright("low", BITS))
-        here = (here.join(trie[k].select(F.col("key").alias("low"), "n"), "low", "left")
-                .join(left[k], "v", "left").join(stats[k], "ctx", "left"))
+        here = (here.join(trie[k].select(F.col("key").alias("low"), "n"), "low", "left").coalesce(few)
+                .join(left[k], "v", "left").coalesce(few).join(stats[k], "ctx", "left").coalesce(few))
         known = F.col("t").isNotNull()
         esc = F.when(F.col("above"), F.col("esc")).otherwise(F.col("d"))
         den = F.when(F.col("above"), F.col("den")).otherwise(2 * F.col("t"))
@@ -206,7 +209,7 @@ def pair_values(totals: DataFrame, order: int, store: Stored) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 4,
-              folds: int = 5, held_out: int = 1, block_bytes: int = 64 << 20) -> DataFrame:
+              folds: int = 5, held_out: int = 1, block_bytes: int = 32 << 20) -> DataFrame:
     """id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` per row."""
     spark = docs.sparkSession
     ship(spark)
