@@ -15,7 +15,7 @@ from promoscope.session import scratch_path
 
 BYTE_BPE = token_counts.Vocabulary(
     public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
-    (("<|endoftext|>", 50256),))
+    (("<|endoftext|>", 50256),), public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 

@@ -16,7 +16,8 @@ aligns or the chunk reaches the end of the text.  The count is therefore always
 text.  Strings of special tokens cut a text before anything else and count one token each.
 
 The vocabulary is a file of byte-level BPE ranks, read by tiktoken on the executors; the counts are
-those of the ``tokenizers`` file of the same vocabulary (tests compare them).
+those of the ``tokenizers`` file of the same vocabulary (tests compare them), which takes over where
+tiktoken's pattern matcher runs out of stack: runs of white space of ``LONG_SPACE`` characters or more.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows are counted alone;
 an empty table gives an empty result; only the id and text columns are read.
@@ -32,23 +33,27 @@ from dataclasses import dataclass
 import numpy as np
 import regex
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promoscope.llm.common import arrow_map, text_or_empty
 
+LONG_SPACE = 100_000
+_LONG_SPACE = regex.compile(rf"\s{{{LONG_SPACE}}}")
 #: Characters after a boundary that can still change it (look-ahead and contractions).
 LOOKAHEAD = 2
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A byte-level BPE: file of ranks, pre-token pattern, special tokens."""
+    """A byte-level BPE: file of ranks, pre-token pattern, special tokens, and the library's own file."""
 
     path: str
     pattern: str
-    special: tuple[tuple[str, int], ...] = ()
+    special: tuple[tuple[str, int], ...]
+    library: str
 
 
 class Encoder:
@@ -58,13 +63,20 @@ class Encoder:
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=vocabulary.pattern,
                                           mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(vocabulary.pattern)
+        self.library_path = vocabulary.library
         self.special = [s for s, _ in vocabulary.special]
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
         for piece, rank in ranks.items():
             self.length[rank] = len(piece)
 
+    @functools.cached_property
+    def library(self) -> tokenizers.Tokenizer:
+        return tokenizers.Tokenizer.from_file(self.library_path)
+
     def encode(self, text: str) -> list[int]:
+        if len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
         return self.encoding.encode_ordinary(text)
 
     def segments(self, text: str) -> tuple[list[str], int]:

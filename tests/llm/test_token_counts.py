@@ -54,6 +54,11 @@ def test_no_common_place_means_a_wider_overlap():
     assert count(ENC, text, 100, 20) == library([text])[0]
 
 
+def test_very_long_runs():
+    texts = ["a" * 300_000, " " * 1_200_000 + "x", "y" + "\t " * 300_000, "word " * 60_000, "\n" * 300_000 + "z"]
+    assert [count(ENC, t, 1 << 15, 512) for t in texts] == library(texts)
+
+
 def test_query(spark):
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in op3_token_counts(spark, SMOKE_DIR).collect()}
     docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet").select("doc_id", "text").collect()
