@@ -55,7 +55,7 @@ class LineRules:
 
 _WORD = re.compile(WORD)
 _SYMBOL = re.compile(SYMBOLS)
-_ODD_END = re.compile(r"[#*$%&|<>!?]{2,}$")
+_ODD = frozenset("#*$%&|<>!?")
 _SEPARATOR = re.compile(r"[|»>]")
 
 
@@ -70,7 +70,7 @@ def line_fault(line: str, words: list[str], rules: LineRules) -> str | None:
         return "boilerplate"
     if not any(w[-1] in SENTENCE_END for w in words):
         return "punctuation"
-    odd = sum(1 for w in words if _ODD_END.search(w))
+    odd = sum(1 for w in words if w[-1] in _ODD and w[-2:-1] in _ODD)
     return "punctuation" if odd > rules.odd_words * len(words) else None
 
 

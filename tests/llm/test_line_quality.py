@@ -26,6 +26,11 @@ def test_line_faults(line, want):
     assert fault(line) == want
 
 
+def test_very_long_words_take_no_long_time():
+    assert fault("#" * 500_000 + "x") == "punctuation"
+    assert fault("#" * 500_000 + ".") is None and fault("a?! " * 3 + "b.") == "punctuation"
+
+
 def plain_repeats(words):
     windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
     covered = set()
