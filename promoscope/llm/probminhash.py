@@ -46,6 +46,7 @@ GOLD, BASE, STEP = U64(0x9E3779B97F4A7C15), U64(0x5851F42D4C957F2D), U64(0xD1342
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 HASH_BITS = 48  # of a shingle; the number of a text in its batch takes the other 16
 LOW = U64((1 << HASH_BITS) - 1)
+PART_BYTES = 1 << 20  # text worked on at once; the arrays take some 60 times as much
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(9, 14)]] = True
 
@@ -168,7 +169,7 @@ def with_bands(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, PART_BYTES):
                 doc, h, weight = shingles(part.column(len(fields)), width)
                 hashes = band_hashes(signatures(part.num_rows, doc, h, weight, bands * rows), rows)
                 some = np.bincount(doc, minlength=part.num_rows) > 0
@@ -190,7 +191,7 @@ def with_shingles(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, PART_BYTES):
                 doc, h, _ = shingles(part.column(1), width)
                 lists = list_column(h.astype(np.int64), np.bincount(doc, minlength=part.num_rows))
                 yield pa.RecordBatch.from_arrays(
