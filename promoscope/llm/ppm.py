@@ -48,7 +48,8 @@ SYMBOLS = 257
 BITS = 9  # of a symbol in a key
 WORD_KIND, PAIR_KIND = 0, 1
 END_WORD = np.int64(0)  # key of the end token; word hashes are odd
-SLICE = 1 << 20
+SLICE = 1 << 18  # bytes of text worked on at once
+PENDING = 1 << 19  # keys of slices that are merged into a block's keys together
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -102,7 +103,8 @@ class Profile:
                                       (PAIR_KIND, *pair_keys(raw, at, self.order))):
                 codes, some = pd.factorize(keys)
                 self.found[kind].append((some, np.bincount(codes, own[owner], len(some)).astype(np.int64)))
-                if len(self.found[kind]) == 8:
+                first, *rest = (len(k) for k, _ in self.found[kind])
+                if sum(rest) > max(first, PENDING):
                     self.found[kind] = [self.keys(kind)]
 
     def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +242,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         (F.col("known_sum") - F.col("n_tokens") * F.lit(weight)).alias("base_score"), "score")
 
 
+def rows_where(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.RecordBatch:
+    """The wanted rows; without a copy where that is all of them."""
+    return batch if wanted.all() else batch.filter(pa.array(wanted))
+
+
 def list_keys(dealt: DataFrame, order: int) -> DataFrame:
     """(block, kind, key, n): the distinct keys of each block (a partition) and their training counts."""
     schema = T.StructType([
@@ -251,7 +258,7 @@ def list_keys(dealt: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             blocks = batch.column("block").to_numpy()
             for block in np.unique(blocks).tolist():
-                own = batch.filter(pa.array(blocks == block))
+                own = rows_where(batch, blocks == block)
                 train = ~own.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 made.setdefault(block, Profile(order)).add(own.column("text"), train)
         for block, profile in made.items():
@@ -263,6 +270,8 @@ def list_keys(dealt: DataFrame, order: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(some), block, np.int32)), pa.array(np.full(len(some), kind, np.int8)),
                          pa.array(keys[some]), pa.array(count[some])], names=schema.names)
+        made.clear()
+        pa.default_memory_pool().release_unused()  # the worker is used again
 
     return dealt.mapInArrow(run, schema)
 
@@ -289,18 +298,20 @@ def score_blocks(dealt: DataFrame, answers: DataFrame, blocks: int, order: int)
                     block, got, values = now, [], None
                 listing = (blocks == now) & (kinds != DOCUMENT)
                 if listing.any():
-                    own = batch.select(["kind", "key", "value"]).filter(pa.array(listing))
+                    own = rows_where(batch.select(["kind", "key", "value"]), listing)
                     got.append([c.to_numpy() for c in own.columns])
                 here = (blocks == now) & (kinds == DOCUMENT)
                 if not here.any():
                     continue
                 if values is None:
                     values, got = Values(*(np.concatenate(c) for c in zip(*got)), order), []
-                docs = batch.select(["id", "held_out", "text"]).filter(pa.array(here))
+                docs = rows_where(batch.select(["id", "held_out", "text"]), here)
                 tokens, known, total, logp = values.score(docs.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [docs.column("id"), docs.column("held_out"), pa.array(tokens.astype(np.int64)),
                      pa.array(known.astype(np.int64)), pa.array(total.astype(np.float64)),
                      pa.array(logp.astype(np.float64))], names=schema.names)
+        values = None
+        pa.default_memory_pool().release_unused()  # the worker is used again
 
     return rows.mapInArrow(run, schema)
