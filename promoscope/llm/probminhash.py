@@ -7,6 +7,10 @@ point comes first.  A text stops when all its slots are filled and the next poin
 behind the last slot's, so long texts take little more than one point per shingle.  Two texts agree in
 a slot with probability equal to the probability Jaccard similarity of their weighted shingles.
 
+Links are decided by the Jaccard similarity of the plain sets, which repeated passages do not change,
+but weights do.  So every text is also banded with all weights 1, where slots agree with just that
+probability; a text without a repeated shingle has the same bands both ways and is banded once.
+
 Texts that agree in all slots of a band share a bucket.  Equal texts are one node from the start.
 Before anything is compared, texts that cannot have a partner leave their buckets, by exact bounds: two
 sets of n and m shingles with similarity t have t / (1 + t) * (n + m) shingles in common or more, all of
@@ -152,6 +156,21 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def both_bands(n: int, doc: np.ndarray, h: np.ndarray, weight: np.ndarray, bands: int,
+               rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of n texts, by sets and then by weights, and which of them count (each once a text)."""
+    hashes = np.zeros((n, 2 * bands), np.int64)
+    own = np.zeros(hashes.shape, bool)
+    own[np.unique(doc), :bands] = True
+    hashes[:, :bands] = band_hashes(signatures(n, doc, h, np.ones(len(h)), bands * rows), rows)
+    again = np.unique(doc[weight > 1])  # the others' weights are all 1
+    inside = np.isin(doc, again)
+    signed = signatures(len(again), np.searchsorted(again, doc[inside]), h[inside], weight[inside], bands * rows)
+    hashes[again, bands:] = band_hashes(signed, rows)
+    own[again, bands:] = hashes[again, bands:] != hashes[again, :bands]
+    return hashes, own
+
+
 def list_column(values: np.ndarray, lengths: np.ndarray, empty_is_null: bool = False) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     mask = pa.array(lengths == 0) if empty_is_null else None
@@ -171,9 +190,8 @@ def with_bands(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for part in parts(batch, PART_BYTES):
                 doc, h, weight = shingles(part.column(len(fields)), width)
-                hashes = band_hashes(signatures(part.num_rows, doc, h, weight, bands * rows), rows)
-                some = np.bincount(doc, minlength=part.num_rows) > 0
-                lists = list_column(hashes[some].ravel(), some * bands, empty_is_null=True)
+                hashes, own = both_bands(part.num_rows, doc, h, weight, bands, rows)
+                lists = list_column(hashes[own], own.sum(axis=1), empty_is_null=True)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(fields))), lists.cast(arrow.field("bands").type)],
                     schema=arrow)

@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 
 from promoscope.llm.components import components
-from promoscope.llm.probminhash import near_duplicates, one_of_each_class, shingles, signatures
+from promoscope.llm.probminhash import (
+    band_hashes, both_bands, near_duplicates, one_of_each_class, shingles, signatures)
 from promoscope.session import scratch_path
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -110,6 +111,31 @@ def test_planted_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want})
 
 
+def test_copies_with_looped_passages_are_linked(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        loop = [f"loop{k}x{i}" for i in range(6)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + loop * 100))]
+    path = scratch_path(spark, "looped")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    want = plain_classes(rows)
+    assert want == sorted(((i, i - i % 2) for i, _ in rows), key=str)
+    assert classes(spark.read.parquet(path)) == want
+
+
+def test_bands_by_sets_and_by_weights():
+    texts = ["a b c d e f g", "", "a b c d e f g " + "h i j k l " * 30, "a b c d e f g"]
+    doc, h, weight = shingles(pa.array(texts), 5)
+    hashes, own = both_bands(4, doc, h, weight, 16, 4)
+    assert own.sum(axis=1)[[0, 1, 3]].tolist() == [16, 0, 16] and 16 <= own[2].sum() <= 32
+    assert (hashes[0] == hashes[3]).all()
+    assert len(set(hashes[2][own[2]].tolist())) == own[2].sum()
+    whole = band_hashes(signatures(4, doc, h, weight, 64), 4)
+    assert (whole[0] == hashes[0, :16]).all() and set(whole[2].tolist()) <= set(hashes[2].tolist())
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(35)]
