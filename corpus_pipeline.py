@@ -37,8 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document's pieces."""
-    return piece_codec.encode_pieces(docs, PIECES, outputs=("ids", "ids_sha256", "decoded_sha256"))
+    """The ids of every document's pieces, which are aligned with the bytes of its text."""
+    return piece_codec.encode_pieces(docs, PIECES, outputs=("ids", "ids_sha256", "decoded_sha256", "n_split"))
 
 
 STAGES = [
@@ -56,4 +56,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, f"pipeline-{number}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return docs.drop("n_split")  # the last stage's table has it; the query's columns are the others

@@ -6,6 +6,7 @@ from collections import Counter
 import sentencepiece
 
 import corpus_pipeline
+from promoscope.llm import piece_codec
 from promoscope.llm.line_quality import LineRules, judge
 from promoscope.session import scratch_path
 from test_line_runs import plain as plain_lines
@@ -61,6 +62,18 @@ def test_every_stage(spark):
     assert all(r["ids"] == sp.encode(texts[r["doc_id"]]) for r in ids)
 
 
+def test_pieces_are_aligned_with_the_text(spark):
+    texts = ["plain words", "", None, "  two  spaces ", "é 😀\u0378 \U000e0001x", "tab\tand\nline"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in corpus_pipeline.pieces(spark, docs, SMOKE_DIR).collect()}
+    c = piece_codec.Codec(corpus_pipeline.PIECES)
+    for i, text in enumerate(texts):
+        raw = (text or "").encode() + b"\0"
+        spans = c.spans(text or "", got[i]["ids"]).tolist()
+        assert got[i]["n_split"] == sum(any(raw[x] & 0xC0 == 0x80 for x in s) for s in spans)
+    assert sum(r["n_split"] for r in got.values()) > 0
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SMOKE_DIR)
     assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 0
