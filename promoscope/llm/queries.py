@@ -21,8 +21,14 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    read = warc.read_warc(spark, manifest)
-    return read.select(
+    return warc_pages(warc.read_warc(spark, manifest))
+
+
+def warc_pages(read: DataFrame) -> DataFrame:
+    """The columns of ``op1_warc``; a damaged record is an error, not a row of nulls."""
+    damage = F.concat(F.lit("damaged archive "), "path", F.lit(": "), "error")
+    return read.filter(F.when(F.col("error").isNull(), True).otherwise(
+        F.raise_error(damage).cast("boolean"))).select(
         F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to_page").cast("long").alias("refers_to"))
 

@@ -121,11 +121,18 @@ class Members:
         return True
 
     def line(self) -> bytes:
+        """A header line, however long: only the end of the member bounds it."""
+        found: list[bytes] = []
         while (end := self.ready.find(CRLF)) < 0:
-            if len(self.ready) > 1 << 20 or not self.more():
+            # a last CR may be half of the line's end
+            keep = len(self.ready) - self.ready.endswith(b"\r")
+            found.append(self.ready[:keep])
+            self.ready = self.ready[keep:]
+            if not self.more():
                 raise Damaged("a header line does not end")
-        out, self.ready = self.ready[:end], self.ready[end + 2:]
-        return out
+        found.append(self.ready[:end])
+        self.ready = self.ready[end + 2:]
+        return b"".join(found)
 
     def content(self, size: int) -> Iterator[bytes]:
         while size:

@@ -4,10 +4,13 @@ import base64
 import gzip
 import hashlib
 import io
+import random
+from urllib.parse import quote
 
 import pytest
 
-from promoscope.llm.warc import archive_records, file_system, member, read_warc, record, write_warc
+from promoscope.llm.queries import warc_pages
+from promoscope.llm.warc import BLOCK, archive_records, file_system, member, read_warc, record, write_warc
 from promoscope.session import scratch_path
 
 DATE = "2020-01-01T00:00:00Z"
@@ -74,6 +77,37 @@ def test_members_are_read_one_by_one():
         assert data[r["offset"]:r["offset"] + 2] == b"\x1f\x8b"
 
 
+def test_header_lines_have_no_longest_length():
+    rng = random.Random(3)
+    urls = ["u" * 3_000_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1_500_000)), "é" * 600_000, "v"]
+    for shift in range(3):
+        urls.append("w" * (BLOCK - 300 + shift))
+    got = read(b"".join(member(record(str(i), u, b"body", None, DATE)) for i, u in enumerate(urls)))
+    assert [r["target_uri"] for r in got] == [quote(u) for u in urls]
+    assert all(r["error"] is None for r in got)
+
+
+def test_a_line_end_may_fall_between_two_blocks():
+    head = len(record("1", "", b"body", None, DATE).split(b"\r\nWARC-Payload-Digest")[0])
+    for length in range(BLOCK - head - 3, BLOCK - head + 4):
+        got = read(member(record("1", "w" * length, b"body", None, DATE)))
+        assert [(r["target_uri"], r["error"]) for r in got] == [("w" * length, None)]
+
+
+def test_the_query_raises_on_damage(spark):
+    folder = scratch_path(spark, "warc")
+    manifest = write_warc(pages(spark, [(1, "http://a/1", "one"), (2, "http://a/2", "two")]), folder)
+    assert warc_pages(read_warc(spark, manifest)).count() == 2
+    for r in manifest.collect():
+        where, name = file_system(r["path"])
+        with where.open_input_stream(name) as f:
+            data = f.read()
+        with where.open_output_stream(name) as f:
+            f.write(data[:-20])
+    with pytest.raises(Exception, match="damaged archive"):
+        warc_pages(read_warc(spark, manifest)).collect()
+
+
 @pytest.mark.parametrize("cut", [1, 10, 100, 150])
 def test_a_cut_archive_ends_with_an_error(cut):
     data = archive(b"first", b"second" * 50)
