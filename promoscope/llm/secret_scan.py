@@ -8,10 +8,14 @@ The method looks at every maximal run of 20 or more characters of ``[A-Za-z0-9+/
 text costs few tokens per character under a BPE vocabulary; random strings cost many.  A run is a
 ``random`` span when its characters per token are below ``max_ratio``, unless
 
-* it overlaps a base span (that one stays as it is),
 * it has the form of a known digest (hexadecimal of 32, 40, 56, 64, 96 or 128 digits) or a UUID,
-* it looks like an identifier: no digit or no letter, or when it is split at ``_``, ``-``, ``/``,
-  ``=`` and ``+`` no part of it mixes digits and letters over 8 characters or more.
+* its parts are natural.  Parts are what lies between ``_``, ``-``, ``/``, ``=`` and ``+``; those without
+  a letter do not count.  A part is natural if it is one token or has ``max_ratio`` characters a token;
+  natural parts must hold half of the characters, and no part may mix digits and letters over 8
+  characters or more.
+
+Base spans stay as they are; of a run that they touch, the pieces of 20 or more characters that they
+leave over are looked at like runs.
 
 Spans count code points, end exclusive.
 
@@ -41,7 +45,8 @@ KINDS = ("assign", "access", "hex", "random")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 
 _CLASS = "[A-Za-z0-9+/_=-]"
-CANDIDATE = re.compile(rf"(?<!{_CLASS}){_CLASS}{{20,}}")
+LEAST = 20  # characters of a run
+CANDIDATE = re.compile(rf"(?<!{_CLASS}){_CLASS}{{{LEAST},}}")
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _PART = re.compile(r"[A-Za-z0-9]+")
@@ -58,20 +63,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known_form(run: str) -> bool:
-    """A digest, a UUID or an identifier."""
-    if _UUID.fullmatch(run) or _HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS:
-        return True
-    return not any(len(p) >= 8 and _DIGIT.search(p) and _LETTER.search(p) for p in _PART.findall(run))
+    """A digest or a UUID."""
+    return bool(_UUID.fullmatch(run) or _HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS)
+
+
+def natural_parts(run: str, enc, max_ratio: float) -> bool:
+    """Whether the parts of a run look like words, as those of identifiers, paths and dates do."""
+    parts = [p for p in _PART.findall(run) if _LETTER.search(p)]
+    if any(len(p) >= 8 and _DIGIT.search(p) for p in parts):
+        return False
+    odd = 0
+    for p in parts:
+        tokens = len(enc.encode(p))
+        odd += len(p) if tokens > 1 and len(p) < max_ratio * tokens else 0
+    return 2 * odd <= sum(map(len, parts))
+
+
+def uncovered(start: int, end: int, base: list) -> list[tuple[int, int]]:
+    """The pieces of a run that no base span covers and that are long enough to be looked at."""
+    out = []
+    for s, _, e in base:
+        if s < end and start < e:
+            out.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if e - s >= LEAST]
 
 
 def random_spans(text: str, base: list, enc, max_ratio: float) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        run, start, end = m.group(), m.start(), m.end()
-        if any(s < end and start < e for s, _, e in base) or known_form(run):
-            continue
-        if len(run) < max_ratio * len(enc.encode(run)):
-            out.append((start, 3, end))
+        for start, end in uncovered(m.start(), m.end(), base):
+            run = text[start:end]
+            if known_form(run):
+                continue
+            if len(run) < max_ratio * len(enc.encode(run)) and not natural_parts(run, enc, max_ratio):
+                out.append((start, 3, end))
     return out
 
 

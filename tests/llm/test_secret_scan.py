@@ -61,6 +61,33 @@ def test_random_strings_are_found_and_natural_ones_are_not():
     assert found(clean) == []
 
 
+def test_random_letters_and_grouped_keys_are_found():
+    rng = random.Random(11)
+    hits = 0
+    for k in range(200):
+        key = "".join(rng.choice(string.ascii_letters) for _ in range((20, 40)[k % 2]))
+        hits += found(f"the key is {key} and so on") == [key]
+    assert hits >= 195
+    hits = 0
+    for _ in range(300):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(20))
+        hits += found(f"the key is {key} and so on") == [key]
+    assert hits >= 298
+    assert found("serial A1B2C-D3E4F-G5H6I-J7K8L .") == ["A1B2C-D3E4F-G5H6I-J7K8L"]
+    clean = ("2024-01-02-03-04-05-06-07 /2019/05/23/some-title-of a/b/c/d/e/f/g/h/i/j/k/l/m 1234-5678-9012-3456-7890 "
+             "-------------------------------- XMLHttpRequestEventTarget getElementsByTagNameNS /usr/share/doc/python3/html")
+    assert found(clean) == []
+
+
+def test_the_rest_of_a_run_that_base_spans_touch():
+    rng = random.Random(12)
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    assert found(f"at {key}/token=abcdefgh1 .") == [f"{key}/"]
+    hexes = "0123456789abcdef" * 2
+    assert found(f"{hexes}-{key}-{hexes}") == [f"-{key}-"]
+    assert found("some-words/token=abcdefgh1") == [] and found("token=" + key) == []
+
+
 def test_known_digests_and_identifiers_are_left_out():
     for n in (32, 40, 56, 64, 96, 128):
         digest = (hashlib.sha512(b"x").hexdigest())[:n].upper()
