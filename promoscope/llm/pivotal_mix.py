@@ -16,8 +16,8 @@ The blocks and the draws come from hashes of ids, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own (last in order); sources
 of size 0 have target 0; documents of size 0 take no part in the rounding and get the certain copies
-only; repeated rows are drawn one by one; rows with a null id are put in blocks by their place in the
-staged table; an empty table gives an empty result; no column but id, source and text is needed.
+only; repeated rows are drawn one by one; rows with a null id, and those of an id with more than
+``HOT_ID_ROWS`` rows, are put in blocks by their place in the staged table; an empty table gives an empty result; no column but id, source and text is needed.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ from promoscope.llm.common import WORD, ship, text_or_empty
 from promoscope.session import scratch_path
 
 
+HOT_ID_ROWS = 256  # rows under one id that may share a block
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
@@ -160,10 +163,13 @@ def _mix(docs: DataFrame, weights: tuple[float, ...], cap: float, seed: int, id_
         sizes.join(per, sizes["source"].eqNullSafe(per["__source"])).drop("__source")
         .withColumn("whole", F.floor(rate + 1e-12)).withColumn("p", rate - F.col("whole"))
     )
-    items = rated.filter("p > 1e-12 and size > 0").select(
+    hot = sizes.groupBy(F.col("__id").alias("hot")).agg(F.count(F.lit(1)).alias("rows")).filter(
+        F.col("rows") > HOT_ID_ROWS).select("hot")
+    own = F.when(F.col("__id").isNull() | F.col("hot").isNotNull(), F.col("rid"))
+    items = rated.filter("p > 1e-12 and size > 0").join(hot, F.col("__id") == F.col("hot"), "left").select(
         "rid", "source", F.col("size").alias("weight"), "p",
-        F.xxhash64(F.lit(seed), F.coalesce(F.col("__id").cast("string"), F.col("rid").cast("string")))
-        .alias("key"), "n")
+        # the hash skips nulls: ids of few rows count alone, null ids by their place
+        F.xxhash64(F.lit(seed), F.col("__id").cast("string"), own.cast("string")).alias("key"), "n")
     largest = per.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     extra = reduce_tree(items, int(largest), seed, block, folder).withColumn("extra", F.lit(1))
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long")

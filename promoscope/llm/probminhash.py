@@ -233,6 +233,12 @@ class Stored:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     threshold: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
     """One row per row of ``docs``: the id, its ``class_id``, and the two hashes of its text."""
+    return classified(docs, id_col, text_col, width, threshold, bands, rows).drop("class")
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8,
+               bands: int = 16, rows: int = 4) -> DataFrame:
+    """``near_duplicates`` with the number ``class`` of the class, as several classes may have one id."""
     spark = docs.sparkSession
     store = Stored(spark, "near-duplicates")
     text = text_or_empty(F.col(text_col))
@@ -254,9 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = nodes.join(labels, "node", "left").select(
         "x1", "x2", "first", F.coalesce("class", "node").alias("class"))
     ids = classed.groupBy("class").agg(F.min("first").alias("class_id"))
-    per_text = classed.join(ids, "class").select("x1", "x2", "class_id")
+    per_text = classed.join(ids, "class").select("x1", "x2", "class_id", "class")
     return signed.select("id", "x1", "x2").join(per_text, ["x1", "x2"]).select(
-        F.col("id").alias(id_col), "class_id", "x1", "x2")
+        F.col("id").alias(id_col), "class_id", "x1", "x2", "class")
 
 
 def possible(members: DataFrame, sets: DataFrame, threshold: float, store: Stored) -> DataFrame:
@@ -367,10 +373,11 @@ def open_buckets(now: DataFrame, few: int) -> DataFrame:
 
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is that of their class, one row per id."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(
-        F.col(id_col).alias("id"), F.col("x1").alias("y1"), F.col("x2").alias("y2")).distinct()
+    """One row of each class: it has the class's id and, of the texts with that id, the smallest hash."""
+    found = classified(docs, id_col, text_col, **options)
+    keep = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class").agg(
+        F.min(F.struct("x1", "x2")).alias("x"), F.any_value("class_id").alias("id")).select(
+        "id", F.col("x.x1").alias("y1"), F.col("x.x2").alias("y2"))
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
                        F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(1), text).alias("x2"))

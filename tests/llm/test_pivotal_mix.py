@@ -1,11 +1,12 @@
 """Mixing: targets against a plain water-filling, rounding against its promises."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from promoscope.llm import pivotal_mix
 from promoscope.llm.pivotal_mix import mix_sources, mixed_documents, round_block, targets
 from promoscope.session import scratch_path
 
@@ -93,3 +94,18 @@ def test_odd_sources_and_reruns(spark):
     for r in mixed.collect():
         copies[r["doc_id"]] += 1
     assert dict(copies) == {r["doc_id"]: r["copies"] for r in got if r["copies"]}
+
+
+def test_rows_of_one_id_are_dealt_over_blocks(spark, monkeypatch):
+    rows = [(7 if i % 3 == 0 else i, "a" if i % 2 else "b", "word " * (1 + i % 9)) for i in range(3000)]
+    path = scratch_path(spark, "mix-hot")
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(path)
+    keys = []
+    tree = pivotal_mix.reduce_tree
+    monkeypatch.setattr(pivotal_mix, "reduce_tree", lambda items, *a: keys.append(
+        [r["key"] for r in items.select("key").collect()]) or tree(items, *a))
+    got = mix_sources(spark.read.parquet(path), block=64).collect()
+    assert len(got) == len(rows) and max(Counter(keys[0]).values()) == 1
+    per = {r["source_size"]: r["target"] for r in got}
+    for size, target in per.items():
+        assert abs(sum(r["taken"] for r in got if r["source_size"] == size) - target) <= 9

@@ -111,6 +111,20 @@ def test_planted_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want})
 
 
+def test_one_row_of_a_class_whose_texts_share_an_id(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    near = [" ".join([*base[:k], "other", *base[k + 1:]]) for k in (0, 50, 199)]
+    alone = [f"v{k} a b c d e" for k in range(2)]
+    rows = [(7, near[0]), (7, near[1]), (7, near[1]), (9, near[2]), (7, alone[0]), (7, alone[1])]
+    rows += [(None, t.replace("w", "z")) for t in near]
+    path = scratch_path(spark, "one-id")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = [tuple(r) for r in one_of_each_class(spark.read.parquet(path)).collect()]
+    assert sum(t in near[:2] for _, t in got) == 1 and sum(i is None for i, _ in got) == 1
+    assert {t for _, t in got} >= set(alone) and len(got) == 4 and set(got) <= set(rows)
+
+
 def test_copies_with_looped_passages_are_linked(spark):
     rng = random.Random(5)
     rows = []
