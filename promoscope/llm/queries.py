@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promoscope.llm import (
-    imatch, line_quality, line_runs, piece_codec, pivotal_mix, ppm, probminhash, secret_scan,
-    token_counts, warc)
+    bag_search, hard_negatives, imatch, line_quality, line_runs, piece_codec, pivotal_mix, ppm, probminhash,
+    secret_scan, token_counts, token_planes, warc)
 from promoscope.llm.common import table
 from promoscope.llm.oracle import ORACLE  # noqa: F401 - registered with the queries
 from promoscope.session import scratch_path
@@ -17,6 +17,7 @@ BYTE_BPE = token_counts.Vocabulary(
     public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
     (("<|endoftext|>", 50256),), public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,23 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_planes.write_token_files(
+        table(spark, sf_dir, "documents"), WORD_BPE, scratch_path(spark, "token-planes"), end_id=1)
+    return token_planes.read_token_files(spark, manifest).withColumnRenamed("id", "doc_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    flipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", flipped), F.col("vec_id") % 100 == 0)
+
+
+def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), top=50)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_lm_scoring, op3_token_counts, op4_secret_scan, op5_sentencepiece, op6_imatch,
-    op7_line_dedup, op8_pivotal_mix, op9_probminhash, op10_line_quality)}
+    op7_line_dedup, op8_pivotal_mix, op9_probminhash, op10_line_quality, op11_token_planes,
+    op12_hard_negatives, op13_bag_search)}
