@@ -12,6 +12,7 @@ oracle SQL; rank columns make order-dependent results comparable as sets.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable
 
@@ -28,6 +29,8 @@ from promoscope.plans import oracle as O
 from promoscope.session import scratch_path
 from promoscope.sources import csv_ingest, survey_files
 from promoscope.sources.driver_tables import RESENT_SPRINTS, survey_raw, survey_resend
+from promoscope.sources.files import list_files
+from promoscope.sources.ingest_log import append_log, dead_letters, read_log
 from promoscope.sources.store import (
     read_clean, read_rollup, survey_rollup, survey_table, write_clean, write_rollup)
 from promoscope.streaming import ingest_stream
@@ -812,9 +815,9 @@ def q_rollup_nps(spark, sf_dir):
 _NO_ENGINE = [c for c in CLEAN_COLUMNS if c not in ("row_seq", "ingest_batch", "file_order", "src_file")]
 _CAL = [s[0] for s in metrics.dims.SPRINT_CALENDAR]
 _WITH_SCORE_SQL = "sprint_id IN (" + ", ".join(O.q(s) for s in _CAL) + ")"
-_LAYOUT_SQL = (f"CASE WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[0:7])}) THEN 'A' "
-               f"WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[7:14])}) THEN 'B' "
-               f"WHEN sprint_id IN ({', '.join(O.q(s) for s in _CAL[14:])}) THEN 'C' ELSE 'D' END")
+_LAYOUT_SQL = "CASE " + " ".join(
+    f"WHEN sprint_id IN ({', '.join(O.q(s) for s in sprints)}) THEN '{layout}'"
+    for layout, sprints in (("A", _CAL[0:7]), ("B", _CAL[7:14]), ("E", _CAL[14:18]), ("C", _CAL[18:]))) + " ELSE 'D' END"
 
 
 def _file_key_sql(respondent: str) -> str:
@@ -845,25 +848,30 @@ def q_csv_ingest(spark, sf_dir):
     return _with_lineage(clean, "file_key")
 
 
-def _ingest_report_sql() -> str:
+def _file_reports_sql() -> str:
+    """file_key, layout, records, skipped, warnings, status, errors of every file; rejected if it has no score."""
     ok = f"TRY_CAST(NULLIF(regexp_extract(trim(score, {O.WS}), '^([+-]?[0-9]+)', 1), '') AS DOUBLE) IS NOT NULL"
     d_err = "No score column found in headers: " + ", ".join(h for h, _ in survey_files.LAYOUTS["D"])
     per = (f"SELECT {_file_key_sql('respondent_id')} AS file_key, {_LAYOUT_SQL} AS layout, "
            f"CAST(count(*) FILTER (WHERE {ok}) AS BIGINT) AS ok_rows, "
            f"CAST(count(*) FILTER (WHERE NOT ({ok})) AS BIGINT) AS bad_rows FROM survey_raw GROUP BY 1, 2")
-    body = (f"SELECT file_key, CASE WHEN layout = 'D' THEN CAST(0 AS BIGINT) ELSE ok_rows END AS records, "
+    body = (f"SELECT file_key, layout, CASE WHEN layout = 'D' THEN CAST(0 AS BIGINT) ELSE ok_rows END AS records, "
             f"CASE WHEN layout = 'D' THEN CAST(0 AS BIGINT) ELSE bad_rows END AS skipped, "
             f"CASE WHEN layout = 'D' THEN {O.q(d_err)} END AS header_error FROM ({per})")
-    out = ("SELECT file_key, records, skipped, "
+    out = ("SELECT file_key, layout, records, skipped, header_error IS NOT NULL AS rejected, "
            "CAST((CASE WHEN header_error IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN skipped > 0 THEN 1 ELSE 0 END) "
            "AS INTEGER) AS warnings, "
            "concat_ws('; ', header_error, CASE WHEN skipped > 0 THEN 'Skipped ' || CAST(skipped AS VARCHAR) "
            "|| ' rows with invalid/missing scores' END) AS errors "
            f"FROM ({body})")
+    return ("SELECT *, CASE WHEN warnings = 0 THEN 'OK' ELSE CAST(warnings AS VARCHAR) || ' warning(s)' END AS status "
+            f"FROM ({out})")
+
+
+def _ingest_report_sql() -> str:
     return O.with_survey(
-        "SELECT file_key, records, skipped, warnings, CASE WHEN warnings = 0 THEN 'OK' ELSE "
-        "CAST(warnings AS VARCHAR) || ' warning(s)' END AS status, errors, "
-        f"CAST(count(*) OVER () AS BIGINT) AS log_length, TRUE AS newest_first FROM ({out})")
+        "SELECT file_key, records, skipped, warnings, status, errors, "
+        f"CAST(count(*) OVER () AS BIGINT) AS log_length, TRUE AS newest_first FROM ({_file_reports_sql()})")
 
 
 @register("ingest_report", _ingest_report_sql())
@@ -897,22 +905,75 @@ def q_file_catalogue(spark, sf_dir):
         (total == F.col("total_size")).alias("total_is_sum"))
 
 
-@register("manifest_ingest", O.with_survey(
+_MANIFEST_FILES_SQL = (
     f"SELECT {', '.join(_NO_ENGINE)}, file_key, CAST(dense_rank() OVER (ORDER BY file_key DESC) AS BIGINT) AS place "
     f"FROM (SELECT *, {_file_key_sql('respondent_id')} AS file_key FROM survey WHERE {_WITH_SCORE_SQL} "
-    f"AND {_LAYOUT_SQL} <> 'A')"))
+    f"AND {_LAYOUT_SQL} <> 'A')")
+
+
+@register("manifest_ingest", O.with_survey(
+    f"SELECT * FROM ({_MANIFEST_FILES_SQL}) UNION ALL "
+    f"SELECT {', '.join(_NO_ENGINE)}, file_key, last + 1 AS place FROM "
+    f"(SELECT *, max(place) OVER () AS last FROM ({_MANIFEST_FILES_SQL})) WHERE place = 1"))
 def q_manifest_ingest(spark, sf_dir):
-    """A manifest of some of the survey's files, last file key first, with one that does not exist."""
-    files = csv_ingest.csv_files(spark, survey_files.survey_csv_dir(spark, sf_dir))
-    keys = {f.path.split("file_key=")[1].split("/")[0]: f.path for f in files}
-    chosen = [keys[k] for k in sorted(keys, reverse=True) if k[0] in "BC"]
-    manifest = scratch_path(spark, "manifest")
-    listed = json.dumps([manifest + "/gone.csv", *chosen])
-    spark.createDataFrame([(listed,)], "value string").coalesce(1).write.text(manifest)
+    """A manifest of some of the survey's files, last file key first and that file again at the end,
+    with one that does not exist."""
+    keys = _csv_files_by_key(spark, sf_dir)
+    chosen = [keys[k] for k in sorted(keys, reverse=True) if k[0] in "BCE"]
+    manifest = _write_manifest(spark, lambda folder: [folder + "/gone.csv", *chosen, *chosen[:1]])
     clean, _ = csv_ingest.ingest_manifest(spark, manifest)
     return clean.select(*_NO_ENGINE, _folder_value("file_key").alias("file_key"), F.col("file_order").alias("place"))
 
 
+def _csv_files_by_key(spark, sf_dir) -> dict[str, str]:
+    """file_key -> path; one entry per file."""
+    listing = list_files(spark, [survey_files.survey_csv_dir(spark, sf_dir)]).select("path").collect()
+    return {r.path.split("file_key=")[1].split("/")[0]: r.path for r in listing}
+
+
+def _write_manifest(spark, entries) -> str:
+    manifest = scratch_path(spark, "manifest")
+    spark.createDataFrame([(json.dumps(entries(manifest)),)], "value string").coalesce(1).write.text(manifest)
+    return manifest
+
+
+_LOG_KINDS = (("batch", "AD"), ("manifest", "B"), ("stream", "CE"))
+
+
+def _ingest_log_sql() -> str:
+    kind = "CASE " + " ".join(f"WHEN layout IN ({', '.join(O.q(x) for x in layouts)}) THEN '{name}'"
+                              for name, layouts in _LOG_KINDS) + " END"
+    return O.with_survey(
+        "SELECT *, CAST(count(*) OVER () AS BIGINT) AS log_length, TRUE AS newest_first FROM ("
+        f"SELECT {kind} AS kind, file_key, records, skipped, warnings, status, errors, rejected, rejected AS dead "
+        f"FROM ({_file_reports_sql()}) UNION ALL "
+        "SELECT 'manifest', 'gone.csv', 0, 0, 1, '1 warning(s)', 'File not found', TRUE, TRUE)")
+
+
+@register("ingest_log", _ingest_log_sql())
+def q_ingest_log(spark, sf_dir):
+    """One log of a batch load, a manifest load and a stream, newest first; the batch load is logged
+    twice under its name.  ``dead`` marks files that the next trigger would look at again."""
+    log, folder = scratch_path(spark, "ingest_log"), survey_files.survey_csv_dir(spark, sf_dir)
+    keys = _csv_files_by_key(spark, sf_dir)
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    _, loaded = csv_ingest.ingest_csv(spark, [f"{folder}/{layout}" for layout in _LOG_KINDS[0][1]])
+    append_log(loaded, log, "load-1", "batch", start)
+    manifest = _write_manifest(spark, lambda at: [at + "/gone.csv", *(p for k, p in sorted(keys.items()) if k[0] == "B")])
+    append_log(csv_ingest.ingest_manifest(spark, manifest)[1], log, "load-2", "manifest", start + dt.timedelta(hours=1))
+    ingest_stream.run_available(spark, f"{folder}/[{_LOG_KINDS[2][1]}]", scratch_path(spark, "log_table"),
+                                scratch_path(spark, "log_ckpt"), log_path=log)
+    append_log(loaded, log, "load-1", "batch", start)  # the same load again
+    order = Window.orderBy("log_rank")  # one row per file and ingest
+    newest = F.coalesce(F.lag("logged_at").over(order), F.col("logged_at")) >= F.col("logged_at")
+    dead = dead_letters(spark, log).select("file", F.lit(True).alias("dead"))
+    return read_log(spark, log).withColumn("newest_first", newest).join(dead, "file", "left").select(
+        "kind", F.coalesce(F.nullif(F.regexp_extract("file", "file_key=([^/]+)/", 1), F.lit("")), "file_name").alias("file_key"),
+        "records", "skipped", "warnings", "status", F.regexp_replace("errors", "^(File not found): .*", "$1").alias("errors"),
+        "rejected", F.coalesce("dead", F.lit(False)).alias("dead"),
+        F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("log_length"), "newest_first")
+
+
 @register("csv_roundtrip", O.with_survey(
     f"SELECT {', '.join(_NO_ENGINE)}, sprint_part AS file_key, TRUE AS ordered FROM survey"))
 def q_csv_roundtrip(spark, sf_dir):

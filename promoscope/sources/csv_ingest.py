@@ -1,14 +1,17 @@
 """Survey CSV ingest with flexible headers, and the per-file ingest report.
 
 Plan:
-1. List the CSV files (S8) through Spark's file index (``files.list_files``).
-2. Read every file's header record - its first non-blank record, however long - in one Spark job over
-   the file list; a file that cannot be opened becomes an error row of the report.
-3. Group files by header signature (Q9: one CSV scan over files with different column orders would map
+1. List the CSV files (S8) through Spark's file index (``files.list_files``); on request also files of
+   other names, which are taken as CSV by their content.
+2. Read the head of every file in one Spark job over the file list: its dialect (delimiter and line end,
+   ``sources.dialect``) and its header record - the first non-blank one, however long.  A file that
+   cannot be opened, or has binary content, becomes an error row of the report.
+3. Group files by header and dialect (Q9: one CSV scan over files with different column orders would map
    columns by position using one header); resolve each canonical field to the first matching alias
-   (S2); a signature without a score column yields error rows only (S3).
-4. One distributed scan per signature (all-string positional schema, ``multiLine`` quoting, RFC-4180
-   escapes), projected to canonical names and combined with ``unionByName`` (S5).
+   (S2); a header without a score column yields error rows only (S3).
+4. One distributed scan per group (all-string positional schema, its own delimiter and line end,
+   ``multiLine`` quoting, RFC-4180 escapes), projected to canonical names and combined with
+   ``unionByName`` (S5).  Empty lines are no rows, whatever the line end.
 5. Cleaning is ``operators.clean.clean_survey``; the report counts kept and skipped rows per file
    (S4, S9) in the same pass structure.
 
@@ -22,26 +25,27 @@ The driver holds one row per file (path, size, time, header), as Spark's own fil
 
 from __future__ import annotations
 
-import csv
-import io
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promoscope.functions.columns import JS_WHITESPACE, js_int_prefix, js_trim
+from promoscope.functions.columns import js_int_prefix, js_trim
 from promoscope.operators.clean import clean_survey
 from promoscope.session import ship_package
 from promoscope.sources import dims
-from promoscope.sources.files import exists, file_system, list_files, literal_path
+from promoscope.sources.dialect import COMMA, Dialect, read_head
+from promoscope.sources.files import ANY_GLOB, CSV_GLOB, all_files, exists, file_system, list_files, literal_path
 
 CSV_OPTIONS = {
     "header": "true",
     "multiLine": "true",
-    # a given separator keeps CRLF inside quotes as it is; a CR before it is trimmed with the field
+    "sep": ",",
+    # a given line end keeps others inside quotes as they are
     "lineSep": "\n",
     "escape": '"',
     "quote": '"',
@@ -62,37 +66,23 @@ class CsvFile:
     order: int
     headers: tuple[str, ...] | None
     error: str | None
+    dialect: Dialect = COMMA
+    has_rows: bool = False  # whether there is anything but line ends after the header
+    modified: int = 0
 
 
-def split_header(record: bytes) -> tuple[str, ...]:
-    """The trimmed names of a header record; a byte order mark before it (or its quotes) goes first."""
-    text = record.decode("utf-8", errors="replace").lstrip("\ufeff").rstrip("\r\n")
-    csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
-    return tuple(h.strip(JS_WHITESPACE) for h in next(csv.reader(io.StringIO(text, newline="")), []))
-
-
-def first_record(stream, chunk: int = 1 << 16) -> bytes:
-    """The first record with something in it (newlines within quotes belong to it), read to its end."""
-    parts: list[bytes] = []
-    quoted = False
-    while data := stream.read(chunk):
-        at = 0
-        for m in re.finditer(rb'["\n]', data):
-            if m.group() == b'"':
-                quoted = not quoted
-            elif not quoted:
-                parts.append(data[at:m.start()])
-                at = m.end()
-                record = b"".join(parts)
-                if record.strip(b"\r\n\t \xef\xbb\xbf"):
-                    return record
-                parts = []
-        parts.append(data[at:])
-    return b"".join(parts)
-
-
-def _headers_of(batches):
-    """mapInPandas body: path -> header as JSON, or the reason why it could not be read."""
+@dataclass(frozen=True)
+class Head:
+    """What the head of a file says."""
+
+    headers: tuple[str, ...] | None
+    error: str | None
+    dialect: Dialect = COMMA
+    has_rows: bool = False
+
+
+def _heads_of(batches):
+    """mapInPandas body: path -> its head as JSON, or the reason why it could not be read."""
     import pandas as pd
 
     for pdf in batches:
@@ -101,20 +91,28 @@ def _headers_of(batches):
             try:
                 where, name = file_system(path)
                 with where.open_input_stream(name) as stream:
-                    rows.append((path, json.dumps(split_header(first_record(stream))), None))
+                    headers, dialect, has_rows = read_head(stream)
+                rows.append((path, json.dumps([headers, dialect.delimiter, dialect.line_end, has_rows]), None))
             except Exception as e:  # noqa: BLE001 - whatever keeps a file from being read is reported with it
                 rows.append((path, None, f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(rows, columns=["path", "headers", "error"])
+        yield pd.DataFrame(rows, columns=["path", "head", "error"])
 
 
-def read_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[tuple[str, ...] | None, str | None]]:
-    """path -> (header names, None) or (None, error), read on the executors."""
+def read_heads(spark: SparkSession, paths: list[str]) -> dict[str, Head]:
+    """path -> head, read on the executors; only these files are opened."""
     if not paths:
         return {}
     ship_package(spark)
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(-(-len(paths) // FILES_PER_TASK))
-    got = files.mapInPandas(_headers_of, "path string, headers string, error string").collect()
-    return {r.path: (None if r.headers is None else tuple(json.loads(r.headers)), r.error) for r in got}
+    got = files.mapInPandas(_heads_of, "path string, head string, error string").collect()
+    out = {}
+    for r in got:
+        if r.head is None:
+            out[r.path] = Head(None, r.error)
+        else:
+            headers, delimiter, line_end, has_rows = json.loads(r.head)
+            out[r.path] = Head(tuple(headers), None, Dialect(delimiter, line_end), has_rows)
+    return out
 
 
 def resolve_columns(headers: tuple[str, ...]) -> dict[str, int]:
@@ -129,19 +127,30 @@ def resolve_columns(headers: tuple[str, ...]) -> dict[str, int]:
     return out
 
 
-def csv_files(spark: SparkSession, paths: list[str] | str) -> list[CsvFile]:
-    """The CSV files at or below the paths (missing ones are left out), with their headers."""
+def csv_files(spark: SparkSession, paths: list[str] | str, by_content: bool = False) -> list[CsvFile]:
+    """The CSV files at or below the paths (missing ones are left out), with their heads.
+
+    CSV files are known by their names; ``by_content`` takes all files, and those that are no text become
+    error rows.
+    """
     wanted = [p for p in ([paths] if isinstance(paths, str) else paths) if exists(spark, p)]
     if not wanted:
         return []
-    return with_headers(spark, list_files(spark, [literal_path(p) for p in wanted]))
+    found = [literal_path(p) for p in wanted]
+    glob = ANY_GLOB if by_content else CSV_GLOB
+    files = with_heads(spark, list_files(spark, found, glob))
+    # a scan gives no row for a file without a byte
+    known = {_plain(f.path) for f in files}
+    empty = sorted(u for u in all_files(spark, found, glob) if _plain(unquote(u)) not in known)
+    return [CsvFile(unquote(u), u, 0, 0, (), None) for u in empty] + files
 
 
-def with_headers(spark: SparkSession, listing: DataFrame) -> list[CsvFile]:
+def with_heads(spark: SparkSession, listing: DataFrame, heads: dict[str, Head] | None = None) -> list[CsvFile]:
     """Files of a listing (path, uri, size, modified), by time and path."""
     rows = sorted({tuple(r) for r in listing.select("modified", "path", "uri", "size").collect()})
-    heads = read_headers(spark, [path for _, path, _, _ in rows])
-    return [CsvFile(path, uri, size, modified, *heads[path]) for modified, path, uri, size in rows]
+    heads = read_heads(spark, [path for _, path, _, _ in rows]) if heads is None else heads
+    return [CsvFile(path, uri, size, modified, h.headers, h.error, h.dialect, h.has_rows, modified)
+            for modified, path, uri, size in rows for h in [heads[path]]]
 
 
 def scan_files(spark: SparkSession, files: list[CsvFile], ingest_batch: int = 0,
@@ -152,20 +161,21 @@ def scan_files(spark: SparkSession, files: list[CsvFile], ingest_batch: int = 0,
     to have none, ``multiline=False`` lets Spark split files into ``spark.sql.files.maxPartitionBytes``
     chunks.  (Row order inside a file - the last-wins order - is then kept per split.)
 
-    The union of one scan per header signature: the canonical fields present in any of them, and
+    The union of one scan per header and dialect: the canonical fields present in any of them, and
     ``ingest_batch``, ``file_order``, ``src_file``, ``row_seq``.
     """
-    groups: dict[tuple[str, ...], list[CsvFile]] = {}
+    groups: dict[tuple, dict[str, CsvFile]] = {}
     for f in files:
-        if f.headers is not None and "score" in resolve_columns(f.headers):
-            groups.setdefault(f.headers, []).append(f)
+        if rejection(f) is None:
+            groups.setdefault((f.headers, f.dialect), {})[f.path] = f
     raw = None
-    for headers, members in groups.items():
+    for (headers, dialect), members in groups.items():
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType(), True) for i in range(len(headers))])
         df = (spark.read.schema(schema).options(**CSV_OPTIONS)
               .option("multiLine", "true" if multiline else "false")
+              .option("sep", dialect.delimiter).option("lineSep", dialect.line_end)
               .option("maxColumns", str(max(20480, len(headers) + 1)))
-              .csv([literal_path(m.path) for m in members]))
+              .csv([literal_path(p) for p in members]))
         df = df.select(*[F.col(f"_c{i}").alias(field) for field, i in resolve_columns(headers).items()],
                        F.unix_micros("_metadata.file_modification_time").alias("file_order"),
                        F.col("_metadata.file_path").alias("src_file"))
@@ -176,10 +186,17 @@ def scan_files(spark: SparkSession, files: list[CsvFile], ingest_batch: int = 0,
         "row_seq", F.monotonically_increasing_id())
 
 
-def ingest_csv(spark: SparkSession, paths: list[str] | str, ingest_batch: int = 0,
-               multiline: bool = True) -> tuple[DataFrame | None, DataFrame]:
+def rejection(f: CsvFile) -> str | None:
+    """S3: why a file gives no rows at all, if so."""
+    if f.error is None and "score" not in resolve_columns(f.headers or ()):
+        return "No score column found in headers: " + ", ".join(f.headers or ())
+    return f.error
+
+
+def ingest_csv(spark: SparkSession, paths: list[str] | str, ingest_batch: int = 0, multiline: bool = True,
+               by_content: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """(clean rows, ingest report) for the CSV files under ``paths``."""
-    return ingest_files(spark, csv_files(spark, paths), ingest_batch, multiline)
+    return ingest_files(spark, csv_files(spark, paths, by_content), ingest_batch, multiline)
 
 
 def ingest_files(spark: SparkSession, files: list[CsvFile], ingest_batch: int = 0,
@@ -189,38 +206,41 @@ def ingest_files(spark: SparkSession, files: list[CsvFile], ingest_batch: int =
 
 
 def ingest_report(spark: SparkSession, raw: DataFrame | None, files: list[CsvFile]) -> DataFrame:
-    """Per file: records kept, rows skipped, warnings, status; newest first."""
-    meta = []
-    for f in files:
-        err = f.error
-        if err is None and "score" not in resolve_columns(f.headers or ()):
-            err = "No score column found in headers: " + ", ".join(f.headers or ())
-        meta.append((f.uri, f.path.rsplit("/", 1)[-1], f.size, f.order, err))
-    m = spark.createDataFrame(meta, "file string, file_name string, size bigint, file_order bigint, "
-                                    "header_error string")
+    """Per file: records kept, rows skipped, warnings, status; newest first.
+
+    A file that is listed more than once (with other orders) has a row for each time.  ``rejected`` files
+    gave no rows at all.
+    """
+    meta = [(f.uri, f.path.rsplit("/", 1)[-1], f.size, f.modified, f.order, rejection(f), f.has_rows, f.path) for f in files]
+    m = spark.createDataFrame(meta, "file string, file_name string, size bigint, modified bigint, file_order bigint, "
+                                    "header_error string, has_rows boolean, path string")
     if raw is not None:
         ok = js_int_prefix(js_trim(F.col("score"))).isNotNull()
-        counts = raw.groupBy(F.col("src_file").alias("file")).agg(
+        counts = raw.groupBy(F.col("src_file").alias("file"), "file_order").agg(
             F.count_if(ok).cast("bigint").alias("records"),
             F.count_if(~ok).cast("bigint").alias("skipped"))
-        m = m.join(counts, "file", "left")
+        m = m.join(counts, ["file", "file_order"], "left")
     else:
         m = m.withColumn("records", F.lit(None).cast("bigint")).withColumn("skipped", F.lit(None).cast("bigint"))
     m = (m.withColumn("records", F.coalesce("records", F.lit(0).cast("bigint")))
           .withColumn("skipped", F.coalesce("skipped", F.lit(0).cast("bigint"))))
     skipped_msg = F.when(F.col("skipped") > 0, F.concat(F.lit("Skipped "), F.col("skipped").cast("string"),
                                                           F.lit(" rows with invalid/missing scores")))
-    errors = F.concat_ws("; ", F.col("header_error"), skipped_msg)
+    # there is something after the header, but none of it was read as a row
+    unread = F.col("header_error").isNull() & F.col("has_rows") & (F.col("records") + F.col("skipped") == 0)
+    errors = F.concat_ws("; ", F.col("header_error"), skipped_msg,
+                         F.when(unread, F.lit("No rows found after the header")))
     warnings = (F.when(F.col("header_error").isNotNull(), 1).otherwise(0)
-                + F.when(F.col("skipped") > 0, 1).otherwise(0))
+                + F.when(F.col("skipped") > 0, 1).otherwise(0) + F.when(unread, 1).otherwise(0))
     return (m.withColumn("errors", errors).withColumn("warnings", warnings)
              .withColumn("status", F.when(F.col("warnings") == 0, F.lit("OK"))
                          .otherwise(F.concat(F.col("warnings").cast("string"), F.lit(" warning(s)"))))
+             .withColumn("rejected", F.col("header_error").isNotNull())
              # newest first, as the ingest log shows it (one row per file, as many as the driver listed)
              .withColumn("log_rank", F.row_number().over(
                  Window.orderBy(F.col("file_order").desc(), F.col("file").desc())))
              .select("file", "file_name", "size", "file_order", "records", "skipped", "warnings",
-                     "status", "errors", "log_rank"))
+                     "status", "errors", "log_rank", "path", "modified", "rejected"))
 
 
 def read_manifest(spark: SparkSession, manifest_path: str) -> list[str]:
@@ -233,24 +253,36 @@ def read_manifest(spark: SparkSession, manifest_path: str) -> list[str]:
 def ingest_manifest(spark: SparkSession, manifest_path: str, ingest_batch: int = 0
                     ) -> tuple[DataFrame | None, DataFrame]:
     """Load every file a manifest lists, in manifest order; a missing or unreadable file becomes a
-    report row with 0 records and does not stop the rest.  No dedup (the first load keeps duplicates,
-    Q11).  The folders that the manifest names are listed once, whatever the number of files.
+    report row with 0 records and does not stop the rest.  A file that is listed twice is loaded twice
+    (no dedup, Q11).  Only the listed files are opened and looked up, not the folders they are in.
     """
-    listed = list(dict.fromkeys(read_manifest(spark, manifest_path)))
-    places = {_plain(p): i for i, p in enumerate(listed)}
-    found = [f for f in csv_files(spark, sorted({p.rsplit("/", 1)[0] for p in listed})) if _plain(f.path) in places]
-    files = [CsvFile(f.path, f.uri, f.size, places[_plain(f.path)], f.headers, f.error) for f in found]
+    listed = read_manifest(spark, manifest_path)
+    places: dict[str, list[int]] = {}
+    for i, p in enumerate(listed):
+        places.setdefault(_plain(p), []).append(i)
+    heads = read_heads(spark, sorted(places))
+    there = [p for p in places if heads[p].error is None]
+    found = {}
+    if there:
+        listing = list_files(spark, [literal_path(p) for p in there], ANY_GLOB)
+        by_path = {_plain(r.path): r.path for r in listing.select("path").distinct().collect()}
+        found = {_plain(f.path): f for f in with_heads(spark, listing, {q: heads[p] for p, q in by_path.items()})}
+    files = [replace(found[p], order=i) if p in found else CsvFile(listed[i], listed[i], 0, i, None, missing(heads[p], listed[i]))
+             for p, at in places.items() for i in at]
     files.sort(key=lambda f: f.order)
     raw = scan_files(spark, files, ingest_batch)
     if raw is not None:
-        # the place in the manifest takes the file time's part; one row per file, so Spark sizes the join
-        order = spark.createDataFrame([(f.uri, f.order) for f in files], "src_file string, place bigint")
-        raw = raw.drop("file_order").join(order.withColumnRenamed("place", "file_order"), "src_file")
-    have = {_plain(f.path) for f in files}
-    files += [CsvFile(p, p, 0, i, None, "File not found: " + p) for p, i in
-              ((p, places[_plain(p)]) for p in listed) if _plain(p) not in have]
+        # the place in the manifest takes the file time's part, and a file listed twice gives its rows twice
+        order = spark.createDataFrame([(f.uri, f.order) for f in files], "src_file string, file_order bigint")
+        raw = raw.drop("file_order").join(order, "src_file")
     return clean_survey(raw) if raw is not None else None, ingest_report(spark, raw, files)
 
 
+def missing(head: Head, path: str) -> str:
+    if head.error is None or "FileNotFoundError" in head.error:
+        return "File not found: " + path
+    return head.error
+
+
 def _plain(path: str) -> str:
     return re.sub(r"^file:/*", "/", path)

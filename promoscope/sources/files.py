@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CSV_GLOB = "*.[cC][sS][vV]"  # S8, the same for batch and stream
+ANY_GLOB = "*"
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -37,11 +38,19 @@ def list_files(spark: SparkSession, paths: Iterable[str], glob: str = CSV_GLOB)
     """(path, uri, size, modified) of the matching files at or below ``paths``; contents are not read.
 
     ``uri`` is the encoded form that ``_metadata.file_path`` has in every scan, so it is the key that
-    rows and files share; ``modified`` is in microseconds.
+    rows and files share; ``modified`` is in microseconds.  Files without a byte have no row.
     """
-    found = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load([*paths]))
-    return file_columns(found)
+    return file_columns(_found(spark, paths, glob))
+
+
+def all_files(spark: SparkSession, paths: Iterable[str], glob: str = CSV_GLOB) -> set[str]:
+    """The ``uri`` of every matching file, empty ones too."""
+    return set(_found(spark, paths, glob).inputFiles())
+
+
+def _found(spark: SparkSession, paths: Iterable[str], glob: str) -> DataFrame:
+    return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", "true").load([*paths]))
 
 
 def file_columns(found: DataFrame) -> DataFrame:

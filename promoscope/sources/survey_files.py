@@ -1,25 +1,27 @@
 """Survey CSV files derived from the driver tables, plus CSV export (S13) and the file catalogue.
 
 ``write_survey_csvs`` writes the raw survey rows as CSV files the way survey exports arrive: one file
-per sprint and range of respondents, in four header layouts (canonical names behind a byte order mark
-with quoted headers, two alias layouts with other column orders, and one layout without a score
-column).  Ranges of respondents are of a fixed width, so the number of files grows with the rows and
+per sprint and range of respondents, in five header layouts and dialects (canonical names behind a byte
+order mark with quoted headers and CRLF ends; alias layouts with other column orders, delimited by
+semicolons, by tabs with CRLF ends and empty lines, and by bars with CR ends; and one layout without a
+score column).  Ranges of respondents are of a fixed width, so the number of files grows with the rows and
 their size does not, and all rows of a respondent and sprint are in one file, in their order.
 """
 
 from __future__ import annotations
 
-import codecs
 import csv
 import io
 import threading
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promoscope.session import scratch_path, ship_package
 from promoscope.sources.csv_ingest import CSV_OPTIONS, CsvFile
+from promoscope.sources.dialect import BOM
 from promoscope.sources.dims import SPRINT_CALENDAR, calendar_index
 from promoscope.sources.driver_tables import survey_raw, survey_resend
 from promoscope.sources.files import file_system
@@ -41,18 +43,38 @@ LAYOUTS: dict[str, list[tuple[str, str | None]]] = {
           ("survey_channel", "source"), ("sprint", "sprint_id"), ("created_at", "sprint_start"),
           ("new_to_wifi", "first_time_user")],
     "D": [("id", "respondent_id"), ("cycle", "sprint_id"), ("comment", "feedback")],
+    "E": [("acquisition_source", "source"), ("nps_rating", "score"), ("open_text", "feedback"),
+          ("customer_id", "respondent_id"), ("primary_reason", "nps_reason_primary"), ("product", "plan_type"),
+          ("region", "city"), ("tenure", "tenure_days"), ("tenure_segment", "tenure_cut"), ("sprint", "sprint_id"),
+          ("timestamp", "sprint_start"), ("is_first_time_user", "first_time_user")],
 }
 
 
-# layout of each calendar sprint: Sprint 1-7 -> A, 8-14 -> B, RSP sprints -> C; others -> D
+@dataclass(frozen=True)
+class Style:
+    """How the files of a layout are written; Spark's own writer does those with plain line ends."""
+
+    delimiter: str = ","
+    line_end: str = "\n"
+    mark: bool = False  # a byte order mark
+    quote_all: bool = False
+    empty_lines: int = 0  # an empty line before the header, at the end, and after every so many rows
+
+
+STYLES = {"A": Style(line_end="\r\n", mark=True, quote_all=True), "B": Style(delimiter=";"),
+          "C": Style(delimiter="\t", line_end="\r\n", empty_lines=7), "D": Style(),
+          "E": Style(delimiter="|", line_end="\r", empty_lines=5)}
+
+
+# layout of each calendar sprint: Sprint 1-7 -> A, 8-14 -> B, RSP 1-4 -> E, RSP 5-7 -> C; others -> D
 _CAL = [s[0] for s in SPRINT_CALENDAR]
-LAYOUT_SPRINTS = {"A": _CAL[0:7], "B": _CAL[7:14], "C": _CAL[14:]}
+LAYOUT_SPRINTS = {"A": _CAL[0:7], "B": _CAL[7:14], "E": _CAL[14:18], "C": _CAL[18:]}
 
 
 def layout_of(sprint_id: Column) -> Column:
     """The header layout a sprint's file is written in (D: no score column)."""
     out = F.lit("D")
-    for name in ("C", "B", "A"):
+    for name in LAYOUT_SPRINTS:
         out = F.when(sprint_id.isin(*LAYOUT_SPRINTS[name]), F.lit(name)).otherwise(out)
     return out
 
@@ -87,37 +109,67 @@ def write_survey_csvs(raw: DataFrame, out: str, mode: str = "overwrite",
     rows = spark.read.option("basePath", staged).parquet(staged)
     for layout in layouts or list(LAYOUTS):
         fields = LAYOUTS[layout]
+        style = STYLES[layout]
         part = (rows.filter(F.col("layout") == layout).repartition("file_key")
                     .sortWithinPartitions("file_key", "row_seq").select(*[(F.col(f) if f is not None else F.lit("")).alias(h) for h, f in fields], "file_key"))
-        if layout == "A":
-            _write_quoted(part, f"{out}/{layout}")
+        if style == Style(delimiter=style.delimiter):
+            (part.write.mode(mode).partitionBy("file_key").options(**CSV_OPTIONS)
+             .option("sep", style.delimiter).csv(f"{out}/{layout}"))
         else:
-            part.write.mode(mode).partitionBy("file_key").options(**CSV_OPTIONS).csv(f"{out}/{layout}")
+            _write_styled(part, f"{out}/{layout}", style)
 
 
-def _write_quoted(rows: DataFrame, out: str) -> None:
-    """Files with a byte order mark, a quoted header, quoted fields and CRLF line ends, as some exporters
-    write them (Spark's writer cannot).  A group is one file; a task that runs again writes it again."""
+def _write_styled(rows: DataFrame, out: str, style: Style) -> None:
+    """Files as some exporters write them and Spark's writer cannot.  A task writes its files one after
+    the other as their rows come in; one that runs again writes them again."""
     ship_package(rows.sparkSession)
     arrival = uuid.uuid4().hex[:12]
     names = [c for c in rows.columns if c != "file_key"]
 
-    def write(pdf):
+    def write(batches):
         import pandas as pd
 
-        key = pdf["file_key"].iloc[0]
-        where, folder = file_system(f"{out}/file_key={key}")
-        where.create_dir(folder, recursive=True)
-        text = io.StringIO()
-        lines = csv.writer(text, quoting=csv.QUOTE_ALL, lineterminator="\r\n")
-        lines.writerow(names)
-        lines.writerows(pdf[names].fillna("").itertuples(index=False))
-        with where.open_output_stream(f"{folder}/_{arrival}") as f:
-            f.write(codecs.BOM_UTF8 + text.getvalue().encode())
-        where.move(f"{folder}/_{arrival}", f"{folder}/survey-{arrival}.csv")
-        return pd.DataFrame({"file_key": [key], "n": [len(pdf)]})
-
-    rows.groupBy("file_key").applyInPandas(write, "file_key string, n bigint").agg(F.sum("n")).collect()
+        now, stream, where, text, lines, written = None, None, None, io.StringIO(), None, {}
+
+        def flush() -> None:
+            stream.write(text.getvalue().encode())
+            text.seek(0)
+            text.truncate()
+
+        def close() -> None:
+            if style.empty_lines:
+                text.write(style.line_end)
+            flush()
+            stream.close()
+            folder = file_system(f"{out}/file_key={now}")[1]
+            where.move(f"{folder}/_{arrival}", f"{folder}/survey-{arrival}.csv")
+
+        for pdf in batches:
+            for row in pdf[names + ["file_key"]].fillna("").itertuples(index=False):
+                *values, key = row
+                if key != now:
+                    if now is not None:
+                        close()
+                    now = key
+                    where, folder = file_system(f"{out}/file_key={key}")
+                    where.create_dir(folder, recursive=True)
+                    stream = where.open_output_stream(f"{folder}/_{arrival}")
+                    text.write((BOM if style.mark else "") + style.line_end * bool(style.empty_lines))
+                    lines = csv.writer(text, delimiter=style.delimiter, lineterminator=style.line_end,
+                                       quoting=csv.QUOTE_ALL if style.quote_all else csv.QUOTE_MINIMAL)
+                    lines.writerow(names)
+                    written[key] = 0
+                written[key] += 1
+                if style.empty_lines and written[key] % style.empty_lines == 0:
+                    text.write(style.line_end)
+                lines.writerow(values)
+            if now is not None:
+                flush()
+        if now is not None:
+            close()
+        yield pd.DataFrame({"file_key": list(written), "n": list(written.values())})
+
+    rows.mapInPandas(write, "file_key string, n bigint").agg(F.sum("n")).collect()
 
 
 _LOCK = threading.Lock()

@@ -11,17 +11,27 @@
 * R3: a late re-send of an old sprint rewrites only that sprint's partition (the key contains
   ``sprint_id``); no watermark is needed because no state is kept outside the table.
 
+Every micro-batch logs its files (S9, ``sources.ingest_log``) under its own name, after the merge and
+before the stream's commit.  Files that gave no rows stay in the log as dead letters: the source has seen
+their paths and never offers them again, so each trigger first looks at them, and those that were mended
+in place are ingested like a new arrival.
+
+A file without a byte gives a scan no row, so a stream neither loads nor logs it (a batch load logs it).
+
 ``max_files`` bounds a micro-batch's file list, which is all that the driver holds.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from promoscope.operators.clean import CLEAN_SCHEMA
 from promoscope.operators.upsert import upsert_into
-from promoscope.sources.csv_ingest import ingest_files, with_headers
+from promoscope.sources.csv_ingest import CsvFile, ingest_files, with_heads
 from promoscope.sources.files import CSV_GLOB, exists, file_columns
+from promoscope.sources.ingest_log import append_log, mended
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -40,21 +50,54 @@ def new_files(spark: SparkSession, landing: str, max_files: int = 1000) -> DataF
     return file_columns(found)
 
 
-def _upsert_batch(table_path: str, rollup_path: str | None):
+def log_of(table_path: str) -> str:
+    """Where a table's ingest log is unless another place is named."""
+    return table_path.rstrip("/") + "_ingest_log"
+
+
+def _apply(spark: SparkSession, files: list[CsvFile], name: str, table_path: str, log_path: str,
+           rollup_path: str | None) -> None:
+    clean, report = ingest_files(spark, files)
+    if clean is not None:
+        upsert_into(spark, table_path, clean, rollup_path=rollup_path)
+    append_log(report, log_path, name, "stream")
+
+
+def _upsert_batch(table_path: str, log_path: str, stream: str, rollup_path: str | None):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        clean, _ = ingest_files(spark, with_headers(spark, batch))
-        if clean is not None:
-            upsert_into(spark, table_path, clean, rollup_path=rollup_path)
+        files = with_heads(spark, batch)
+        if files:
+            _apply(spark, files, f"{stream}-{batch_id:09d}", table_path, log_path, rollup_path)
     return run
 
 
+def retry_dead_letters(spark: SparkSession, table_path: str, log_path: str | None = None,
+                       rollup_path: str | None = None) -> int:
+    """Ingest the rejected files that were mended in place; how many there were.
+
+    The name of the ingest comes from the files and their times, so a retry that is cut off between merge
+    and log is repeated under the same name.
+    """
+    log_path = log_path or log_of(table_path)
+    listing = mended(spark, log_path)
+    files = with_heads(spark, listing) if listing is not None else []
+    if files:
+        state = repr([(f.path, f.size, f.modified) for f in files])
+        _apply(spark, files, "retry-" + hashlib.sha256(state.encode()).hexdigest()[:16], table_path, log_path, rollup_path)
+    return len(files)
+
+
 def run_available(spark: SparkSession, landing: str, table_path: str, checkpoint_dir: str,
-                  max_files: int = 1000, rollup_path: str | None = None) -> None:
-    """Process every file now present at or below ``landing`` (availableNow)."""
+                  max_files: int = 1000, rollup_path: str | None = None, log_path: str | None = None) -> None:
+    """Process every file now present at or below ``landing`` (availableNow), mended dead letters first."""
     ensure_table(spark, table_path)
+    log_path = log_path or log_of(table_path)
+    retry_dead_letters(spark, table_path, log_path, rollup_path)
+    # a fresh checkpoint counts its batches anew, so the name has the checkpoint's
+    stream = "stream-" + hashlib.sha256(checkpoint_dir.encode()).hexdigest()[:12]
     q = (new_files(spark, landing, max_files).writeStream
-         .foreachBatch(_upsert_batch(table_path, rollup_path))
+         .foreachBatch(_upsert_batch(table_path, log_path, stream, rollup_path))
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -1,12 +1,15 @@
 """S1-S10 with hand-written CSV files (BOM, aliases, missing score column, bad scores, re-sends)."""
 
+import csv
+import io
 import os
 
 from pyspark.sql import functions as F
 
 from promoscope.operators.upsert import latest_per_key, merge, upsert_into
 from promoscope.sources.csv_ingest import (
-    csv_files, first_record, ingest_csv, ingest_files, read_headers, resolve_columns)
+    csv_files, ingest_csv, ingest_files, ingest_manifest, read_heads, resolve_columns)
+from promoscope.sources.dialect import Dialect, read_head
 from promoscope.sources.store import read_clean, write_clean
 from promoscope.sources.survey_files import export_csv, file_catalogue
 
@@ -117,8 +120,6 @@ def test_export_roundtrip(spark, tmpdir_fresh):
 
 
 def test_manifest_load_keeps_going_past_missing_files(spark, tmpdir_fresh):
-    from promoscope.sources.csv_ingest import ingest_manifest
-
     write_files(tmpdir_fresh, {"s1.csv": "score,respondent_id,sprint_id\n9,a,Sprint 3\n9,a,Sprint 3\n",
                                "s2.csv": "score,respondent_id,sprint_id\n2,b,Sprint 4\n",
                                "manifest.json": '["s2.csv", "gone.csv", "s1.csv"]'})
@@ -218,15 +219,105 @@ def test_headers_of_any_length_are_read_to_their_end(spark, tmpdir_fresh):
     assert [r.score for r in clean.collect()] == [7]
 
 
-def test_first_record():
-    import io
-
-    for text, want in ((b"", b""), (b"a,b", b"a,b"), (b"\n \r\n\xef\xbb\xbf\na,b\nc", b"a,b"),
-                       (b'"a\nb",c\r\nd', b'"a\nb",c\r'), (b'"a""\n",b\n', b'"a""\n",b')):
+def test_head_of_a_file():
+    for text, names, dialect, more in (
+            (b"", (), Dialect(), False), (b"a,b", ("a", "b"), Dialect(), False),
+            (b"\xef\xbb\xbf\n\na,b\nc", ("a", "b"), Dialect(), True),
+            (b'"a\nb",c\r\nd,e\r\n', ("a\nb", "c"), Dialect(",", "\r\n"), True),
+            (b'"a""\n",b\n', ('a"', "b"), Dialect(), False),
+            (b"\r\n\r\na;b;c\r\n1;2,5;3\r\n", ("a", "b", "c"), Dialect(";", "\r\n"), True),
+            (b"a|b\rc|d\r", ("a", "b"), Dialect("|", "\r"), True),
+            (b"a\tb, c\td\n1\t2, 3\t4\n", ("a", "b, c", "d"), Dialect("\t"), True),
+            (b'a;"x;y\r\nz"\n1;2\n', ("a", "x;y\r\nz"), Dialect(";"), True),
+            (b"score\n1\n2\n", ("score",), Dialect(), True), (b"score\n\n\n", ("score",), Dialect(), False),
+            (b"a\x1eb\n1\x1e2\n", ("a", "b"), Dialect("\x1e"), True), (b"a\x1fb\n1\x1f2\n", ("a", "b"), Dialect("\x1f"), True),
+            # commas of the comments do not make more steady fields than the tabs do
+            (b"id\tcomment\n1\tone, two, three\n2\tfour\n", ("id", "comment"), Dialect("\t"), True)):
         for chunk in (1, 2, 3, 1000):
-            assert first_record(io.BytesIO(text), chunk) == want
+            assert read_head(io.BytesIO(text), chunk) == (names, dialect, more), (text, chunk)
 
 
 def test_an_unreadable_file_is_an_error_row(spark, tmpdir_fresh):
-    got = read_headers(spark, [os.path.join(tmpdir_fresh, "gone.csv"), "nosuch://host/x.csv"])
-    assert all(h is None and e for h, e in got.values()) and len(got) == 2
+    got = read_heads(spark, [os.path.join(tmpdir_fresh, "gone.csv"), "nosuch://host/x.csv"])
+    assert all(h.headers is None and h.error for h in got.values()) and len(got) == 2
+
+
+COLUMNS = ["respondent_id", "score", "feedback", "sprint_id"]
+
+
+def in_dialect(rows, delimiter, line_end, blank=""):
+    out = io.StringIO()
+    lines = csv.writer(out, delimiter=delimiter, lineterminator=line_end)
+    lines.writerow(COLUMNS)
+    for r in rows:
+        out.write(blank)
+        lines.writerow(r)
+    return (blank + out.getvalue() + blank).encode()
+
+
+def test_every_delimiter_and_line_end_in_one_folder(spark, tmpdir_fresh):
+    want = set()
+    for d, delimiter in enumerate([",", ";", "\t", "|"]):
+        for e, end in enumerate(["\n", "\r\n", "\r"]):
+            rows = [(f"{d}{e}{i}", str(i), f"a, b; c\td | e \"{i}\"" + ("\nnext line\r\nlast" if i % 2 else ""), "Sprint 3") for i in range(4)]
+            rows.append((f"{d}{e}x", "n/a", "no score", "Sprint 3"))
+            want |= {r for r in rows if r[1] != "n/a"}
+            for blank in ("", end):  # with and without empty lines, a first one among them
+                with open(os.path.join(tmpdir_fresh, f"{d}{e}{len(blank)}.csv"), "wb") as f:
+                    f.write(in_dialect(rows, delimiter, end, blank))
+    clean, report = ingest_csv(spark, tmpdir_fresh)
+    got = [(r.respondent_id, str(r.score), r.feedback, r.sprint_id) for r in clean.collect()]
+    assert set(got) == want and len(got) == 2 * len(want)
+    rep = report.collect()
+    assert len(rep) == 24 and {(r.records, r.skipped, r.status, r.errors) for r in rep} == {
+        (4, 1, "1 warning(s)", "Skipped 1 rows with invalid/missing scores")}
+    assert not any(r.rejected for r in rep)
+
+
+def test_split_files_of_every_line_end(spark, tmpdir_fresh):
+    for e, end in enumerate(["\n", "\r\n", "\r"]):
+        with open(os.path.join(tmpdir_fresh, f"{e}.csv"), "wb") as f:
+            f.write(in_dialect([(f"{e}{i}", str(i % 11), "ok", "S") for i in range(2000)], ";", end, end))
+    clean, report = ingest_csv(spark, tmpdir_fresh, multiline=False)
+    assert clean.count() == clean.select("respondent_id").distinct().count() == 6000
+    assert {(r.records, r.status) for r in report.collect()} == {(2000, "OK")}
+
+
+def test_header_alone_is_fine_and_lost_rows_are_a_warning(spark, tmpdir_fresh):
+    write_files(tmpdir_fresh, {"empty.csv": "", "header.csv": "score,id\n", "blank.csv": "score,id\r\n\r\n\r\n"})
+    files = csv_files(spark, tmpdir_fresh)
+    rep = {r.file_name: r for r in ingest_files(spark, files)[1].collect()}
+    assert rep["header.csv"].status == rep["blank.csv"].status == "OK"
+    assert rep["empty.csv"].rejected and not rep["header.csv"].rejected
+    assert rep["empty.csv"].errors == "No score column found in headers: " and rep["empty.csv"].size == 0
+    from dataclasses import replace
+
+    from promoscope.sources.csv_ingest import ingest_report
+    lost = ingest_report(spark, None, [replace(f, has_rows=True) for f in files if f.path.endswith("header.csv")]).collect()
+    assert [(r.status, r.errors) for r in lost] == [("1 warning(s)", "No rows found after the header")]
+
+
+def test_manifest_loads_repeated_entries_and_opens_only_listed_files(spark, tmpdir_fresh, monkeypatch):
+    write_files(tmpdir_fresh, {f"s{i}.csv": f"score,respondent_id,sprint_id\n{i},r{i},Sprint 3\n" for i in range(5)} | {
+        "manifest.json": '["s1.csv", "s3.csv", "gone.csv", "s1.csv", "s1.csv"]'})
+    from promoscope.sources import csv_ingest
+
+    asked = []
+    monkeypatch.setattr(csv_ingest, "read_heads", lambda spark, paths: asked.extend(paths) or read_heads(spark, paths))
+    clean, report = ingest_manifest(spark, os.path.join(tmpdir_fresh, "manifest.json"))
+    assert sorted((r.respondent_id, r.file_order) for r in clean.collect()) == [("r1", 0), ("r1", 3), ("r1", 4), ("r3", 1)]
+    assert [(r.file_name, r.file_order, r.records) for r in report.orderBy("file_order").collect()] == [
+        ("s1.csv", 0, 1), ("s3.csv", 1, 1), ("gone.csv", 2, 0), ("s1.csv", 3, 1), ("s1.csv", 4, 1)]
+    assert sorted(os.path.basename(p) for p in asked) == ["gone.csv", "s1.csv", "s3.csv"]
+
+
+def test_files_of_other_names_are_taken_by_content_on_request(spark, tmpdir_fresh):
+    write_files(tmpdir_fresh, {"a.csv": "score,id\n1,a\n", "b.txt": "score;id\n2;b\n", "notes.md": "nothing here\n"})
+    with open(os.path.join(tmpdir_fresh, "picture.bin"), "wb") as f:
+        f.write(bytes(range(256)) * 10)
+    assert ingest_csv(spark, tmpdir_fresh)[0].count() == 1
+    clean, report = ingest_csv(spark, tmpdir_fresh, by_content=True)
+    assert sorted(r.respondent_id for r in clean.collect()) == ["a", "b"]
+    rep = {r.file_name: (r.rejected, r.errors) for r in report.collect()}
+    assert rep["b.txt"] == (False, "") and "binary content" in rep["picture.bin"][1]
+    assert rep["notes.md"] == (True, "No score column found in headers: nothing here")

@@ -2,8 +2,10 @@
 
 import os
 
+from promoscope.sources.csv_ingest import ingest_csv
+from promoscope.sources.ingest_log import append_log, dead_letters, read_log
 from promoscope.sources.store import read_clean
-from promoscope.streaming.ingest_stream import run_available
+from promoscope.streaming.ingest_stream import log_of, run_available
 
 
 def write(path, text):
@@ -115,3 +117,89 @@ def test_file_time_decides_within_a_batch(spark, tmpdir_fresh):
         os.utime(os.path.join(landing, name), (time, time))
     run_available(spark, landing, table, ckpt)
     assert scores(spark, table) == {("S", "1"): 7}
+
+
+def test_rejected_files_are_logged_and_loaded_once_mended(spark, tmpdir_fresh):
+    landing, table, ckpt = paths(tmpdir_fresh)
+    good, bad = os.path.join(landing, "good.csv"), os.path.join(landing, "bad.csv")
+    write(good, "respondent_id,score,sprint_id\n1,4,S\n")
+    write(bad, "respondent_id,comment\n2,no score\n")
+    with open(os.path.join(landing, "binary.csv"), "wb") as f:
+        f.write(b"score\x00\n\x01\n")
+    run_available(spark, landing, table, ckpt)
+    log = log_of(table)
+    assert scores(spark, table) == {("S", "1"): 4}
+    assert {(r.file_name, r.records, r.rejected) for r in read_log(spark, log).collect()} == {
+        ("good.csv", 1, False), ("bad.csv", 0, True), ("binary.csv", 0, True)}
+    assert {r.file_name: r.errors for r in dead_letters(spark, log).collect()}["bad.csv"] == (
+        "No score column found in headers: respondent_id, comment")
+
+    run_available(spark, landing, table, ckpt)  # nothing has changed: nothing is offered again
+    assert read_log(spark, log).count() == 3
+
+    write(bad, "respondent_id,score,sprint_id\n2,9,S\n1,5,S\n")  # mended in place: the source has seen its path
+    run_available(spark, landing, table, ckpt)
+    assert scores(spark, table) == {("S", "1"): 5, ("S", "2"): 9}
+    assert [(r.file_name, r.records) for r in read_log(spark, log).orderBy("log_rank").limit(1).collect()] == [("bad.csv", 2)]
+    assert [r.file_name for r in dead_letters(spark, log).collect()] == ["binary.csv"]
+    run_available(spark, landing, table, ckpt)
+    assert read_log(spark, log).count() == 4
+
+
+def test_an_unreadable_file_is_offered_again(spark, tmpdir_fresh, monkeypatch):
+    from promoscope.sources import csv_ingest
+
+    landing, table, ckpt = paths(tmpdir_fresh)
+    write(os.path.join(landing, "a.csv"), "respondent_id,score,sprint_id\n1,4,S\n")
+    real = csv_ingest.read_heads
+    monkeypatch.setattr(csv_ingest, "read_heads", lambda spark, paths: {p: csv_ingest.Head(None, "OSError: no access") for p in paths})
+    run_available(spark, landing, table, ckpt)
+    assert scores(spark, table) == {} and [r.errors for r in dead_letters(spark, log_of(table)).collect()] == ["OSError: no access"]
+    monkeypatch.setattr(csv_ingest, "read_heads", real)
+    os.utime(os.path.join(landing, "a.csv"), (10, 10))
+    run_available(spark, landing, table, ckpt)
+    assert scores(spark, table) == {("S", "1"): 4} and dead_letters(spark, log_of(table)).count() == 0
+
+
+def test_a_replayed_batch_adds_no_log_entry(spark, tmpdir_fresh, monkeypatch):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    from promoscope.streaming import ingest_stream
+
+    landing, table, ckpt = paths(tmpdir_fresh)
+    write(os.path.join(landing, "a.csv"), "respondent_id,score,sprint_id\n1,4,S\nx,n/a,S\n")
+    write(os.path.join(landing, "bad.csv"), "nothing\n1\n")
+    real, calls = ingest_stream.append_log, []
+
+    def crash_after_log(*args, **kwargs):
+        real(*args, **kwargs)
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("simulated failure before the batch commit")
+
+    monkeypatch.setattr(ingest_stream, "append_log", crash_after_log)
+    with pytest.raises((StreamingQueryException, RuntimeError)):
+        run_available(spark, landing, table, ckpt)
+    run_available(spark, landing, table, ckpt)
+    assert len(calls) == 2
+    assert sorted((r.file_name, r.records, r.skipped) for r in read_log(spark, log_of(table)).collect()) == [
+        ("a.csv", 1, 1), ("bad.csv", 0, 0)]
+
+
+def test_log_over_several_ingests_newest_first(spark, tmpdir_fresh):
+    import datetime as dt
+
+    log = os.path.join(tmpdir_fresh, "log")
+    assert read_log(spark, log).count() == 0 and dead_letters(spark, log).count() == 0
+    for i, kind in enumerate(("batch", "manifest", "batch")):
+        folder = os.path.join(tmpdir_fresh, f"in{i}")
+        for k in range(2):
+            write(os.path.join(folder, f"f{i}{k}.csv"), f"score,id\n{i},a\n")
+            os.utime(os.path.join(folder, f"f{i}{k}.csv"), (100 + k, 100 + k))
+        _, report = ingest_csv(spark, folder)
+        for _ in range(2):  # the same ingest twice
+            append_log(report, log, f"ingest {i}", kind, dt.datetime(2024, 1, 1 + i, tzinfo=dt.timezone.utc))
+    got = [(r.batch, r.kind, r.file_name, r.log_rank) for r in read_log(spark, log).orderBy("log_rank").collect()]
+    assert got == [("ingest 2", "batch", "f21.csv", 1), ("ingest 2", "batch", "f20.csv", 2), ("ingest 1", "manifest", "f11.csv", 3),
+                   ("ingest 1", "manifest", "f10.csv", 4), ("ingest 0", "batch", "f01.csv", 5), ("ingest 0", "batch", "f00.csv", 6)]
