@@ -9,7 +9,8 @@ compacted into one run of the next level (counts summed), so a store of n batche
 ``min_docs`` = 2 with ``keep_first`` left to the caller is the plain "seen before" test.
 
 Only DataFrame operations are used.  Hashes are pairs of 64-bit hashes.  Counting is pre-aggregated
-before each shuffle, so a line found in a third of all rows is one row per task and batch.
+before each shuffle, so a line found in a third of all rows is one row per task and batch.  The frequent
+lines of a text are known by their places, and each text loses its own in time linear in its lines.
 
 Defined cases of ``drop_frequent_lines``: a null or empty text is one empty line and stays; empty
 keys are never dropped; a document is a ``doc_id``, so rows repeated under one id count once, and
@@ -76,22 +77,34 @@ class LineRuns:
             level += 1
 
 
+TEXT = ["t1", "t2"]
+
+
+def text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def frequent_lines(docs: DataFrame, min_docs: int, id_col: str, text_col: str, batches: int,
                    fanout: int) -> DataFrame:
-    """(__id, __drop): the hashes of the frequent lines that each document has; no row without one."""
+    """(__id, t1, t2, __drop): the places of the frequent lines in each text; no row without one.
+
+    A text is known by its id and hash, so rows repeated under one id are spread by their texts.
+    """
     spark = docs.sparkSession
     folder = scratch_path(spark, "line-runs")
     text = text_or_empty(F.col(text_col))
     pairs = f"{folder}/pairs"
     lines = (
-        docs.select(F.col(id_col).alias("__id"), F.explode(F.split(text, "\n", -1)).alias("__line"))
-        .select("__id", line_key(F.col("__line")).alias("__key"))
+        # the text's hash is taken before its lines are
+        docs.select(F.col(id_col).alias("__id"), *text_key(text), F.split(text, "\n", -1).alias("__lines"))
+        .select("__id", *TEXT, F.posexplode("__lines").alias("pos", "__line"))
+        .select("__id", *TEXT, "pos", line_key(F.col("__line")).alias("__key"))
         .filter(F.col("__key") != "")
-        .select("__id", *hashed(F.col("__key")))
+        .select("__id", *TEXT, "pos", *hashed(F.col("__key")))
         .withColumn("batch", F.pmod(F.xxhash64("__id"), F.lit(batches)).cast("int"))
     )
-    # documents of one batch lie in one folder, so each batch reads its own rows only
-    lines.write.partitionBy("batch").parquet(pairs)
+    # the lines of a batch lie together in each file, so its readers skip most of the others' row groups
+    lines.sortWithinPartitions("batch").write.parquet(pairs)
     runs = LineRuns(spark, folder, min_docs, fanout)
     stored = spark.read.schema(lines.schema).parquet(pairs)
     for b in range(batches):
@@ -99,8 +112,8 @@ def frequent_lines(docs: DataFrame, min_docs: int, id_col: str, text_col: str, b
         batch = stored.filter(F.col("batch") == b).select(*HASH, "__id").distinct()
         runs.add(batch.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs")))
     return (
-        stored.select("__id", *HASH).join(runs.frequent(), HASH, "left_semi")
-        .groupBy("__id").agg(F.collect_set("h1").alias("__drop"))
+        stored.select("__id", *TEXT, "pos", *HASH).join(runs.frequent(), HASH, "left_semi")
+        .groupBy("__id", *TEXT).agg(F.collect_set("pos").alias("__drop"))
     )
 
 
@@ -108,22 +121,22 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_
                         text_col: str = "text", batches: int = 4, fanout: int = 3) -> DataFrame:
     """``row`` (the row of ``docs``), ``n_lines``, ``n_dropped`` and ``kept`` (the remaining text)."""
     drops = frequent_lines(docs, min_docs, id_col, text_col, batches, fanout)
+    drops = drops.select(F.col("__id").alias("__of"), *(F.col(c).alias(f"__{c}") for c in TEXT), "__drop")
+    text = text_or_empty(F.col(f"row.`{text_col}`"))
     src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    joined = src.join(drops, F.col(f"row.`{id_col}`").eqNullSafe(F.col("__id")), "left").select(
-        "row", "__drop", text_or_empty(F.col(f"row.`{text_col}`")).alias("__text"))
-    split = F.split("__text", "\n", -1)
-    rows = F.transform(split, lambda x: F.struct(x.alias("l"), F.xxhash64(line_key(x)).alias("h")))
-    kept = F.filter(rows, lambda x: ~F.array_contains(F.col("__drop"), x["h"]))
+    src = src.select("row", text.alias("__text"), F.col(f"row.`{id_col}`").alias("__id"), *text_key(text))
+    same = F.col("__id").eqNullSafe(F.col("__of")) & (F.col("t1") == F.col("__t1")) & (F.col("t2") == F.col("__t2"))
+    # a hash join with the short side as its table: texts are dealt out, but not sorted
+    joined = src.join(drops.hint("shuffle_hash"), same, "left")
+    split = joined.withColumn("__lines", F.split("__text", "\n", -1))
+    # places that stay, found by one hash set for all lines of a text
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
+    kept = F.transform(stay, lambda p: F.col("__lines")[p])
     cut = F.col("__drop").isNotNull()
-    return (
-        joined.withColumn("__lines", F.when(cut, kept))
-        .select(
-            "row", F.size(split).cast("long").alias("n_lines"),
-            F.when(cut, F.size(split) - F.size("__lines")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
-            F.when(cut, F.array_join(F.transform("__lines", lambda x: x["l"]), "\n"))
-            .otherwise(F.col("__text")).alias("kept"),
-        )
-    )
+    return split.select(
+        "row", F.size("__lines").cast("long").alias("n_lines"),
+        F.when(cut, F.size("__drop")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("__text")).alias("kept"))
 
 
 def deduped_documents(docs: DataFrame, **options) -> DataFrame:

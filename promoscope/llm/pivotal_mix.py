@@ -12,12 +12,14 @@ Blocks of some thousand documents of a source are reduced side by side until eac
 left; these residuals form the blocks of the next level, up to one per source, which is drawn alone.
 So a source's words miss its target by less than one document's size.
 
-The blocks and the draws come from hashes of ids, so reruns agree.
+The blocks and the draws come from hashes of the rows' contents, with a running number for rows that are
+equal in every column, so reruns agree however the rows are dealt out, and neither an id with a third of
+all rows nor a group of equal rows meets in one block.
 
 Defined cases: a null text has size 0; a null source is a source of its own (last in order); sources
 of size 0 have target 0; documents of size 0 take no part in the rounding and get the certain copies
-only; repeated rows are drawn one by one; rows with a null id, and those of an id with more than
-``HOT_ID_ROWS`` rows, are put in blocks by their place in the staged table; an empty table gives an empty result; no column but id, source and text is needed.
+only; rows repeated under one id or with a null id are drawn one by one; an empty table gives an empty
+result; no column but id, source and text is needed, others only take part in telling rows apart.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ from pyspark.sql import functions as F
 from promoscope.llm.common import WORD, ship, text_or_empty
 from promoscope.session import scratch_path
 
-
-HOT_ID_ROWS = 256  # rows under one id that may share a block
+ROW = ["c1", "c2", "number"]  # the hash of a row's content, and which of the equal rows it is
 
 
 def word_count(text: Column) -> Column:
@@ -88,7 +89,7 @@ def snap(x: float) -> float:
 
 
 def reduce_tree(items: DataFrame, largest: int, seed: int, block: int, folder: str) -> DataFrame:
-    """(rid) of the items that get the extra copy.  ``items``: rid, source, weight, p, key, n.
+    """The ``ROW`` of the items that get the extra copy.  ``items``: ROW, source, weight, p, key, n.
 
     ``n`` is the number of rows of the item's source, ``largest`` the largest n.
     """
@@ -96,7 +97,7 @@ def reduce_tree(items: DataFrame, largest: int, seed: int, block: int, folder: s
 
     def level_of(number: int, last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["key", "rid"], kind="stable")
+            pdf = pdf.sort_values(["key", *ROW], kind="stable")
             rng = np.random.default_rng([seed, number, int(pdf["key"].iloc[0]) & (2**63 - 1)])
             p = round_block(pdf["p"].to_numpy(), pdf["weight"].to_numpy(np.float64), rng)
             if last:
@@ -117,7 +118,7 @@ def reduce_tree(items: DataFrame, largest: int, seed: int, block: int, folder: s
         (dealt.groupBy("source", "group").applyInPandas(level_of(number, last), dealt.schema)
          .filter("p > 0").drop("group").write.parquet(path))
         done = spark.read.schema(items.schema).parquet(path)
-        here = done.filter("p = 1").select("rid")
+        here = done.filter("p = 1").select(*ROW)
         taken = here if taken is None else taken.unionByName(here)
         if last:
             return taken
@@ -129,7 +130,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
                 text_col: str = "text", block: int = 4096) -> DataFrame:
     """Per row: the id, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words)."""
     out, _ = _mix(docs, weights, cap, seed, id_col, source_col, text_col, block, False)
-    return out.drop("rid")
+    return out.select(F.col("__id").alias(id_col), "size", "source_size", "target", "copies",
+                      (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0,
@@ -137,43 +139,50 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
                     text_col: str = "text", block: int = 4096) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     mixed, staged = _mix(docs, weights, cap, seed, id_col, source_col, text_col, block, True)
+    # ``rid`` is one of the equal rows, which stands for them all
     copies = mixed.filter("copies > 0").select(
         "rid", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
     return staged.select("rid", "carry").join(copies, "rid").select("carry.*")
 
 
+def content_hash(docs: DataFrame) -> list[Column]:
+    """Two hashes of all columns of a row; nulls count by their places."""
+    columns = []
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        columns.append(F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c)
+    nulls = F.concat(*(c.isNull().cast("int").cast("string") for c in columns))
+    return [F.xxhash64(nulls, *columns).alias("c1"), F.xxhash64(F.lit(1), nulls, *columns).alias("c2")]
+
+
 def _mix(docs: DataFrame, weights: tuple[float, ...], cap: float, seed: int, id_col: str,
          source_col: str, text_col: str, block: int, carry: bool) -> tuple[DataFrame, DataFrame]:
-    """The mix with the staged rows' number ``rid``, and the staged rows (whole ones if ``carry``)."""
+    """The mix, a row per document, and the staged rows (whole ones if ``carry``)."""
     spark = docs.sparkSession
     ship(spark)
     folder = scratch_path(spark, "mix")
     staged = docs.select(
         F.col(id_col).alias("__id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("rid"),
+        word_count(F.col(text_col)).alias("size"), *content_hash(docs), F.monotonically_increasing_id().alias("rid"),
         *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carry")] if carry else []),
     )
     staged.write.parquet(f"{folder}/staged")
     stored = spark.read.schema(staged.schema).parquet(f"{folder}/staged")
-    sizes = stored.select("__id", "source", "size", "rid")
-    targets(sizes, weights, cap).write.parquet(f"{folder}/targets")
+    targets(stored.select("source", "size"), weights, cap).write.parquet(f"{folder}/targets")
     per = spark.read.parquet(f"{folder}/targets").withColumnRenamed("source", "__source")
+    # equal rows are one row with their number, dealt out again one by one
+    rows = stored.groupBy("c1", "c2", "__id", "source", "size").agg(
+        F.min("rid").alias("rid"), F.count(F.lit(1)).alias("rows"))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = (
-        sizes.join(per, sizes["source"].eqNullSafe(per["__source"])).drop("__source")
+        rows.join(per, rows["source"].eqNullSafe(per["__source"])).drop("__source")
         .withColumn("whole", F.floor(rate + 1e-12)).withColumn("p", rate - F.col("whole"))
     )
-    hot = sizes.groupBy(F.col("__id").alias("hot")).agg(F.count(F.lit(1)).alias("rows")).filter(
-        F.col("rows") > HOT_ID_ROWS).select("hot")
-    own = F.when(F.col("__id").isNull() | F.col("hot").isNotNull(), F.col("rid"))
-    items = rated.filter("p > 1e-12 and size > 0").join(hot, F.col("__id") == F.col("hot"), "left").select(
-        "rid", "source", F.col("size").alias("weight"), "p",
-        # the hash skips nulls: ids of few rows count alone, null ids by their place
-        F.xxhash64(F.lit(seed), F.col("__id").cast("string"), own.cast("string")).alias("key"), "n")
+    items = rated.filter("p > 1e-12 and size > 0").select(
+        *ROW, "source", F.col("size").alias("weight"), "p",
+        F.xxhash64(F.lit(seed), *ROW).alias("key"), "n")
     largest = per.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     extra = reduce_tree(items, int(largest), seed, block, folder).withColumn("extra", F.lit(1))
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long")
-    out = rated.join(extra, "rid", "left").select(
-        "rid", F.col("__id").alias(id_col), "size", "source_size", "target", copies.alias("copies"),
-        (F.col("size") * copies).alias("taken"))
-    return out, stored
+    return rated.join(extra, ROW, "left").withColumn("copies", copies), stored

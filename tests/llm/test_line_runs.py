@@ -1,11 +1,12 @@
 """Line dedup: runs, levels and the whole operator against a plain count."""
 
 import random
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from promoscope.llm.line_runs import HASH, LineRuns, deduped_documents, drop_frequent_lines
+from promoscope.llm.line_runs import HASH, LineRuns, deduped_documents, drop_frequent_lines, frequent_lines
 from promoscope.session import scratch_path
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -79,3 +80,25 @@ def test_only_dataframe_operations(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = drop_frequent_lines(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_very_many_lines(spark):
+    """200,000 lines of one document, most of them frequent: linear in the lines."""
+    shared = [f"line {i}" for i in range(120_000)]
+    text = "\n".join(x for i, line in enumerate(shared) for x in ([line, f"own {i}"] if i % 3 else [line, line]))
+    rows = [(i, "\n".join(shared)) for i in range(2)] + [(2, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    started = time.time()
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in drop_frequent_lines(df, 3).select("row.doc_id", "n_lines", "n_dropped", "kept").collect()}
+    assert time.time() - started < 60
+    assert got[0] == got[1] == (120_000, 120_000, "")
+    assert got[2] == (240_000, 160_000, "\n".join(f"own {i}" for i in range(120_000) if i % 3))
+
+
+def test_a_third_of_all_rows_under_one_id(spark):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"own {i % 200}\ncommon\nline {i % 40}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = drop_frequent_lines(df, min_docs=10).select("row.doc_id", "n_lines", "n_dropped", "kept").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows, 10)
+    drops = frequent_lines(df, 10, "doc_id", "text", 4, 3)
+    assert max(r["count"] for r in drops.groupBy("__id", "t1", "t2").count().collect()) == 1

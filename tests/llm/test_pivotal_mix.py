@@ -109,3 +109,25 @@ def test_rows_of_one_id_are_dealt_over_blocks(spark, monkeypatch):
     per = {r["source_size"]: r["target"] for r in got}
     for size, target in per.items():
         assert abs(sum(r["taken"] for r in got if r["source_size"] == size) - target) <= 9
+
+
+def test_reruns_agree_however_the_rows_are_dealt_out(spark):
+    """Half of all rows under one id, a sixth with none, and many rows that are equal in every column."""
+    rows = [(7 if i % 2 else None if i % 3 == 0 else i, ["a", "b", None][i % 3], "word " * (1 + i % 9)) for i in range(900)]
+    rows += [(8, "a", "five words of equal text")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    runs = [sorted((tuple(r) for r in mix_sources(df.repartition(n), block=32).collect()), key=str) for n in (1, 3, 5)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)
+    mixed = [sorted((tuple(r) for r in mixed_documents(df.repartition(n), block=32).collect()), key=str) for n in (2, 7)]
+    assert mixed[0] == mixed[1] and len(mixed[0]) == sum(r[4] for r in runs[0])
+    assert Counter(r[0] for r in mixed[0]) == Counter({i: n for i in {r[0] for r in rows} if (n := sum(r[4] for r in runs[0] if r[0] == i))})
+
+
+def test_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
+    keys = []
+    tree = pivotal_mix.reduce_tree
+    monkeypatch.setattr(pivotal_mix, "reduce_tree", lambda items, *a: keys.append(
+        [r["key"] for r in items.select("key").collect()]) or tree(items, *a))
+    df = spark.createDataFrame([(8, "a", "equal text")] * 2000 + [(i, "b", "word") for i in range(1000)], "doc_id long, source string, text string")
+    got = mix_sources(df, block=64).collect()
+    assert len(got) == 3000 and len(set(keys[0])) == len(keys[0])
