@@ -1,8 +1,8 @@
 """Turn raw all-string survey rows into the fixed clean schema.
 
-One narrow projection plus one filter; every lookup is a literal map
+One narrow projection plus one filter; every lookup in a built-in table is a literal map
 expression, so the whole step is a single whole-stage-codegen stage with no
-shuffle and no join.
+shuffle and no join.  Tables that a user brings along (``Dimensions``) are joined.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from promoscope.functions.columns import INT_MAX, js_int_prefix, js_trim
 from promoscope.functions.nps import score_band
+from promoscope.operators.dimensions import Dimensions, look_up
 from promoscope.sources import dims
 
 CLEAN_COLUMNS: list[str] = [
@@ -61,9 +62,9 @@ def sprint_part(sprint_id: Column) -> Column:
     return F.when(sprint_id == "", F.lit(BLANK_PART)).otherwise(sprint_id)
 
 
-def clean_survey(raw: DataFrame, ingest_batch: int | Column = 0,
+def clean_survey(raw: DataFrame, tables: Dimensions | None = None, ingest_batch: int | Column = 0,
                  src_file: str | Column = "survey_raw") -> DataFrame:
-    """Clean raw survey rows.
+    """Clean raw survey rows, with the lookups in ``tables`` where given.
 
     ``raw`` has string columns named by canonical field (missing fields read as
     ''), optionally ``row_seq`` / ``ingest_batch`` / ``file_order`` / ``src_file``.  Rows whose
@@ -71,6 +72,7 @@ def clean_survey(raw: DataFrame, ingest_batch: int | Column = 0,
     """
     have = set(raw.columns)
     fields = list(dims.HEADER_ALIASES)
+    tables = tables or Dimensions()
 
     def engine_col(name: str, default, dtype: str) -> Column:
         if name in have:
@@ -108,15 +110,30 @@ def clean_survey(raw: DataFrame, ingest_batch: int | Column = 0,
         (F.when(tenure_num.isNull() | (tenure_num < 0), F.lit(0.0))
          .otherwise(F.least(tenure_num, F.lit(float(INT_MAX))))).cast("int").alias("tenure_days"),
         F.col("_t_tenure_cut").alias("_raw_tc"),
-        F.when(F.col("_t_source") == "", F.lit("Unknown"))
-         .otherwise(F.coalesce(dims.source_alias_map()[F.lower(F.col("_t_source"))], F.col("_t_source")))
-         .alias("source"),
+        F.col("_t_source").alias("source"),
         F.col("_t_sprint_id").alias("sprint_id"),
         F.col("_t_sprint_start").alias("sprint_start"),
         first_time_flag(F.col("_t_first_time_user")).alias("first_time_user"),
-        F.coalesce(dims.reason_theme_map()[F.col("_t_nps_reason_primary")], F.lit("")).alias("theme"),
     )
 
+    source = F.lower(F.col("source"))
+    if tables.source_alias is None:
+        canonical = dims.source_alias_map()[source]
+    else:
+        staged = look_up(staged, source, tables.source_alias, F.lower(F.trim("alias")), {"_canonical": "canonical"})
+        canonical = F.col("_canonical")
+    if tables.reason_theme is None:
+        theme = dims.reason_theme_map()[F.col("nps_reason_primary")]
+    else:
+        staged = look_up(staged, F.col("nps_reason_primary"), tables.reason_theme, "reason", {"_theme": "theme"})
+        theme = F.col("_theme")
+    if tables.sprint_calendar is None:
+        month, quarter = (m[F.col("sprint_id")] for m in (dims.sprint_month_map(), dims.sprint_quarter_map()))
+    else:
+        staged = look_up(staged, F.col("sprint_id"), tables.sprint_calendar, "sprint_id",
+                         {"_month": "month", "_quarter": "quarter"})
+        month, quarter = F.col("_month"), F.col("_quarter")
+
     return staged.select(
         "row_seq", "ingest_batch", "file_order", "src_file", "respondent_id", "score",
         score_band(F.col("score")).alias("score_band"),
@@ -124,8 +141,9 @@ def clean_survey(raw: DataFrame, ingest_batch: int | Column = 0,
         "tenure_days",
         F.when((F.col("_raw_tc") != "") & (F.col("_raw_tc") != "Unknown"), F.col("_raw_tc"))
          .otherwise(tenure_bucket(F.col("tenure_days"))).alias("tenure_cut"),
-        "source", "sprint_id", "sprint_start", "first_time_user", "theme",
-        F.coalesce(dims.sprint_month_map()[F.col("sprint_id")], F.lit("")).alias("month"),
-        F.coalesce(dims.sprint_quarter_map()[F.col("sprint_id")], F.lit("")).alias("quarter"),
+        F.when(F.col("source") == "", F.lit("Unknown")).otherwise(F.coalesce(canonical, F.col("source"))).alias("source"),
+        "sprint_id", "sprint_start", "first_time_user",
+        F.coalesce(theme, F.lit("")).alias("theme"), F.coalesce(month, F.lit("")).alias("month"),
+        F.coalesce(quarter, F.lit("")).alias("quarter"),
         sprint_part(F.col("sprint_id")).alias("sprint_part"),
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from promoscope.functions.columns import JS_WHITESPACE_CLASS, js_number_str, js_round, js_round1
 from promoscope.functions.nps import (count_aggs, direction, with_band_pcts, with_nps,
                                       with_z_test)
+from promoscope.operators.dimensions import Dimensions, look_up
 from promoscope.operators.filters import drop_unknown
 from promoscope.operators.ordering import (GRAIN_KEY, period_kept, period_labels,
                                            period_sort_keys, sprint_sort_keys)
@@ -66,12 +67,24 @@ def _ordered(agg: DataFrame, grain: str) -> DataFrame:
                .withColumn("period_ord", F.row_number().over(w)))
 
 
-def trend(df: DataFrame, grain: str = "sprint") -> DataFrame:
-    """A3 (+P13, J2, T1): NPS per period in period order."""
+def trend(df: DataFrame, grain: str = "sprint", tables: Dimensions | None = None) -> DataFrame:
+    """A3 (+P13, J2, T1): NPS per period in period order, by the calendar of ``tables`` if it has one."""
     key = GRAIN_KEY[grain]
-    agg = (as_counts(df).filter(period_kept(grain, F.col(key)))
-           .groupBy(F.col(key).alias("period")).agg(*count_aggs()))
-    return with_nps(_ordered(agg, grain))
+    own = None if tables is None else tables.sprint_calendar if grain == "sprint" else tables.period_order(grain)
+    counts = as_counts(df)
+    if own is None:
+        agg = counts.filter(period_kept(grain, F.col(key))).groupBy(F.col(key).alias("period")).agg(*count_aggs())
+        return with_nps(_ordered(agg, grain))
+    # one row per period meets the table
+    agg = counts.filter(F.col(key) != "").groupBy(F.col(key).alias("period")).agg(*count_aggs())
+    period = F.col("period")
+    if grain == "sprint":
+        agg = look_up(agg, period, own, "sprint_id", {"label": "short_label", "full_label": "full_label"})
+        agg = agg.withColumns({c: F.coalesce(c, period) for c in ("label", "full_label")})
+        return with_nps(agg.withColumn("period_ord", F.row_number().over(Window.orderBy(*period_sort_keys(grain, period)))))
+    label, full = period_labels(grain, period)
+    agg = look_up(agg, period, own, grain, {"_ord": "ord"}, "inner").withColumn("label", label).withColumn("full_label", full)
+    return with_nps(agg.withColumn("period_ord", F.row_number().over(Window.orderBy("_ord", "period"))).drop("_ord"))
 
 
 def trend_all_grains(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from promoscope.functions.columns import js_round, js_round1
 from promoscope.operators.ordering import GRAIN_KEY, period_kept, period_sort_keys
+from promoscope.operators.dimensions import Dimensions, look_up
 from promoscope.operators.rollup import as_counts
 from promoscope.sources import dims
 
@@ -21,17 +22,21 @@ def _pct1(count: Column, total: Column) -> Column:
     return F.when(total > 0, js_round(count / total * F.lit(1000)) / F.lit(10)).otherwise(F.lit(0.0))
 
 
-def theme_stats(df: DataFrame, top_k: int | None = None) -> DataFrame:
-    """Per non-blank theme: count, mean score (1 dp), % of *all* responses."""
+def theme_stats(df: DataFrame, top_k: int | None = None, tables: Dimensions | None = None) -> DataFrame:
+    """Per non-blank theme: count, mean score (1 dp), % of *all* responses; labels of ``tables`` if given."""
     c = as_counts(df)
     agg = c.groupBy("theme").agg(F.sum("n").cast("bigint").alias("count"),
                                  F.sum("score_sum").cast("bigint").alias("score_sum"))
     total = F.sum("count").over(Window.partitionBy(F.lit(1)))
     agg = agg.withColumn("_total", total).filter(F.col("theme") != "")
     w = Window.orderBy(F.col("count").desc(), F.col("theme"))
+    label = dims.theme_label(F.col("theme"))
+    if tables is not None and tables.theme_label is not None:
+        agg = look_up(agg, F.col("theme"), tables.theme_label, "theme", {"_label": "label"})
+        label = F.coalesce("_label", "theme")
     out = (agg.withColumn("avg_score", js_round1(F.col("score_sum") / F.col("count")))
               .withColumn("pct", _pct1(F.col("count"), F.col("_total")))
-              .withColumn("label", dims.theme_label(F.col("theme")))
+              .withColumn("label", label)
               .withColumn("rank", F.row_number().over(w))
               .select("theme", "label", "count", "avg_score", "pct", "rank"))
     return out if top_k is None else out.filter(F.col("rank") <= top_k)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from promoscope.functions import nps as _nps
 from promoscope.operators import cohorts, matrix, metrics, themes, verbatims
 from promoscope.operators.clean import CLEAN_COLUMNS, clean_survey
+from promoscope.operators.dimensions import Dimensions
 from promoscope.operators.filters import FilterSpec
 from promoscope.operators.rollup import build_rollup
 from promoscope.operators.upsert import merge, upsert_into
@@ -33,6 +34,7 @@ from promoscope.sources.files import list_files
 from promoscope.sources.ingest_log import append_log, dead_letters, read_log
 from promoscope.sources.store import (
     read_clean, read_rollup, survey_rollup, survey_table, write_clean, write_rollup)
+from promoscope.sources.versions import VersionedTable
 from promoscope.streaming import ingest_stream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +90,66 @@ def q_clean_survey(spark, sf_dir):
     return clean_survey(survey_raw(spark, sf_dir)).select(*CLEAN_COLUMNS)
 
 
+# A user's own tables (J1): half-years for quarters and a sprint more, a changed and a new theme, other aliases.
+_OWN_CALENDAR = [("Pilot", "Pilot", "Pilot, June '25", "Jun '25", "Pilot phase")] + [
+    (sid, short, full, month, "2025, second half" if "'25" in month else "2026, first half")
+    for sid, short, full, month, _ in metrics.dims.SPRINT_CALENDAR]
+_OWN_THEMES = [(reason, "network" if theme == "speed_quality" else theme) for reason, theme in metrics.dims.REASON_THEME
+               ] + [("Some unmapped reason", "other_reasons")]
+_OWN_LABELS = [("network", "Network quality"), ("other_reasons", "Other reasons")]
+_OWN_ALIASES = [("WA", "WhatsApp"), ("ct", "Campaign tool"), ("Email", "E-mail")]
+
+
+def _own_tables(spark) -> Dimensions:
+    calendar = [(*row, i) for i, row in enumerate(_OWN_CALENDAR)]
+    return Dimensions(
+        spark.createDataFrame(calendar, "sprint_id string, short_label string, full_label string, month string, "
+                                        "quarter string, sprint_ord int"),
+        spark.createDataFrame(_OWN_THEMES, "reason string, theme string"),
+        spark.createDataFrame(_OWN_LABELS, "theme string, label string"),
+        spark.createDataFrame(_OWN_ALIASES, "alias string, canonical string"))
+
+
+def _with_own_tables_sql(body: str) -> str:
+    aliases = [(a.lower(), c) for a, c in _OWN_ALIASES]
+    return O.with_survey(body, [O.clean_cte("own", "survey_raw", 0, "survey_raw", _OWN_THEMES, _OWN_CALENDAR, aliases)])
+
+
+@register("clean_custom_dims", _with_own_tables_sql(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM own"))
+def q_clean_custom_dims(spark, sf_dir):
+    return clean_survey(survey_raw(spark, sf_dir), _own_tables(spark)).select(*CLEAN_COLUMNS)
+
+
+def _own_trend_sql(grain: str, label: str) -> str:
+    key = metrics.GRAIN_KEY[grain]
+    table = O.values([(*row, i) for i, row in enumerate(_OWN_CALENDAR)],
+                     ["sprint_id", "short_label", "full_label", "month", "quarter", "sprint_ord"])
+    return _with_own_tables_sql(O.with_nps_sql(
+        f"SELECT period, n, promoters, passives, detractors, {label} AS label, period AS full_label, "
+        "CAST(row_number() OVER (ORDER BY ord, period) AS INTEGER) AS period_ord FROM "
+        f"(SELECT {key} AS period, {O.COUNTS} FROM own WHERE {key} <> '' GROUP BY {key}) "
+        f"JOIN (SELECT {grain} AS member, min(sprint_ord) AS ord FROM {table} GROUP BY 1) ON member = period"))
+
+
+@register("trend_custom_quarter", _own_trend_sql("quarter", "split_part(period, ' (', 1)"))
+def q_trend_custom_quarter(spark, sf_dir):
+    tables = _own_tables(spark)
+    return metrics.trend(clean_survey(survey_raw(spark, sf_dir), tables), "quarter", tables)
+
+
+@register("theme_stats_custom", _with_own_tables_sql(
+    "SELECT theme, COALESCE(own_label, theme) AS label, count, avg_score, pct, rank FROM ("
+    "SELECT theme, CAST(count(*) AS BIGINT) AS count, "
+    "CAST(floor((CAST(sum(score) AS DOUBLE) / count(*)) * 10 + 0.5) AS DOUBLE) / 10 AS avg_score, "
+    "CAST(floor((CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM own)) * 1000 + 0.5) AS DOUBLE) / 10 AS pct, "
+    "CAST(row_number() OVER (ORDER BY count(*) DESC, theme) AS INTEGER) AS rank "
+    "FROM own WHERE theme <> '' GROUP BY theme) "
+    f"LEFT JOIN (SELECT * FROM {O.values(_OWN_LABELS, ['own_theme', 'own_label'])}) ON own_theme = theme"))
+def q_theme_stats_custom(spark, sf_dir):
+    tables = _own_tables(spark)
+    return themes.theme_stats(clean_survey(survey_raw(spark, sf_dir), tables), tables=tables)
+
+
 # ---------------------------------------------------------------------------
 # A1 / A2
 # ---------------------------------------------------------------------------
@@ -1030,6 +1092,24 @@ def q_upsert_rollup(spark, sf_dir):
     return _nps.with_nps(agg)
 
 
+_TOUCHED_SQL = f"sprint_id IN ({', '.join(O.q(s) for s in RESENT_SPRINTS)})"
+
+
+@register("upsert_versions", O.with_survey(
+    f"SELECT {', '.join(_NO_ENGINE)}, FALSE AS resent FROM survey WHERE NOT {_TOUCHED_SQL} UNION ALL "
+    f"SELECT {', '.join(_NO_ENGINE)}, ingest_batch = 1 AS resent FROM (SELECT *, row_number() OVER (PARTITION BY sprint_id, "
+    "respondent_id ORDER BY ingest_batch DESC, row_seq DESC) AS rn "
+    f"FROM (SELECT * FROM survey WHERE {_TOUCHED_SQL} UNION ALL SELECT * FROM resend)) WHERE rn = 1", _RESEND_CTES))
+def q_upsert_versions(spark, sf_dir):
+    """The re-sent sprints merged into a versioned table; the version before stays as it was."""
+    table = VersionedTable(spark, scratch_path(spark, "versions"))
+    first = table.replace(rows(spark, sf_dir))
+    table.upsert(_clean_resend(spark, sf_dir))
+    if table.version(first.number).parts != first.parts:
+        raise RuntimeError("an earlier version has changed")
+    return table.read().select(*_NO_ENGINE, (F.col("ingest_batch") == 1).alias("resent"))
+
+
 _FILTERED_TOP_SQL = (
     "SELECT *, CAST((rank - 1) // 30 + 1 AS INTEGER) AS page FROM ("
     "SELECT CAST(row_number() OVER (ORDER BY evoc_score DESC, row_seq) AS INTEGER) AS rank, row_seq, "

@@ -70,17 +70,18 @@ survey_resend AS (
 )"""
 
 
-def clean_cte(name: str, src: str, ingest_batch: int, src_file: str) -> str:
-    """SQL cleaning of a raw survey relation."""
+def clean_cte(name: str, src: str, ingest_batch: int, src_file: str, reason_theme=None, calendar=None,
+              source_alias=None) -> str:
+    """SQL cleaning of a raw survey relation (P1-P12); tables given as rows replace the built-in ones."""
     def tr(c: str) -> str:
         return f"trim(COALESCE({c}, ''), {WS})"
 
     def num(c: str) -> str:
         return f"TRY_CAST(NULLIF(regexp_extract({c}, '^([+-]?[0-9]+)', 1), '') AS DOUBLE)"
 
-    themes = values(dims.REASON_THEME, ["t_reason", "theme"])
-    cal = values([(s[0], s[3], s[4]) for s in dims.SPRINT_CALENDAR], ["c_sid", "month", "quarter"])
-    src_alias = values(dims.SOURCE_ALIAS, ["alias", "canonical"])
+    themes = values(reason_theme or dims.REASON_THEME, ["t_reason", "theme"])
+    cal = values([(s[0], s[3], s[4]) for s in calendar or dims.SPRINT_CALENDAR], ["c_sid", "month", "quarter"])
+    src_alias = values(source_alias or dims.SOURCE_ALIAS, ["alias", "canonical"])
     return f"""
 {name}_t AS (
   SELECT row_seq, {tr('respondent_id')} AS rid, {tr('score')} AS sc, {tr('feedback')} AS fb,

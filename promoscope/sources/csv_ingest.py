@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from promoscope.functions.columns import js_int_prefix, js_trim
 from promoscope.operators.clean import clean_survey
+from promoscope.operators.dimensions import Dimensions
 from promoscope.session import ship_package
 from promoscope.sources import dims
 from promoscope.sources.dialect import COMMA, Dialect, read_head
@@ -194,15 +195,15 @@ def rejection(f: CsvFile) -> str | None:
 
 
 def ingest_csv(spark: SparkSession, paths: list[str] | str, ingest_batch: int = 0, multiline: bool = True,
-               by_content: bool = False) -> tuple[DataFrame | None, DataFrame]:
+               by_content: bool = False, tables: Dimensions | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(clean rows, ingest report) for the CSV files under ``paths``."""
-    return ingest_files(spark, csv_files(spark, paths, by_content), ingest_batch, multiline)
+    return ingest_files(spark, csv_files(spark, paths, by_content), ingest_batch, multiline, tables)
 
 
-def ingest_files(spark: SparkSession, files: list[CsvFile], ingest_batch: int = 0,
-                 multiline: bool = True) -> tuple[DataFrame | None, DataFrame]:
+def ingest_files(spark: SparkSession, files: list[CsvFile], ingest_batch: int = 0, multiline: bool = True,
+                 tables: Dimensions | None = None) -> tuple[DataFrame | None, DataFrame]:
     raw = scan_files(spark, files, ingest_batch, multiline)
-    return clean_survey(raw) if raw is not None else None, ingest_report(spark, raw, files)
+    return clean_survey(raw, tables) if raw is not None else None, ingest_report(spark, raw, files)
 
 
 def ingest_report(spark: SparkSession, raw: DataFrame | None, files: list[CsvFile]) -> DataFrame:
@@ -250,8 +251,8 @@ def read_manifest(spark: SparkSession, manifest_path: str) -> list[str]:
     return [n if "://" in n or n.startswith(("/", "file:")) else f"{base}/{n}" for n in json.loads(text)]
 
 
-def ingest_manifest(spark: SparkSession, manifest_path: str, ingest_batch: int = 0
-                    ) -> tuple[DataFrame | None, DataFrame]:
+def ingest_manifest(spark: SparkSession, manifest_path: str, ingest_batch: int = 0,
+                    tables: Dimensions | None = None) -> tuple[DataFrame | None, DataFrame]:
     """Load every file a manifest lists, in manifest order; a missing or unreadable file becomes a
     report row with 0 records and does not stop the rest.  A file that is listed twice is loaded twice
     (no dedup, Q11).  Only the listed files are opened and looked up, not the folders they are in.
@@ -275,7 +276,7 @@ def ingest_manifest(spark: SparkSession, manifest_path: str, ingest_batch: int =
         # the place in the manifest takes the file time's part, and a file listed twice gives its rows twice
         order = spark.createDataFrame([(f.uri, f.order) for f in files], "src_file string, file_order bigint")
         raw = raw.drop("file_order").join(order, "src_file")
-    return clean_survey(raw) if raw is not None else None, ingest_report(spark, raw, files)
+    return clean_survey(raw, tables) if raw is not None else None, ingest_report(spark, raw, files)
 
 
 def missing(head: Head, path: str) -> str:

@@ -32,6 +32,7 @@ from promoscope.operators.upsert import upsert_into
 from promoscope.sources.csv_ingest import CsvFile, ingest_files, with_heads
 from promoscope.sources.files import CSV_GLOB, exists, file_columns
 from promoscope.sources.ingest_log import append_log, mended
+from promoscope.sources.versions import VersionedTable
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -56,24 +57,26 @@ def log_of(table_path: str) -> str:
 
 
 def _apply(spark: SparkSession, files: list[CsvFile], name: str, table_path: str, log_path: str,
-           rollup_path: str | None) -> None:
+           rollup_path: str | None, versioned: bool) -> None:
     clean, report = ingest_files(spark, files)
-    if clean is not None:
+    if clean is not None and versioned:
+        VersionedTable(spark, table_path).upsert(clean)
+    elif clean is not None:
         upsert_into(spark, table_path, clean, rollup_path=rollup_path)
     append_log(report, log_path, name, "stream")
 
 
-def _upsert_batch(table_path: str, log_path: str, stream: str, rollup_path: str | None):
+def _upsert_batch(table_path: str, log_path: str, stream: str, rollup_path: str | None, versioned: bool):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         files = with_heads(spark, batch)
         if files:
-            _apply(spark, files, f"{stream}-{batch_id:09d}", table_path, log_path, rollup_path)
+            _apply(spark, files, f"{stream}-{batch_id:09d}", table_path, log_path, rollup_path, versioned)
     return run
 
 
 def retry_dead_letters(spark: SparkSession, table_path: str, log_path: str | None = None,
-                       rollup_path: str | None = None) -> int:
+                       rollup_path: str | None = None, versioned: bool = False) -> int:
     """Ingest the rejected files that were mended in place; how many there were.
 
     The name of the ingest comes from the files and their times, so a retry that is cut off between merge
@@ -84,20 +87,28 @@ def retry_dead_letters(spark: SparkSession, table_path: str, log_path: str | Non
     files = with_heads(spark, listing) if listing is not None else []
     if files:
         state = repr([(f.path, f.size, f.modified) for f in files])
-        _apply(spark, files, "retry-" + hashlib.sha256(state.encode()).hexdigest()[:16], table_path, log_path, rollup_path)
+        _apply(spark, files, "retry-" + hashlib.sha256(state.encode()).hexdigest()[:16], table_path, log_path, rollup_path, versioned)
     return len(files)
 
 
 def run_available(spark: SparkSession, landing: str, table_path: str, checkpoint_dir: str,
-                  max_files: int = 1000, rollup_path: str | None = None, log_path: str | None = None) -> None:
-    """Process every file now present at or below ``landing`` (availableNow), mended dead letters first."""
-    ensure_table(spark, table_path)
+                  max_files: int = 1000, rollup_path: str | None = None, log_path: str | None = None,
+                  versioned: bool = False) -> None:
+    """Process every file now present at or below ``landing`` (availableNow), mended dead letters first.
+
+    ``versioned``: the table is one of ``sources.versions``, so each micro-batch appears at once and other
+    writers may write to it at the same time; otherwise its touched sprints are replaced in place.
+    """
+    if versioned and rollup_path is not None:
+        raise ValueError("a rollup is kept next to a table that is replaced in place only")
+    if not versioned:
+        ensure_table(spark, table_path)
     log_path = log_path or log_of(table_path)
-    retry_dead_letters(spark, table_path, log_path, rollup_path)
+    retry_dead_letters(spark, table_path, log_path, rollup_path, versioned)
     # a fresh checkpoint counts its batches anew, so the name has the checkpoint's
     stream = "stream-" + hashlib.sha256(checkpoint_dir.encode()).hexdigest()[:12]
     q = (new_files(spark, landing, max_files).writeStream
-         .foreachBatch(_upsert_batch(table_path, log_path, stream, rollup_path))
+         .foreachBatch(_upsert_batch(table_path, log_path, stream, rollup_path, versioned))
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -1,6 +1,9 @@
 """P1-P12 cleaning rules on hand-written raw rows."""
 
+import pytest
+
 from promoscope.operators.clean import CLEAN_COLUMNS, clean_survey
+from promoscope.operators.dimensions import Dimensions
 
 FIELDS = ["score", "respondent_id", "city", "tenure_days", "tenure_cut", "source", "first_time_user",
           "nps_reason_primary", "sprint_id", "feedback"]
@@ -88,3 +91,39 @@ def test_missing_columns_read_as_blank(spark):
     assert r.feedback == "" and r.respondent_id == "" and r.source == "Unknown"
     assert r.tenure_cut == "Unknown" and r.first_time_user == ""
     assert list(clean_survey(df).columns) == CLEAN_COLUMNS
+
+
+def raw_rows(spark, rows):
+    return spark.createDataFrame(rows, "respondent_id string, score string, nps_reason_primary string, source string, sprint_id string")
+
+
+def test_own_dimension_tables(spark):
+    raw = raw_rows(spark, [("a", "9", "Slow Speed", "WA", "Sprint 99"), ("b", "8", "New reason", " mail ", "Sprint 1"),
+                           ("c", "7", "Gone", "Call", ""), ("d", "6", None, None, None)])
+    tables = Dimensions(
+        sprint_calendar=spark.createDataFrame([("Sprint 99", "m99", "q99"), (None, "x", "y")], "sprint_id string, month string, quarter string"),
+        reason_theme=spark.createDataFrame([("New reason", "new_theme"), ("New reason", "new_theme"), ("Slow Speed", None)], "reason string, theme string"),
+        source_alias=spark.createDataFrame([(" MAIL", "E-mail")], "alias string, canonical string"))
+    got = {r.respondent_id: (r.theme, r.source, r.month, r.quarter, r.sprint_part) for r in clean_survey(raw, tables).collect()}
+    assert got == {"a": ("", "WA", "m99", "q99", "Sprint 99"), "b": ("new_theme", "E-mail", "", "", "Sprint 1"),
+                   "c": ("", "Call", "", "", "_blank"), "d": ("", "Unknown", "", "", "_blank")}
+    assert clean_survey(raw, tables).schema.names == clean_survey(raw).schema.names
+    one = {r.respondent_id: (r.theme, r.source) for r in clean_survey(raw, Dimensions(reason_theme=tables.reason_theme)).collect()}
+    assert one["b"] == ("new_theme", "mail") and one["a"] == ("", "WhatsApp")  # the other tables are the built-in ones
+
+
+def test_a_repeated_key_is_refused_and_cannot_multiply_rows(spark):
+    raw = raw_rows(spark, [(str(i), "9", "R", "x", "S") for i in range(10)])
+    for name, rows, schema in (("reason_theme", [("R", "a"), ("R", "b")], "reason string, theme string"),
+                               ("reason_theme", [("R", "a"), ("R", None)], "reason string, theme string"),
+                               ("source_alias", [("X", "a"), ("x", "b")], "alias string, canonical string"),
+                               ("sprint_calendar", [("S", "m", "q"), ("S", "m", "p")], "sprint_id string, month string, quarter string")):
+        with pytest.raises(Exception, match="repeated key in a dimension table: "):
+            clean_survey(raw, Dimensions(**{name: spark.createDataFrame(rows, schema)})).collect()
+    same = spark.createDataFrame([("R", "a")] * 50, "reason string, theme string")
+    assert clean_survey(raw, Dimensions(reason_theme=same)).filter("theme = 'a'").count() == 10
+
+
+def test_no_join_without_own_tables(spark):
+    plan = clean_survey(raw_rows(spark, [("a", "9", "R", "x", "S")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan

@@ -203,3 +203,19 @@ def test_log_over_several_ingests_newest_first(spark, tmpdir_fresh):
     got = [(r.batch, r.kind, r.file_name, r.log_rank) for r in read_log(spark, log).orderBy("log_rank").collect()]
     assert got == [("ingest 2", "batch", "f21.csv", 1), ("ingest 2", "batch", "f20.csv", 2), ("ingest 1", "manifest", "f11.csv", 3),
                    ("ingest 1", "manifest", "f10.csv", 4), ("ingest 0", "batch", "f01.csv", 5), ("ingest 0", "batch", "f00.csv", 6)]
+
+
+def test_a_stream_into_a_versioned_table(spark, tmpdir_fresh):
+    from promoscope.sources.versions import VersionedTable
+
+    landing, table, ckpt = paths(tmpdir_fresh)
+    write(os.path.join(landing, "a.csv"), "respondent_id,score,sprint_id\n1,4,S\n2,5,S\n")
+    write(os.path.join(landing, "bad.csv"), "nothing\n1\n")
+    run_available(spark, landing, table, ckpt, versioned=True)
+    write(os.path.join(landing, "b.csv"), "respondent_id;score;sprint_id\r\n1;9;S\r\n3;7;T\r\n")
+    write(os.path.join(landing, "bad.csv"), "respondent_id,score,sprint_id\n4,1,T\n")
+    run_available(spark, landing, table, ckpt, versioned=True)
+    got = VersionedTable(spark, table)
+    assert {(r.sprint_id, r.respondent_id): r.score for r in got.read().collect()} == {
+        ("S", "1"): 9, ("S", "2"): 5, ("T", "3"): 7, ("T", "4"): 1}
+    assert got.version().number == 3 and dead_letters(spark, log_of(table)).count() == 0
