@@ -1,27 +1,31 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon is the set of terms (words) whose inverse document frequency ln(N / df) lies within a
-band: common words say little, and the rarest ones are mostly noise.  ``subsets`` random subsets of
-it are drawn by hashing the terms.  For every subset, the document's distinct terms in it are sorted
-and hashed; a document's fingerprint is the list of these hashes (subsets without a term of the
-document have none).  Likeness of two fingerprints is the number of equal hashes divided by the number
-of subsets that either document has a hash of.  A document without any hash gets the hash of all its
-distinct terms, sorted, in their place.
-
-Only DataFrame operations are used.  Terms outside all subsets are dropped before anything is
-shuffled; document frequencies are counted over all documents and pre-aggregated.
+The lexicon is the set of all terms (words) whose inverse document frequency ln(N / df) lies within a
+band: common words say little, and the rarest ones are mostly noise.  It is dealt into ``subsets`` random
+subsets by hashes of the terms, ``draws`` times, so every term of the band is in a subset.  For every
+subset, the document's distinct terms in it are sorted and hashed; a document's fingerprint is the list of
+these hashes (subsets without a term of the document have none).  Likeness of two fingerprints is the
+number of equal hashes divided by the number of subsets that either document has a hash of.  A document
+without a term of the lexicon has the hash of all its distinct terms, sorted, in their place.
+
+Only DataFrame operations are used.  Document frequencies are counted over all documents and all terms,
+pre-aggregated.  The texts are shuffled once, by ranges of (id, text hash), to bring each one next to the
+following one; everything else is a projection of a row.  For that, the lexicon goes along with the tasks
+as a table of buckets: every term of the band is in N / e^9 documents at least, so there are at most e^9
+(8103) times as many as a document has distinct terms on average, however many documents there are.  This
+is checked: a lexicon of more than ``most_terms`` is joined with the documents' terms instead.
 
 Defined cases: a null text is empty; fingerprints depend on the text alone, so equal texts have equal
 ones; texts without a word are alike (the hash of no term); rows with a null id come last in the
-order of documents, ties of ids are ordered by the text's hash, and repeated rows are neighbours; the
-document after the last is the first (a single row is its own next one); an empty table gives an
-empty result; only the id and text columns are read.
+order of documents, ties of ids are ordered by the text's hash, and repeated rows are neighbours (rows
+equal in id and text stay in one range); the document after the last is the first (a single row is its own
+next one); an empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +33,8 @@ from pyspark.sql import functions as F
 from promoscope.llm.common import SPACE, text_or_empty
 from promoscope.session import scratch_path
 
-SAMPLE_BITS = 3  # terms whose hash has these low bits set are in no subset
-WHOLE = -1  # number of the component that stands for all terms
-
-
-def in_subsets(term: Column, subsets: int, and_bits: int) -> Column:
-    """Bit s says whether the term is in subset s: each with probability 2^-and_bits, at random."""
-    bits = reduce(lambda a, b: a.bitwiseAND(b),
-                  [F.xxhash64(F.lit(1000 + i), term) for i in range(and_bits)])
-    return bits.bitwiseAND(F.lit((1 << subsets) - 1))
+HASH_BITS = 22  # of a subset's hash; its number takes the bits above
+MOST_SUBSETS = 1 << (31 - HASH_BITS)
 
 
 def words(text: Column) -> Column:
@@ -50,90 +47,98 @@ def term_hashes(text: Column) -> Column:
                           F.xxhash64(F.lit("")))
 
 
-def sampled(hashes: Column, subsets: int, and_bits: int) -> Column:
-    """Those that are in some subset."""
-    some = F.filter(hashes, lambda h: h.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)) == 0)
-    return F.filter(some, lambda h: in_subsets(h, subsets, and_bits) != 0)
-
-
 def whole_hash(hashes: Column) -> Column:
     return F.xxhash64(F.sort_array(hashes))
 
 
-def components(terms: Column, whole: Column, subsets: int, and_bits: int) -> Column:
-    """(number of the subset, 32 bits of the hash of its terms) in one long each, by subset."""
-    marked = F.transform(F.sort_array(terms), lambda t: F.struct(
-        t.alias("t"), in_subsets(t, subsets, and_bits).alias("m")))
+def subset_of(term: Column, draw: int, subsets: int) -> Column:
+    """The subset that a term is dealt to."""
+    return F.pmod(F.xxhash64(F.lit(1000 + draw), term), F.lit(subsets)).cast("int")
+
+
+def components(terms: Column, subsets: int, draws: int) -> Column:
+    """(number of the subset, hash of its sorted terms) in one int each, by subset."""
+    # sorted by subset and term; one pass hashes each subset's terms one after the other
+    marked = F.flatten(F.transform(terms, lambda t: F.array(*(
+        F.struct((F.lit(d * subsets) + subset_of(t, d, subsets)).alias("s"), t.alias("t")) for d in range(draws)))))
+    start = F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("h"), F.array().cast("array<int>").alias("done"))
 
-    def component(s: Column, m: Column) -> Column:
-        own = F.filter(m, lambda x: F.getbit(x["m"], s) == 1)
-        return F.when(F.size(own) > 0, packed(s, F.xxhash64(F.transform(own, lambda x: x["t"]))))
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["s"] == x["s"]
+        return F.struct(x["s"].alias("s"),
+                        F.xxhash64(F.when(same, acc["h"]).otherwise(F.lit(0).cast("long")), x["t"]).alias("h"),
+                        F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"))
 
-    # the marked terms are made once, as the only element of an array
-    made = F.transform(F.array(marked), lambda m: F.array_compact(
-        F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda s: component(s, m))))[0]
-    return F.transform(F.array(made), lambda a: F.when(F.size(a) > 0, a).otherwise(
-        F.array(packed(F.lit(WHOLE), whole))))[0]
+    def closed(acc: Column) -> Column:
+        return F.when(acc["s"] < 0, acc["done"]).otherwise(F.array_append(acc["done"], packed(acc["s"], acc["h"])))
+
+    return F.aggregate(F.array_sort(marked), start, step, closed)
 
 
 def packed(number: Column, value: Column) -> Column:
-    return F.shiftleft(number.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(value, 32))
+    return F.shiftleft(number, HASH_BITS).bitwiseOR(value.bitwiseAND(F.lit((1 << HASH_BITS) - 1)).cast("int"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    numbers = lambda c: F.transform(c, lambda x: F.shiftright(x, 32))
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(numbers(a), numbers(b)))
+def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
+    """Of two lists of components; two lists without any are compared by their whole hashes."""
+    numbers = lambda c: F.transform(c, lambda x: F.shiftright(x, HASH_BITS))
+    either = F.size(F.array_union(numbers(a), numbers(b)))
+    return F.when(either > 0, F.size(F.array_intersect(a, b)) / F.greatest(either, F.lit(1))).otherwise(
+        (whole_a == whole_b).cast("double"))
 
 
-def said(comps: Column) -> Column:
-    return F.array_join(F.transform(comps, lambda c: F.format_string(
-        "%d:%08x", F.shiftright(c, 32), c.bitwiseAND(F.lit(0xFFFFFFFF)))), ",")
+def said(comps: Column, whole: Column) -> Column:
+    each = F.transform(comps, lambda c: F.format_string(
+        "%d:%06x", F.shiftright(c, HASH_BITS), c.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
+    return F.when(F.size(comps) > 0, F.array_join(each, ",")).otherwise(F.format_string("all:%016x", whole))
 
 
-def range_number(value: Column, cuts: list, kind: str) -> Column:
-    """How many of the sorted cuts are below the value, found in two steps of about their square root."""
+def range_number(value: Column, cuts: list, kind: str, equal: bool = False) -> Column:
+    """How many of the sorted cuts are below the value (or ``equal`` to it), found in two steps of about
+    their square root."""
     if not cuts:
         return F.lit(0)
     m = math.isqrt(len(cuts))
     groups = [cuts[i:i + m] for i in range(0, len(cuts), m)]
     array = lambda items: F.array(*[F.lit(c) for c in items]).cast(f"array<{kind}>")
-    below = lambda items: F.size(F.filter(items, lambda c: c < value))
+    below = lambda items: F.size(F.filter(items, lambda c: (c <= value) if equal else (c < value)))
     group = below(array([g[0] for g in groups]))
     return F.when(group == 0, F.lit(0)).otherwise(
         (group - 1) * m + below(F.element_at(F.array(*map(array, groups)), F.greatest(group, F.lit(1)))))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, spread: int = 4) -> DataFrame:
-    """(at, id, text, next_at, next_text): the documents in order of their ids.
+def with_next(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = 16 << 20,
+              most_ranges: int = 1 << 14) -> DataFrame:
+    """(id, text, next_text): the documents next to the following ones in order of their ids.
 
     Ids are cut into ranges at approximate quantiles, so every range is ordered by itself; only the
-    first document of each range crosses to the one before.  ``at`` numbers the rows in order.
+    first document of each range crosses to the one before.  An id that takes several quantiles (or the
+    null ids) has as many ranges, which its rows are dealt to by their texts' hashes, in order.
     """
-    spark = docs.sparkSession
-    ranges = spread * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = text_or_empty(F.col(text_col))
+    n, nulls, n_bytes = docs.agg(F.count(F.lit(1)), F.count_if(F.col(id_col).isNull()), F.sum(F.octet_length(text))).first()
+    ranges = min(most_ranges, max(1, -(-(n_bytes or 0) // range_bytes)))
     bounds = docs.agg(F.percentile_approx(
-        id_col, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []
-    kind = docs.schema[id_col].dataType.simpleString()
-    number = F.when(F.col("id").isNull(), F.lit(ranges)).otherwise(
-        range_number(F.col("id"), sorted(set(bounds)), kind))
-    src = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    src = src.withColumn("range", number.cast("long")).withColumn("tie", F.xxhash64("text"))
+        id_col, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] if ranges > 1 else []
+    bounds, kind = sorted(bounds or []), docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    share = F.col("tie") / F.lit(2.0**64) + F.lit(0.5)  # of the hashes below this one
+    below, upto = (range_number(F.col("id"), bounds, kind, equal) for equal in (False, True))
+    of_nulls = max(1, ranges * nulls // max(n, 1))
+    deal = lambda first, many: (first + F.least(F.floor(share * many), many - 1)).cast("long")
+    number = F.when(F.col("id").isNull(), deal(F.lit(len(bounds) + 1), F.lit(of_nulls))).otherwise(
+        deal(below, upto - below + 1))
+    src = src.withColumn("range", number)
     order = Window.partitionBy("range").orderBy(F.col("id").asc_nulls_last(), "tie")
     numbered = src.withColumn("n", F.row_number().over(order))
     firsts = numbered.filter("n = 1").select("range", F.col("text").alias("first_text"))
     by_range = Window.orderBy("range")  # one row per range
     around = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = firsts.select(
-        F.coalesce(F.lag("range").over(by_range), F.last("range").over(around)).alias("before"),
-        F.col("range").alias("after"), "first_text")
-    at = lambda r, n: F.shiftleft(r, 40) + n
-    rows = numbered.withColumn("next_text", F.lead("text").over(order))
+        F.coalesce(F.lag("range").over(by_range), F.last("range").over(around)).alias("before"), "first_text")
+    rows = src.withColumn("next_text", F.lead("text").over(order))
     joined = rows.join(after, (F.col("range") == F.col("before")) & F.col("next_text").isNull(), "left")
-    return joined.select(
-        at(F.col("range"), F.col("n")).alias("at"), "id", "text",
-        F.when(F.col("next_text").isNull(), at(F.col("after"), F.lit(1)))
-        .otherwise(at(F.col("range"), F.col("n") + 1)).alias("next_at"),
-        F.coalesce("next_text", "first_text").alias("next_text"))
+    return joined.select("id", "text", F.coalesce("next_text", "first_text").alias("next_text"))
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -143,43 +148,75 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(next_text, F.lit(1), half))
 
 
+def lexicon_of(docs: DataFrame, text_col: str, idf_band: tuple[float, float], folder: str) -> DataFrame:
+    """(t): the hashes of the terms whose idf lies in the band, over all documents."""
+    terms = docs.select(F.explode(term_hashes(text_or_empty(F.col(text_col)))).alias("t"))
+    least, most = (docs.count() / math.exp(idf) for idf in reversed(idf_band))
+    lexicon = terms.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(least, most)).select("t")
+    lexicon.write.parquet(f"{folder}/lexicon")
+    return docs.sparkSession.read.schema(lexicon.schema).parquet(f"{folder}/lexicon")
+
+
+def bucket_table(lexicon: DataFrame, size: int) -> Column:
+    """The lexicon as an array of ``size`` arrays: a term is in the one that its remainder names.
+
+    It is a variable of the session, so it is made once and goes along with the tasks as a constant.
+    """
+    spark = lexicon.sparkSession
+    full = spark.range(size).withColumnRenamed("id", "b")
+    lists = lexicon.groupBy(F.pmod("t", F.lit(size)).alias("b")).agg(F.collect_list("t").alias("ts"))
+    place = full.join(lists, "b", "left").select(
+        F.struct("b", F.coalesce("ts", F.array().cast("array<bigint>")).alias("ts")).alias("x"))
+    table = place.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["ts"]).alias("buckets"))
+    name = f"imatch_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<ARRAY<BIGINT>>")
+    spark.sql(f"SET VAR {name} = (SELECT buckets FROM {{table}})", table=table)
+    return F.expr(name)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 idf_band: tuple[float, float] = (1.5, 9.0), subsets: int = 62,
-                 and_bits: int = 6) -> DataFrame:
+                 idf_band: tuple[float, float] = (1.5, 9.0), subsets: int = 256, draws: int = 1,
+                 most_terms: int = 4_000_000) -> DataFrame:
     """Per row: id, ``n_chars``, ``edited_sha256``, both fingerprints, ``near_edited``, ``near_next``."""
-    spark = docs.sparkSession
-    folder = scratch_path(spark, "imatch")
+    if subsets * draws > MOST_SUBSETS:
+        raise ValueError(f"at most {MOST_SUBSETS} subsets in all draws")
+    folder = scratch_path(docs.sparkSession, "imatch")
+    lexicon = lexicon_of(docs, text_col, idf_band, folder)
     both = with_next(docs, id_col, text_col).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    texts = ("text", "edited", "next_text")
     hashed = both.select(
-        "at", "next_at", "id", F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        term_hashes(F.col("text")).alias("h"), term_hashes(F.col("edited")).alias("edited_h"))
-    made = hashed.select(
-        "at", "next_at", "id", "n_chars", "edited_sha256",
-        sampled(F.col("h"), subsets, and_bits).alias("terms"),
-        sampled(F.col("edited_h"), subsets, and_bits).alias("edited_terms"),
-        whole_hash(F.col("h")).alias("whole"), whole_hash(F.col("edited_h")).alias("edited_whole"))
-    made.write.parquet(f"{folder}/terms")
-    stored = spark.read.schema(made.schema).parquet(f"{folder}/terms")
-    rows = stored.count()
-    least, most = (rows / math.exp(idf) for idf in reversed(idf_band))
-    lexicon = (
-        stored.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-        .filter(F.col("df").between(least, most)).select("t"))
-    has = stored.select("at", F.explode(F.array_union("terms", "edited_terms")).alias("t"))
-    kept = has.join(lexicon, "t").groupBy("at").agg(F.collect_list("t").alias("known"))
-    full = stored.join(kept, "at", "left")
-    known = F.coalesce("known", F.array().cast("array<bigint>"))
-    comps = full.select(
-        "at", "next_at", "id", "n_chars", "edited_sha256",
-        components(F.array_intersect("terms", known), F.col("whole"), subsets, and_bits).alias("own"),
-        components(F.array_intersect("edited_terms", known), F.col("edited_whole"), subsets, and_bits)
-        .alias("edited"))
-    comps.write.parquet(f"{folder}/components")
-    comps = spark.read.schema(comps.schema).parquet(f"{folder}/components")
-    nexts = comps.select(F.col("at").alias("next_at"), F.col("own").alias("next"))
-    return comps.join(nexts, "next_at").select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", said(F.col("own")).alias("fingerprint"),
-        said(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"))
+        "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        *(term_hashes(F.col(c)).alias(c) for c in texts))
+    whole = hashed.withColumns({f"whole_{c}": whole_hash(F.col(c)) for c in texts})
+    size = lexicon.count()
+    known = known_by_table(whole, texts, lexicon, size) if size <= most_terms else known_by_join(whole, texts, lexicon)
+    comps = known.withColumns({c: components(F.col(c), subsets, draws) for c in texts})
+    like = lambda other: likeness(F.col("text"), F.col(other), F.col("whole_text"), F.col(f"whole_{other}"))
+    return comps.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256",
+        said(F.col("text"), F.col("whole_text")).alias("fingerprint"),
+        said(F.col("edited"), F.col("whole_edited")).alias("edited_fingerprint"),
+        like("edited").alias("near_edited"), like("next_text").alias("near_next"))
+
+
+def known_by_table(rows: DataFrame, columns: tuple[str, ...], lexicon: DataFrame, size: int) -> DataFrame:
+    """``rows`` with only the lexicon's terms in the columns, by the table of buckets."""
+    many = max(1, size)
+    buckets = bucket_table(lexicon, many)
+    one = lambda t: F.array_contains(F.element_at(buckets, F.pmod(t, F.lit(many)).cast("int") + 1), t)
+    return rows.withColumns({c: F.filter(F.col(c), one) for c in columns})
+
+
+def known_by_join(rows: DataFrame, columns: tuple[str, ...], lexicon: DataFrame) -> DataFrame:
+    """The same by a join, for a lexicon of any size: rows are numbered in the shared folder and their terms
+    dealt out by term."""
+    folder = scratch_path(rows.sparkSession, "imatch-terms")
+    rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
+    stored = rows.sparkSession.read.parquet(folder)
+    out = stored.drop(*columns)
+    each = F.array_distinct(F.flatten(F.array(*columns)))
+    terms = stored.select("row", F.explode(each).alias("t")).join(lexicon, "t")
+    found = terms.groupBy("row").agg(F.collect_list("t").alias("__known"))
+    full = stored.join(found, "row", "left")
+    known = F.coalesce("__known", F.array().cast("array<bigint>"))
+    return full.select(*out.columns, *(F.array_intersect(F.col(c), known).alias(c) for c in columns))

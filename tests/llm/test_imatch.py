@@ -8,13 +8,14 @@ from collections import Counter
 
 import xxhash
 
+from promoscope.llm import imatch
 from promoscope.llm.imatch import fingerprints
 from promoscope.llm.queries import op6_imatch
 from promoscope.session import scratch_path
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SUBSETS, AND_BITS, BAND = 62, 6, (1.5, 9.0)
+SUBSETS, BAND, HASH = 256, (1.5, 9.0), (1 << 22) - 1
 
 
 def xx(data, seed=42):
@@ -29,11 +30,8 @@ def long_hash(x, seed=42):
     return xx((x & (2**64 - 1)).to_bytes(8, "little"), seed)
 
 
-def mask(term):
-    out = 2**64 - 1
-    for i in range(AND_BITS):
-        out &= long_hash(term, xx((1000 + i).to_bytes(4, "little")))
-    return out & (2**SUBSETS - 1)
+def subset(term, draw, subsets):
+    return signed(long_hash(term, xx((1000 + draw).to_bytes(4, "little")))) % subsets
 
 
 def terms(text):
@@ -47,24 +45,33 @@ def chained(hashes):
     return seed
 
 
-def plain(rows):
+def of_subset(hashes):
+    out = 0
+    for h in hashes:
+        out = chained([out, h])
+    return out & HASH
+
+
+def plain(rows, subsets=SUBSETS, draws=1):
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0], signed(xx(r[1].encode()))))
     df = Counter(t for _, text in order for t in terms(text))
     least, most = (len(order) / math.exp(x) for x in reversed(BAND))
-    known = {t for t, n in df.items() if least <= n <= most and t & 7 == 0}
+    known = {t for t, n in df.items() if least <= n <= most}
 
     def comps(text):
-        own = [(t, mask(t)) for t in terms(text) if t in known]
         out = {}
-        for s in range(SUBSETS):
-            if inside := [t for t, m in own if m >> s & 1]:
-                out[s] = chained(inside) >> 32
-        return out or {-1: chained(terms(text)) >> 32}
+        for t in terms(text):
+            if t in known:
+                for d in range(draws):
+                    out.setdefault(d * subsets + subset(t, d, subsets), []).append(t)
+        return {s: of_subset(out[s]) for s in sorted(out)}, chained(terms(text))
 
     def likeness(a, b):
-        return sum(a.get(s) == h for s, h in b.items()) / len({*a, *b})
+        if not a[0] and not b[0]:
+            return float(a[1] == b[1])
+        return sum(a[0].get(s) == h for s, h in b[0].items()) / len({*a[0], *b[0]})
 
-    said = lambda c: ",".join(f"{s}:{h:08x}" for s, h in c.items())
+    said = lambda c: ",".join(f"{s}:{h:06x}" for s, h in c[0].items()) or f"all:{c[1]:016x}"
     out = []
     for k, (i, text) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -96,7 +103,31 @@ def test_odd_rows(spark):
              (2**60, "far " * 50)]
     path = scratch_path(spark, "imatch-test")
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
-    assert got(fingerprints(spark.read.parquet(path))) == plain(rows)
+    df = spark.read.parquet(path)
+    assert got(fingerprints(df)) == plain(rows)
+    assert got(fingerprints(df, subsets=9, draws=3)) == plain(rows, 9, 3)
+    assert got(fingerprints(df, most_terms=0)) == plain(rows)  # a lexicon that does not go along with the tasks
+
+
+def test_ranges_of_hot_ids_are_in_order(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, " ".join(rng.choices("abcdefghij", k=12)) + f" {i % 170}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    real = imatch.with_next
+    monkeypatch.setattr(imatch, "with_next", lambda *a: real(*a, range_bytes=1000))
+    assert got(fingerprints(df)) == plain(rows)
+    monkeypatch.setattr(imatch, "with_next", lambda *a: real(*a, range_bytes=1000, most_ranges=3))
+    assert got(fingerprints(df)) == plain(rows)
+
+
+def test_every_term_of_the_band_counts(spark):
+    """Short texts of random words: unrelated ones share no fingerprint, and half-edited ones keep likeness."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(map(str, rng.sample(range(3000), 20)))) for i in range(3000)]
+    found = got(fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert len({r[3] for r in found}) == len(rows) and not any(r[3].startswith("all:") for r in found)
+    assert min(r[5] for r in found) > 0 and sum(r[5] for r in found) / len(found) > 0.25
+    assert sum(r[6] for r in found) / len(found) < 0.02
 
 
 def test_one_row_follows_itself(spark):
