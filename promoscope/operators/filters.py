@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promoscope.operators.ordering import GRAIN_KEY
@@ -57,20 +57,15 @@ def apply_filters(df: DataFrame, spec: FilterSpec, base: DataFrame | None = None
     """
     base = df if base is None else base
     df = apply_period(df, spec.grain, spec.period)
-    # The guards count members of the whole table: scalar subqueries, run with the query itself.
-    if spec.channels:
-        chosen = F.col("source").isin(*spec.channels)
-        if spec.guard_channels:
-            there = base.select(F.count_distinct(F.when(F.col("source") != "", F.col("source"))))
-            chosen = chosen | (there.scalar() <= len(set(spec.channels)))
-        df = df.filter(chosen)
     wanted = [t for t in dims.TENURE_ORDER if t in (spec.tenures or ())]
-    if wanted:
-        t = F.col("tenure_cut")
-        of = lambda members: F.count_distinct(F.when(t.isin(*members), t))
-        # the selection counts where it is some but not all of the tenures that are there
-        all_or_none = base.select((of(wanted) == 0) | (of(wanted) >= of(dims.TENURE_ORDER)))
-        df = df.filter(t.isin(*wanted) | all_or_none.scalar())
+    channel = F.col("source").isin(*(spec.channels or ()))
+    tenure = F.col("tenure_cut").isin(*wanted)
+    if wanted or (spec.channels and spec.guard_channels):
+        # which of the two selections hold, by number: both, the tenures, the channels, none
+        held = [channel & tenure, tenure, channel, F.lit(True)]
+        df = df.filter(F.element_at(F.array(*held), _guards(base, spec, wanted)))
+    elif spec.channels:
+        df = df.filter(channel)
     if spec.band is not None:
         df = df.filter(F.col("score_band") == spec.band)
     if spec.theme is not None:
@@ -78,6 +73,22 @@ def apply_filters(df: DataFrame, spec: FilterSpec, base: DataFrame | None = None
     return df
 
 
+def _guards(base: DataFrame, spec: FilterSpec, wanted: list[str]) -> Column:
+    """The number (from 1) of the selections that hold, by the members that the whole table has.
+
+    One scalar subquery, run with the query itself: the channel list counts where it is shorter than the
+    list of channels present, the tenures where they are some but not all of the ones present.
+    """
+    t = F.col("tenure_cut")
+    there = lambda ts: sum((F.coalesce(F.max((t == x).cast("int")), F.lit(0)) for x in ts), F.lit(0))
+    any_channel, any_tenure = F.lit(not spec.channels), F.lit(not wanted)
+    if spec.channels and spec.guard_channels:
+        any_channel = F.count_distinct(F.when(F.col("source") != "", F.col("source"))) <= len(set(spec.channels))
+    if wanted:
+        any_tenure = (there(wanted) == 0) | (there(wanted) >= there(dims.TENURE_ORDER))
+    return base.agg((F.lit(1) + any_channel.cast("int") + 2 * any_tenure.cast("int")).alias("g")).scalar()
+
+
 def drop_unknown(df: DataFrame, col: str) -> DataFrame:
     """drop blank / 'Unknown' members (after totals are computed)."""
     return df.filter(~F.col(col).isin("", "Unknown"))

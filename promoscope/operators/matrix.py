@@ -26,29 +26,39 @@ def _kept(dim: str, member: Column) -> Column:
     return member.isNotNull() & ~member.isin("", "Unknown") & member_kept(dim, member)
 
 
-def _ordinals(a: DataFrame, dim: str, member: str, total_gid: int, cell_gid: int, name: str,
-              city_rank: str | None) -> DataFrame:
-    """Display position of the members of one axis (T2), from its total rows only.
+def _sort_pair(dim: str, member: Column) -> tuple[Column, Column]:
+    """T2 as a number and a text, so that the members of both axes can be ranked by one window."""
+    keys = member_sort_keys(dim, member)
+    number = F.lit(0) if len(keys) == 1 and dim not in ("month", "quarter", "tenure_cut") else keys[0].cast("int")
+    return number, member
 
-    The total rows (one per member) are ranked together; all other rows are spread over partitions of
-    their own by their members' hash, where the rank means nothing.  Then each member's rows get the
-    position of its total row.
+
+def _ordinals(a: DataFrame, row_dim: str, col_dim: str, city_cap: int | None, city_rank: str) -> DataFrame:
+    """``row_ord`` and ``col_ord``, the display positions of the members (T2), with the city cap (T5).
+
+    The total rows of each axis (one per member) are ranked together, both axes by one window; all other
+    rows are spread over partitions of their own by a hash, where the rank means nothing.  Then each
+    member's rows get the position of its total row.
     """
-    total = F.col("_gid") == total_gid
-    m = F.col(member)
-    apart = F.when(total, F.lit(-1)).otherwise(F.pmod(F.hash("_gid", m, F.col("_other")), F.lit(1 << 20)))
-    place = F.row_number().over(Window.partitionBy(apart).orderBy(*member_sort_keys(dim, m), m))
-    of_member = Window.partitionBy(m)
-    a = a.withColumn("_at", F.when(total, place))
-    if city_rank == "count":
-        by_n = F.row_number().over(Window.partitionBy(apart).orderBy(F.col("n").desc(), m))
-        a = a.withColumn("_cap", F.when(total, by_n))
+    gid, r, k = F.col("_gid"), F.col(row_dim), F.col(col_dim)
+    apart = F.when(gid == 1, F.lit(-1)).when(gid == 2, F.lit(-2)).otherwise(
+        F.pmod(F.hash("_gid", r, k), F.lit(1 << 20)))
+    (rn, rt), (cn, ct) = _sort_pair(row_dim, r), _sort_pair(col_dim, k)
+    of_axis = lambda x, y: F.when(gid == 1, x).when(gid == 2, y)
+    axis = Window.partitionBy(apart)
+    a = a.withColumn("_at", F.row_number().over(axis.orderBy(of_axis(rn, cn), of_axis(rt, ct))))
+    capped = city_cap is not None and "city" in (row_dim, col_dim)
+    if capped and city_rank == "count":
+        a = a.withColumn("_cap", F.row_number().over(axis.orderBy(F.col("n").desc(), of_axis(rt, ct))))
     else:  # the reference cuts the alphabetical list (Q7)
         a = a.withColumn("_cap", F.col("_at"))
-    on_axis = F.col("_gid").isin(total_gid, cell_gid)
-    for made, of in ((name, "_at"), ("_cap", "_cap")):
-        a = a.withColumn(made, F.when(on_axis, F.max(of).over(of_member)).cast("int"))
-    return a.drop("_at")
+    for name, dim, total in (("row_ord", row_dim, 1), ("col_ord", col_dim, 2)):
+        member = Window.partitionBy(dim)
+        spread = lambda c: F.when(gid.isin(0, total), F.max(F.when(gid == total, F.col(c))).over(member))  # noqa: E731, B023
+        a = a.withColumn(name, spread("_at").cast("int"))
+        if capped and dim == "city":
+            a = a.withColumn("_of", spread("_cap")).filter(F.col("_of").isNull() | (F.col("_of") <= city_cap))
+    return a
 
 
 def nps_matrix(df: DataFrame, row_dim: str, col_dim: str, spec: FilterSpec | None = None,
@@ -57,8 +67,7 @@ def nps_matrix(df: DataFrame, row_dim: str, col_dim: str, spec: FilterSpec | Non
     """Long-form matrix: one row per cell / row total / column total / grand total.
 
     The grouping-sets aggregate is referenced exactly once, so the input is scanned once: member
-    orders are ranks of the total rows, spread to the cells by windows over one member each; the city
-    cap cuts the rows before the other axis is ordered.
+    orders are ranks of the total rows, spread to the cells by windows over one member each.
     """
     if row_dim == col_dim:
         raise ValueError("row and column dimensions must differ")
@@ -73,12 +82,7 @@ def nps_matrix(df: DataFrame, row_dim: str, col_dim: str, spec: FilterSpec | Non
             .when(gid == 2, _kept(col_dim, k))
             .otherwise(F.lit(True)))
     a = agg.filter(keep)
-    for dim, other, total_gid, name in ((row_dim, col_dim, 1, "row_ord"), (col_dim, row_dim, 2, "col_ord")):
-        capped = dim == "city" and city_cap is not None
-        a = _ordinals(a.withColumn("_other", F.col(other)), dim, dim, total_gid, 0, name,
-                      city_rank if capped else None)
-        if capped:
-            a = a.filter(F.col("_cap").isNull() | (F.col("_cap") <= city_cap))
+    a = _ordinals(a, row_dim, col_dim, city_cap, city_rank)
     cell_type = (F.when(gid == 0, F.lit("cell")).when(gid == 1, F.lit("row_total"))
                  .when(gid == 2, F.lit("col_total")).otherwise(F.lit("grand_total")))
     u = a.select(cell_type.alias("cell_type"), r.cast("string").alias("row_member"),

@@ -6,8 +6,8 @@ aggregated (partially on the map side, so a hot key - a third of all rows with a
 is one row per task), and only keys with more than one row come out.  The wide rows are then joined
 with that short list, which Spark broadcasts where it is small; they are never sorted or aggregated.
 
-``merge`` drops the base rows whose keys are in the new rows (left anti), whatever their order columns
-say, so a new row always beats an old one.
+``merge`` ranks new rows before all base rows, whatever their order columns say, so a new row always beats
+an old one; base and new rows go through one such aggregation.
 
 ``upsert_into`` stages the new rows once in the shared folder, rewrites only the sprint partitions
 they touch (static partition filter, dynamic partition overwrite), and rebuilds the same sprints of
@@ -35,21 +35,34 @@ def latest_per_key(df: DataFrame, keys: tuple[str, ...] = KEYS,
               .filter(F.col("_last").isNull() | (place == F.col("_last"))).select(*df.columns))
 
 
-def merge(base: DataFrame, new: DataFrame, full: bool = False, touched: list[str] | None = None) -> DataFrame:
+def merge(base: DataFrame, new: DataFrame, full: bool = False, touched: list[str] | None = None,
+          staged: bool = False) -> DataFrame:
     """Rows of ``base`` and ``new`` merged last-wins; a new row beats any base row of its key.
 
     ``full=True`` dedups the whole table (what the survey programme does on its first upload, Q11);
     otherwise only the sprints of ``new`` are merged and the result holds just those sprints.
-    ``touched``: their ``sprint_part`` values, if the caller knows them.
+    ``touched``: their ``sprint_part`` values, if the caller knows them.  New rows are read twice, so they
+    are written to the shared folder first unless they are ``staged`` already.
     """
     cols = list(CLEAN_COLUMNS)
-    base, new = base.select(*cols), new.select(*cols)
+    if not staged:
+        new = stage(new)
     if not full:
         # one value per partition directory that a write of the result replaces
         parts = touched_parts(new) if touched is None else touched
         base = base.filter(F.col("sprint_part").isin(*parts))
-    kept = latest_per_key(base).join(new.select(*KEYS).distinct(), list(KEYS), "left_anti")
-    return kept.select(*cols).unionByName(latest_per_key(new))
+    both = base.select(*cols, F.lit(0).alias("_new")).unionByName(new.select(*cols, F.lit(1).alias("_new")))
+    return latest_per_key(both, KEYS, ("_new", *ORDER)).select(*cols)
+
+
+def stage(rows: DataFrame) -> DataFrame:
+    """Clean rows, written once to the shared folder."""
+    from promoscope.session import scratch_path
+
+    spark = rows.sparkSession
+    path = scratch_path(spark, "upsert")
+    rows.select(*CLEAN_COLUMNS).write.parquet(path)
+    return spark.read.schema(CLEAN_SCHEMA).parquet(path)
 
 
 def touched_parts(new: DataFrame) -> list[str]:
@@ -67,18 +80,15 @@ def upsert_into(spark: SparkSession, table_path: str, new: DataFrame, full: bool
     number after the largest one in the sprints they touch.
     """
     from promoscope.operators.rollup import build_rollup
-    from promoscope.session import scratch_path
     from promoscope.sources.store import read_clean, write_clean, write_rollup
 
-    staged = scratch_path(spark, "upsert")
-    new.select(*CLEAN_COLUMNS).write.parquet(staged)
-    new = spark.read.schema(CLEAN_SCHEMA).parquet(staged)
+    new = stage(new)
     base = read_clean(spark, table_path)
     parts = touched_parts(new)
     of_parts = F.col("sprint_part").isin(*parts)
     last = base.filter(of_parts).agg(F.max("ingest_batch")).first()[0]
     new = new.withColumn("ingest_batch", F.lit(0 if last is None else last + 1).cast("bigint"))
-    write_clean(merge(base, new, full, parts), table_path, mode="overwrite", dynamic=True)
+    write_clean(merge(base, new, full, parts, staged=True), table_path, mode="overwrite", dynamic=True)
     if rollup_path is not None:
         rows = read_clean(spark, table_path)
         write_rollup(build_rollup(rows if full else rows.filter(of_parts)), rollup_path, dynamic=True)
