@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from promoscope.llm.common import SPACE, text_or_empty
 from promoscope.session import scratch_path
 
-HASH_BITS = 22  # of a subset's hash; its number takes the bits above
+HASH_BITS = 23  # of a subset's hash; its number takes the bits above
 MOST_SUBSETS = 1 << (31 - HASH_BITS)
+TERM_BITS = 55  # of a term's hash, below the number of its subset
 
 
 def words(text: Column) -> Column:
@@ -56,23 +57,24 @@ def subset_of(term: Column, draw: int, subsets: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(1000 + draw), term), F.lit(subsets)).cast("int")
 
 
-def components(terms: Column, subsets: int, draws: int) -> Column:
-    """(number of the subset, hash of its sorted terms) in one int each, by subset."""
-    # sorted by subset and term; one pass hashes each subset's terms one after the other
-    marked = F.flatten(F.transform(terms, lambda t: F.array(*(
-        F.struct((F.lit(d * subsets) + subset_of(t, d, subsets)).alias("s"), t.alias("t")) for d in range(draws)))))
-    start = F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("h"), F.array().cast("array<int>").alias("done"))
+def with_components(rows: DataFrame, column: str, subsets: int, draws: int) -> DataFrame:
+    """The column's terms replaced by (number of the subset, hash of its sorted terms) in one int each.
 
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["s"] == x["s"]
-        return F.struct(x["s"].alias("s"),
-                        F.xxhash64(F.when(same, acc["h"]).otherwise(F.lit(0).cast("long")), x["t"]).alias("h"),
-                        F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"))
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["s"] < 0, acc["done"]).otherwise(F.array_append(acc["done"], packed(acc["s"], acc["h"])))
-
-    return F.aggregate(F.array_sort(marked), start, step, closed)
+    The steps are projections of their own, so that each array is made once.
+    """
+    of = lambda t: [F.shiftleft((F.lit(d * subsets) + subset_of(t, d, subsets)).cast("long"), TERM_BITS).bitwiseOR(
+        t.bitwiseAND(F.lit((1 << TERM_BITS) - 1))) for d in range(draws)]
+    number = lambda x: F.shiftright(x, TERM_BITS)
+    keyed = F.transform(F.col(column), lambda t: of(t)[0]) if draws == 1 else F.flatten(
+        F.transform(F.col(column), lambda t: F.array(*of(t))))
+    m, starts = F.col("__m"), F.col("__starts")
+    rows = rows.withColumn("__m", F.sort_array(keyed))  # by subset, then by term
+    places = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("__starts", F.filter(
+        places, lambda i: (i == 0) | (number(m[i]) != number(m[F.greatest(i - 1, F.lit(0))]))))
+    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(m))
+    made = F.transform(starts, lambda i, k: packed(number(m[i]).cast("int"), F.xxhash64(F.slice(m, i + 1, end(k) - i))))
+    return rows.withColumn(column, made).drop("__m", "__starts")
 
 
 def packed(number: Column, value: Column) -> Column:
@@ -88,9 +90,9 @@ def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
 
 
 def said(comps: Column, whole: Column) -> Column:
-    each = F.transform(comps, lambda c: F.format_string(
-        "%d:%06x", F.shiftright(c, HASH_BITS), c.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
-    return F.when(F.size(comps) > 0, F.array_join(each, ",")).otherwise(F.format_string("all:%016x", whole))
+    """Components in hexadecimal digits, by subset."""
+    return F.when(F.size(comps) > 0, F.array_join(F.transform(comps, lambda c: F.hex(c)), ",")).otherwise(
+        F.concat(F.lit("all:"), F.hex(whole)))
 
 
 def range_number(value: Column, cuts: list, kind: str, equal: bool = False) -> Column:
@@ -107,38 +109,50 @@ def range_number(value: Column, cuts: list, kind: str, equal: bool = False) -> C
         (group - 1) * m + below(F.element_at(F.array(*map(array, groups)), F.greatest(group, F.lit(1)))))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = 16 << 20,
-              most_ranges: int = 1 << 14) -> DataFrame:
-    """(id, text, next_text): the documents next to the following ones in order of their ids.
+def ranges_of(docs: DataFrame, id_col: str, text: Column, range_bytes: int, most_ranges: int) -> Column:
+    """The number of the range of a row, from its columns ``id`` and ``tie``: ranges follow one another in the
+    order of both.
 
-    Ids are cut into ranges at approximate quantiles, so every range is ordered by itself; only the
-    first document of each range crosses to the one before.  An id that takes several quantiles (or the
-    null ids) has as many ranges, which its rows are dealt to by their texts' hashes, in order.
+    Ids are cut at approximate quantiles.  An id that takes several quantiles (or the null ids) has as many
+    ranges, which its rows are dealt to by their texts' hashes.
     """
-    text = text_or_empty(F.col(text_col))
     n, nulls, n_bytes = docs.agg(F.count(F.lit(1)), F.count_if(F.col(id_col).isNull()), F.sum(F.octet_length(text))).first()
     ranges = min(most_ranges, max(1, -(-(n_bytes or 0) // range_bytes)))
     bounds = docs.agg(F.percentile_approx(
         id_col, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] if ranges > 1 else []
     bounds, kind = sorted(bounds or []), docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
     share = F.col("tie") / F.lit(2.0**64) + F.lit(0.5)  # of the hashes below this one
     below, upto = (range_number(F.col("id"), bounds, kind, equal) for equal in (False, True))
     of_nulls = max(1, ranges * nulls // max(n, 1))
     deal = lambda first, many: (first + F.least(F.floor(share * many), many - 1)).cast("long")
-    number = F.when(F.col("id").isNull(), deal(F.lit(len(bounds) + 1), F.lit(of_nulls))).otherwise(
+    return F.when(F.col("id").isNull(), deal(F.lit(len(bounds) + 1), F.lit(of_nulls))).otherwise(
         deal(below, upto - below + 1))
-    src = src.withColumn("range", number)
+
+
+def first_of_ranges(rows: DataFrame) -> DataFrame:
+    """(range, text) of the first row of every range; texts are read again rather than sorted for it."""
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "tie")
+    keys = rows.select("range", place.alias("place")).groupBy("range").agg(F.min("place").alias("p"))
+    keys = keys.select(F.col("range").alias("__range"), F.col("p.id").alias("__id"), F.col("p.tie").alias("__tie"))
+    same = (F.col("range") == F.col("__range")) & F.col("id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie"))
+    return rows.join(keys, same).groupBy("range").agg(F.min("text").alias("text"))
+
+
+def with_next(rows: DataFrame, firsts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` (id, tie, range and ``columns``) in order of (id, tie) with the next row's columns as next_*.
+
+    Every range is ordered by itself; only its first row (``firsts``: range and columns) crosses to the
+    range before.
+    """
     order = Window.partitionBy("range").orderBy(F.col("id").asc_nulls_last(), "tie")
-    numbered = src.withColumn("n", F.row_number().over(order))
-    firsts = numbered.filter("n = 1").select("range", F.col("text").alias("first_text"))
     by_range = Window.orderBy("range")  # one row per range
     around = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = firsts.select(
-        F.coalesce(F.lag("range").over(by_range), F.last("range").over(around)).alias("before"), "first_text")
-    rows = src.withColumn("next_text", F.lead("text").over(order))
-    joined = rows.join(after, (F.col("range") == F.col("before")) & F.col("next_text").isNull(), "left")
-    return joined.select("id", "text", F.coalesce("next_text", "first_text").alias("next_text"))
+        F.coalesce(F.lag("range").over(by_range), F.last("range").over(around)).alias("before"),
+        *(F.col(c).alias(f"first_{c}") for c in columns))
+    led = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    joined = led.join(after, (F.col("range") == F.col("before")) & F.col(f"next_{columns[0]}").isNull(), "left")
+    return joined.select("id", *columns, *(F.coalesce(f"next_{c}", f"first_{c}").alias(f"next_{c}") for c in columns))
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -157,66 +171,82 @@ def lexicon_of(docs: DataFrame, text_col: str, idf_band: tuple[float, float], fo
     return docs.sparkSession.read.schema(lexicon.schema).parquet(f"{folder}/lexicon")
 
 
-def bucket_table(lexicon: DataFrame, size: int) -> Column:
-    """The lexicon as an array of ``size`` arrays: a term is in the one that its remainder names.
+def in_lexicon(lexicon: DataFrame, size: int):
+    """A test of terms (column to column) by tables that go along with the tasks as constants.
 
-    It is a variable of the session, so it is made once and goes along with the tasks as a constant.
+    ``one`` has a place for each remainder of the terms by four times the lexicon's size: the only term of
+    that remainder, 0 for none, -1 for several, which are then looked up in ``more``.  Both are variables of
+    the session, made once.
     """
-    spark = lexicon.sparkSession
-    full = spark.range(size).withColumnRenamed("id", "b")
-    lists = lexicon.groupBy(F.pmod("t", F.lit(size)).alias("b")).agg(F.collect_list("t").alias("ts"))
-    place = full.join(lists, "b", "left").select(
-        F.struct("b", F.coalesce("ts", F.array().cast("array<bigint>")).alias("ts")).alias("x"))
-    table = place.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["ts"]).alias("buckets"))
-    name = f"imatch_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE VARIABLE {name} ARRAY<ARRAY<BIGINT>>")
-    spark.sql(f"SET VAR {name} = (SELECT buckets FROM {{table}})", table=table)
+    spark, places = lexicon.sparkSession, 4 * max(1, size)
+    at = F.pmod("t", F.lit(places))
+    lists = lexicon.groupBy(at.alias("b")).agg(F.collect_list("t").alias("ts"))
+    every = spark.range(places).withColumnRenamed("id", "b").join(lists, "b", "left")
+    only = F.when(F.col("ts").isNull(), F.lit(0)).when(
+        (F.size("ts") == 1) & ~F.col("ts")[0].isin(0, -1), F.col("ts")[0]).otherwise(F.lit(-1)).cast("bigint")
+    one = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", only.alias("v")))), lambda x: x["v"]).alias("a"))
+    crowd = every.withColumn("v", only).filter("v = -1").select(F.pmod("b", F.lit(max(1, size))).alias("c"), "ts")
+    crowd = crowd.groupBy("c").agg(F.flatten(F.collect_list("ts")).alias("ts"))
+    full = spark.range(max(1, size)).withColumnRenamed("id", "c").join(crowd, "c", "left")
+    row = F.struct("c", F.coalesce("ts", F.array().cast("array<bigint>")).alias("ts"))
+    more = full.agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["ts"]).alias("a"))
+    one, more = (session_constant(x, kind) for x, kind in ((one, "ARRAY<BIGINT>"), (more, "ARRAY<ARRAY<BIGINT>>")))
+
+    def known(t: Column) -> Column:
+        place = F.pmod(t, F.lit(places))
+        there = F.element_at(one, place.cast("int") + 1)
+        several = F.element_at(more, F.pmod(place, F.lit(max(1, size))).cast("int") + 1)
+        return ((there == t) & (t != -1) & (t != 0)) | ((there == -1) & F.array_contains(several, t))
+
+    return known
+
+
+def session_constant(table: DataFrame, kind: str) -> Column:
+    """The only value of a table, as a variable of the session."""
+    spark, name = table.sparkSession, f"imatch_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE VARIABLE {name} {kind}")
+    spark.sql(f"SET VAR {name} = (SELECT a FROM {{table}})", table=table)
     return F.expr(name)
 
 
+def known_by_join(rows: DataFrame, column: str, lexicon: DataFrame) -> DataFrame:
+    """The column's terms that are in the lexicon, whatever its size, by a join: rows are numbered in the
+    shared folder and their terms dealt out by term."""
+    folder = scratch_path(rows.sparkSession, "imatch-terms")
+    rows.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    stored = rows.sparkSession.read.parquet(folder)
+    terms = stored.select("__row", F.explode(column).alias("t")).join(lexicon, "t")
+    found = terms.groupBy("__row").agg(F.collect_list("t").alias("__known"))
+    known = F.coalesce("__known", F.array().cast("array<bigint>"))
+    return stored.join(found, "__row", "left").withColumn(column, known).select(*rows.columns)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  idf_band: tuple[float, float] = (1.5, 9.0), subsets: int = 256, draws: int = 1,
-                 most_terms: int = 4_000_000) -> DataFrame:
+                 most_terms: int = 4_000_000, range_bytes: int = 16 << 20, most_ranges: int = 1 << 14) -> DataFrame:
     """Per row: id, ``n_chars``, ``edited_sha256``, both fingerprints, ``near_edited``, ``near_next``."""
     if subsets * draws > MOST_SUBSETS:
         raise ValueError(f"at most {MOST_SUBSETS} subsets in all draws")
-    folder = scratch_path(docs.sparkSession, "imatch")
-    lexicon = lexicon_of(docs, text_col, idf_band, folder)
-    both = with_next(docs, id_col, text_col).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    texts = ("text", "edited", "next_text")
-    hashed = both.select(
-        "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        *(term_hashes(F.col(c)).alias(c) for c in texts))
-    whole = hashed.withColumns({f"whole_{c}": whole_hash(F.col(c)) for c in texts})
+    lexicon = lexicon_of(docs, text_col, idf_band, scratch_path(docs.sparkSession, "imatch"))
     size = lexicon.count()
-    known = known_by_table(whole, texts, lexicon, size) if size <= most_terms else known_by_join(whole, texts, lexicon)
-    comps = known.withColumns({c: components(F.col(c), subsets, draws) for c in texts})
-    like = lambda other: likeness(F.col("text"), F.col(other), F.col("whole_text"), F.col(f"whole_{other}"))
-    return comps.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256",
-        said(F.col("text"), F.col("whole_text")).alias("fingerprint"),
-        said(F.col("edited"), F.col("whole_edited")).alias("edited_fingerprint"),
-        like("edited").alias("near_edited"), like("next_text").alias("near_next"))
-
-
-def known_by_table(rows: DataFrame, columns: tuple[str, ...], lexicon: DataFrame, size: int) -> DataFrame:
-    """``rows`` with only the lexicon's terms in the columns, by the table of buckets."""
-    many = max(1, size)
-    buckets = bucket_table(lexicon, many)
-    one = lambda t: F.array_contains(F.element_at(buckets, F.pmod(t, F.lit(many)).cast("int") + 1), t)
-    return rows.withColumns({c: F.filter(F.col(c), one) for c in columns})
-
-
-def known_by_join(rows: DataFrame, columns: tuple[str, ...], lexicon: DataFrame) -> DataFrame:
-    """The same by a join, for a lexicon of any size: rows are numbered in the shared folder and their terms
-    dealt out by term."""
-    folder = scratch_path(rows.sparkSession, "imatch-terms")
-    rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
-    stored = rows.sparkSession.read.parquet(folder)
-    out = stored.drop(*columns)
-    each = F.array_distinct(F.flatten(F.array(*columns)))
-    terms = stored.select("row", F.explode(each).alias("t")).join(lexicon, "t")
-    found = terms.groupBy("row").agg(F.collect_list("t").alias("__known"))
-    full = stored.join(found, "row", "left")
-    known = F.coalesce("__known", F.array().cast("array<bigint>"))
-    return full.select(*out.columns, *(F.array_intersect(F.col(c), known).alias(c) for c in columns))
+    known = in_lexicon(lexicon, size) if size <= most_terms else None
+
+    def marked(rows: DataFrame, text: str, comps: str, whole: str) -> DataFrame:
+        rows = rows.withColumn(comps, term_hashes(F.col(text))).withColumn(whole, whole_hash(F.col(comps)))
+        rows = rows.withColumn(comps, F.filter(comps, known)) if known else known_by_join(rows, comps, lexicon)
+        return with_components(rows, comps, subsets, draws)
+
+    text = text_or_empty(F.col(text_col))
+    number = ranges_of(docs, id_col, text, range_bytes, most_ranges)
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows, columns = rows.withColumn("range", number), ("text", "own", "whole")
+    both = with_next(marked(rows, *columns), marked(first_of_ranges(rows), *columns), columns)
+    both = both.withColumn("edited", edited(F.col("text"), F.col("next_text"))).select(
+        "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "own", "whole", "next_own", "next_whole", "edited")
+    out = marked(both, "edited", "other", "other_whole")
+    like = lambda comps, whole: likeness(F.col("own"), F.col(comps), F.col("whole"), F.col(whole))
+    return out.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", said(F.col("own"), F.col("whole")).alias("fingerprint"),
+        said(F.col("other"), F.col("other_whole")).alias("edited_fingerprint"),
+        like("other", "other_whole").alias("near_edited"), like("next_own", "next_whole").alias("near_next"))

@@ -8,14 +8,13 @@ from collections import Counter
 
 import xxhash
 
-from promoscope.llm import imatch
 from promoscope.llm.imatch import fingerprints
 from promoscope.llm.queries import op6_imatch
 from promoscope.session import scratch_path
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SUBSETS, BAND, HASH = 256, (1.5, 9.0), (1 << 22) - 1
+SUBSETS, BAND, HASH = 256, (1.5, 9.0), (1 << 23) - 1
 
 
 def xx(data, seed=42):
@@ -45,11 +44,9 @@ def chained(hashes):
     return seed
 
 
-def of_subset(hashes):
-    out = 0
-    for h in hashes:
-        out = chained([out, h])
-    return out & HASH
+def of_subset(s, hashes):
+    low = (1 << 55) - 1
+    return chained(sorted(s << 55 | h & low for h in hashes)) & HASH
 
 
 def plain(rows, subsets=SUBSETS, draws=1):
@@ -64,14 +61,14 @@ def plain(rows, subsets=SUBSETS, draws=1):
             if t in known:
                 for d in range(draws):
                     out.setdefault(d * subsets + subset(t, d, subsets), []).append(t)
-        return {s: of_subset(out[s]) for s in sorted(out)}, chained(terms(text))
+        return {s: of_subset(s, out[s]) for s in sorted(out)}, chained(terms(text))
 
     def likeness(a, b):
         if not a[0] and not b[0]:
             return float(a[1] == b[1])
         return sum(a[0].get(s) == h for s, h in b[0].items()) / len({*a[0], *b[0]})
 
-    said = lambda c: ",".join(f"{s}:{h:06x}" for s, h in c[0].items()) or f"all:{c[1]:016x}"
+    said = lambda c: ",".join(f"{s << 23 | h:X}" for s, h in c[0].items()) or f"all:{c[1] & (2**64 - 1):X}"
     out = []
     for k, (i, text) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -109,15 +106,12 @@ def test_odd_rows(spark):
     assert got(fingerprints(df, most_terms=0)) == plain(rows)  # a lexicon that does not go along with the tasks
 
 
-def test_ranges_of_hot_ids_are_in_order(spark, monkeypatch):
+def test_ranges_of_hot_ids_are_in_order(spark):
     rng = random.Random(3)
     rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, " ".join(rng.choices("abcdefghij", k=12)) + f" {i % 170}") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    real = imatch.with_next
-    monkeypatch.setattr(imatch, "with_next", lambda *a: real(*a, range_bytes=1000))
-    assert got(fingerprints(df)) == plain(rows)
-    monkeypatch.setattr(imatch, "with_next", lambda *a: real(*a, range_bytes=1000, most_ranges=3))
-    assert got(fingerprints(df)) == plain(rows)
+    assert got(fingerprints(df, range_bytes=1000)) == plain(rows)
+    assert got(fingerprints(df, range_bytes=1000, most_ranges=3)) == plain(rows)
 
 
 def test_every_term_of_the_band_counts(spark):
