@@ -10,9 +10,11 @@ text costs few tokens per character under a BPE vocabulary; random strings cost
 
 * it has the form of a known digest (hexadecimal of 32, 40, 56, 64, 96 or 128 digits) or a UUID,
 * its parts are natural.  Parts are what lies between ``_``, ``-``, ``/``, ``=`` and ``+``; those without
-  a letter do not count.  A part is natural if it is one token or has ``max_ratio`` characters a token;
-  natural parts must hold half of the characters, and no part may mix digits and letters over 8
-  characters or more.
+  a letter do not count.  A part is natural if it is one token, has ``max_ratio`` characters a token, or
+  reads like a word (long words of languages that the vocabulary splits into short pieces): its letters
+  change case seldom, and vowels and consonants alternate, less the share of letters that are rare in
+  words, by ``WORDLIKE`` or more; a piece of the alphabet is natural, too.  Natural parts must hold half of
+  the characters, and no part may mix digits and letters over 8 characters or more.
 
 Base spans stay as they are; of a run that they touch, the pieces of 20 or more characters that they
 leave over are looked at like runs.
@@ -50,6 +52,10 @@ CANDIDATE = re.compile(rf"(?<!{_CLASS}){_CLASS}{{{LEAST},}}")
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _PART = re.compile(r"[A-Za-z0-9]+")
+VOWELS = frozenset("aeiouy")
+RARE = frozenset("jqxzvwk")
+WORDLIKE = 0.28  # random letters have 0.09 on average
+CASE_CHANGES = 0.3  # of all pairs of letters; random letters have 0.5
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
@@ -67,6 +73,20 @@ def known_form(run: str) -> bool:
     return bool(_UUID.fullmatch(run) or _HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS)
 
 
+def like_a_word(part: str) -> bool:
+    """Whether letters alternate and repeat their case as those of words do, or are a piece of the alphabet."""
+    pairs = list(zip(part, part[1:]))
+    if not part.isalpha() or not pairs:
+        return False
+    if sum(ord(b) - ord(a) == 1 for a, b in pairs) >= 0.8 * len(pairs):
+        return True
+    if sum(a.isupper() != b.isupper() for a, b in pairs) > CASE_CHANGES * len(pairs):
+        return False
+    low = part.lower()
+    change = sum((a in VOWELS) != (b in VOWELS) for a, b in zip(low, low[1:])) / len(pairs)
+    return change - sum(c in RARE for c in low) / len(low) >= WORDLIKE
+
+
 def natural_parts(run: str, enc, max_ratio: float) -> bool:
     """Whether the parts of a run look like words, as those of identifiers, paths and dates do."""
     parts = [p for p in _PART.findall(run) if _LETTER.search(p)]
@@ -75,7 +95,7 @@ def natural_parts(run: str, enc, max_ratio: float) -> bool:
     odd = 0
     for p in parts:
         tokens = len(enc.encode(p))
-        odd += len(p) if tokens > 1 and len(p) < max_ratio * tokens else 0
+        odd += len(p) if tokens > 1 and len(p) < max_ratio * tokens and not like_a_word(p) else 0
     return 2 * odd <= sum(map(len, parts))
 
 

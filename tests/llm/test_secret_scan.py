@@ -79,6 +79,24 @@ def test_random_letters_and_grouped_keys_are_found():
     assert found(clean) == []
 
 
+LONG_WORDS = """Geschwindigkeitsbegrenzung Muvaffakiyetsizlestiricilestirivermek jarjestelmallistyttamattomyydella
+niebezpieczenstwo_przemieszczanie ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT
+Rechtsschutzversicherungsgesellschaften megszentsegtelenithetetlensegeskedeseitekert electroencefalografistas
+nejneobhospodarovavatelnejsimi anticonstitutionnellement hottentottententententoonstelling
+pseudopseudohypoparathyroidism uncharacteristically-misunderstandable lentokonesuihkuturbiinimoottori
+""".split()
+
+
+def test_long_words_of_other_languages_are_no_secrets():
+    rng = random.Random(21)
+    assert [w for w in LONG_WORDS if found(f"the word is {w} and so on")] == []
+    for letters, n, least in ((string.ascii_lowercase, 20, 0.8), (string.ascii_lowercase, 40, 0.9), (string.ascii_uppercase, 32, 0.85),
+                              (string.ascii_letters, 20, 0.97), (string.ascii_letters + string.digits, 32, 0.97)):
+        keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(400)]
+        hits = sum(found(f"{rng.choice(LONG_WORDS)} {k} {rng.choice(LONG_WORDS)}") == [k] for k in keys)
+        assert hits >= least * len(keys), (letters, n, hits)
+
+
 def test_the_rest_of_a_run_that_base_spans_touch():
     rng = random.Random(12)
     key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
