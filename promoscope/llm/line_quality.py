@@ -2,11 +2,15 @@
 
 A line of a text (split at \\n) fails by the first of these rules that it breaks:
 
-* ``navigation``: it has as many ``|``, ``»`` or ``>`` separators as ``nav_separators`` or more,
-  or it consists of a few words that are all menu words;
-* ``boilerplate``: it contains one of the fixed phrases of site furniture;
-* ``punctuation``: none of its words ends like a sentence or clause (prose that was cut off has such
-  words before its end), or most of its words end in symbols or doubled marks.
+* ``navigation``: it has as many ``|``, ``»`` or ``>`` separators as ``nav_separators`` or more, and one for
+  every ``words_per_separator`` words at least, or it consists of a few words that are all menu words;
+* ``boilerplate``: it contains one of the fixed phrases of site furniture and has at most
+  ``furniture_words`` words (an article may name its privacy policy);
+* ``punctuation``: none of its words ends like a sentence or clause in any script that has such marks
+  (prose that was cut off has such words before its end), unless it is a line of wrapped prose; or most of
+  its words end in symbols or doubled marks.  A line of ``wrapped_words`` words or more is wrapped prose if
+  the next line goes on in lower case, or if it begins in lower case itself and the line before it does
+  not end a sentence.
 
 Lines without a word neither pass nor fail and stay.  Failing lines are removed; a document whose
 removed lines hold more than ``max_lost`` of its word characters is rejected.  A document is also
@@ -39,7 +43,8 @@ FURNITURE = (
     "privacy policy", "terms of service", "terms of use", "accept cookies", "lorem ipsum",
     "sign up for our", "click here to", "skip to content",
 )
-SENTENCE_END = frozenset(".!?…:;\"'”’»)]。！？")
+SENTENCE_END = frozenset(".!?…:;\"'”’»)]。！？：；」』｡।॥۔؟؛։።፧។៕၊။๚๛༎")
+LOWER_START = r"[a-z\u00DF-\u00F6\u00F8-\u00FF\u03B1-\u03C9\u0430-\u045F]"  # letters in lower case
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -49,7 +54,10 @@ class LineRules:
     max_repeat_percent: int = 50
     max_lost: float = 0.5
     nav_separators: int = 2
+    words_per_separator: int = 8
     menu_words: int = 6
+    furniture_words: int = 25
+    wrapped_words: int = 5
     odd_words: float = 0.5
 
 
@@ -59,21 +67,34 @@ _ODD = frozenset("#*$%&|<>!?")
 _SEPARATOR = re.compile(r"[|»>]")
 
 
-def line_fault(line: str, words: list[str], rules: LineRules) -> str | None:
-    """The rule that a line with words breaks, or None."""
-    if len(_SEPARATOR.findall(line)) >= rules.nav_separators:
+_LOWER = re.compile(LOWER_START)
+
+
+def line_fault(line: str, words: list[str], rules: LineRules, before: list[str] = [], after: list[str] = []) -> str | None:
+    """The rule that a line with words breaks, or None.  ``before`` and ``after``: words of the lines around it."""
+    separators = len(_SEPARATOR.findall(line))
+    if separators >= rules.nav_separators and separators * rules.words_per_separator >= len(words):
         return "navigation"
     if len(words) <= rules.menu_words and all(w.lower() in MENU_WORDS for w in words):
         return "navigation"
-    low = line.lower()
-    if any(p in low for p in FURNITURE):
-        return "boilerplate"
+    if len(words) <= rules.furniture_words:
+        low = line.lower()
+        if any(p in low for p in FURNITURE):
+            return "boilerplate"
     if not any(w[-1] in SENTENCE_END for w in words):
-        return "punctuation"
+        return None if wrapped(words, rules, before, after) else "punctuation"
     odd = sum(1 for w in words if w[-1] in _ODD and w[-2:-1] in _ODD)
     return "punctuation" if odd > rules.odd_words * len(words) else None
 
 
+def wrapped(words: list[str], rules: LineRules, before: list[str], after: list[str]) -> bool:
+    if len(words) < rules.wrapped_words:
+        return False
+    if after and _LOWER.match(after[0]):
+        return True
+    return bool(before) and before[-1][-1] not in SENTENCE_END and bool(_LOWER.match(words[0]))
+
+
 def repeated_words(words: list[str]) -> int:
     """Words within windows of three words that occur twice or more, first ones included."""
     seen = Counter(zip(words, words[1:], words[2:]))
@@ -93,8 +114,9 @@ def judge(text: str | None, rules: LineRules) -> tuple:
     kept, faults, seen = [], [], set()
     words: list[str] = []
     dup = lost = chars = 0
-    for line in text.split("\n"):
-        own = _WORD.findall(line)
+    lines = text.split("\n")
+    of = [_WORD.findall(line) for line in lines]
+    for at, (line, own) in enumerate(zip(lines, of)):
         if not own:
             kept.append(line)
             continue
@@ -104,7 +126,7 @@ def judge(text: str | None, rules: LineRules) -> tuple:
         words += own
         n = sum(map(len, own))
         chars += n
-        if fault := line_fault(line, own, rules):
+        if fault := line_fault(line, own, rules, of[at - 1] if at else [], of[at + 1] if at + 1 < len(of) else []):
             faults.append(fault)
             lost += n
         else:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from promoscope.llm.line_quality import FURNITURE, MENU_WORDS, SENTENCE_END, LineRules
 from promoscope.llm.common import LOWER, UPPER
 
+# Fixed values of the quality rules, written out here so that the SQL does not lean on the operator's lists.
+MENU_WORDS = ["about", "archive", "back", "categories", "contact", "faq", "help", "home", "login", "logout", "menu", "more",
+              "newsletter", "next", "previous", "register", "search", "share", "sitemap", "subscribe", "tags", "top", "tweet"]
+FURNITURE = ["accept cookies", "all rights reserved", "click here to", "cookie policy", "enable javascript",
+             "javascript is disabled", "lorem ipsum", "privacy policy", "sign up for our", "skip to content",
+             "terms of service", "terms of use"]
+SENTENCE_END = ".!?…:;\"'”’»)]。！？：；」』｡।॥۔؟؛։።፧។៕၊။๚๛༎"
 WORD = r"[^\x20\x09-\x0D]+"
 NEWLINE = "chr(10)"
 
@@ -41,8 +47,8 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, {NEWLINE} ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
-_R = LineRules()
-_ENDS = "".join(sorted(SENTENCE_END)).replace("'", "''")
+_ENDS = SENTENCE_END.replace("'", "''")
+_LOWER_START = r"^[a-z\x{00DF}-\x{00F6}\x{00F8}-\x{00FF}\x{03B1}-\x{03C9}\x{0430}-\x{045F}]"
 QUALITY = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
      w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD}') AS ws FROM t),
@@ -58,18 +64,28 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
          SELECT doc_id, count(DISTINCT place) AS n_repeat_words
          FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM tri JOIN twice USING (doc_id, g))
          GROUP BY doc_id),
+     split AS (SELECT doc_id, string_split(text, {NEWLINE}) AS ls FROM t),
+     each AS (SELECT doc_id, i, ls[i] AS line, regexp_extract_all(ls[i], '{WORD}') AS lw
+              FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)),
      lines AS (
-         SELECT doc_id, line, regexp_extract_all(line, '{WORD}') AS lw
-         FROM (SELECT doc_id, unnest(string_split(text, {NEWLINE})) AS line FROM t)),
-     full_lines AS (SELECT * FROM lines WHERE len(lw) > 0),
+         SELECT *, lag(lw) OVER (PARTITION BY doc_id ORDER BY i) AS before, lead(lw) OVER (PARTITION BY doc_id ORDER BY i) AS after
+         FROM each),
+     full_lines AS (
+         SELECT *, length(regexp_replace(line, '[^|»>]', '', 'g')) AS separators,
+                len(lw) >= 5 AND (
+                    (coalesce(len(after), 0) > 0 AND regexp_matches(after[1], '{_LOWER_START}'))
+                    OR (coalesce(len(before), 0) > 0 AND NOT contains('{_ENDS}', right(before[len(before)], 1))
+                        AND regexp_matches(lw[1], '{_LOWER_START}'))) AS wrapped
+         FROM lines WHERE len(lw) > 0),
      faults AS (
          SELECT doc_id, line, length(list_aggregate(lw, 'string_agg', '')) AS n,
-                CASE WHEN length(regexp_replace(line, '[^|»>]', '', 'g')) >= {_R.nav_separators} THEN 'navigation'
-                     WHEN len(lw) <= {_R.menu_words} AND len(list_filter(lw, lambda x: lower(x) NOT IN ({quoted(MENU_WORDS)}))) = 0
+                CASE WHEN separators >= 2 AND separators * 8 >= len(lw) THEN 'navigation'
+                     WHEN len(lw) <= 6 AND len(list_filter(lw, lambda x: lower(x) NOT IN ({quoted(MENU_WORDS)}))) = 0
                      THEN 'navigation'
-                     WHEN {' OR '.join(f"contains(lower(line), '{p}')" for p in FURNITURE)} THEN 'boilerplate'
-                     WHEN len(list_filter(lw, lambda x: contains('{_ENDS}', right(x, 1)))) = 0 THEN 'punctuation'
-                     WHEN len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>!?]{{2,}}$'))) > {_R.odd_words} * len(lw)
+                     WHEN len(lw) <= 25 AND ({' OR '.join(f"contains(lower(line), '{p}')" for p in FURNITURE)}) THEN 'boilerplate'
+                     WHEN len(list_filter(lw, lambda x: contains('{_ENDS}', right(x, 1)))) = 0
+                     THEN CASE WHEN NOT wrapped THEN 'punctuation' END
+                     WHEN len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>!?]{{2,}}$'))) > 0.5 * len(lw)
                      THEN 'punctuation' END AS fault
          FROM full_lines),
      by_doc AS (
@@ -84,10 +100,10 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
                 coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_navigation, 0) AS n_navigation,
                 coalesce(n_boilerplate, 0) AS n_boilerplate, coalesce(n_punctuation, 0) AS n_punctuation,
                 coalesce(lost, 0) AS lost,
-                n_words < {_R.min_words} OR 100 * coalesce(n_repeat_words, 0) > {_R.max_repeat_percent} * n_words AS base_failed
+                n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
          FROM base LEFT JOIN rep USING (doc_id) LEFT JOIN by_doc USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND lost <= {_R.max_lost} * word_chars AS kept, n_navigation, n_boilerplate, n_punctuation,
+       NOT base_failed AND lost <= 0.5 * word_chars AS kept, n_navigation, n_boilerplate, n_punctuation,
        CASE WHEN word_chars > 0 THEN CAST(lost AS DOUBLE) / word_chars ELSE 0.0 END AS lost_share
 FROM v"""
 

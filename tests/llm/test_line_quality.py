@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -79,3 +80,34 @@ def test_clean_documents(spark):
     out = clean_documents(df)
     assert out.schema == df.schema
     assert [tuple(r) for r in out.collect()] == [(1, sentences(20), "en", "s", len(sentences(20)))]
+
+
+@pytest.mark.parametrize("line,before,after,want", [
+    ("this line of prose was wrapped in", "", "the middle of it.", None), ("This line of prose was wrapped in", "", "the middle of it.", None),
+    ("and so was this one before a", "A sentence that began here", "Name of note.", None),
+    ("and so was this one before a", "A sentence.", "Name of note.", "punctuation"), ("Read More About It Now", "", "Next Title", "punctuation"),
+    ("too short here", "goes on", "and on.", "punctuation"), ("das war ein langer Satz der", "", "über die Zeile ging.", None),
+    ("это строка прозы которая идёт дальше", "", "на новой строке.", None),
+])
+def test_wrapped_prose(line, before, after, want):
+    assert line_fault(line, WORD.findall(line), RULES, WORD.findall(before), WORD.findall(after)) == want
+
+
+def prose(sentence, n, end):
+    """Sentences whose words differ (by a number), so that none repeats."""
+    return " ".join(" ".join(f"{w}{i}" for w in sentence.split()) + end for i in range(n))
+
+
+CLEAN = {
+    "one long line that names a privacy policy once": prose("Word of a long article that goes on", 400, ".") + " See our privacy policy here.",
+    "two bars in a long line": prose("Word of a table in prose", 60, ".") + " a | b | c.",
+    "Hindi": prose("यह वाक्य है और यह पाठ बिलकुल साफ़ है", 30, "।"), "Urdu": prose("یہ جملہ ہے اور یہ متن صاف ہے", 30, "۔"),
+    "Amharic": prose("ይህ ዓረፍተ ነገር ቁጥር ነው", 30, "።"),
+    "wrapped at 60 characters": textwrap.fill(prose("a sentence that is long enough to be wrapped twice or more before it comes to its end", 30, "."), 60),
+}
+
+
+@pytest.mark.parametrize("name", CLEAN)
+def test_clean_texts_are_kept(name):
+    got = judge(CLEAN[name], RULES)
+    assert got[6] and got[10] < 0.1, got[:-1]
