@@ -25,14 +25,17 @@ KEYS = ("sprint_id", "respondent_id")
 ORDER = ("ingest_batch", "file_order", "src_file", "row_seq")
 
 
+def last_places(df: DataFrame, keys: tuple[str, ...] = KEYS, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """(keys, _last): the place of the last row of every key that has more than one."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(*order)).alias("_last"))
+              .filter("_n > 1").select(*keys, "_last"))
+
+
 def latest_per_key(df: DataFrame, keys: tuple[str, ...] = KEYS,
                    order: tuple[str, ...] = ORDER) -> DataFrame:
     """The last row per key by ``order`` (key columns without nulls)."""
-    place = F.struct(*order)
-    last = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(place).alias("_last"))
-              .filter("_n > 1").select(*keys, "_last"))
-    return (df.join(last, list(keys), "left")
-              .filter(F.col("_last").isNull() | (place == F.col("_last"))).select(*df.columns))
+    return (df.join(last_places(df, keys, order), list(keys), "left")
+              .filter(F.col("_last").isNull() | (F.struct(*order) == F.col("_last"))).select(*df.columns))
 
 
 def merge(base: DataFrame, new: DataFrame, full: bool = False, touched: list[str] | None = None,
@@ -70,7 +73,7 @@ def touched_parts(new: DataFrame) -> list[str]:
 
 
 def upsert_into(spark: SparkSession, table_path: str, new: DataFrame, full: bool = False,
-                rollup_path: str | None = None) -> list[str]:
+                rollup_path: str | None = None, topk_path: str | None = None) -> list[str]:
     """Apply ``new`` clean rows to the partitioned table at ``table_path``; returns the touched sprints.
 
     Dynamic partition overwrite replaces only the sprint partitions present in the merged result.  The
@@ -88,7 +91,16 @@ def upsert_into(spark: SparkSession, table_path: str, new: DataFrame, full: bool
     of_parts = F.col("sprint_part").isin(*parts)
     last = base.filter(of_parts).agg(F.max("ingest_batch")).first()[0]
     new = new.withColumn("ingest_batch", F.lit(0 if last is None else last + 1).cast("bigint"))
+    if topk_path is not None and full:
+        raise ValueError("a table of top comments is kept by upserts of sprints; build it again after a full one")
+    if topk_path is not None:
+        # the rows before, without their comments, for what the stored rows lose
+        before = stage(base.filter(of_parts).withColumn("feedback", F.lit("")))
     write_clean(merge(base, new, full, parts, staged=True), table_path, mode="overwrite", dynamic=True)
+    if topk_path is not None:
+        from promoscope.operators import topk
+
+        topk.update(spark, topk_path, before, new, read_clean(spark, table_path), parts)
     if rollup_path is not None:
         rows = read_clean(spark, table_path)
         write_rollup(build_rollup(rows if full else rows.filter(of_parts)), rollup_path, dynamic=True)

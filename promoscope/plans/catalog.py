@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promoscope.functions import nps as _nps
-from promoscope.operators import cohorts, matrix, metrics, themes, verbatims
+from promoscope.operators import cohorts, matrix, metrics, themes, topk, verbatims
 from promoscope.operators.clean import CLEAN_COLUMNS, clean_survey
 from promoscope.operators.dimensions import Dimensions
 from promoscope.operators.filters import FilterSpec
@@ -33,7 +33,7 @@ from promoscope.sources.driver_tables import RESENT_SPRINTS, survey_raw, survey_
 from promoscope.sources.files import list_files
 from promoscope.sources.ingest_log import append_log, dead_letters, read_log
 from promoscope.sources.store import (
-    read_clean, read_rollup, survey_rollup, survey_table, write_clean, write_rollup)
+    read_clean, read_rollup, survey_rollup, survey_table, survey_topk, write_clean, write_rollup)
 from promoscope.sources.versions import VersionedTable
 from promoscope.streaming import ingest_stream
 
@@ -813,7 +813,7 @@ _TOP_SQL = (
 
 
 def _top(spark, sf_dir) -> DataFrame:
-    return verbatims.verbatims(metrics.recent_filter(rows(spark, sf_dir), sprints_from=rollup(spark, sf_dir)))
+    return topk.top_verbatims(metrics.recent_filter(survey_topk(spark, sf_dir), sprints_from=rollup(spark, sf_dir)))
 
 
 @register("verbatims_top", O.with_survey(_TOP_SQL, [RECENT_CTE]))
@@ -1122,7 +1122,27 @@ _FILTERED_TOP_SQL = (
 @register("verbatims_filtered", O.with_survey(_FILTERED_TOP_SQL))
 def q_verbatims_filtered(spark, sf_dir):
     """T3 with the band (F5) and theme (F6) selections over all periods."""
-    return verbatims.verbatims(rows(spark, sf_dir), FilterSpec(band="detractor", theme="reliability"))
+    return topk.top_verbatims(survey_topk(spark, sf_dir), FilterSpec(band="detractor", theme="reliability"))
+
+
+@register("verbatims_after_upsert", O.with_survey(
+    "SELECT *, CAST((rank - 1) // 30 + 1 AS INTEGER) AS page FROM ("
+    "SELECT CAST(row_number() OVER (ORDER BY evoc_score DESC, row_seq) AS INTEGER) AS rank, row_seq, "
+    "respondent_id, sprint_id, score, score_band, theme, evoc_score, feedback FROM ("
+    "SELECT *, CAST(least(length(feedback), 300) + abs(score - 5) * 20 AS INTEGER) AS evoc_score FROM ("
+    "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY sprint_id, respondent_id "
+    "ORDER BY ingest_batch DESC, row_seq DESC) AS rn "
+    f"FROM (SELECT * FROM survey WHERE {_TOUCHED_SQL} UNION ALL SELECT * FROM resend)) WHERE rn = 1) "
+    f"WHERE theme <> '' AND score_band = 'promoter' AND sprint_id = {O.q(RESENT_SPRINTS[0])} AND {O.fb_gt(5)})) "
+    "WHERE rank <= 20", _RESEND_CTES))
+def q_verbatims_after_upsert(spark, sf_dir):
+    """T3 from the stored top comments after an upsert that replaced some of them."""
+    table, kept = scratch_path(spark, "topk_survey"), scratch_path(spark, "topk_kept")
+    write_clean(rows(spark, sf_dir).filter(F.col("sprint_id").isin(*RESENT_SPRINTS)), table)
+    topk.build(read_clean(spark, table), kept)
+    upsert_into(spark, table, _clean_resend(spark, sf_dir), topk_path=kept)
+    spec = FilterSpec(grain="sprint", period=RESENT_SPRINTS[0], band="promoter")
+    return topk.top_verbatims(topk.read(spark, kept), spec, limit=20)
 
 
 def queries() -> dict[str, QueryFn]:

@@ -104,3 +104,19 @@ def survey_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
             _PATHS[key] = path
             _FRAMES[key] = df
     return df
+
+
+def survey_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most evocative comments of every (sprint, band, theme) of ``survey_table``, written once."""
+    from promoscope.operators import topk
+
+    key = _key(spark, sf_dir, "topk")
+    clean = survey_table(spark, sf_dir)
+    with _LOCK:
+        df = _FRAMES.get(key)
+        if df is None:
+            path = scratch_path(spark, "survey_topk")
+            topk.build(clean, path)
+            _PATHS[key] = path
+            df = _FRAMES[key] = topk.read(spark, path)
+    return df
