@@ -130,12 +130,15 @@ def ranges_of(docs: DataFrame, id_col: str, text: Column, range_bytes: int, most
 
 
 def first_of_ranges(rows: DataFrame) -> DataFrame:
-    """(range, text) of the first row of every range; texts are read again rather than sorted for it."""
+    """(range, text) of the first row of every range; texts are read again rather than sorted for it.
+
+    The keys are broadcast: one for each range, of which there are as many as ``ranges_of`` makes at most.
+    """
     place = F.struct(F.col("id").isNull().alias("last"), "id", "tie")
     keys = rows.select("range", place.alias("place")).groupBy("range").agg(F.min("place").alias("p"))
     keys = keys.select(F.col("range").alias("__range"), F.col("p.id").alias("__id"), F.col("p.tie").alias("__tie"))
     same = (F.col("range") == F.col("__range")) & F.col("id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie"))
-    return rows.join(keys, same).groupBy("range").agg(F.min("text").alias("text"))
+    return rows.join(F.broadcast(keys), same).groupBy("range").agg(F.min("text").alias("text"))
 
 
 def with_next(rows: DataFrame, firsts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
