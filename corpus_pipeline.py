@@ -2,6 +2,13 @@
 
 Stages: quality rules, line dedup, MinHash near-dedup, mixing sources to target weights, and
 SentencePiece encoding.  All but the last return the columns of ``documents``.
+
+Defined cases, by stage: quality rules reject null, empty and short texts; line dedup counts documents by id
+(rows with a null id as one) and empties a text of which ten documents or more have every line, exact copies
+among them; of equal or near-equal texts, empty ones included, the document with the smallest id stays (null
+ids last); mixing drops documents without a word, draws repeated rows one by one and takes a null source as
+one of its own; encoding gives a null or empty text no id.  Texts are worked on whole, columns besides the id,
+text, source and length are carried along whatever their names, and an empty table stays empty in every stage.
 """
 
 from __future__ import annotations

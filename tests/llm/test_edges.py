@@ -5,14 +5,20 @@ import pytest
 from pyspark.sql import types as T
 
 from promoscope.llm import (
-    imatch, line_quality, line_runs, piece_codec, pivotal_mix, ppm, probminhash, secret_scan,
-    token_counts, warc)
+    bag_search, imatch, line_quality, line_runs, piece_codec, pivotal_mix, ppm, probminhash, secret_scan,
+    token_counts, token_planes, warc)
 from promoscope.session import scratch_path
 
 BYTE_BPE = token_counts.Vocabulary(
     public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
     (("<|endoftext|>", 50256),), public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def token_files(docs):
+    spark = docs.sparkSession
+    return token_planes.read_token_files(spark, token_planes.write_token_files(docs, WORD_BPE, scratch_path(spark, "ids-test")))
 
 
 def round_trip(pages):
@@ -33,6 +39,7 @@ OPERATORS = {
     "pivotal_mix": pivotal_mix.mix_sources,
     "probminhash": probminhash.near_duplicates,
     "line_quality": line_quality.line_quality,
+    "token_planes": token_files,
 }
 
 # names that the operators use themselves, as extra columns
@@ -92,3 +99,30 @@ def test_filtering_operators_on_empty_table(spark):
     for f in (line_quality.clean_documents, probminhash.one_of_each_class, pivotal_mix.mixed_documents,
               line_runs.deduped_documents):
         assert f(empty).count() == 0
+
+
+EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_values_of_nulls_empties_and_repeated_rows(odd):
+    def by_id(df, *columns):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r["doc_id"], []).append(tuple(r[c] for c in columns))
+        return out
+
+    counts = by_id(token_counts.token_counts(odd, BYTE_BPE, 1024), "n_bytes", "n_tokens", "over_limit")
+    assert counts[1] == counts[2] == [(0, 0, False)] and counts[4] == [(3, 1, False)] and counts[5][0][2]
+    assert len(counts[7]) == 2 and len(set(counts[6] + counts[7])) == 1 and sorted(counts[None])[0] == (0, 0, False)
+    spans = by_id(secret_scan.secret_scan(odd, BYTE_BPE), "n_assign", "n_access", "n_hex", "n_random", "spans", "base_sha256")
+    assert spans[1] == spans[2] == spans[3] == spans[6] == [(0, 0, 0, 0, "", EMPTY_SHA)] and len(set(spans[7])) == 1
+    pieces = by_id(piece_codec.encode_pieces(odd, PIECES, outputs=("ids_sha256", "decoded_sha256")), "n_tokens", "ids_sha256", "decoded_sha256")
+    assert pieces[1] == pieces[2] == [(0, EMPTY_SHA, EMPTY_SHA)] and len(set(pieces[6] + pieces[7])) == 1
+    files = by_id(token_files(odd).withColumnRenamed("id", "doc_id"), "n_tokens")
+    assert files[1] == files[2] == files[3] == [(1,)] and files[4] == [(2,)] and len(files[None]) == 2
+
+
+def test_search_over_odd_rows(spark, odd):
+    items = spark.createDataFrame([(1, "same words"), (None, None), (2, "żółć 😀")], "item_id long, text string")
+    got = sorted((r["item_id"], r["rank"], r["doc_id"]) for r in bag_search.search(items, odd).collect())
+    assert got == [(1, 1, 6), (1, 2, 7), (1, 3, 7), (2, 1, 8)]
