@@ -16,11 +16,12 @@ from __future__ import annotations
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promoscope.operators.clean import CLEAN_SCHEMA, clean_survey
 from promoscope.operators.rollup import ROLLUP_SCHEMA, as_counts, build_rollup
 from promoscope.session import scratch_path
-from promoscope.sources.driver_tables import survey_raw
+from promoscope.sources.driver_tables import survey_raw, survey_raw_counted
 
 _LOCK = threading.Lock()
 _PATHS: dict[tuple[str, str, str], str] = {}
@@ -88,16 +89,22 @@ def survey_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts that the count queries read: the additive rollup of ``survey_table`` where it is
     much smaller than the rows, else the rows' unit counts (the same columns, kept as narrow rows, so
     that comments are read once).  Either is written once and partitioned by sprint.
+
+    The rows are those of the stored table if the application has it; otherwise they are derived and
+    cleaned here, without the table and with a mark for each comment, as counts need no text.
     """
     key = _key(spark, sf_dir, "rollup")
-    clean = survey_table(spark, sf_dir)
     with _LOCK:
         df = _FRAMES.get(key)
         if df is None:
+            clean = _FRAMES.get(_key(spark, sf_dir, "clean"))
+            if clean is None:
+                clean = clean_survey(survey_raw_counted(spark, sf_dir))
             path = scratch_path(spark, "survey_rollup")
             write_rollup(build_rollup(clean), path)
             df = read_rollup(spark, path)
-            if df.count() > ROLLUP_PAYS * clean.count():
+            combinations, rows = df.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+            if combinations > ROLLUP_PAYS * rows:
                 path = scratch_path(spark, "survey_counts")
                 write_rollup(as_counts(clean), path)
                 df = read_rollup(spark, path)

@@ -1,10 +1,13 @@
 """Invariants over the survey derived from the driver tables (sf0.001)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMOKE_DIR
 from promoscope.operators import matrix, metrics
-from promoscope.operators.rollup import as_counts
+from promoscope.operators.clean import clean_survey
+from promoscope.operators.rollup import MEASURES, ROLLUP_DIMS, as_counts, build_rollup, has_feedback
+from promoscope.sources import driver_tables
 from promoscope.sources.store import survey_rollup, survey_table
 
 
@@ -55,3 +58,33 @@ def test_counts_view_is_additive(spark):
     rows = survey_table(spark, SMOKE_DIR)
     c = as_counts(rows).agg(F.sum("n"), F.sum("promoters"), F.sum("passives"), F.sum("detractors")).first()
     assert c[0] == c[1] + c[2] + c[3] == rows.count()
+
+
+def test_rollup_needs_no_table(spark, monkeypatch):
+    """Counts of a new application: the rollup needs neither the table nor the texts, and counts comments alike."""
+    from promoscope.sources import store
+
+    table = survey_table(spark, SMOKE_DIR)  # stored under its own path
+    want = sorted(tuple(r) for r in build_rollup(table).collect())
+    monkeypatch.setattr(store, "_FRAMES", {})
+    monkeypatch.setattr(store, "write_clean", lambda *a, **k: pytest.fail("the table was written"))
+    got = survey_rollup(spark, SMOKE_DIR).groupBy("sprint_part", *ROLLUP_DIMS).agg(*[F.sum(m) for m in MEASURES])
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert sum(r[-4] for r in want) > 0  # some comments count
+
+
+def test_marks_count_as_their_comments(spark, tmpdir_fresh):
+    """Comments around the least length, white space around and inside them, characters of two UTF-16 units."""
+    texts = [None, "", "     x     ", "12345", "123456", "  12345 ", "abcd  ", "abcde f", "abcde  ", "　123456﻿",
+             "\U0001f600\U0001f600", "\U0001f600\U0001f600\U0001f600", "1234\U0001f600", "a" * 5000]
+    at = lambda name: f"{tmpdir_fresh}/{name}.parquet"
+    for name in ("customer", "nation", "orders"):
+        driver_tables.table(spark, SMOKE_DIR, name).write.parquet(at(name))
+    keys = [r[0] for r in driver_tables.table(spark, SMOKE_DIR, "orders").select("o_orderkey").orderBy("o_orderkey")
+            .limit(len(texts)).collect()]
+    spark.createDataFrame(list(zip(keys, texts)), "doc_id bigint, text string").write.parquet(at("documents"))
+    whole, marked = (clean_survey(f(spark, tmpdir_fresh))
+                     for f in (driver_tables.survey_raw, driver_tables.survey_raw_counted))
+    rows = sorted(tuple(r) for r in build_rollup(whole).collect())
+    assert sorted(tuple(r) for r in build_rollup(marked).collect()) == rows
+    assert sum(r[-4] for r in rows) == whole.filter(has_feedback()).count() > 3
