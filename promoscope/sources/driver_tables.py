@@ -57,8 +57,10 @@ def survey_raw_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _survey_rows(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
     """``d``: the comments, as doc_id and text."""
+    # a price and a time as the few points and the date that are used of them: rows of the joins are narrower
     o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+        "o_orderkey", "o_custkey", F.floor(F.col("o_totalprice") / 45000).cast("bigint").alias("_points"),
+        F.to_date("o_orderdate").alias("_date"), "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
@@ -66,7 +68,7 @@ def _survey_rows(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
           .join(d, d.doc_id == o.o_orderkey, "left")
           .join(n, c.c_nationkey == n.n_nationkey, "inner"))
 
-    odate = F.col("o_orderdate")
+    odate = F.col("_date")
     # half-month bucket of the order date, computed once and referenced by name
     j = j.withColumn("_k", (F.year(odate) * 24 + (F.month(odate) - 1) * 2
                             + F.when(F.dayofmonth(odate) > 15, 1).otherwise(0)) % 23)
@@ -74,7 +76,7 @@ def _survey_rows(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
     k = F.col("_k")
     reasons = literal_map([(str(i), r) for i, r in enumerate(DERIVED_REASONS)])
     score = F.when(key % 101 == 0, F.lit("n/a")).otherwise(F.concat(
-        (F.floor(F.col("o_totalprice") / 45000).cast("bigint") + F.col("c_nationkey") % 3 - 1)
+        (F.col("_points") + F.col("c_nationkey") % 3 - 1)
         .cast("string"),
         F.when(key % 53 == 0, F.lit(".5")).otherwise(F.lit(""))))
     prio = F.col("o_orderpriority")
@@ -96,7 +98,7 @@ def _survey_rows(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
          .when(prio == "3-MEDIUM", F.lit("CT")).when(prio == "4-NOT SPECIFIED", F.lit(""))
          .otherwise(F.lit("Email")).alias("source"),
         _sprint_label(k).alias("sprint_id"),
-        F.to_date(odate).cast("string").alias("sprint_start"),
+        odate.cast("string").alias("sprint_start"),
         F.element_at(F.array(F.lit("Yes"), F.lit("No, had wifi"), F.lit("First time"),
                              F.lit("नहीं"), F.lit(""), F.lit("पहले वाई-फाई")),
                      (F.col("o_custkey") % 6 + 1).cast("int")).alias("first_time_user"),

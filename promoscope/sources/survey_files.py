@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promoscope.operators.clean import sprint_part
 from promoscope.session import scratch_path, ship_package
 from promoscope.sources.csv_ingest import CSV_OPTIONS, CsvFile
 from promoscope.sources.dialect import BOM
@@ -202,11 +203,16 @@ EXPORT_FIELDS = ["respondent_id", "score", "feedback", "nps_reason_primary", "np
 def export_csv(clean: DataFrame, out: str, sprint: str | None = None) -> None:
     """CSV per sprint (one sprint or all), partitioned on the ``sprint_part``
     copy so ``sprint_id`` stays in the files (Q24) and re-ingest works."""
-    df = clean if sprint is None else clean.filter(F.col("sprint_id") == sprint)
+    df = clean if sprint is None else of_sprint(clean, sprint)
     (df.select(*[F.col(c).cast("string") for c in EXPORT_FIELDS], "sprint_part")
        .write.mode("overwrite").partitionBy("sprint_part").options(**CSV_OPTIONS).csv(out))
 
 
+def of_sprint(clean: DataFrame, sprint: str) -> DataFrame:
+    """The rows of one sprint; only its partition of a stored table is listed and read."""
+    return clean.filter((F.col("sprint_part") == sprint_part(F.lit(sprint))) & (F.col("sprint_id") == sprint))
+
+
 def file_catalogue(spark: SparkSession, files: list[CsvFile], clean: DataFrame) -> DataFrame:
     """File name, byte size, response count, total size; sprint order.
 

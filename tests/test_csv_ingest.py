@@ -4,14 +4,17 @@ import csv
 import io
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from promoscope.operators.clean import clean_survey
 from promoscope.operators.upsert import latest_per_key, merge, upsert_into
 from promoscope.sources.csv_ingest import (
     csv_files, ingest_csv, ingest_files, ingest_manifest, read_heads, resolve_columns)
 from promoscope.sources.dialect import Dialect, read_head
 from promoscope.sources.store import read_clean, write_clean
-from promoscope.sources.survey_files import export_csv, file_catalogue
+from promoscope.sources.survey_files import export_csv, file_catalogue, of_sprint
+from promoscope.sources.versions import VersionedTable
 
 FILES = {
     "a_bom.csv": "﻿ score , feedback ,respondent_id,sprint_id,source\n\n"
@@ -321,3 +324,37 @@ def test_files_of_other_names_are_taken_by_content_on_request(spark, tmpdir_fres
     rep = {r.file_name: (r.rejected, r.errors) for r in report.collect()}
     assert rep["b.txt"] == (False, "") and "binary content" in rep["picture.bin"][1]
     assert rep["notes.md"] == (True, "No score column found in headers: nothing here")
+
+
+def test_a_table_is_written_without_a_shuffle(spark, tmpdir_fresh):
+    """Wide rows go from the tasks that have them into the folders of their sprints: one stage."""
+    n = 400
+    made = [(f"Sprint {1 + i % 3}" if i % 4 else "", str(i), "9", "long comment " * 20) for i in range(n)]
+    raw = spark.createDataFrame(made, "sprint_id string, respondent_id string, score string, feedback string").repartition(4)
+    raw.write.parquet(os.path.join(tmpdir_fresh, "raw"))
+    rows = clean_survey(spark.read.parquet(os.path.join(tmpdir_fresh, "raw")))
+    tracker = spark.sparkContext.statusTracker()
+    for name, write in (("table", lambda path: write_clean(rows, path)),
+                        ("versions", lambda path: VersionedTable(spark, path).add_snapshot(rows))):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            write(os.path.join(tmpdir_fresh, name))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        stages = [s for job in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(job).stageIds]
+        assert len(stages) == 1
+    stored = read_clean(spark, os.path.join(tmpdir_fresh, "table"))
+    assert sorted(map(tuple, stored.select("sprint_id", "respondent_id", "feedback").collect())) == sorted(
+        (s, r, t.strip()) for s, r, _, t in made)
+    assert {r.sprint_part for r in stored.select("sprint_part").distinct().collect()} == {
+        "_blank", "Sprint 1", "Sprint 2", "Sprint 3"}
+
+
+@pytest.mark.parametrize("sprint,part,n", [("Sprint 2", "Sprint 2", 1), ("", "_blank", 2), ("gone", "gone", 0)])
+def test_one_sprint_is_read_from_its_partition(spark, tmpdir_fresh, sprint, part, n):
+    rows = spark.createDataFrame([("Sprint 2", "1"), ("Sprint 3", "2"), ("", "3"), (" ", "4")], "sprint_id string, score string")
+    write_clean(clean_survey(rows), tmpdir_fresh)
+    one = of_sprint(read_clean(spark, tmpdir_fresh), sprint)
+    assert one.count() == n
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert f" = {part})" in scan.split("PartitionFilters: [")[1].split("], ")[0]
