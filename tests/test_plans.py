@@ -10,8 +10,10 @@ from conftest import SMOKE_DIR
 from promoscope.operators import cohorts, matrix, themes, verbatims
 from promoscope.operators.filters import FilterSpec
 from promoscope.operators.upsert import latest_per_key
-from promoscope.sources.store import survey_table
+from promoscope.sources import store, versions
+from promoscope.sources.store import survey_table, write_clean
 from promoscope.operators import metrics
+from promoscope.plans import catalog
 from promoscope.plans.catalog import queries
 
 
@@ -124,3 +126,27 @@ def test_search_before_or_after_limit(spark):
     after = verbatims.verbatims(rows, limit=10, search_text="ation").count()
     before = verbatims.verbatims(rows, limit=10, search_text="ation", search_before_limit=True).count()
     assert after <= 10 and before == 10 and after <= before
+
+
+@pytest.mark.parametrize("name", ["upsert_rollup", "upsert_versions"])
+def test_copies_of_the_table_shuffle_no_row(spark, monkeypatch, name):
+    """The stored table goes into the query's own in one stage; what is written of the touched sprints comes
+    from the merge's tasks, so no stage of its job only deals the rows anew for the write."""
+    tracker, plans = spark.sparkContext.statusTracker(), []
+
+    def watched(df, path, *args, **kwargs):
+        group = f"{name} {len(plans)}"
+        plans.append(plan(df))
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            write_clean(df, path, *args, **kwargs)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        if len(plans) == 1:
+            assert sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group)) == 1
+
+    survey_table(spark, SMOKE_DIR)
+    for module in (catalog, store, versions):
+        monkeypatch.setattr(module, "write_clean", watched)
+    assert queries()[name](spark, SMOKE_DIR).count() > 0
+    assert len(plans) == 2 and "Exchange" not in plans[0] and "Join" in plans[1]
