@@ -64,7 +64,7 @@ def stage(rows: DataFrame) -> DataFrame:
 
     spark = rows.sparkSession
     path = scratch_path(spark, "upsert")
-    rows.select(*CLEAN_COLUMNS).write.parquet(path)
+    rows.select(*CLEAN_COLUMNS).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(CLEAN_SCHEMA).parquet(path)
 
 

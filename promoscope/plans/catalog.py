@@ -33,7 +33,7 @@ from promoscope.sources.driver_tables import RESENT_SPRINTS, survey_raw, survey_
 from promoscope.sources.files import list_files
 from promoscope.sources.ingest_log import append_log, dead_letters, read_log
 from promoscope.sources.store import (
-    read_clean, read_rollup, survey_rollup, survey_table, survey_topk, write_clean, write_rollup)
+    read_clean, read_rollup, survey_rollup, survey_rows, survey_table, survey_topk, write_clean, write_rollup)
 from promoscope.sources.versions import VersionedTable
 from promoscope.streaming import ingest_stream
 
@@ -1085,7 +1085,7 @@ def q_stream_upsert(spark, sf_dir):
 def q_upsert_rollup(spark, sf_dir):
     """Section 4: an upsert rebuilds the touched sprints of the rollup; NPS is read from the rollup."""
     table, kept = scratch_path(spark, "upsert_table"), scratch_path(spark, "upsert_rollup")
-    write_clean(rows(spark, sf_dir), table)
+    write_clean(survey_rows(spark, sf_dir), table)
     write_rollup(build_rollup(read_clean(spark, table)), kept)
     upsert_into(spark, table, _clean_resend(spark, sf_dir), rollup_path=kept)
     agg = read_rollup(spark, kept).groupBy("quarter", "source", "first_time_user").agg(*_nps.count_aggs())
@@ -1103,7 +1103,7 @@ _TOUCHED_SQL = f"sprint_id IN ({', '.join(O.q(s) for s in RESENT_SPRINTS)})"
 def q_upsert_versions(spark, sf_dir):
     """The re-sent sprints merged into a versioned table; the version before stays as it was."""
     table = VersionedTable(spark, scratch_path(spark, "versions"))
-    first = table.replace(rows(spark, sf_dir))
+    first = table.replace(survey_rows(spark, sf_dir))
     table.upsert(_clean_resend(spark, sf_dir))
     if table.version(first.number).parts != first.parts:
         raise RuntimeError("an earlier version has changed")

@@ -13,7 +13,8 @@ orders-documents on the order key) are ordinary shuffle joins planned by
 Catalyst; ``nation`` is left to Spark's own size-checked broadcast and joined last,
 so its names are in no shuffle.  Only the columns used are read (parquet column
 pruning).  Counts need no texts: ``survey_raw_counted`` shuffles one short mark per
-document in their place.
+document in their place.  A re-send has the orders of a few sprints: ``survey_resend`` shuffles
+their documents, not all of them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ DERIVED_REASONS: list[str] = [*(reason for reason, _ in REASON_THEME), "Some unm
 RESENT_SPRINTS: list[str] = ["Sprint RSP6", "Sprint RSP7"]
 
 
+#: Bits that ``keep_likely`` has for its keys: 16 MB, whatever their number.
+LIKELY_BITS = 1 << 27
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -43,6 +48,30 @@ def _sprint_label(k: Column) -> Column:
             .otherwise(F.lit("")))
 
 
+def _half_month(odate: Column) -> Column:
+    """The half month of an order date, dealt over the 23 sprint labels."""
+    return (F.year(odate) * 24 + (F.month(odate) - 1) * 2 + F.when(F.dayofmonth(odate) > 15, 1).otherwise(0)) % 23
+
+
+def keep_likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``keys`` (one column), and some others: those whose hash is
+    that of a key.  For use before a join that needs no other rows, so that most of the others are not
+    shuffled for it.  Every key sets one of ``LIKELY_BITS`` bits, which are broadcast; with more keys the
+    bits stay as many, and more other rows pass.
+    """
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(LIKELY_BITS))
+
+    bits = (keys.select(place(keys.columns[0]).alias("_place"))
+                .groupBy(F.bitmap_bucket_number("_place").alias("_bucket"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # a semi join, so that Spark still knows the size of ``df``
+    return df.join(F.broadcast(bits), (F.bitmap_bucket_number(place(key)) == F.col("_bucket"))
+                   & (F.getbit(byte, (at % 8).cast("int")) == 1), "left_semi")
+
+
 def survey_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (all-string) survey rows, one per order."""
     return _survey_rows(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -70,8 +99,7 @@ def _survey_rows(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
 
     odate = F.col("_date")
     # half-month bucket of the order date, computed once and referenced by name
-    j = j.withColumn("_k", (F.year(odate) * 24 + (F.month(odate) - 1) * 2
-                            + F.when(F.dayofmonth(odate) > 15, 1).otherwise(0)) % 23)
+    j = j.withColumn("_k", _half_month(odate))
     key = F.col("o_orderkey")
     k = F.col("_k")
     reasons = literal_map([(str(i), r) for i, r in enumerate(DERIVED_REASONS)])
@@ -107,7 +135,10 @@ def _survey_rows(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
 
 def survey_resend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert input: the re-sent files of ``RESENT_SPRINTS`` with new scores."""
-    raw = survey_raw(spark, sf_dir)
+    resent = table(spark, sf_dir, "orders").filter(
+        _sprint_label(_half_month(F.to_date("o_orderdate"))).isin(*RESENT_SPRINTS)).select("o_orderkey")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    raw = _survey_rows(spark, sf_dir, keep_likely(documents, "doc_id", resent))
     return (raw.filter(F.col("sprint_id").isin(*RESENT_SPRINTS))
                .withColumn("score", ((F.col("row_seq") + 3) % 11).cast("string"))
                .withColumn("row_seq", F.col("row_seq") + F.lit(1000000000)))

@@ -82,6 +82,14 @@ def survey_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
+def survey_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``survey_table`` to be read once, for a table of the caller's own: those of the stored
+    table if the application has it, otherwise derived and cleaned here, so that they are written once."""
+    with _LOCK:
+        df = _FRAMES.get(_key(spark, sf_dir, "clean"))
+    return clean_survey(survey_raw(spark, sf_dir)) if df is None else df
+
+
 #: A rollup is used when it has at most this share of the rows it sums up.
 ROLLUP_PAYS = 0.5
 

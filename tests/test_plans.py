@@ -5,12 +5,13 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMOKE_DIR
 from promoscope.operators import cohorts, matrix, themes, verbatims
 from promoscope.operators.filters import FilterSpec
 from promoscope.operators.upsert import latest_per_key
-from promoscope.sources import store, versions
+from promoscope.sources import driver_tables, store, versions
 from promoscope.sources.store import survey_table, write_clean
 from promoscope.operators import metrics
 from promoscope.plans import catalog
@@ -150,3 +151,58 @@ def test_copies_of_the_table_shuffle_no_row(spark, monkeypatch, name):
         monkeypatch.setattr(module, "write_clean", watched)
     assert queries()[name](spark, SMOKE_DIR).count() > 0
     assert len(plans) == 2 and "Exchange" not in plans[0] and "Join" in plans[1]
+
+
+@pytest.mark.parametrize("name", ["upsert_rollup", "upsert_versions"])
+def test_survey_is_written_once_for_a_table_of_ones_own(spark, monkeypatch, name):
+    """Without the application's stored table, the rows go into the query's own; with it they come from there."""
+    survey_table(spark, SMOKE_DIR)
+    stored = sorted(map(repr, queries()[name](spark, SMOKE_DIR).collect()))
+    written = []
+
+    def watched(df, path, *args, **kwargs):
+        written.append(path)
+        write_clean(df, path, *args, **kwargs)
+
+    monkeypatch.setattr(store, "_FRAMES", {})
+    for module in (catalog, store, versions):
+        monkeypatch.setattr(module, "write_clean", watched)
+    assert sorted(map(repr, queries()[name](spark, SMOKE_DIR).collect())) == stored
+    assert len(written) == 2  # the table and its touched sprints
+
+
+def exchanged(plan) -> list[tuple[str, int]]:
+    """The columns and the number of the rows of every shuffle that a plan has run."""
+    found, kind = [], plan.getClass().getSimpleName()
+    if kind == "ShuffleExchangeExec":
+        found.append((plan.output().mkString(","), plan.metrics().apply("shuffleRecordsWritten").value()))
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    children = plan.children()
+    return found + [x for p in inner + [children.apply(i) for i in range(children.size())] for x in exchanged(p)]
+
+
+def test_resend_shuffles_the_documents_of_its_orders(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = driver_tables.survey_resend(spark, SMOKE_DIR)
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    touched = F.col("sprint_id").isin(*driver_tables.RESENT_SPRINTS)
+    raw = {r.row_seq: r.feedback for r in driver_tables.survey_raw(spark, SMOKE_DIR).filter(touched).collect()}
+    assert {r.row_seq - 1000000000: r.feedback for r in got} == raw and len(got) == len(raw)
+    shuffles = exchanged(df._jdf.queryExecution().executedPlan())
+    [shuffled] = [n for columns, n in shuffles if columns.startswith("doc_id#")]
+    documents = driver_tables.table(spark, SMOKE_DIR, "documents").count()
+    assert 0 < sum(f != "" for f in raw.values()) <= shuffled < documents / 4
+
+
+@pytest.mark.parametrize("bits", [driver_tables.LIKELY_BITS, 1 << 10])
+def test_likely_rows_have_all_of_the_keys(spark, monkeypatch, bits):
+    monkeypatch.setattr(driver_tables, "LIKELY_BITS", bits)
+    df = spark.range(-3000, 90000).unionByName(spark.createDataFrame([(None,)], "id bigint"))
+    keys = spark.range(-3000, 120000).filter("pmod(id, 307) = 3").select(F.col("id").cast("int").alias("k"))
+    likely = {r[0] for r in driver_tables.keep_likely(df, "id", keys).collect()}
+    assert {k for k in range(-3000, 90000) if k % 307 == 3} <= likely
+    assert len(likely) < (400 if bits > 1 << 20 else 40000)
